@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, bpe, decontam, near_dup, token_counts
-from rasterloom.llm.common import table
+from rasterloom.llm import ann, bpe, decontam, near_dup, quality, token_counts, toxicity, url_filter
+from rasterloom.llm.common import fold, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +39,68 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def predictions(scored: DataFrame, score: str, modulus: int, held: int) -> DataFrame:
+    held_out = F.coalesce(fold(F.col("doc_id"), modulus) == held, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), quality.learnt())
+    return predictions(quality.score(docs, model), "quality_score", 3, 1)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.learnt())
+    return predictions(toxicity.score(docs, model), "toxicity", 5, 0)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The only labelled outcomes in the tables are those of labels, taken for the page of the same id."""
+    found = url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+o AS (SELECT doc_id, max(CAST(quality > 0 AS INTEGER)) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT host, CAST(count(o.good) AS DOUBLE) AS n, CAST(coalesce(sum(o.good), 0) AS DOUBLE) AS good FROM p LEFT JOIN o ON o.doc_id = p.page_id GROUP BY host),
+parts AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS two, array_to_string(string_split(host, '.')[-3:], '.') AS three, array_to_string(string_split(host, '.')[-1:], '.') AS one FROM h),
+hosts AS (SELECT host, n, good, CASE WHEN two IN TWO_LABELS THEN three ELSE two END AS domain, CASE WHEN two IN TWO_LABELS THEN two ELSE one END AS suffix FROM parts),
+every AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM hosts),
+bd AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain, suffix),
+bs AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(m) AS m FROM bd, every GROUP BY suffix),
+ks AS (SELECT STRENGTH AS k FROM bs WHERE n > 0),
+s AS (SELECT suffix, (good + k * m) / (n + k) AS m FROM bs, ks),
+d0 AS (SELECT bd.*, s.m FROM bd JOIN s USING (suffix)),
+kd AS (SELECT STRENGTH AS k FROM d0 WHERE n > 0),
+d AS (SELECT domain, (good + k * m) / (n + k) AS m FROM d0, kd),
+h0 AS (SELECT hosts.*, d.m FROM hosts JOIN d USING (domain)),
+kh AS (SELECT STRENGTH AS k FROM h0 WHERE n > 0),
+ab AS (SELECT host, k * m + good AS a, k * (1 - m) + n - good AS b FROM h0, kh),
+r AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) AS low FROM ab),
+f AS (SELECT p.*, low, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p JOIN r USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN low >= 0.5 THEN 'allow' ELSE 'block' END AS verdict FROM f
+""".replace("TWO_LABELS", str(url_filter.TWO_LABELS)).replace(
+    "STRENGTH",
+    """1 / least(greatest(coalesce((sum(n * pow(good / n - m, 2)) - (count(*) - 1) * (sum(n * m * (1 - m)) / sum(n)))
+    / nullif((sum(n) - sum(n * n) / nullif(sum(n), 0) - (count(*) - 1)) * (sum(n * m * (1 - m)) / sum(n)), 0), 0), 1.0 / 1001), 1.0 / 2) - 1""",
+)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -87,6 +145,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_quality": op2_quality,
+        "op5_toxicity": op5_toxicity,
+        "op6_url_filter": op6_url_filter,
         "op8_near_duplicates": op8_near_duplicates,
         "op3_token_counts": op3_token_counts,
         "op9_bpe_round_trip": op9_bpe_round_trip,
@@ -95,4 +156,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL.strip(), "op8_near_duplicates": OP8_SQL.strip(), "op10_nearest_neighbours": OP10_SQL.strip()}
+    return {"op1_decontamination": OP1_SQL.strip(), "op6_url_filter": OP6_SQL.strip(), "op8_near_duplicates": OP8_SQL.strip(), "op10_nearest_neighbours": OP10_SQL.strip()}
