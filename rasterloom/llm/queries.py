@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, bpe, decontam, near_dup, quality, token_counts, toxicity, url_filter
+from rasterloom.llm import ann, bpe, decontam, near_dup, pii, quality, token_counts, toxicity, url_filter
 from rasterloom.llm.common import fold, table
 
 
@@ -60,6 +60,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the pseudonymised text, and how many values of each kind were replaced in it."""
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"))
+    counts = [F.coalesce(F.try_element_at("pii", F.lit(k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", "text", *counts)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The only labelled outcomes in the tables are those of labels, taken for the page of the same id."""
     found = url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
@@ -146,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_quality": op2_quality,
+        "op4_pii": op4_pii,
         "op5_toxicity": op5_toxicity,
         "op6_url_filter": op6_url_filter,
         "op8_near_duplicates": op8_near_duplicates,
