@@ -270,12 +270,12 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path
     return slim.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
+def digest_columns() -> list[Column]:
+    """n_tokens, and SHA-256 of ids (decimal, joined by commas) and of decoded."""
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")]
+
+
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the decoded text."""
-    joined: Column = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return encoded.select(
-        key,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(joined, 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """key, n_tokens and the digests of an encoded table."""
+    return encoded.select(key, *digest_columns())

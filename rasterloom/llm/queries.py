@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, bpe, decontam, near_dup, pii, quality, token_counts, toxicity, url_filter
+from rasterloom.llm import ann, bpe, decontam, near_dup, pii, quality, secret_scan, token_counts, toxicity, url_filter
 from rasterloom.llm.common import fold, table
 
 
@@ -108,6 +108,13 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 )
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the masked text, how many candidates it had and how many of them are secrets."""
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), forest)
+    return found.select("doc_id", "text", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -156,6 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": op4_pii,
         "op5_toxicity": op5_toxicity,
         "op6_url_filter": op6_url_filter,
+        "op7_secret_scan": op7_secret_scan,
         "op8_near_duplicates": op8_near_duplicates,
         "op3_token_counts": op3_token_counts,
         "op9_bpe_round_trip": op9_bpe_round_trip,
