@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import geometry as geo
 from rasterloom.functions.indices import CLASSES, INDICES, index, index_class
 from rasterloom.functions.scalar import first_tile
-from rasterloom.operators import catalog, raster, render
+from rasterloom.operators import catalog, grids, raster, render
 from rasterloom.plans import pipeline
 from rasterloom.sources import fixtures as fx
 from rasterloom.sources.tables import areas
@@ -397,6 +397,58 @@ def tilejson_first(spark, d):
     return fx.tile_documents(spark, d).select("event_id", first_tile(F.col("body")).alias("tile"))
 
 
+# ---- grids' metadata ----
+
+@register("grid_sizes", f"WITH {fx.PIXEL_SQL} SELECT grid_id, max(row) + 1 AS height, max(col) + 1 AS width, 32610 AS epsg, 543990e0 AS origin_x, 4189340e0 AS origin_y, 10e0 AS res_x, -10e0 AS res_y FROM pixel GROUP BY grid_id")
+def grid_sizes(spark, d):
+    return grids.measured(fx.pixels(spark, d), GRID, 32610, fx.ORIGIN, fx.RES)
+
+
+@register("pixels_referenced", f"WITH {fx.PIXEL_SQL} SELECT grid_id, row, col, 32610 AS epsg, x, y FROM pixel")
+def pixels_referenced(spark, d):
+    px = fx.pixels(spark, d)
+    return grids.referenced(px.select(*CELL), grids.measured(px, GRID, 32610, fx.ORIGIN, fx.RES), GRID)
+
+
+@register("scene_reference", f"WITH {fx.PIXEL_SQL} SELECT DISTINCT grid_id, 32610 AS epsg FROM pixel WHERE grid_id = 3")
+def scene_reference(spark, d):
+    return grids.reference_of(grids.measured(fx.pixels(spark, d), GRID, 32610, fx.ORIGIN, fx.RES), "grid_id", 3)
+
+
+@register("window_transform", f"WITH {fx.SCENE_SQL}, b AS (SELECT item_id, {WINDOW_BOX} FROM scene), w AS (SELECT item_id, (bx0 - 543990e0) / 10e0 AS c0, (by1 - 4189340e0) / -10e0 AS r0 FROM b) SELECT item_id, 10e0 AS a, 543990e0 + c0 * 10e0 AS c, -10e0 AS e, 4189340e0 + r0 * -10e0 AS f FROM w")
+def window_transform(spark, d):
+    i, j = (F.col("item_id") % 50) * F.lit(7.0), (F.col("item_id") % 40) * F.lit(9.0)
+    window = geo.window_of(F.lit(543990.0) + i, F.lit(4188000.0) + j, F.lit(544300.0) + i, F.lit(4188500.0) + j, *fx.ORIGIN, *fx.RES)
+    return fx.scenes(spark, d).select("item_id", *(c.alias(n) for n, c in grids.window_transform(window["col_off"], window["row_off"], fx.ORIGIN, fx.RES).items()))
+
+
+def corners_sql() -> str:
+    corners = " UNION ALL ".join(f"SELECT item_id AS id, {x} AS lon, {y} AS lat FROM scene" for x in ("minx", "maxx") for y in ("miny", "maxy"))
+    return utm_sql().replace("FROM centre", f"FROM ({corners}) centre").replace("SELECT item_id, sinh", "SELECT id AS item_id, sinh")
+
+
+@register("aoi_utm_envelope", f"WITH {fx.SCENE_SQL}, {corners_sql()}".replace(" SELECT item_id, floor((500000e0", ", v AS (SELECT item_id, floor((500000e0") + ") SELECT item_id, min(east) AS minx, min(north) AS miny, max(east) AS maxx, max(north) AS maxy FROM v GROUP BY item_id")
+def aoi_utm_envelope(spark, d):
+    own = fx.scenes(spark, d).select("item_id", geo.box_ring(*(F.col(c) for c in ("minx", "miny", "maxx", "maxy"))).alias("ring"))
+
+    def cut(c):  # to the millimetre
+        return F.floor(c * F.lit(1e3) + F.lit(0.5)).cast("double") / F.lit(1e3)
+
+    return own.select("item_id", *(cut(c).alias(n) for n, c in grids.projected_envelope(F.col("ring"), 10).items()))
+
+
+ASSET_SQL = "asset AS (SELECT * FROM (VALUES ('red', 'B04'), ('green', 'B03'), ('blue', 'B02'), ('nir', 'B08'), ('swir2', 'B12'), ('scl', 'SCL'), ('b05', 'B05'), ('b8a', 'B8A')) t(band, asset))"
+
+
+@register("band_assets", f"WITH {fx.SCENE_SQL}, {ASSET_SQL} SELECT item_id, band, asset, CASE WHEN asset IN ('B04', 'B08') THEN 'https://data.example.com/' || item_id || '/' || asset || '.tif' END AS href FROM scene CROSS JOIN asset")
+def band_assets(spark, d):
+    def entry(key):
+        return F.lit(key), F.struct(F.concat(F.lit("https://data.example.com/"), F.col("item_id").cast("string"), F.lit(f"/{key}.tif")).alias("href"))
+
+    own = fx.scenes(spark, d).select("item_id", F.create_map(*entry("B04"), *entry("B08")).alias("assets"))
+    return grids.band_assets(own)
+
+
 # ---- end to end ----
 
 @register(

@@ -151,3 +151,22 @@ def test_stream_of_items(spark, tmp_path):
     query = stream.matching(source, AREA, "2023-01-01", "2023-12-31").writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r.item_id for r in spark.table("found").collect()] == ["a"]
+
+
+def test_grids(spark):
+    from rasterloom.functions.geometry import box_ring
+    from rasterloom.operators import grids
+
+    px = grid(spark, [[1.0, 2.0], [3.0, 4.0]])
+    table = grids.measured(px, ["grid_id"], 32610, (100.0, 200.0), (10.0, -10.0))
+    assert (table.first().height, table.first().width) == (2, 2)
+    at = {(r.row, r.col): (r.epsg, r.x, r.y) for r in grids.referenced(px, table, ["grid_id"]).collect()}
+    assert at[1, 1] == (32610, 115.0, 185.0)
+    assert grids.reference_of(table, "grid_id", 9).count() == 0
+    ring = box_ring(F.lit(-122.5), F.lit(37.75), F.lit(-122.4), F.lit(37.85))
+    box = spark.range(1).select(*(c.alias(n) for n, c in grids.projected_envelope(ring, 10).items())).first()
+    for got, want in zip(box, (543988.07, 4178195.26, 552856.97, 4189342.01), strict=True):
+        assert abs(got - want) < 0.01
+    assert grids.with_bands(px, ["red", "b05"]).first().b05 is None
+    one = spark.createDataFrame([("S", {"B04": ("x.tif",)})], "item_id string, assets map<string,struct<href:string>>")
+    assert {r.band: r.href for r in grids.band_assets(one, ("red", "nir")).collect()} == {"red": "x.tif", "nir": None}
