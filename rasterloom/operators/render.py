@@ -30,7 +30,7 @@ def histogram(px: DataFrame, keys: list[str], value: str, bins: int = 50) -> Dat
     extent = known.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     step = (F.col("_high") - F.col("_low")) / F.lit(float(bins))
     # a flat grid has all its values in the first bin
-    bin_ = F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - F.col("_low"), step)), F.lit(bins - 1)), F.lit(0)).cast("int") + 1
+    bin_ = F.least(F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_low"), step)), F.lit(0)), F.lit(bins - 1)).cast("int") + 1
     counts = known.join(extent, keys).groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"))
     every = extent.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     return every.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))

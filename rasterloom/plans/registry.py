@@ -286,7 +286,7 @@ def true_color_clip(spark, d):
 @register(
     "ndvi_histogram",
     f"WITH {fx.PIXEL_SQL}, {SCALED}, v AS (SELECT grid_id, {SQL_INDEX['ndvi']} AS v FROM scaled), e AS (SELECT grid_id, min(v) AS mn, max(v) AS mx FROM v WHERE v IS NOT NULL GROUP BY grid_id), "
-    "c AS (SELECT grid_id, CAST(coalesce(least(floor((v - mn) / nullif((mx - mn) / 50e0, 0e0)), 49), 0) AS INTEGER) + 1 AS bin, count(*) AS n FROM v JOIN e USING (grid_id) WHERE v IS NOT NULL GROUP BY ALL) "
+    "c AS (SELECT grid_id, CAST(least(coalesce(floor((v - mn) / nullif((mx - mn) / 50e0, 0e0)), 0), 49) AS INTEGER) + 1 AS bin, count(*) AS n FROM v JOIN e USING (grid_id) WHERE v IS NOT NULL GROUP BY ALL) "
     "SELECT e.grid_id, CAST(b.bin AS INTEGER) AS bin, coalesce(c.n, 0) AS n FROM e CROSS JOIN (SELECT unnest(generate_series(1, 50)) AS bin) b LEFT JOIN c ON c.grid_id = e.grid_id AND c.bin = b.bin",
 )
 def ndvi_histogram(spark, d):

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-ITEMS = T.StructType.fromDDL(
-    "item_id string, collection string, datetime timestamp_ntz, cloud_cover double, minx double, miny double, maxx double, maxy double, "
-    "ring array<struct<x:double,y:double>>, assets map<string,struct<href:string>>"
-)
-GRIDS = T.StructType.fromDDL("scene_id long, band string, epsg int, origin_x double, origin_y double, res_x double, res_y double, height int, width int, nodata int")
-PIXELS = T.StructType.fromDDL("scene_id long, row int, col int, x double, y double, red int, green int, blue int, nir int, swir1 int, swir2 int, b05 int, b8a int, scl int")
-SERIES = T.StructType.fromDDL("date date, ndvi double")
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+TEXT, LONG, INT, DOUBLE = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
+RING = T.ArrayType(struct(x=DOUBLE, y=DOUBLE))
+BOX = {c: DOUBLE for c in ("minx", "miny", "maxx", "maxy")}
+
+ITEMS = struct(item_id=TEXT, collection=TEXT, datetime=T.TimestampNTZType(), cloud_cover=DOUBLE, **BOX, ring=RING, assets=T.MapType(TEXT, struct(href=TEXT)))
+GRIDS = struct(scene_id=LONG, band=TEXT, epsg=INT, origin_x=DOUBLE, origin_y=DOUBLE, res_x=DOUBLE, res_y=DOUBLE, height=INT, width=INT, nodata=INT)
+PIXELS = struct(scene_id=LONG, row=INT, col=INT, x=DOUBLE, y=DOUBLE, **{b: INT for b in ("red", "green", "blue", "nir", "swir1", "swir2", "b05", "b8a", "scl")})
+SERIES = struct(date=T.DateType(), ndvi=DOUBLE)
 
 REFLECTANCE_BANDS = ("red", "green", "blue", "nir", "swir1", "swir2", "b05", "b8a")
 #: Logical bands and the product's asset keys.
