@@ -21,7 +21,6 @@ WINDOW, SHINGLE = 13, 5
 BLOCK_WINDOWS = 200_000
 #: What parts words, beside A-Z that are lower-cased first.
 SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,7 +71,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     lengths = sorted(r.n for r in windows.select(length.alias("n")).distinct().collect())  # SHINGLE values at most
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = named.select("key", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("w"))
-    sizes = named.select("key", F.xxhash64("text").alias("digest"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    sizes = named.select("key", F.xxhash64("text").alias("digest"), F.greatest(F.coalesce(F.size(words(F.col("text"))), F.lit(0)), F.lit(0)).cast("long").alias("n_words"))
     if not lengths:
         return sizes.select(F.col("key").alias(key), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"), "digest")
 
