@@ -31,8 +31,10 @@ class Scratch:
         self.root = f"{scratch_dir(spark).rstrip('/')}/rasterloom-{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """df written and to be read again; dealt evenly over so many files where its size is known to be small for its tasks."""
         self.count += 1
+        df = df if files is None else df.repartition(files)
         path = f"{self.root}/{self.count}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -47,6 +49,22 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of an Arrow batch; ten times as many hold some 100 MB of text in each worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand at most BATCH_ROWS rows at once to Python workers: their memory follows the batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def per(rows: int, most: int) -> int:
+    """The number of files for rows, `most` in each."""
+    return max(1, -(-rows // most))
+
+
 def fold(column, modulus: int):
     """crc32 of the id as text, modulo: the split of labelled rows into learnt and held out."""
     return F.crc32(column.cast("string")) % modulus

@@ -6,11 +6,14 @@ sketch, a parity bitmap of SKETCH_BITS: the population count of two sketches' XO
 precise at high similarities, so pairs that can't reach the threshold are dropped before their full sets are compared.
 
 Buckets aren't expanded into all pairs. First every class is compared with one hub of its bucket, and the confirmed links'
-components are found; then again with another hub, where a bucket still has several components; at last, in such buckets,
+components are found; then again, where a bucket still has several components, with the class that has the most in common with all; at last, in such buckets,
 the classes outside the largest component are compared with all classes of other components. Every pair in a bucket
-is then either in one component or has been compared. All tables stay distributed; each step is written to the shared folder.
+is then either in one component or has been compared. Many near copies of one text that are too far from each other would make
+many such pairs; shingles that only one class of these buckets has bound what it can share with any other, and a finer odd
+sketch of the classes in such buckets leaves few near the threshold. All tables stay distributed; each step is written to the shared folder.
 
-A bucket misses a pair at the threshold with a chance of (1 - 0.75^5)^40, about 2 in 100,000, and less above it.
+The buckets miss a pair at the threshold with a chance of (1 - 0.75^5)^40, about 2 in 100,000, and less above it. Classes are
+known by 64 bits of a digest: among n different texts two share one with a chance of n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -26,15 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.bpe import pieces
-from rasterloom.llm.common import Scratch
+from rasterloom.llm.common import Scratch, per, small_batches
 
 SHINGLE = 5
 BANDS, ROWS, SKETCH_BITS = 40, 5, 1024
+#: Samples and bits of the finer sketch that classes in unresolved buckets get.
+FINE_SAMPLES, FINE_BITS = 1000, 2048
 #: Deviations beyond the expected count of differing bits at which a pair is dropped.
-SIGMAS = 5.5
+SIGMAS = 4.5
 #: Texts hashed at a time, in characters: the arrays stay in a core's cache.
 HASH_CHARS = 400_000
-#: Rows of ids that may be broadcast (48 bytes each); beyond that the join shuffles.
+#: Rows of ids that may be broadcast (32 bytes each); beyond that the join shuffles.
 BROADCAST_ROWS = 500_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -55,7 +60,7 @@ class Hasher:
         self.base = np.uint64(0x9E3779B97F4A7C15)
         self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         self.powers = self.inverses = np.ones(1, np.uint64)
-        n = BANDS * ROWS
+        n = FINE_SAMPLES  # of which the bands take the first
         self.times = draw.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1)
         self.plus = draw.integers(0, 1 << 32, n, np.uint32)
         self.fold = draw.integers(0, 1 << 63, n, np.uint64)
@@ -84,11 +89,11 @@ class Hasher:
         begin = starts[first]
         return mix((total[ends[last]] - total[begin]) * self.inverses[begin]), n
 
-    def samples(self, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """MinHash samples, one row for each hash function."""
+    def samples(self, hashes: np.ndarray, n: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
+        """MinHash samples, one row for each of k hash functions."""
         x, at = (hashes >> np.uint64(32)).astype(np.uint32), np.r_[0, np.cumsum(n)[:-1]]
-        out, y = np.empty((BANDS * ROWS, len(n)), np.uint32), np.empty_like(x)
-        for j in range(BANDS * ROWS):
+        out, y = np.empty((k, len(n)), np.uint32), np.empty_like(x)
+        for j in range(k):
             np.multiply(x, self.times[j], out=y)
             np.add(y, self.plus[j], out=y)
             out[j] = np.minimum.reduceat(y, at)
@@ -98,10 +103,10 @@ class Hasher:
         parts = samples.reshape(BANDS, ROWS, -1).astype(np.uint64)
         return mix((parts * self.row[None, :, None]).sum(axis=1) + self.band[:, None]).view(np.int64).T
 
-    def odd_sketch(self, samples: np.ndarray) -> np.ndarray:
-        bit = (mix(samples.astype(np.uint64) + self.fold[:, None]) >> np.uint64(64 - int(math.log2(SKETCH_BITS)))).astype(np.int64)
-        docs = samples.shape[1]
-        odd = np.bincount((bit + np.arange(docs) * SKETCH_BITS).ravel(), minlength=docs * SKETCH_BITS) & 1
+    def odd_sketch(self, samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+        k, docs = samples.shape
+        at = (mix(samples.astype(np.uint64) + self.fold[:k, None]) >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)
+        odd = np.bincount((at + np.arange(docs) * bits).ravel(), minlength=docs * bits) & 1
         return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(docs, -1)
 
 
@@ -119,6 +124,10 @@ def normal(text: str | None) -> bytes:
     return b" ".join((text or "").encode().lower().split())
 
 
+def node_of(body: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
+
+
 def lists(values: np.ndarray) -> pa.ListArray:
     rows, width = values.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * width, width, dtype=np.int32)), pa.array(values.ravel()))
@@ -135,7 +144,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
             for part in pieces(texts, HASH_CHARS):
                 bodies = [normal(t) for t in texts[part]]
                 full = [b for b in bodies if b]
-                node = [hashlib.blake2b(b, digest_size=16).digest() if b else None for b in bodies]
+                node = [node_of(b) if b else None for b in bodies]
                 size, where = np.zeros(len(bodies), np.int64), np.flatnonzero([bool(b) for b in bodies])
                 bands, sketch = np.zeros((len(bodies), BANDS), np.int64), np.zeros((len(bodies), SKETCH_BITS // 64), np.int64)
                 if full:
@@ -144,15 +153,16 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     samples = h.samples(hashes, n)
                     bands[where], sketch[where] = h.bands(samples), h.odd_sketch(samples)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key")[part.start : part.stop], pa.array(node, pa.binary()), pa.array(size), lists(bands), lists(sketch)],
+                    [batch.column("key")[part.start : part.stop], pa.array(node, pa.int64()), pa.array(size), lists(bands), lists(sketch)],
                     ["key", "node", "n_shingles", "bands", "sketch"],
                 )
 
-    return slim.mapInArrow(run, "key long, node binary, n_shingles long, bands array<long>, sketch array<long>")
+    return slim.mapInArrow(run, "key long, node long, n_shingles long, bands array<long>, sketch array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from the rows that stand for them: wanted has node and rep."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, fine: bool = False) -> DataFrame:
+    """(node, shingles, sketch) of the wanted nodes, from the rows that stand for them: wanted has node and rep. The finer
+    sketch is made on request, else null."""
     small = wanted.count() <= BROADCAST_ROWS
     slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     own = slim.join(F.broadcast(wanted) if small else wanted, F.col("key").eqNullSafe(F.col("rep"))).select("node", "text")
@@ -162,44 +172,53 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
         for batch in batches:
             nodes, texts = batch.column("node").to_pylist(), batch.column("text").to_pylist()
             for part in pieces(texts, HASH_CHARS):
-                bodies = [(node, b) for node, t in zip(nodes[part], texts[part], strict=True) if (b := normal(t)) and hashlib.blake2b(b, digest_size=16).digest() == node]
+                bodies = [(node, b) for node, t in zip(nodes[part], texts[part], strict=True) if (b := normal(t)) and node_of(b) == node]
                 if bodies:
                     hashes, n = h.shingles([b for _, b in bodies])
                     sets = [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])]
                     ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in bodies], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "shingles"])
+                    flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                    sketch = lists(h.odd_sketch(h.samples(hashes, n, FINE_SAMPLES), FINE_BITS)) if fine else pa.nulls(len(bodies), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in bodies], pa.int64()), flat, sketch], ["node", "shingles", "sketch"])
 
-    return own.mapInArrow(run, "node binary, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return own.mapInArrow(run, "node long, shingles array<long>, sketch array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
 
 
-def sketch_limit(similarity: float) -> int:
-    """The count of differing bits beyond which a pair is below the similarity, but for SIGMAS deviations."""
-    k, n = BANDS * ROWS, SKETCH_BITS
+def sketch_limit(similarity: float, k: int = BANDS * ROWS, n: int = SKETCH_BITS) -> int:
+    """The count of differing bits, of n from k samples, beyond which a pair is below the similarity, but for SIGMAS deviations."""
     differ, spread = 2 * k * (1 - similarity), 2 * math.sqrt(k * similarity * (1 - similarity))
-    bits = n / 2 * (1 - math.exp(-2 * differ / n))
-    slope, noise = math.exp(-2 * differ / n), math.sqrt(n * (1 - math.exp(-4 * differ / n)) / 4)
-    return math.ceil(bits + SIGMAS * math.hypot(slope * spread, noise))
+    bits, slope = n / 2 * (1 - math.exp(-2 * differ / n)), math.exp(-2 * differ / n)
+    noise = n / 4 * (1 - math.exp(-4 * differ / n)) - slope**2 * differ  # of the folding, for a given number of samples that differ
+    return math.ceil(bits + SIGMAS * math.sqrt((slope * spread) ** 2 + noise))
 
 
-def may_link(a: str, b: str, percent: int) -> Column:
-    """Whether two sketched classes can be linked: by their sizes, then by the odd sketches."""
+def may_link(a: str, b: str, percent: int, k: int = BANDS * ROWS, n: int = SKETCH_BITS) -> Column:
+    """Whether two sketched classes can be linked: by what they can share at most, then by the odd sketches."""
     x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_BITS // 64)))
-    return (100 * x >= percent * y) & (100 * y >= percent * x) & (bits <= sketch_limit(percent / 100))
+    most = F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared"))
+    bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(n // 64)))
+    return (100 * most >= percent * (x + y - most)) & (bits <= sketch_limit(percent / 100, k, n))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, percent: int, scratch: Scratch, files: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = shingle_sets(docs, nodes.join(classes.select("node", "rep"), "node"), key, text)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = scratch.save(nodes.join(classes.select("node", "rep"), "node"), "wanted", files)
+    sets = shingle_sets(docs, wanted, key, text)
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return joined.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def own_counts(sets: DataFrame) -> DataFrame:
+    """(node, own): how many of a node's shingles no other of these nodes has; nodes without any are left out."""
+    each = sets.select("node", F.explode("shingles").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    return each.filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
+def components(edges: DataFrame, scratch: Scratch, files: int | None = None) -> DataFrame:
     """(node, component): the least node of each node's component, by alternating large and small stars."""
-    now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", files)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -211,7 +230,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        then = scratch.save(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        then = scratch.save(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", files)
         scratch.drop(now)
         now = then
 
@@ -225,54 +244,73 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     smallest; in a component of null keys alone the id is null and all rows are kept. Other columns aren't read. An empty
     table gives an empty result. Keys are integers.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(signatures(docs, key, text), "signatures")
     full = rows.filter(F.col("node").isNotNull())
-    classes = scratch.save(
-        full.groupBy("node").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
-    )
-    sketched = classes.select("node", "n_shingles", "sketch")
+    first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]
+    classes = scratch.save(full.groupBy("node").agg(F.min("key").alias("rep"), *first), "classes", per(rows.count(), 40_000))
+    n = classes.count()
+    few, many = per(n, 500_000), per(n, 100_000)  # files of small tables, and of those with several rows for a class
+    sketched = classes.select("node", "n_shingles", "sketch", F.col("n_shingles").alias("shared"))
     flat = classes.select("node", F.posexplode("bands").alias("band", "bucket")).select("node", F.xxhash64("band", "bucket").alias("bucket"))
     hubs = flat.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    members = scratch.save(flat.join(hubs.select("bucket", "hub"), "bucket"), "members")
+    members = scratch.save(flat.join(hubs.select("bucket", "hub"), "bucket"), "members", many)
 
-    def check(pairs: DataFrame) -> DataFrame:
-        """Confirmed ones of pairs (a, b), those that sketches rule out dropped first."""
-        a, b = (sketched.select(F.col("node").alias(x), F.struct("n_shingles", "sketch").alias(f"s{x}")) for x in "ab")
-        likely = pairs.join(b, "b").join(a, "a").filter(may_link("sa", "sb", percent)).select("a", "b")
-        likely = scratch.save(likely, "pairs")
-        return scratch.save(confirmed(likely, docs, classes, key, text, percent), "links")
+    def check(pairs: DataFrame, known: DataFrame, *fine: int) -> DataFrame:
+        """Confirmed ones of pairs (a, b), those that the bounds and sketches of known rule out dropped first."""
+        a, b = (known.select(F.col("node").alias(x), F.struct("n_shingles", "shared", "sketch").alias(f"s{x}")) for x in "ab")
+        likely = scratch.save(pairs.join(b, "b").join(a, "a").filter(may_link("sa", "sb", percent, *fine)).select("a", "b"), "pairs", few)
+        return scratch.save(confirmed(likely, docs, classes, key, text, percent, scratch, few), "links", few)
 
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = check(stars)
-    found = components(links, scratch)
+    links = check(stars, sketched)
+    found = components(links, scratch, few)
 
-    def apart() -> DataFrame:
+    def apart(own: DataFrame) -> DataFrame:
         """(bucket, node, component) of the buckets that hold several components."""
-        own = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        own = own.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         many = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-        return scratch.save(own.join(many, "bucket", "left_semi"), "apart")
-
-    open_buckets = apart()
-    hub = open_buckets.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "bucket")).alias("hub"))
-    stars = open_buckets.join(hub, "bucket").filter("component <> hub.component").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    links = links.union(check(stars))
-    found = components(links, scratch)
-
-    open_buckets = apart()
+        return own.join(many, "bucket", "left_semi")
+
+    open_buckets = scratch.save(apart(members), "apart", many)
+    wanted = scratch.save(open_buckets.select("node").distinct().join(classes.select("node", "rep"), "node"), "wanted", few)
+    sets = scratch.save(shingle_sets(docs, wanted, key, text, fine=True), "open-sets")
+    size = F.size("shingles").cast("long")
+    in_open = sets.select("node", size.alias("n_shingles"), "sketch").join(own_counts(sets), "node", "left").join(classes.select("node", "bands"), "node")
+    in_open = in_open.withColumn("shared", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own")
+    # a class that shares too few of its shingles with all others together is linked with none
+    in_open = scratch.save(in_open.filter(100 * F.col("shared") >= percent * F.col("n_shingles")), "in-open", many)
+    scratch.drop(sets)
+    fine = (FINE_SAMPLES, FINE_BITS)
+    open_buckets = scratch.save(apart(open_buckets.join(in_open.select("node"), "node", "left_semi")), "apart", many)
+
+    # the hub is the class with the least share of shingles of its own: nearest to what its bucket has in common
+    own_share = F.floor(1e6 * (F.col("n_shingles") - F.col("shared")) / F.col("n_shingles")).cast("long")
+    ranks = in_open.select("node", own_share.alias("own"))
+    ranked = open_buckets.join(ranks, "node").withColumn("rank", F.shiftleft("own", 40) + F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)))
+    hub = ranked.groupBy("bucket").agg(F.min("rank").alias("rank"))
+    chosen = ranked.join(hub, ["bucket", "rank"]).select("bucket", F.col("node").alias("hub"), F.col("component").alias("of_hub"))
+    stars = open_buckets.join(chosen, "bucket").filter("component <> of_hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = links.union(check(stars, in_open, *fine))
+    found = components(links, scratch, few)
+
+    open_buckets = scratch.save(apart(open_buckets), "apart", many)
     sizes = open_buckets.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most")).select("bucket", F.col("most.component").alias("major"))
-    split = open_buckets.join(most, "bucket").join(sketched, "node")
-    minor = split.filter("component <> major").alias("p")
-    other = split.alias("q")
+    most = sizes.groupBy("bucket").agg(F.max("n").alias("n"))
+    major = sizes.join(most, ["bucket", "n"]).groupBy("bucket").agg(F.min("component").alias("major"))
+    split = open_buckets.join(major, "bucket").join(in_open, "node")
+    minor, other = split.filter("component <> major").alias("p"), split.alias("q")
     apart_pair = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.major")) | (F.col("p.node") < F.col("q.node")))
-    rest = minor.join(other, apart_pair & may_link("p", "q", percent)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-    links = links.union(check(rest))
-    found = components(links, scratch)
+    place = F.array_position(F.zip_with("p.bands", "q.bands", lambda x, y: x == y), True)
+    first_shared = F.xxhash64((place - 1).cast("int"), F.try_element_at("p.bands", place.cast("int"))) == F.col("p.bucket")  # each pair but once
+    rest = minor.join(other, apart_pair & may_link("p", "q", percent, *fine) & first_shared).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    links = links.union(check(rest, in_open, *fine))
+    found = components(links, scratch, few)
 
     labelled = classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = scratch.save(labelled.join(least, "component").select("node", "component_id"), "components")
+    of_node = scratch.save(labelled.join(least, "component").select("node", "component_id"), "components", few)
     out = rows.select("key", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
