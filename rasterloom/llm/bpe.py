@@ -21,12 +21,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import small_batches
+
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 NO_RANK = np.iinfo(np.int64).max
 #: Longer words are merged one by one with a heap: rounds over them would cost the square of their length.
 LONG_WORD = 256
 #: Chunks that a worker's cache holds in its younger half.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 80_000
 BATCH_BYTES = 4 << 20
 RUN_BEFORE_CUT = re.compile(r"[\s\x1c-\x1f\x85][ \n]")
 
@@ -251,6 +253,7 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path
     an empty text gives no ids and an empty decoded text. Null keys, ties and repeated rows pass through; very long
     texts are encoded whole. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a few MB, the size of the vocabulary file
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Scratch
+from rasterloom.llm.common import Scratch, per
 
 WINDOW, SHINGLE = 13, 5
 #: Windows that one block may hold: some 100 MB of words when they are broadcast.
@@ -65,8 +65,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     a null key is a key like others. With an empty benchmark nothing is hit. Other columns aren't read.
     """
     scratch = Scratch(docs.sparkSession)
-    pairs = scratch.save(item_windows(items, item, item_text), "item-windows")
-    windows = scratch.save(pairs.select("window").distinct().withColumn("id", F.xxhash64("window")), "windows")
+    pairs = scratch.save(item_windows(items, item, item_text), "item-windows", 4)
+    windows = scratch.save(pairs.select("window").distinct().withColumn("id", F.xxhash64("window")), "windows", 4)
     length = F.least(F.size("window"), F.lit(SHINGLE))
     lengths = sorted(r.n for r in windows.select(length.alias("n")).distinct().collect())  # SHINGLE values at most
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -76,19 +76,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         return sizes.select(F.col("key").alias(key), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"), "digest")
 
     by_length = [windows.filter(length == n).select("id", "window", F.lit(n).alias("length"), F.posexplode(shingles(F.col("window"), n)).alias("offset", "s")).select("id", "window", "length", "offset", hashed("s", n).alias("hash")) for n in lengths]
-    tokens = scratch.save(reduce(DataFrame.unionByName, by_length), "tokens")
-    blocks = -(-windows.count() // BLOCK_WINDOWS)
+    blocks = per(windows.count(), BLOCK_WINDOWS)
+    tokens = scratch.save(reduce(DataFrame.unionByName, by_length), "tokens", blocks)
 
     counted = []
     distinct = tokens.select("hash", "length").distinct()
     for b in range(blocks):
         part = distinct.filter(F.pmod("hash", F.lit(blocks)) == b)
         counted.append(matches(rows.select("w"), part, lengths).groupBy("hash").agg(F.count("*").alias("n")))
-    counts = scratch.save(reduce(DataFrame.unionByName, counted), "counts")
+    counts = scratch.save(reduce(DataFrame.unionByName, counted), "counts", blocks)
 
     rarest = F.row_number().over(Window.partitionBy("id", "window").orderBy(F.coalesce("n", F.lit(0)), "hash", "offset"))
     prefix = tokens.join(counts, "hash").withColumn("rank", rarest).filter("rank = 1")  # a shingle that never occurs can't match
-    prefix = scratch.save(prefix.select("hash", "length", "window", "offset"), "prefix")
+    prefix = scratch.save(prefix.select("hash", "length", "window", "offset"), "prefix", blocks)
 
     found = []
     for b in range(blocks):
