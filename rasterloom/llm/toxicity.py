@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.bpe import pieces
-from rasterloom.llm.common import fold
+from rasterloom.llm.common import Scratch, fold, small_batches
 from rasterloom.llm.learn import logistic, training_labels
 
 WORD = re.compile(r"[^\W\d_]+")
 PRIOR, MIN_Z, MAX_EXPECTED = 0.5, 3.0, 0.05
+#: Words that a task sums up before it hands them on.
+HELD_WORDS = 200_000
 #: Lengths of the heads; a word takes its own score, else that of its longest head in the lexicon.
 HEADS = (6, 5, 4)
 
@@ -44,13 +46,19 @@ class Model:
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, toxic, clean): texts with the word by label in (text, label); each task sums its own first."""
 
+    def summed(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+        words = list(counts[0].keys() | counts[1].keys())
+        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "toxic": pa.array([counts[1][w] for w in words], pa.int64()), "clean": pa.array([counts[0][w] for w in words], pa.int64())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = (Counter(), Counter())
         for batch in batches:
-            counts = (Counter(), Counter())
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 counts[label > 0].update(set(WORD.findall((text or "").lower())))
-            words = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "toxic": pa.array([counts[1][w] for w in words], pa.int64()), "clean": pa.array([counts[0][w] for w in words], pa.int64())})
+                if len(counts[0]) + len(counts[1]) > HELD_WORDS:
+                    yield summed(counts)
+                    counts = (Counter(), Counter())
+        yield summed(counts)
 
     parts = texts.mapInArrow(run, "word string, toxic long, clean long")
     return parts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -128,7 +136,11 @@ def train(docs: DataFrame, labels: DataFrame, learnt, key: str = "doc_id", text:
     chosen = training_labels(labels, target, learnt, key)
     # TRAIN_ROWS ids: small enough to broadcast at any size of the tables
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("text", "label")
-    words, heads, rest = lexicon(count_words(texts))
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.save(count_words(texts), "word-counts", 8)  # read again for each length of heads
+    words, heads, rest = lexicon(counts)
+    scratch.drop(counts)
     rough = Model(words, heads, rest, 1.0, (0.0, 0.0, 0.0))
     openings = openings_of(rough)
 
@@ -154,6 +166,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null and empty texts have no passages and the score of a text without any; long texts are scanned whole. Repeated rows
     and null ids pass through. Columns named toxicity or passages are replaced. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon: words significant in TRAIN_ROWS texts
     names = [c for c in docs.columns if c not in ("toxicity", "passages")]
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
