@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
 Words get log-odds of standing in toxic rather than clean texts, with a symmetric Dirichlet prior (PRIOR for each word); those whose
-log-odds are beyond MIN_Z deviations form the lexicon. So do heads of words, which stand for words that weren't seen often
+log-odds are beyond MIN_Z deviations, and beyond MIN_ODDS, form the lexicon. So do heads of words, which stand for words that weren't seen often
 enough, and all other words share one slightly negative score. A text counts once for a word, however often it says it. As the scores
 are log-likelihood ratios, the extreme-value law of the best segment has a scale of 1: a segment of score S is matched or
 beaten by chance in a clean text of n words about K n exp(-S) times, where K is fitted on the clean learnt texts. A linear scan
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.bpe import pieces
-from rasterloom.llm.common import Scratch, fold, small_batches
+from rasterloom.llm.common import Scratch, fold, small_batches, tidy
 from rasterloom.llm.learn import logistic, training_labels
 
 WORD = re.compile(r"[^\W\d_]+")
-PRIOR, MIN_Z, MAX_EXPECTED = 0.5, 3.0, 0.05
+PRIOR, MIN_Z, MIN_ODDS, MAX_EXPECTED = 0.5, 3.0, 1.5, 0.05
 #: Words that a task sums up before it hands them on.
 HELD_WORDS = 200_000
 #: Lengths of the heads; a word takes its own score, else that of its longest head in the lexicon.
@@ -60,7 +60,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     counts = (Counter(), Counter())
         yield summed(counts)
 
-    parts = texts.mapInArrow(run, "word string, toxic long, clean long")
+    parts = texts.mapInArrow(tidy(run), "word string, toxic long, clean long")
     return parts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -75,7 +75,7 @@ def lexicon(counts: DataFrame) -> tuple[dict[str, float], dict[str, float], floa
         own = own.withColumn("t", F.col("toxic") + PRIOR).withColumn("c", F.col("clean") + PRIOR)
         odds = F.log(F.col("t") / (n_t - F.col("t") + 1)) - F.log(F.col("c") / (n_c - F.col("c") + 1))
         ratio = F.log(F.col("t") / n_t) - F.log(F.col("c") / n_c)
-        return own.filter((odds / F.sqrt(1 / F.col("t") + 1 / F.col("c")) >= MIN_Z) & (ratio > 0)).select("word", ratio.alias("score"), "t", "c").collect()
+        return own.filter((odds / F.sqrt(1 / F.col("t") + 1 / F.col("c")) >= MIN_Z) & (ratio >= MIN_ODDS)).select("word", ratio.alias("score"), "t", "c").collect()
 
     by_head = [counts.filter(F.length("word") > k).groupBy(F.substring("word", 1, k).alias("word")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")) for k in HEADS]
     rows, heads = significant(counts), [r for own in by_head for r in significant(own)]
@@ -124,11 +124,11 @@ def openings_of(model: Model) -> set[str]:
 
 
 def features(n: int, found: list[tuple[int, int, float]], chance: float) -> tuple[float, float]:
-    """The best segment's score over what chance gives in n words, and the sum of all passages' surplus."""
+    """The best segment's surplus over what chance gives in n words, and the sum of all passages' surpluses, as logarithms."""
     floor = math.log(max(chance * n, 1e-12))
     surplus = [s - floor for _, _, s in found if s - floor >= -math.log(MAX_EXPECTED)]
-    best = max((s for _, _, s in found), default=0.0)
-    return (best - floor if found else 0.0), sum(surplus)
+    best = max((s - floor for _, _, s in found), default=0.0)
+    return math.log1p(max(best, 0.0)), math.log1p(sum(surplus))
 
 
 def train(docs: DataFrame, labels: DataFrame, learnt, key: str = "doc_id", text: str = "text", target: str = "toxic") -> Model:
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, learnt, key: str = "doc_id", text:
             rows = [(*scan(t or "", rough, openings), y) for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"n": pa.array([r[0] for r in rows], pa.int64()), "s": pa.array([[x[2] for x in r[1]] for r in rows], pa.list_(pa.float64())), "label": pa.array([r[2] for r in rows], pa.int32())})
 
-    seen = texts.mapInArrow(run, "n long, s array<double>, label int").collect()  # TRAIN_ROWS rows of a few numbers
+    seen = texts.mapInArrow(tidy(run), "n long, s array<double>, label int").collect()  # TRAIN_ROWS rows of a few numbers
     y = np.array([r.label > 0 for r in seen], float)
     if not len(y) or y.min() == y.max() or not words:
         share = float(y.mean()) if len(y) else 0.0
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     passages.append([dict(zip(("begin", "end", "score", "expected"), x, strict=True)) for x in expected if x[3] <= MAX_EXPECTED])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probability, pa.float64()), pa.array(passages, kind)], [*batch.schema.names, "toxicity", "passages"])
 
-    out = inner.mapInArrow(run, f"{schema}, toxicity double, passages array<struct<begin:long,end:long,score:double,expected:double>>")
+    out = inner.mapInArrow(tidy(run), f"{schema}, toxicity double, passages array<struct<begin:long,end:long,score:double,expected:double>>")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "toxicity", "passages")
 
 
