@@ -8,6 +8,7 @@ one column expression; texts are then searched and redacted inside Spark's own o
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,7 +118,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
         return words() + pick("", "on ", "at "), f"{draw.integers(1990, 2030)}-{draw.integers(10, 13)}-{draw.integers(10, 29)}" + pick("-", "_") + pick(*DICTIONARY) + "-" + str(draw.integers(10)), " "
 
     made = [(*(secret() if i % 2 else harmless()), i % 2) for i in range(rows)]
-    return spark.createDataFrame(made, "before string, candidate string, after string, label int")
+    rows_json = json.dumps([dict(zip(("before", "candidate", "after", "label"), m, strict=True)) for m in made])
+    kind = "array<struct<before:string,candidate:string,after:string,label:int>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows_json), kind)))
 
 
 Tree = tuple  # (share,) or (feature, cut, below, above)
