@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import small_batches
+from rasterloom.llm.common import small_batches, tidy
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 NO_RANK = np.iinfo(np.int64).max
@@ -270,7 +270,7 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path
                 shown = pa.array([x.decode("utf-8", "replace") for _, x in got], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("key")[part.start : part.stop], ids, shown], ["key", "ids", "decoded"])
 
-    return slim.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
+    return slim.mapInArrow(tidy(run), f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def digest_columns() -> list[Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +62,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: it waits beside the JVM for its next task, maybe for long."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run):
+    """run, a function over an iterator of Arrow batches, with the worker's memory given back at its end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def per(rows: int, most: int) -> int:
     """The number of files for rows, `most` in each."""
     return max(1, -(-rows // most))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.bpe import pieces
-from rasterloom.llm.common import Scratch, per, small_batches
+from rasterloom.llm.common import Scratch, per, small_batches, tidy
 
 SHINGLE = 5
 BANDS, ROWS, SKETCH_BITS = 40, 5, 1024
@@ -157,7 +157,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     ["key", "node", "n_shingles", "bands", "sketch"],
                 )
 
-    return slim.mapInArrow(run, "key long, node long, n_shingles long, bands array<long>, sketch array<long>")
+    return slim.mapInArrow(tidy(run), "key long, node long, n_shingles long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, fine: bool = False) -> DataFrame:
@@ -181,7 +181,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, fine:
                     sketch = lists(h.odd_sketch(h.samples(hashes, n, FINE_SAMPLES), FINE_BITS)) if fine else pa.nulls(len(bodies), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in bodies], pa.int64()), flat, sketch], ["node", "shingles", "sketch"])
 
-    return own.mapInArrow(run, "node long, shingles array<long>, sketch array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    return own.mapInArrow(tidy(run), "node long, shingles array<long>, sketch array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
 
 
 def sketch_limit(similarity: float, k: int = BANDS * ROWS, n: int = SKETCH_BITS) -> int:

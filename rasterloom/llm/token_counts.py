@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.bpe import pieces
+from rasterloom.llm.common import small_batches, tidy
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Counters of a summary: words with more than one in TABLE_WORDS of all occurrences are sure to be in the table.
 TABLE_WORDS = 8192
 #: Groups of summaries that are merged, level by level, and words that the younger half of a worker's cache holds.
-GROUPS, CACHE_WORDS = (4096, 64), 500_000
+GROUPS, CACHE_WORDS = (4096, 64), 300_000
 #: str.split() cuts at these too, but the tokenizer sees no white space in them.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -58,7 +59,7 @@ def summaries(docs: DataFrame, text: str) -> DataFrame:
                     total = trim(total)
         yield pa.RecordBatch.from_pydict({"summary": pa.array([pickle.dumps(dict(trim(total)))], pa.binary())})
 
-    return docs.select(F.col(text)).mapInArrow(run, "summary binary")
+    return docs.select(F.col(text)).mapInArrow(tidy(run), "summary binary")
 
 
 def merge(found: DataFrame, groups: int) -> DataFrame:
@@ -121,6 +122,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     with open(path, encoding="utf-8") as f:
         spec = f.read()
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     frequent = frequent_words(docs, text)
     lengths = [len(e) for e in Tokenizer.from_str(spec).encode_batch_fast(frequent, add_special_tokens=False)]
@@ -140,5 +142,5 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
             n = [x for part in pieces(texts) for x in counts.count([t or "" for t in texts[part]])]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
-    out = slim.mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long")
+    out = slim.mapInArrow(tidy(run), f"key {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
