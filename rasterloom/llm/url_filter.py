@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import Scratch, per
 from rasterloom.llm.decontam import LOWER, UPPER
 
 #: (verdict, host, path)
@@ -56,8 +57,8 @@ def suffix_of(host: Column) -> Column:
     return F.when(two.isin(*TWO_LABELS), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def strength(children: DataFrame) -> DataFrame:
-    """One row `k`: what the prior counts for, from children with n and good pages and the mean m of their parent."""
+def strength(children: DataFrame) -> float:
+    """What the prior counts for, from children with n and good pages and the mean m of their parent: one number."""
     seen = children.filter("n > 0")
     s = seen.agg(
         F.sum(F.col("n") * (F.col("good") / F.col("n") - F.col("m")) ** 2).alias("spread"),
@@ -68,24 +69,26 @@ def strength(children: DataFrame) -> DataFrame:
     )
     rho = F.try_divide(F.col("spread") - (F.col("c") - 1) * F.col("v"), (F.col("n") - F.try_divide(F.col("n2"), F.col("n")) - (F.col("c") - 1)) * F.col("v"))
     bounded = F.least(F.greatest(F.coalesce(rho, F.lit(0.0)), F.lit(1 / (MOST_PRIOR + 1))), F.lit(1 / (LEAST_PRIOR + 1)))
-    return s.select((1 / bounded - 1).alias("k"))
+    return s.select((1 / bounded - 1).alias("k")).first().k
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, mean, low) from (host, n, good), one row for each host: the posterior mean and the lower bound."""
     hosts = outcomes.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
-    every = hosts.agg(*sums).select(((F.coalesce("good", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("m"))
-    by_domain = hosts.groupBy("domain", "suffix").agg(*sums)
-    by_suffix = by_domain.groupBy("suffix").agg(*sums).crossJoin(F.broadcast(every))  # one row
-    level = by_suffix.crossJoin(F.broadcast(strength(by_suffix)))  # one row
-    shrunk = (F.col("good") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k"))
-    suffixes = level.select("suffix", shrunk.alias("m"))
+    mean = hosts.agg(*sums).select(((F.coalesce("good", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("m")).first().m
+    by_domain = scratch.save(hosts.groupBy("domain", "suffix").agg(*sums), "domains", per(hosts.count(), 1_000_000))
+
+    def shrunk(k: float) -> Column:
+        return (F.col("good") + F.lit(k) * F.col("m")) / (F.col("n") + F.lit(k))
+
+    by_suffix = by_domain.groupBy("suffix").agg(*sums).withColumn("m", F.lit(mean))
+    suffixes = by_suffix.select("suffix", shrunk(strength(by_suffix)).alias("m"))
     domains = by_domain.join(suffixes, "suffix")
-    domains = domains.crossJoin(F.broadcast(strength(domains))).select("domain", shrunk.alias("m"))
+    domains = domains.select("domain", shrunk(strength(domains)).alias("m"))
     own = hosts.join(domains, "domain")
-    own = own.crossJoin(F.broadcast(strength(own)))
-    a, b = F.col("k") * F.col("m") + F.col("good"), F.col("k") * (1 - F.col("m")) + F.col("n") - F.col("good")
+    k = F.lit(strength(own))
+    a, b = k * F.col("m") + F.col("good"), k * (1 - F.col("m")) + F.col("n") - F.col("good")
     mean = a / (a + b)
     return own.select("host", mean.alias("mean"), (mean - DEVIATIONS * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))).alias("low"))
 
@@ -101,7 +104,9 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url
     own = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     labelled = outcomes.filter(F.col(outcome_key).isNotNull() & F.col(good).isNotNull()).groupBy(F.col(outcome_key).alias("key")).agg(F.max((F.col(good) > 0).cast("int")).alias("good"))
     counts = own.select("key", "host").join(labelled, "key", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    known = reputations(counts)
+    scratch = Scratch(pages.sparkSession)
+    counts = scratch.save(counts, "hosts", 8)
+    known = reputations(counts, scratch)
     if counts.count() <= BROADCAST_HOSTS:
         known = F.broadcast(known)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
