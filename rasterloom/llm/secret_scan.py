@@ -1,7 +1,7 @@
 """Secret scans: candidates by one pattern, false positives removed by a random forest, in DataFrame functions only.
 
-A candidate is a long run of key characters with a digit, what is assigned to a word like "password", or a private key block. The
-forest sees its length, its transitions between kinds of characters, how much of it a small dictionary covers, whether it
+A candidate is a long run of key characters with a digit or a known prefix, what is assigned to a name like "password" or
+"access_key_id", or a private key block. The forest sees its length, its transitions between kinds of characters, how much of it a small dictionary covers, whether it
 stands in a path, and the words beside it. It is grown on the driver from labelled findings, a small table, and compiled into
 one column expression; texts are then searched and redacted inside Spark's own operators.
 """
@@ -25,13 +25,22 @@ DICTIONARY = (
     "import index info input insert item journal label language large layer layout left length level library light line link list loader local location lock login logo machine main manager market master "
     "media member memory menu message method mobile model module monitor month name network node note number object office option order output owner package page panel parent park parser password path pattern"
 ).split()
+#: What may stand between a key word and its "=": "_id", "_key_base", "KeyId", a plural.
+SUFFIX = r"[sS]?(?:[_.\-][A-Za-z0-9_.\-]{1,24}|(?<=[a-z])[A-Z][A-Za-z0-9]{0,23}|(?i:keys?|ids?|value))?"
+KNOWN_PREFIX = "(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|sk_live_|sk-|eyJ|glpat-)"
+SCHEME = "(?i:bearer|basic|token)"
+#: Up to the END line; where there is none (or another block starts first), header lines and lines of base64.
+BLOCK = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^\-]*+(?:-(?!----(?:BEGIN|END) )[^\-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s++[A-Za-z][A-Za-z\-]*+: [^\n]*+)*+(?:(?:\s|\\[rn])++[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?<=[A-Za-z0-9+/]{16})\r?\n[A-Za-z0-9+/]{1,15}+={0,2}(?=\s*(?:\n|$)))?)"
+)
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"
-    rf"|(?<=(?i:{KEY_WORDS})[\"']{{0,1}}[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']{{0,1}})[^\s\"'<>=:,;]{{6,}}"
-    r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
+    # the first lookbehind is implied by the second and spares it at most places
+    rf"{BLOCK}|(?<=[=:][ \t]{{0,2}}[\"']{{0,1}}(?:{SCHEME}[ \t]{{1,2}}){{0,1}})(?<=(?i:{KEY_WORDS}){SUFFIX}[\"']{{0,1}}[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']{{0,1}}(?:{SCHEME}[ \t]{{1,2}}){{0,1}})(?!{SCHEME}[ \t])[^\s\"'<>=:,;]{{6,}}={{0,2}}"
+    rf"|(?<![A-Za-z0-9+/_\-])(?={KNOWN_PREFIX}|[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{16,}}={{0,2}}"
 )
 #: A text without these has no candidate.
-HINT = rf"[0-9]|-----BEGIN|(?i:{KEY_WORDS})[\"']?[ \t]{{0,2}}[=:]"
+HINT = rf"[0-9]|-----BEGIN|{KNOWN_PREFIX}|(?i:{KEY_WORDS}){SUFFIX}[\"']?[ \t]{{0,2}}[=:]"
 BEFORE, AFTER = 48, 24
 MASK = "[secret]"
 FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal", "repeats", "dictionary", "path", "in_path", "key_word", "plain_word", "assigned", "block", "known_prefix")
@@ -55,11 +64,11 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
         "dictionary": (n - F.length(F.regexp_replace(low, words, ""))) / n,
         "path": F.regexp_count(candidate, F.lit("[/_-]")) / n,
         "in_path": before.rlike(r"(?:://|/|\\)\S*$") | after.rlike(r"^(?:\.[a-z]{2,4}\b|/)"),
-        "key_word": before.rlike(rf"(?i)(?:{KEY_WORDS})[^A-Za-z]{{0,6}}$"),
+        "key_word": before.rlike(rf"(?i:{KEY_WORDS}){SUFFIX}[^A-Za-z]{{0,6}}(?:{SCHEME}[ \t]{{1,2}})?$"),
         "plain_word": before.rlike(rf"(?i)\b(?:{PLAIN_WORDS})\b[^\n]{{0,16}}$"),
         "assigned": before.rlike(r"[=:][ \t]*[\"']?$"),
         "block": candidate.startswith("-----BEGIN"),
-        "known_prefix": candidate.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|sk_live_|sk-|eyJ|glpat-)"),
+        "known_prefix": candidate.rlike(f"^{KNOWN_PREFIX}"),
     }
     return F.struct(*(values[k].cast("double").alias(k) for k in FEATURES))
 
