@@ -29,7 +29,17 @@ NUMBER = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 ADDRESS = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?<ca>[ \-])\d{4}\k<ca>\d{4}\k<ca>\d{4}|\d{4}(?<cb>[ \-])\d{6}\k<cb>\d{5})(?!\d)"
-PHONE = r"(?<![\d(])(?:\+?1[ .\-]?)?\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d(])(?:\+?1[ .\-]?)?\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\d)|(?<!\d)\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\d)"
+#: Between two digits of an international number: one blank or mark, or a bracket or two with a blank.
+BLANK = r"[ .\-/\u00a0\u202f]"
+GAP = rf"(?:{BLANK}?[()]{BLANK}?(?:[()]{BLANK}?)?|{BLANK})"
+#: What begins another finding rather than the next group of a number that has eight digits.
+OTHER = (
+    r"(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{4}[\-/.]\d{1,2}[\-/.]\d{1,2}|\d{1,2}[\-/.]\d{1,2}[\-/.]\d{4}|\d{3}-\d{2}-\d{4}"
+    rf"|{OCTET}(?:\.{OCTET}){{3}}|(?:1[ .\-]?)?(?:\(\d{{3}}\) ?|\d{{3}}[ .\-])\d{{3}}[ .\-]\d{{4}})(?!\d)"
+)
+#: All groups of a number with a plus sign, or as many from the left as have 15 digits together.
+INTERNATIONAL = rf"(?<!\d)\+\d(?:{GAP}?\d){{7}}(?:(?:(?!{BLANK}?{OTHER}){GAP})?\d){{0,7}}(?!\d)"
+PHONE = r"(?<![\d(])(?:\+?1[ .\-]?)?\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d(])(?:\+?1[ .\-]?)?\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\d)|" + INTERNATIONAL
 ANY = "|".join((EMAIL, DATE_YEAR_FIRST, DATE_YEAR_LAST, NUMBER, ADDRESS, PHONE, CARD))
 #: A text without these holds nothing of the kinds above.
 HINT = r"[0-9@]"

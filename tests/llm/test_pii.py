@@ -109,3 +109,22 @@ def test_odd_rows(spark, docs):
 def test_no_python_on_the_executors(docs):
     plan = pii.pseudonymise(docs([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_international_numbers_are_whole(docs):
+    whole = ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+49 89 12 34 56 78", "+49 30 123 456 78 90", "+49 (0)89/123456-78", "(+33) 1.23.45.67.89", "+44 20 7946 0958", "+33\u00a01\u202f23 45 67 89"]
+    other = {"4111-1111-1111-1111": "card", "4111111111111111": "card", "2001-12-31": "date", "123-45-6789": "number", "97.51.17.173": "address", "(487) 555-7209": "phone", "+33 6 12 34 56 78": "phone"}
+    none = ["+12 34", "+1 2 3 4 5 6 7", "+1234567890123456789012", "3 + 12 is 15"]
+    got = run(docs, [f"a {t}, b" for t in whole] + list(other) + [f"{whole[0]} {o}" for o in other] + none)
+    shown = []
+    for t in whole:
+        d = re.sub(r"\D", "", t)
+        p = iter(d[:2] + digits("phone", "k", d[2:]))
+        shown.append(re.sub(r"\d", lambda _: next(p), t))
+    n = len(whole)
+    assert got[:n] == [(f"a {s}, b", {"phone": 1}) for s in shown]
+    alone, both = got[n : n + len(other)], got[n + len(other) : -len(none)]
+    # what follows a number is a finding of its own
+    assert [t for t, _ in both] == [f"{shown[0]} {t}" for t, _ in alone]
+    assert [k for _, k in both] == [{"phone": 2} if k == "phone" else {"phone": 1, k: 1} for k in other.values()]
+    assert got[-len(none) :] == [(t, {}) for t in none]
