@@ -25,10 +25,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
-    gone = near_dup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    gone = Scratch(spark).save(gone, "duplicates")
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: that with the smallest id, then the smallest digest of its text.
+
+    Rows are told apart by id and text: a text without another copy stays whatever becomes of other texts under its id. Of
+    repeated rows one stays. A null id comes after all others. Texts without words have no duplicates, all of them stay.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("key"), "digest")
+    found = near_dup.near_duplicates(docs, carry=True).filter(F.col("component").isNotNull()).select("component", row.alias("row"))
+    counted = Scratch(spark).save(found.groupBy("component", "row").agg(F.count("*").alias("n")), "rows")
+    best = counted.groupBy("component").agg(F.min("row").alias("best"))
+    judged = counted.join(best, "component").select("row.key", "row.digest", F.col("row").eqNullSafe(F.col("best")).alias("kept"), "n")
+    judged = Scratch(spark).save(judged.filter("not kept or n > 1"), "duplicates")
+    same = F.col("doc_id").eqNullSafe(F.col("key")) & (F.xxhash64("text") == F.col("digest"))
+    once = docs.join(bounded(judged.select("key", "digest")), same, "left_anti")
+    repeated = docs.join(bounded(judged.filter("kept and n > 1").select("key", "digest")), same).dropDuplicates(["key", "digest"])
+    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

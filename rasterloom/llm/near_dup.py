@@ -133,9 +133,11 @@ def lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * width, width, dtype=np.int32)), pa.array(values.ravel()))
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, node (a digest of the words; null without words), n_shingles, bands and sketch of every row."""
-    slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+def signatures(docs: DataFrame, key: str, text: str, carry: bool = False) -> DataFrame:
+    """key, node (a digest of the words; null without words), n_shingles, bands and sketch of every row; on request, the
+    text's digest."""
+    more = ["digest"] if carry else []
+    slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *(F.xxhash64(text).alias(c) for c in more))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = hasher()
@@ -153,11 +155,11 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     samples = h.samples(hashes, n)
                     bands[where], sketch[where] = h.bands(samples), h.odd_sketch(samples)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key")[part.start : part.stop], pa.array(node, pa.int64()), pa.array(size), lists(bands), lists(sketch)],
-                    ["key", "node", "n_shingles", "bands", "sketch"],
+                    [batch.column("key")[part.start : part.stop], pa.array(node, pa.int64()), pa.array(size), lists(bands), lists(sketch), *(batch.column(c)[part.start : part.stop] for c in more)],
+                    ["key", "node", "n_shingles", "bands", "sketch", *more],
                 )
 
-    return slim.mapInArrow(tidy(run), "key long, node long, n_shingles long, bands array<long>, sketch array<long>")
+    return slim.mapInArrow(tidy(run), "key long, node long, n_shingles long, bands array<long>, sketch array<long>" + "".join(f", {c} long" for c in more))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, fine: bool = False) -> DataFrame:
@@ -235,18 +237,19 @@ def components(edges: DataFrame, scratch: Scratch, files: int | None = None) ->
         now = then
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, carry: bool = False) -> DataFrame:
     """key, n_shingles, component_id (the smallest key reachable over links, itself included) and kept, for each row.
 
     Rows are linked if 100 * intersection >= percent * union of their shingle sets. A null or empty text, or one of white
     space only, has an empty set, is linked with nothing, and is its own component. Repeated rows are equal texts: each is
     returned, all are in one component, and a repeated smallest key is kept as often. A null key never is a component's
     smallest; in a component of null keys alone the id is null and all rows are kept. Other columns aren't read. An empty
-    table gives an empty result. Keys are integers.
+    table gives an empty result. Keys are integers. carry adds digest (of the text) and component, which tells components
+    of the same smallest key apart and is null for rows without words.
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(signatures(docs, key, text), "signatures")
+    rows = scratch.save(signatures(docs, key, text, carry), "signatures")
     full = rows.filter(F.col("node").isNotNull())
     first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]
     classes = scratch.save(full.groupBy("node").agg(F.min("key").alias("rep"), *first), "classes", per(rows.count(), 40_000))
@@ -310,7 +313,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     labelled = classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = scratch.save(labelled.join(least, "component").select("node", "component_id"), "components", few)
-    out = rows.select("key", "n_shingles", "node").join(of_node, "node", "left")
+    of_node = scratch.save(labelled.join(least, "component").select("node", "component_id", "component"), "components", few)
+    out = rows.select("key", "n_shingles", "node", *(["digest"] if carry else [])).join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), *(["digest", "component"] if carry else []))

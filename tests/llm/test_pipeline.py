@@ -101,3 +101,11 @@ def test_native_operators_have_no_python(spark, sf_dir):
     plan = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapInArrow" not in plan
     assert near_dup.near_duplicates(docs.filter(F.lit(False))).count() == 0
+
+
+def test_near_duplicates_by_id_and_text(spark, docs, prose):
+    a, b, c, d, e = (prose(9000 + i, 40) for i in range(5))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, d + " more"), (4, e), (4, e + " more"), (5, ""), (5, "")]
+    got = sorted(pairs(stage("near duplicates")(spark, docs(rows), "")), key=repr)
+    assert [x for x in got if x[0] not in (None, 4)] == [(1, a), (2, b), (3, c), (5, ""), (5, "")]
+    assert [x[0] for x in got if x[0] in (None, 4)] == [4, None]
