@@ -96,11 +96,11 @@ def block_search(queries: list, candidates: DataFrame, k: int) -> DataFrame:
     by_width: dict[int, list] = {}
     for row in queries:
         by_width.setdefault(len(row[1]), []).append(row)
-    tiles = {w: (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)) for w, rows in by_width.items()}
+    tiles = {w: (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), [min(r[2], k) for r in rows]) for w, rows in by_width.items()}
     shared = spark.sparkContext.broadcast(tiles)  # a block: BLOCK_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = {w: [Nearest(Tile(ids[i : i + TILE_QUERIES], v[i : i + TILE_QUERIES]), k) for i in range(0, len(ids), TILE_QUERIES)] for w, (ids, v) in shared.value.items()}
+        found = {w: [Nearest(Tile(ids[i : i + TILE_QUERIES], v[i : i + TILE_QUERIES]), k) for i in range(0, len(ids), TILE_QUERIES)] for w, (ids, v, _) in shared.value.items()}
         for batch in batches:
             vectors = batch.column("v")
             width = np.diff(vectors.offsets.to_numpy())
@@ -114,9 +114,10 @@ def block_search(queries: list, candidates: DataFrame, k: int) -> DataFrame:
                     for nearest in queries_of_width:
                         nearest.see(tile)
         q, v, s = [], [], []
-        for nearest in (x for of_width in found.values() for x in of_width):
-            for qid, heap in zip(nearest.queries.ids.tolist(), nearest.heaps, strict=True):
-                for d, c in heap:
+        for width, of_width in found.items():
+            heaps = ((qid, heap) for x in of_width for qid, heap in zip(x.queries.ids.tolist(), x.heaps, strict=True))
+            for (qid, heap), n in zip(heaps, shared.value[width][2], strict=True):
+                for d, c in heap * n:  # of equal query rows, each finds the same
                     q.append(qid), v.append(-c), s.append(-d)
         yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
@@ -129,20 +130,20 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | None = None, key:
     Queries are the rows where is_query holds (by default those whose id is divisible by 100); candidates are all rows but
     those with the query's own id. Ties go to the smaller id. Rows with a null id, or a vector that is null, empty, zero or
     holds null or non-finite components, take no part. Vectors of different lengths are never neighbours. Every one of
-    repeated rows is a candidate; a query id that has several vectors asks with the smallest in array order. Fewer
-    candidates than k give fewer rows, an empty table none. Other columns aren't read.
+    repeated rows is a candidate, and every one of rows with the same query id asks: the k nearest of their pairs count. Fewer
+    pairs than k give fewer rows, an empty table none. Other columns aren't read.
     """
     spark = vectors.sparkSession
     slim = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), (F.col(key) % 100 == 0 if is_query is None else is_query).alias("asks"))
     good = slim.filter(F.col("id").isNotNull() & usable(F.col("v")))
-    asking = good.filter("asks").groupBy("id").agg(F.min(F.col("v").cast("array<double>")).alias("v"))
+    asking = good.filter("asks").groupBy("id", F.col("v").cast("array<double>").alias("v")).agg(F.count("*").alias("n"))
     size = asking.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
     blocks = max(1, -(-size.n * (size.w or 1) * 8 * 5 // (BLOCK_BYTES * 4)))  # hashing deals ids out a little unevenly
     candidates = good.select("id", "v")
     parts = []
     for b in range(blocks if size.n else 0):
-        block = asking.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        parts.append(block_search([(r.id, r.v) for r in block.toLocalIterator()], candidates, k))
+        block = asking.filter(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == b)
+        parts.append(block_search([(r.id, r.v, r.n) for r in block.toLocalIterator()], candidates, k))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = parts[0]

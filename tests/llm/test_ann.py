@@ -52,3 +52,12 @@ def test_bounds_hold():
     low, high = a.bounds(b)
     true = np.sqrt(((a.vectors[:, None] - b.vectors[None]) ** 2).sum(axis=2))
     assert (low <= true).all() and (true <= high).all()
+
+
+def test_every_row_of_a_query_id_asks(spark):
+    rows = [(0, [1.0, 1.0], 0), (0, [9.0, 9.0], 0), (0, [9.0, 9.0], 0), (1, [1.0, 2.0], 0), (2, [9.0, 8.5], 0), (2, [9.0, 8.5], 0), (100, [5.0, 5.0], 0)]
+    want = []
+    for q in (0, 100):  # as the SQL has it: all pairs of rows with different ids, ranked by query id
+        pairs = sorted((ann.exact(np.array([v]), np.array([u]))[0], c) for i, v, _ in rows if i == q for c, u, _ in rows if c != q)[:10]
+        want += [(q, r, c, d) for r, (d, c) in enumerate(pairs, 1)]
+    assert sorted(map(tuple, ann.nearest_neighbours(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())) == want
