@@ -1,16 +1,23 @@
 """Near duplicates by MinHash, with odd sketches before the exact check.
 
-Words and five-word shingles are taken from whole texts. Equal word sequences form one class, which is hashed once. Each
-class gets BANDS x ROWS MinHash samples; equal bands put classes into a bucket. The samples are also folded into an odd
-sketch, a parity bitmap of SKETCH_BITS: the population count of two sketches' XOR tells how many samples differ, which is
+Words and five-word shingles are taken from whole texts, however long. Equal word sequences form one class, which is hashed
+once. Each class gets BANDS x ROWS MinHash samples; equal bands put classes into a bucket. The samples are also folded into an
+odd sketch, a parity bitmap of SKETCH_BITS: the population count of two sketches' XOR tells how many samples differ, which is
 precise at high similarities, so pairs that can't reach the threshold are dropped before their full sets are compared.
 
-Buckets aren't expanded into all pairs. First every class is compared with one hub of its bucket, and the confirmed links'
-components are found; then again, where a bucket still has several components, with the class that has the most in common with all; at last, in such buckets,
-the classes outside the largest component are compared with all classes of other components. Every pair in a bucket
-is then either in one component or has been compared. Many near copies of one text that are too far from each other would make
-many such pairs; shingles that only one class of these buckets has bound what it can share with any other, and a finer odd
-sketch of the classes in such buckets leaves few near the threshold. All tables stay distributed; each step is written to the shared folder.
+Buckets aren't expanded into all pairs. Every class is compared with the hub of its bucket, the class whose buckets are
+largest, and the confirmed links' components are found. Buckets that then hold several components are open, and for them
+only differences count. Let H be the hub's set and D(i) what is in just one of H and i's set. The intersection of i and j has
+|H| - |H minus i| - |H minus j| + |D(i) and D(j)| members, so the threshold becomes a bound on the common differences:
+
+    2 (100 + p) |D(i) and D(j)| >= beta(i) + beta(j),    beta(i) = 2 p |i| + 2 (100 + p) |H minus i| - (100 + p) |H|
+
+The hub's own beta, -(100 - p) |H|, is the least there is. A class that isn't linked with the hub ("far") thus shares a
+difference with all that it is linked with, and if its partner isn't smaller than the hub, one outside H. Differences that one
+class alone has are of no use; classes of equal sizes and equal other differences agree in all links, so one of them stands for
+all. These representatives are joined by a prefix filter over their differences, rarest first, and each far one is looked up
+by the cheaper of two keys, all its differences outside H or the necessary prefix. Keys that many share are salted. What is found
+so has its differences compared exactly. All tables stay distributed; each step is written to the shared folder.
 
 The buckets miss a pair at the threshold with a chance of (1 - 0.75^5)^40, about 2 in 100,000, and less above it. Classes are
 known by 64 bits of a digest: among n different texts two share one with a chance of n^2 / 2^65.
@@ -33,14 +40,16 @@ from rasterloom.llm.common import Scratch, per, small_batches, tidy
 
 SHINGLE = 5
 BANDS, ROWS, SKETCH_BITS = 40, 5, 1024
-#: Samples and bits of the finer sketch that classes in unresolved buckets get.
-FINE_SAMPLES, FINE_BITS = 1000, 2048
+#: Bits of the odd sketch of whole sets that classes in open buckets get besides.
+SET_BITS = 2048
 #: Deviations beyond the expected count of differing bits at which a pair is dropped.
 SIGMAS = 4.5
 #: Texts hashed at a time, in characters: the arrays stay in a core's cache.
 HASH_CHARS = 400_000
 #: Rows of ids that may be broadcast (32 bytes each); beyond that the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Classes under one key of the prefix filter that one task compares with.
+SALT_ROWS = 2_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -60,7 +69,7 @@ class Hasher:
         self.base = np.uint64(0x9E3779B97F4A7C15)
         self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         self.powers = self.inverses = np.ones(1, np.uint64)
-        n = FINE_SAMPLES  # of which the bands take the first
+        n = BANDS * ROWS
         self.times = draw.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1)
         self.plus = draw.integers(0, 1 << 32, n, np.uint32)
         self.fold = draw.integers(0, 1 << 63, n, np.uint64)
@@ -89,11 +98,11 @@ class Hasher:
         begin = starts[first]
         return mix((total[ends[last]] - total[begin]) * self.inverses[begin]), n
 
-    def samples(self, hashes: np.ndarray, n: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
-        """MinHash samples, one row for each of k hash functions."""
+    def samples(self, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """MinHash samples, one row for each of BANDS x ROWS hash functions."""
         x, at = (hashes >> np.uint64(32)).astype(np.uint32), np.r_[0, np.cumsum(n)[:-1]]
-        out, y = np.empty((k, len(n)), np.uint32), np.empty_like(x)
-        for j in range(k):
+        out, y = np.empty((len(self.times), len(n)), np.uint32), np.empty_like(x)
+        for j in range(len(self.times)):
             np.multiply(x, self.times[j], out=y)
             np.add(y, self.plus[j], out=y)
             out[j] = np.minimum.reduceat(y, at)
@@ -103,11 +112,17 @@ class Hasher:
         parts = samples.reshape(BANDS, ROWS, -1).astype(np.uint64)
         return mix((parts * self.row[None, :, None]).sum(axis=1) + self.band[:, None]).view(np.int64).T
 
-    def odd_sketch(self, samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-        k, docs = samples.shape
-        at = (mix(samples.astype(np.uint64) + self.fold[:k, None]) >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)
-        odd = np.bincount((at + np.arange(docs) * bits).ravel(), minlength=docs * bits) & 1
-        return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(docs, -1)
+    def odd_sketch(self, samples: np.ndarray) -> np.ndarray:
+        docs = samples.shape[1]
+        at = mix(samples.astype(np.uint64) + self.fold[:, None]).ravel()
+        return parities(at, np.tile(np.arange(docs), len(samples)), docs, SKETCH_BITS)
+
+
+def parities(hashes: np.ndarray, of: np.ndarray, docs: int, bits: int) -> np.ndarray:
+    """A bitmap for each of docs: bit b tells whether an odd number of its hashes begin with b."""
+    at = (hashes >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)
+    odd = np.bincount(at + of * bits, minlength=docs * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(docs, -1)
 
 
 _HASHER: list[Hasher] = []
@@ -162,9 +177,9 @@ def signatures(docs: DataFrame, key: str, text: str, carry: bool = False) -> Dat
     return slim.mapInArrow(tidy(run), "key long, node long, n_shingles long, bands array<long>, sketch array<long>" + "".join(f", {c} long" for c in more))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, fine: bool = False) -> DataFrame:
-    """(node, shingles, sketch) of the wanted nodes, from the rows that stand for them: wanted has node and rep. The finer
-    sketch is made on request, else null."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, shingles, parity) of the wanted nodes, from the rows that stand for them: wanted has node and rep. parity is
+    the odd sketch of the whole set."""
     small = wanted.count() <= BROADCAST_ROWS
     slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     own = slim.join(F.broadcast(wanted) if small else wanted, F.col("key").eqNullSafe(F.col("rep"))).select("node", "text")
@@ -178,12 +193,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, fine:
                 if bodies:
                     hashes, n = h.shingles([b for _, b in bodies])
                     sets = [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])]
-                    ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
-                    flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                    sketch = lists(h.odd_sketch(h.samples(hashes, n, FINE_SAMPLES), FINE_BITS)) if fine else pa.nulls(len(bodies), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in bodies], pa.int64()), flat, sketch], ["node", "shingles", "sketch"])
+                    sizes, every = np.array([len(x) for x in sets]), np.concatenate(sets)
+                    flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(every.view(np.int64)))
+                    parity = lists(parities(mix(every), np.repeat(np.arange(len(sets)), sizes), len(sets), SET_BITS))
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in bodies], pa.int64()), flat, parity], ["node", "shingles", "parity"])
 
-    return own.mapInArrow(tidy(run), "node long, shingles array<long>, sketch array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    return own.mapInArrow(tidy(run), "node long, shingles array<long>, parity array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity"))
 
 
 def sketch_limit(similarity: float, k: int = BANDS * ROWS, n: int = SKETCH_BITS) -> int:
@@ -194,28 +209,108 @@ def sketch_limit(similarity: float, k: int = BANDS * ROWS, n: int = SKETCH_BITS)
     return math.ceil(bits + SIGMAS * math.sqrt((slope * spread) ** 2 + noise))
 
 
-def may_link(a: str, b: str, percent: int, k: int = BANDS * ROWS, n: int = SKETCH_BITS) -> Column:
-    """Whether two sketched classes can be linked: by what they can share at most, then by the odd sketches."""
+def bits_apart(a: str, b: str, bits: int) -> Column:
+    """In how many bits two bitmaps differ."""
+    return reduce(lambda p, q: p + q, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)))
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two sketched classes can be linked: by their sizes, then by the odd sketches."""
     x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    most = F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared"))
-    bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(n // 64)))
-    return (100 * most >= percent * (x + y - most)) & (bits <= sketch_limit(percent / 100, k, n))
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (bits_apart(f"{a}.sketch", f"{b}.sketch", SKETCH_BITS) <= sketch_limit(percent / 100))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, percent: int, scratch: Scratch, files: int) -> DataFrame:
+def sets_may_link(a: str, b: str, percent: int) -> Column:
+    """The same by the odd sketches of whole sets. Linked sets differ in `most` members at most, and their sketches in no
+    more bits; as members fall on the same bits, in fewer where many differ, but for SIGMAS deviations."""
+    most = (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) * ((100 - percent) / (100 + percent))
+    left = F.exp(-4 * most / SET_BITS)
+    spread = F.greatest(SET_BITS / 4 * (1 - left) - left * most, F.lit(0.0))
+    limit = SET_BITS / 2 * (1 - F.exp(-2 * most / SET_BITS)) + SIGMAS * F.sqrt(spread) + 1
+    return bits_apart(f"{a}.parity", f"{b}.parity", SET_BITS) <= F.least(most, limit)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = scratch.save(nodes.join(classes.select("node", "rep"), "node"), "wanted", files)
-    sets = shingle_sets(docs, wanted, key, text)
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
+    common = F.size(F.array_intersect("sa", "sb")).cast("long")
     return joined.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def own_counts(sets: DataFrame) -> DataFrame:
-    """(node, own): how many of a node's shingles no other of these nodes has; nodes without any are left out."""
-    each = sets.select("node", F.explode("shingles").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    return each.filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+def differences(stars: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, n, of_hub, beta, extra, lacked, sketch, parity) for stars (hub, node): the node's differences from its hub."""
+    own = sets.join(sketched.select("node", "sketch"), "node")
+    joined = stars.join(own, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h")), "hub")
+    joined = joined.select("hub", "node", "sketch", "parity", F.size("shingles").cast("long").alias("n"), F.size("h").cast("long").alias("of_hub"), F.array_except("shingles", "h").alias("extra"), F.array_except("h", "shingles").alias("lacked"))
+    beta = 2 * percent * F.col("n") + 2 * (100 + percent) * F.size("lacked").cast("long") - (100 + percent) * F.col("of_hub")
+    return joined.withColumn("beta", beta)
+
+
+def representatives(found: DataFrame, percent: int, scratch: Scratch, files: int) -> tuple[DataFrame, DataFrame]:
+    """Of differences, with components: members (hub, rep, node), and for each rep (hub, rep, n, of_hub, beta, far, one, rows, sketch, parity, own):
+    own are its differences that others have too, as structs (f, mixed, g, extra), rarest first; one is the component of
+    the rows it stands for if they have but one."""
+    each = found.select("hub", "node", F.explode(F.concat(F.transform("extra", lambda g: F.struct(g.alias("g"), F.lit(True).alias("extra"))), F.transform("lacked", lambda g: F.struct(g.alias("g"), F.lit(False).alias("extra"))))).alias("d"))
+    each = scratch.save(each.select("hub", "node", "d.g", "d.extra"), "each")
+    often = each.groupBy("hub", "g").agg(F.count("*").alias("f")).filter("f > 1")
+    own = each.join(often, ["hub", "g"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("f", F.xxhash64("g").alias("mixed"), "g", "extra"))).alias("own"))
+    same = ["hub", "n", "of_hub", "beta", "digest"]
+    known = found.select("hub", "node", "n", "of_hub", "beta", "component", "sketch", "parity").join(own, ["hub", "node"]).withColumn("digest", F.xxhash64("own.g"))
+    known = scratch.save(known, "known", files)
+    reps = known.groupBy(*same).agg(F.min("node").alias("rep"), F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y"))
+    reps = scratch.save(reps, "reps", files)
+    members = known.select("node", *same).join(reps.filter("rows > 1").select("rep", *same), same).select("hub", "rep", "node")
+    one = known.select(F.col("node").alias("rep"), "hub", "own", "sketch", "parity").join(reps, ["hub", "rep"])
+    far = F.col("beta") > (100 - percent) * F.col("of_hub")
+    return members, one.select("hub", "rep", "n", "of_hub", "beta", far.alias("far"), F.when(F.col("x") == F.col("y"), F.col("x")).alias("one"), "rows", "sketch", "parity", "own")
+
+
+def by_differences(found: DataFrame, percent: int, scratch: Scratch, files: int) -> DataFrame:
+    """The links (a, b) that far classes have, but such as join what is in one component already: for each class at least
+    one with every component that it is linked with."""
+    members, reps = representatives(found, percent, scratch, files)
+    reps, members = scratch.save(reps, "representatives", files), scratch.save(members, "of-representatives", files)
+    unit = 2 * (100 + percent)
+    least = reps.groupBy("hub").agg(F.min("beta").alias("low"), F.min(F.when(F.col("far"), F.col("beta"))).alias("low_far")).filter("low_far is not null")
+    keyed = reps.join(least, "hub")
+
+    def prefix(other: str) -> Column:
+        """The differences of which one at least is shared with a partner whose beta is `other` or more."""
+        needed = F.greatest(F.lit(1), F.ceil((F.col("beta") + F.col(other)) / unit))
+        return F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - needed + 1).cast("int"))
+
+    def tagged(entries: Column, kind: int) -> Column:
+        return F.transform(entries, lambda d: F.struct(F.lit(kind).alias("kind"), d.g.alias("g"), d.f.alias("f")))
+
+    def cost(entries: Column) -> Column:
+        return F.aggregate(entries, F.lit(0).cast("long"), lambda total, d: total + d.f)
+
+    extra, none = F.filter("own", lambda d: d.extra), F.array().cast("array<struct<kind:int,g:bigint,f:bigint>>")
+    slim = ["hub", "rep", "beta", F.size("own").cast("long").alias("d"), "one", F.col("n").alias("n_shingles"), "sketch", "parity"]
+    small = F.when(F.col("n") < F.col("of_hub"), tagged(prefix("low_far"), 2)).otherwise(none)
+    index = keyed.select(*slim, F.explode(F.concat(tagged(prefix("low_far"), 0), tagged(extra, 1), small)).alias("key"))
+    by_extra = F.concat(tagged(extra, 1), tagged(prefix("low"), 2))
+    cheaper = F.when(cost(extra) <= cost(prefix("low")), by_extra).otherwise(tagged(prefix("low"), 0))
+    probes = keyed.filter("far").select(*slim, F.explode(cheaper).alias("key"))
+    salts = F.ceil(F.col("key.f") / SALT_ROWS).cast("int")
+    place = ["hub", "key.kind", "key.g"]
+
+    def side(rows: DataFrame, name: str, salt: Column) -> DataFrame:
+        return rows.select(*place, salt.alias("salt"), F.struct("rep", "beta", "d", "one", "n_shingles", "sketch", "parity").alias(name))
+
+    index = side(index, "q", F.pmod(F.xxhash64("rep", F.lit(3)), salts).cast("int"))
+    probes = side(probes, "p", F.explode(F.sequence(F.lit(0), salts - 1)))
+    p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
+    can = (p("rep") != q("rep")) & ~F.coalesce(p("one") == q("one"), F.lit(False)) & (unit * F.least(p("d"), q("d")) >= p("beta") + q("beta"))
+    pairs = probes.join(index, ["hub", "kind", "g", "salt"]).filter(can & sets_may_link("p", "q", percent) & may_link("p", "q", percent))
+    pairs = scratch.save(pairs.select("hub", F.least(p("rep"), q("rep")).alias("a"), F.greatest(p("rep"), q("rep")).alias("b")).distinct(), "pairs", files)
+    a, b = (reps.select("hub", F.col("rep").alias(x), F.col("own.g").alias(f"g{x}"), F.col("beta").alias(f"beta_{x}")) for x in "ab")
+    exact = unit * F.size(F.array_intersect("ga", "gb")).cast("long") >= F.col("beta_a") + F.col("beta_b")
+    links = scratch.save(pairs.join(a, ["hub", "a"]).join(b, ["hub", "b"]).filter(exact).select("hub", "a", "b"), "links", files)
+    partner = links.union(links.select("hub", "b", "a")).groupBy("hub", F.col("a").alias("rep")).agg(F.min("b").alias("b"))
+    alike = reps.filter((F.col("rows") > 1) & (unit * F.size("own").cast("long") >= 2 * F.col("beta"))).select("hub", "rep")
+    of_members = members.join(partner, ["hub", "rep"]).select(F.col("node").alias("a"), "b")
+    return links.select("a", "b").union(of_members).union(members.join(alike, ["hub", "rep"]).select(F.col("rep").alias("a"), F.col("node").alias("b")))
 
 
 def components(edges: DataFrame, scratch: Scratch, files: int | None = None) -> DataFrame:
@@ -255,60 +350,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = scratch.save(full.groupBy("node").agg(F.min("key").alias("rep"), *first), "classes", per(rows.count(), 40_000))
     n = classes.count()
     few, many = per(n, 500_000), per(n, 100_000)  # files of small tables, and of those with several rows for a class
-    sketched = classes.select("node", "n_shingles", "sketch", F.col("n_shingles").alias("shared"))
     flat = classes.select("node", F.posexplode("bands").alias("band", "bucket")).select("node", F.xxhash64("band", "bucket").alias("bucket"))
-    hubs = flat.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    members = scratch.save(flat.join(hubs.select("bucket", "hub"), "bucket"), "members", many)
+    shared = scratch.save(flat.join(flat.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"), "shared", many)
+    # the hub is the class whose buckets are largest: nearest to what its bucket has in common
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = shared.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", F.bitwise_not("node").alias("other"))).alias("top"))
+    members = scratch.save(shared.select("bucket", "node").join(hubs.select("bucket", F.bitwise_not("top.other").alias("hub")), "bucket"), "members", many)
+    scratch.drop(shared)
 
-    def check(pairs: DataFrame, known: DataFrame, *fine: int) -> DataFrame:
-        """Confirmed ones of pairs (a, b), those that the bounds and sketches of known rule out dropped first."""
-        a, b = (known.select(F.col("node").alias(x), F.struct("n_shingles", "shared", "sketch").alias(f"s{x}")) for x in "ab")
-        likely = scratch.save(pairs.join(b, "b").join(a, "a").filter(may_link("sa", "sb", percent, *fine)).select("a", "b"), "pairs", few)
-        return scratch.save(confirmed(likely, docs, classes, key, text, percent, scratch, few), "links", few)
+    def sets_of(nodes: DataFrame, name: str, files: int) -> DataFrame:
+        wanted = scratch.save(nodes.distinct().join(classes.select("node", "rep"), "node"), "wanted", few)
+        return scratch.save(shingle_sets(docs, wanted, key, text), name, files)
 
-    stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = check(stars, sketched)
-    found = components(links, scratch, few)
+    def both(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        return pairs.select(F.col(a).alias("node")).union(pairs.select(b))
 
-    def apart(own: DataFrame) -> DataFrame:
-        """(bucket, node, component) of the buckets that hold several components."""
-        own = own.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        many = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-        return own.join(many, "bucket", "left_semi")
-
-    open_buckets = scratch.save(apart(members), "apart", many)
-    wanted = scratch.save(open_buckets.select("node").distinct().join(classes.select("node", "rep"), "node"), "wanted", few)
-    sets = scratch.save(shingle_sets(docs, wanted, key, text, fine=True), "open-sets")
-    size = F.size("shingles").cast("long")
-    in_open = sets.select("node", size.alias("n_shingles"), "sketch").join(own_counts(sets), "node", "left").join(classes.select("node", "bands"), "node")
-    in_open = in_open.withColumn("shared", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own")
-    # a class that shares too few of its shingles with all others together is linked with none
-    in_open = scratch.save(in_open.filter(100 * F.col("shared") >= percent * F.col("n_shingles")), "in-open", many)
+    stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    a, b = (classes.select(F.col("node").alias(x), F.struct("n_shingles", "sketch").alias(f"s{x}")) for x in "ab")
+    likely = scratch.save(stars.join(b, "b").join(a, "a").filter(may_link("sa", "sb", percent)).select("a", "b"), "likely", few)
+    sets = sets_of(both(likely, "a", "b"), "sets", many)
+    links = scratch.save(confirmed(likely, sets, percent), "links", few)
     scratch.drop(sets)
-    fine = (FINE_SAMPLES, FINE_BITS)
-    open_buckets = scratch.save(apart(open_buckets.join(in_open.select("node"), "node", "left_semi")), "apart", many)
-
-    # the hub is the class with the least share of shingles of its own: nearest to what its bucket has in common
-    own_share = F.floor(1e6 * (F.col("n_shingles") - F.col("shared")) / F.col("n_shingles")).cast("long")
-    ranks = in_open.select("node", own_share.alias("own"))
-    ranked = open_buckets.join(ranks, "node").withColumn("rank", F.shiftleft("own", 40) + F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)))
-    hub = ranked.groupBy("bucket").agg(F.min("rank").alias("rank"))
-    chosen = ranked.join(hub, ["bucket", "rank"]).select("bucket", F.col("node").alias("hub"), F.col("component").alias("of_hub"))
-    stars = open_buckets.join(chosen, "bucket").filter("component <> of_hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = links.union(check(stars, in_open, *fine))
     found = components(links, scratch, few)
 
-    open_buckets = scratch.save(apart(open_buckets), "apart", many)
-    sizes = open_buckets.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("bucket").agg(F.max("n").alias("n"))
-    major = sizes.join(most, ["bucket", "n"]).groupBy("bucket").agg(F.min("component").alias("major"))
-    split = open_buckets.join(major, "bucket").join(in_open, "node")
-    minor, other = split.filter("component <> major").alias("p"), split.alias("q")
-    apart_pair = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.major")) | (F.col("p.node") < F.col("q.node")))
-    place = F.array_position(F.zip_with("p.bands", "q.bands", lambda x, y: x == y), True)
-    first_shared = F.xxhash64((place - 1).cast("int"), F.try_element_at("p.bands", place.cast("int"))) == F.col("p.bucket")  # each pair but once
-    rest = minor.join(other, apart_pair & may_link("p", "q", percent, *fine) & first_shared).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-    links = links.union(check(rest, in_open, *fine))
+    own = members.join(found, "node", "left").select("bucket", "hub", "node", F.coalesce("component", "node").alias("component"))
+    apart = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    open_stars = scratch.save(own.join(apart, "bucket", "left_semi").filter("node <> hub").select("hub", "node", "component").distinct(), "open", few)
+    sets = sets_of(both(open_stars, "hub", "node"), "open-sets", many)
+    unlike = scratch.save(differences(open_stars, sets, classes, percent).join(open_stars, ["hub", "node"]), "differences", many)
+    scratch.drop(sets)
+    linked = unlike.filter(F.col("beta") <= (100 - percent) * F.col("of_hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = links.union(linked).union(by_differences(unlike, percent, scratch, many))
     found = components(links, scratch, few)
 
     labelled = classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
