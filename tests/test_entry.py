@@ -20,9 +20,13 @@ def names(folder: Path) -> set[str]:
     return set(done.stdout.split())
 
 
-def test_entry_without_the_corpus_operators(tmp_path):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_entry_without_the_corpus_operators(tmp_path, left):
+    """With the operators' folders deleted, and the pipeline's file with them or still there."""
     shutil.copytree(ROOT / "rasterloom", tmp_path / "rasterloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    for name in ("__spark_entry__.py", *left):
+        if (ROOT / name).is_file():
+            shutil.copy(ROOT / name, tmp_path)
     assert not any(n.startswith("op") or n == "pipeline" for n in names(tmp_path))
 
 
