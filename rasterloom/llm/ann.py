@@ -1,14 +1,20 @@
 """Nearest neighbours by a block matrix join.
 
-The query set is cut into blocks of bounded size. For each block every task multiplies its candidate vectors with the
-block's in int8 tiles; with the quantisation errors' norms this bounds every distance from below and above. Only pairs whose
-lower bound doesn't exceed the query's k-th smallest upper bound are recomputed, in double precision, and each task keeps
-the k nearest for a query in a heap; the heaps of all tasks are merged by query. The bounds are exact, so nothing is lost.
+Equal rows are merged, and the vectors are dealt by hash into blocks of BLOCK_BYTES. Queries, the smaller side, are copied to
+every block and sorted behind its candidates, so a task holds one block and lets the queries stream past it; nothing passes
+through the driver and no candidate is moved or read for more than one block. A tile of queries is multiplied with the block's
+tiles in int8 values; with the quantisation errors' norms this bounds every distance from below and above. Only pairs whose
+lower bound doesn't exceed the query's k-th smallest upper bound are recomputed, in double precision, and a heap keeps the k
+nearest of each query; the heaps of all blocks are merged by query.
+
+Two passes keep small what is merged: the first takes about the square root of the number of blocks, and the k-th nearest found
+there is each query's reach in the second, which hands on only what lies within it. The bounds are exact, so nothing is lost.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors (in double precision) that one block may take, and rows of a candidate and of a query tile.
-BLOCK_BYTES, TILE_ROWS, TILE_QUERIES = 32 << 20, 2048, 1024
+from rasterloom.llm.common import Scratch, per, tidy
+
+#: Bytes of a block's vectors (in double precision), about; blocks at least, that all cores have work; rows of a candidate and of a query tile.
+BLOCK_BYTES, LEAST_BLOCKS, TILE_ROWS, TILE_QUERIES = 64 << 20, 16, 2048, 1024
 
 
 def usable(vector: Column) -> Column:
@@ -61,14 +69,14 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Nearest:
-    """The k nearest candidates of each query that one task has seen."""
+    """The k nearest candidates, not beyond their reach, of some queries in one block."""
 
-    def __init__(self, queries: Tile, k: int):
-        self.queries, self.k = queries, k
+    def __init__(self, queries: Tile, reach: np.ndarray, k: int):
+        self.queries, self.k, self.most = queries, k, reach
         self.heaps: list[list[tuple[float, int]]] = [[] for _ in queries.ids]
-        self.reach = np.full(len(queries.ids), np.inf)  # the distance of the k-th nearest so far
+        self.reach = reach.copy()  # the distance of the k-th nearest so far
 
-    def see(self, tile: Tile) -> None:
+    def see(self, tile: Tile, copies: np.ndarray) -> None:
         own = self.queries.ids[:, None] == tile.ids[None, :]
         low, high = self.queries.bounds(tile)
         high[own] = np.inf
@@ -76,52 +84,95 @@ class Nearest:
         if high.shape[1] >= self.k:
             limit = np.minimum(limit, np.partition(high, self.k - 1, axis=1)[:, self.k - 1])
         q, c = np.nonzero((low <= limit[:, None]) & ~own)
-        if not len(q):
-            return
         d = exact(self.queries.vectors[q], tile.vectors[c])
-        for i, dist, other in zip(q.tolist(), d.tolist(), tile.ids[c].tolist(), strict=True):
+        near = d <= self.most[q]
+        q, c, d = q[near], c[near], d[near]
+        for i, dist, other, n in zip(q.tolist(), d.tolist(), tile.ids[c].tolist(), copies[c].tolist(), strict=True):
             heap, item = self.heaps[i], (-dist, -other)
-            if len(heap) < self.k:
-                heapq.heappush(heap, item)
-            elif item > heap[0]:
-                heapq.heapreplace(heap, item)
+            for _ in range(min(n, self.k)):
+                if len(heap) < self.k:
+                    heapq.heappush(heap, item)
+                elif item > heap[0]:
+                    heapq.heapreplace(heap, item)
+                else:
+                    break
         for i in np.unique(q):
             if len(self.heaps[i]) == self.k:
-                self.reach[i] = -self.heaps[i][0][0]
+                self.reach[i] = min(self.reach[i], -self.heaps[i][0][0])
+
+
+class Block:
+    """The candidates of one block, as tiles by the vectors' width."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tiles: dict[int, list[tuple[Tile, np.ndarray]]] | None = None
+
+    def of_width(self, width: int) -> list[tuple[Tile, np.ndarray]]:
+        if self.tiles is None:
+            self.tiles = {}
+            for w in np.unique(np.concatenate([x[1] for x in self.parts])) if self.parts else ():
+                ids, copies, vectors = (np.concatenate(x) for x in zip(*((p[0][p[1] == w], p[2][p[1] == w], of_rows(p[3], p[1], p[1] == w)) for p in self.parts), strict=True))
+                cuts = range(0, len(ids), TILE_ROWS)
+                self.tiles[int(w)] = [(Tile(ids[i : i + TILE_ROWS], vectors[i : i + TILE_ROWS]), copies[i : i + TILE_ROWS]) for i in cuts]
+            self.parts = []
+        return self.tiles.get(width, [])
 
 
-def block_search(queries: list, candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of the k nearest in each task for one block of queries."""
-    spark = candidates.sparkSession
-    by_width: dict[int, list] = {}
-    for row in queries:
-        by_width.setdefault(len(row[1]), []).append(row)
-    tiles = {w: (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), [min(r[2], k) for r in rows]) for w, rows in by_width.items()}
-    shared = spark.sparkContext.broadcast(tiles)  # a block: BLOCK_BYTES at most
+def of_rows(flat: np.ndarray, widths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The vectors of the chosen rows, all of one width, from a flat array of vectors."""
+    begins = np.cumsum(np.r_[0, widths])[:-1][chosen]
+    return flat[begins[:, None] + np.arange(int(widths[chosen][0]) if chosen.any() else 0)]
+
+
+def block_join(candidates: DataFrame, queries: DataFrame, first: int, last: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k nearest in each of the blocks first to last - 1: candidates have id, v, copies and
+    block; queries id, v, asks and reach."""
+    own = candidates.filter(F.col("block").between(first, last - 1)).select("block", F.lit(False).alias("asking"), "id", "v", "copies", F.lit(0.0).alias("reach"))
+    copied = queries.select(F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("block"), F.lit(True).alias("asking"), "id", "v", F.col("asks").alias("copies"), "reach")
+    both = own.unionByName(copied).repartition(2 * (last - first), "block").sortWithinPartitions("block", "asking")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = {w: [Nearest(Tile(ids[i : i + TILE_QUERIES], v[i : i + TILE_QUERIES]), k) for i in range(0, len(ids), TILE_QUERIES)] for w, (ids, v, _) in shared.value.items()}
+        at, block = None, Block()
         for batch in batches:
+            of, asking, ids, copies, reach = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "asking", "id", "copies", "reach"))
             vectors = batch.column("v")
-            width = np.diff(vectors.offsets.to_numpy())
-            ids, flat = batch.column("id").to_numpy(), vectors.flatten().to_numpy().astype(np.float64)
-            starts = np.r_[0, np.cumsum(width)]
-            for w, queries_of_width in found.items():
-                rows = np.flatnonzero(width == w)
-                for at in range(0, len(rows), TILE_ROWS):
-                    part = rows[at : at + TILE_ROWS]
-                    tile = Tile(ids[part], flat[starts[part][:, None] + np.arange(w)])
-                    for nearest in queries_of_width:
-                        nearest.see(tile)
-        q, v, s = [], [], []
-        for width, of_width in found.items():
-            heaps = ((qid, heap) for x in of_width for qid, heap in zip(x.queries.ids.tolist(), x.heaps, strict=True))
-            for (qid, heap), n in zip(heaps, shared.value[width][2], strict=True):
-                for d, c in heap * n:  # of equal query rows, each finds the same
-                    q.append(qid), v.append(-c), s.append(-d)
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    return candidates.mapInArrow(run, "query_id long, vec_id long, score double")
+            widths, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy().astype(np.float64)
+            ends = np.cumsum(np.r_[0, widths])
+            cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (asking[1:] != asking[:-1])) + 1).tolist(), len(of)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if of[i] != at:
+                    at, block = of[i], Block()
+                part = flat[ends[i] : ends[j]]
+                if not asking[i]:
+                    block.parts.append((ids[i:j], widths[i:j], copies[i:j], part))
+                    continue
+                for w in np.unique(widths[i:j]):
+                    rows = np.flatnonzero(widths[i:j] == w)
+                    for t in range(0, len(rows), TILE_QUERIES):
+                        some = np.zeros(j - i, bool)
+                        some[rows[t : t + TILE_QUERIES]] = True
+                        yield answered(Tile(ids[i:j][some], of_rows(part, widths[i:j], some)), reach[i:j][some], copies[i:j][some], block.of_width(int(w)), k)
+
+    return both.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
+
+
+def answered(queries: Tile, reach: np.ndarray, asks: np.ndarray, tiles: list[tuple[Tile, np.ndarray]], k: int) -> pa.RecordBatch:
+    nearest = Nearest(queries, reach, k)
+    for tile, copies in tiles:
+        nearest.see(tile, copies)
+    q, v, s = [], [], []
+    for i, n, heap in zip(queries.ids.tolist(), asks.tolist(), nearest.heaps, strict=True):
+        for d, c in heap * min(n, k):  # of equal query rows, each finds the same
+            q.append(i), v.append(-c), s.append(-d)
+    return pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column | None = None, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
@@ -129,25 +180,22 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | None = None, key:
 
     Queries are the rows where is_query holds (by default those whose id is divisible by 100); candidates are all rows but
     those with the query's own id. Ties go to the smaller id. Rows with a null id, or a vector that is null, empty, zero or
-    holds null or non-finite components, take no part. Vectors of different lengths are never neighbours. Every one of
-    repeated rows is a candidate, and every one of rows with the same query id asks: the k nearest of their pairs count. Fewer
-    pairs than k give fewer rows, an empty table none. Other columns aren't read.
+    holds null or non-finite components, take no part. Vectors of different lengths are never neighbours; very long ones only
+    make blocks of fewer rows. Every one of repeated rows is a candidate, and every one of rows with the same query id asks:
+    the k nearest of their pairs count. Fewer pairs than k give fewer rows, an empty table none. Other columns aren't read.
     """
-    spark = vectors.sparkSession
-    slim = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), (F.col(key) % 100 == 0 if is_query is None else is_query).alias("asks"))
+    asks = (F.col(key) % 100 == 0 if is_query is None else is_query).alias("asks")
+    slim = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), asks)
     good = slim.filter(F.col("id").isNotNull() & usable(F.col("v")))
-    asking = good.filter("asks").groupBy("id", F.col("v").cast("array<double>").alias("v")).agg(F.count("*").alias("n"))
-    size = asking.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
-    blocks = max(1, -(-size.n * (size.w or 1) * 8 * 5 // (BLOCK_BYTES * 4)))  # hashing deals ids out a little unevenly
-    candidates = good.select("id", "v")
-    parts = []
-    for b in range(blocks if size.n else 0):
-        block = asking.filter(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == b)
-        parts.append(block_search([(r.id, r.v, r.n) for r in block.toLocalIterator()], candidates, k))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scratch = Scratch(vectors.sparkSession)
+    merged = scratch.save(good.groupBy("id", "v").agg(F.count("*").alias("copies"), F.count_if("asks").alias("asks")), "vectors")
+    size = merged.agg(F.sum(F.size("v").cast("long") * 8 + 40).alias("bytes")).first().bytes or 0
+    blocks = max(LEAST_BLOCKS, per(size, BLOCK_BYTES))
+    first = math.isqrt(blocks)
+    candidates = merged.select("id", "v", "copies", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"))
+    queries = merged.filter("asks > 0").select("id", "v", "asks", F.lit(float("inf")).alias("reach"))
+    near = scratch.save(ranked(block_join(candidates, queries, 0, first, k), k), "near")
+    reach = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("within"))
+    narrowed = queries.drop("reach").join(reach, "id", "left").select("id", "v", "asks", F.coalesce("within", F.lit(float("inf"))).alias("reach"))
+    far = block_join(candidates, narrowed, first, blocks, k)
+    return ranked(near.select("query_id", "vec_id", "score").unionByName(far), k).select("query_id", "rank", "vec_id", "score")

@@ -32,11 +32,21 @@ def test_equals_brute_force(spark, monkeypatch, width):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
-def test_blocks_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_BYTES", 64)
+def test_many_blocks_read_each_candidate_once(spark, monkeypatch):
+    """Blocks of a few rows; each pass is one job over candidates and copied queries, and no query comes to the driver."""
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 600)
+    frame = type(spark.range(1))
+    for name in ("toLocalIterator", "collect", "toPandas"):  # but for one row, the tables' bytes
+        monkeypatch.setattr(frame, name, lambda df, *a, f=getattr(frame, name): f(df, *a) if df.columns == ["bytes"] else pytest.fail("rows came to the driver"))
+    joins = []
+    monkeypatch.setattr(ann, "block_join", lambda c, q, i, j, k, f=ann.block_join: (joins.append((i, j)), f(c, q, i, j, k))[1])
     draw = np.random.default_rng(0)
     rows = [(i, [float(np.float32(x)) for x in draw.normal(size=4)], 0) for i in range(350)]
-    assert sorted(map(tuple, ann.nearest_neighbours(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
+    found = ann.nearest_neighbours(spark.createDataFrame(rows, SCHEMA))
+    monkeypatch.undo()
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+    (a, b), (c, d) = joins
+    assert a == 0 and b == c and d > 30 and b * b <= d
 
 
 def test_few_and_none(spark):
