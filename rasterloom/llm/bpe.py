@@ -6,6 +6,8 @@ no pair left drop out. Words are encoded once for each worker: a bounded cache m
 
 Texts are cut before a blank or line feed that follows other than white space. No pre-token spans such a place, so
 the chunks are encoded alone; a text with runs of white space takes the pattern over the whole of it instead.
+
+Words beyond LONG_WORD bytes leave the rounds for a heap of their pairs, with the same result and lookups in the same keys.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +29,11 @@ from rasterloom.llm.common import small_batches, tidy
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 NO_RANK = np.iinfo(np.int64).max
 #: Longer words are merged one by one with a heap: rounds over them would cost the square of their length.
-LONG_WORD = 256
-#: Chunks that a worker's cache holds in its younger half.
-CACHE_CHUNKS = 80_000
-BATCH_BYTES = 4 << 20
+LONG_WORD = 1024
+#: Bytes that the younger half of a worker's cache may hold, and the longest chunk that it keeps.
+CACHE_BYTES, CACHED_LENGTH = 16 << 20, 256
+#: Characters that are encoded at a time: lists of their chunks take some twenty times as much.
+BATCH_BYTES = 1 << 20
 RUN_BEFORE_CUT = re.compile(r"[\s\x1c-\x1f\x85][ \n]")
 
 
@@ -120,31 +124,29 @@ class MergeTable:
 
     def merge_long(self, word: bytes) -> np.ndarray:
         """One word with a heap of its pairs: the same result in n log n steps."""
-        sym = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        table = self.pair_table()
+        flat = self.byte_ids[np.frombuffer(word, np.uint8)]
+        at, found = self.lookup(flat[:-1], flat[1:])
+        sym = flat.tolist()
         before, after, live = list(range(-1, len(sym) - 1)), list(range(1, len(sym) + 1)), [True] * len(sym)
-        heap = [(r[0], i, sym[i], sym[i + 1]) for i in range(len(sym) - 1) if (r := table.get((sym[i], sym[i + 1])))]
+        heap = [(r, i, sym[i], sym[i + 1], m) for i, r, m in zip(np.flatnonzero(found).tolist(), self.ranks[at[found]].tolist(), self.merged[at[found]].tolist(), strict=True)]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            _, i, a, b, merged = heapq.heappop(heap)
             j = after[i]
             if not live[i] or j >= len(sym) or sym[i] != a or sym[j] != b:
                 continue
-            sym[i], live[j] = table[a, b][1], False
+            sym[i], live[j] = merged, False
             after[i] = after[j]
             if after[j] < len(sym):
                 before[after[j]] = i
             for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q < len(sym) and (r := table.get((sym[p], sym[q]))):
-                    heapq.heappush(heap, (r[0], p, sym[p], sym[q]))
+                if p >= 0 and q < len(sym):
+                    key = sym[p] * self.base + sym[q]
+                    k = bisect_left(self.keys, key)
+                    if k < len(self.keys) and self.keys[k] == key:
+                        heapq.heappush(heap, (int(self.ranks[k]), p, sym[p], sym[q], int(self.merged[k])))
         return np.array([s for s, ok in zip(sym, live, strict=True) if ok], np.int64)
 
-    def pair_table(self) -> dict:
-        if not hasattr(self, "_pairs"):
-            a, b = np.divmod(self.keys, self.base)
-            self._pairs = dict(zip(zip(a.tolist(), b.tolist(), strict=True), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
-        return self._pairs
-
 
 class Encoder:
     """Encodes texts in one worker; the caches are bounded and only save work."""
@@ -153,13 +155,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.table = MergeTable(spec)
-        self.split = Tokenizer.from_str(spec).pre_tokenizer.pre_tokenize_str
+        bare = json.loads(spec) | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None}
+        self.split = Tokenizer.from_str(json.dumps(bare)).pre_tokenizer.pre_tokenize_str
         self.special = re.compile("(" + "|".join(map(re.escape, self.table.special)) + ")") if self.table.special else None
         self.ids: dict = {}
         self.shown: dict = {}
         self.old_ids: dict = {}
         self.old_shown: dict = {}
-        self.waiting: list = []
+        self.held = 0
 
     def chunks(self, text: str) -> list:
         """The keys of the text's chunks: a word stands for itself after a blank, "\\n..." for the head of a later line,
@@ -173,14 +176,15 @@ class Encoder:
             out += parts
         return out[1:] if out[0] == ("",) else out
 
-    def learn(self, chunks: list) -> None:
-        """Put chunks into the cache, those of the older half first."""
-        fresh: list = []
-        for c in dict.fromkeys(chunks):
-            if (known := self.old_ids.get(c)) is not None:
-                self.ids[c], self.shown[c] = known, self.old_shown[c]
-            else:
-                fresh.append(c)
+    def keep(self, chunk, ids: bytes, shown: bytes) -> None:
+        """Put a chunk into the younger half of the cache; a full half becomes the older one."""
+        self.ids[chunk], self.shown[chunk] = ids, shown
+        self.held += len(ids) + len(shown) + 4 * len(chunk[0] if isinstance(chunk, tuple) else chunk) + 300
+        if self.held > CACHE_BYTES:
+            self.old_ids, self.old_shown, self.ids, self.shown, self.held = self.ids, self.shown, {}, {}, 0
+
+    def learn(self, fresh: list) -> tuple[dict, dict]:
+        """The ids and the bytes of different chunks, by merge rounds over all their words; short chunks go into the cache."""
         words: list[bytes] = []
         last: list[int] = []
         for c in fresh:
@@ -191,31 +195,43 @@ class Encoder:
                 words += [whole[a:b].encode() for _, (a, b) in self.split(whole)]
             last.append(len(words))
         ids, offsets = self.table.merge_words(words)
-        shown = self.table.token_bytes
-        begin = 0
+        token = self.table.token_bytes
+        of_ids, of_shown, begin = {}, {}, 0
         for c, k in zip(fresh, last, strict=True):
             own = ids[offsets[begin] : offsets[k]]
-            self.ids[c], self.shown[c] = own.tobytes(), b"".join([shown[i] for i in own.tolist()])
+            of_ids[c], of_shown[c] = own.tobytes(), b"".join([token[i] for i in own.tolist()])
+            if len(c[0] if isinstance(c, tuple) else c) <= CACHED_LENGTH:
+                self.keep(c, of_ids[c], of_shown[c])
             begin = k
+        return of_ids, of_shown
+
+    def known(self, chunks) -> tuple[dict, dict]:
+        """The ids and the bytes of chunks: from the younger half of the cache, else the older, else learnt."""
+        ids, shown, fresh = {}, {}, []
+        for c in dict.fromkeys(chunks):
+            if (own := self.ids.get(c)) is not None:
+                ids[c], shown[c] = own, self.shown[c]
+            elif (own := self.old_ids.get(c)) is not None:
+                ids[c], shown[c] = own, self.old_shown[c]
+                self.keep(c, own, shown[c])
+            else:
+                fresh.append(c)
+        if fresh:
+            more_ids, more_shown = self.learn(fresh)
+            ids |= more_ids
+            shown |= more_shown
+        return ids, shown
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as int32 bytes, and the bytes that they decode to."""
-        if len(self.ids) > CACHE_CHUNKS:
-            self.old_ids, self.old_shown, self.ids, self.shown = self.ids, self.shown, {}, {}
         out = []
         for text in texts:
             parts = self.special.split(text) if self.special and any(s in text for s in self.table.special) else [text]
-            cut = [self.chunks(x) if i % 2 == 0 else [] for i, x in enumerate(parts)]
-            if missing := [c for chunks in cut for c in chunks if c not in self.ids]:
-                self.waiting += missing
-            out.append((parts, cut))
-        if self.waiting:
-            self.learn(self.waiting)
-            self.waiting = []
-        return [self.look_up(*x) for x in out]
-
-    def look_up(self, parts: list[str], cut: list[list]) -> tuple[bytes, bytes]:
-        ids, shown = self.ids.__getitem__, self.shown.__getitem__
+            out.append((parts, [self.chunks(x) if i % 2 == 0 else [] for i, x in enumerate(parts)]))
+        ids, shown = (x.__getitem__ for x in self.known(c for _, cut in out for chunks in cut for c in chunks))
+        return [self.joined(parts, cut, ids, shown) for parts, cut in out]
+
+    def joined(self, parts: list[str], cut: list[list], ids, shown) -> tuple[bytes, bytes]:
         if len(parts) == 1:
             return b"".join(map(ids, cut[0])), b"".join(map(shown, cut[0]))
         both = [(np.int32(self.table.special[x]).tobytes(), x.encode()) if i % 2 else (b"".join(map(ids, c)), b"".join(map(shown, c))) for i, (x, c) in enumerate(zip(parts, cut, strict=True))]

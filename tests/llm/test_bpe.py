@@ -36,17 +36,28 @@ def test_mixed_white_space_and_specials():
 
 
 def test_long_words_take_the_heap():
-    same(["a" * 5000, "ab" * 3000, "x" * 257, "é" * 400, "a" * 256])
+    draw = random.Random(6)
+    mixed = ["".join(draw.choice("abcdefgh0123ABC") for _ in range(n)) for n in (300, 1023, 1024, 1025, 6000)]
+    same(["a" * 5000, "ab" * 3000, "x" * 1025, "é" * 1400, "a" * 1024, *mixed])
 
 
 def test_cache_turns_over(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 50)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
     draw = random.Random(5)
     small = bpe.Encoder(SPEC)
     for _ in range(30):
         texts = [" ".join("".join(draw.choice("abcdefg") for _ in range(3)) for _ in range(30)) for _ in range(4)]
         got = small.encode(texts)
         assert [np.frombuffer(x, np.int32).tolist() for x, _ in got] == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+        assert small.held <= 20_000 and len(small.old_ids) <= 20_000 / 300 + 1
+
+
+def test_long_chunks_are_not_kept():
+    draw = random.Random(9)
+    small = bpe.Encoder(SPEC)
+    texts = ["".join(draw.choice("abcdefg") for _ in range(2000)) for _ in range(20)]
+    assert [np.frombuffer(x, np.int32).tolist() for x, _ in small.encode(texts)] == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert not small.ids and not small.old_ids
 
 
 def test_table(docs, spark):
