@@ -12,15 +12,21 @@ stay different:
     date      a day within its Gregorian cycle of 400 years: 146,097 days are 189 x 773
 
 Mail addresses are no numbers: they become "u" and 16 hexadecimal digits of a keyed hash at example.invalid.
+
+The rounds take HMAC-SHA-256 of their state. Whoever has the key can undo the pseudonyms, so there is none in this file: give
+one, or set KEY_SETTING in the session. Plans hold numbers derived from it; keep them where the key may be kept.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "rasterloom"
+#: The session setting that names the key, where pseudonymise() isn't given one.
+KEY_SETTING = "spark.rasterloom.pii.key"
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}"
 DATE_YEAR_FIRST = r"(?<!\d)\d{4}(?<ya>[\-/.])\d{1,2}\k<ya>\d{1,2}(?!\d)"
@@ -46,12 +52,19 @@ HINT = r"[0-9@]"
 KINDS = ("email", "date", "number", "address", "card", "phone")
 
 
+def keyed_hash(key: str, text: Column) -> Column:
+    """HMAC-SHA-256 of a text, in hexadecimal digits."""
+    whole = hashlib.sha256(key.encode()).digest().ljust(64, b"\0")  # in place of the key, which may be long
+    inner, outer = (F.lit(bytes(b ^ pad for b in whole)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)
+
+
 def feistel(kind: str, key: str, x: Column, y: Column, a: Column, b: Column) -> Column:
     """A struct l, r: the keyed permutation of (x, y) in range(a) x range(b)."""
 
     def step(state: Column, i: Column) -> Column:
-        text = F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), state.a.cast("string"), state.b.cast("string"), state.r.cast("string"))
-        noise = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+        text = F.concat_ws("|", F.lit(kind), i.cast("string"), state.a.cast("string"), state.b.cast("string"), state.r.cast("string"))
+        noise = F.conv(F.substring(keyed_hash(key, text), 1, 15), 16, 10).cast("long")
         return F.struct(state.r.alias("l"), ((state.l + noise % state.a) % state.a).alias("r"), state.b.alias("a"), state.a.alias("b"))
 
     start = F.struct(x.cast("long").alias("l"), y.cast("long").alias("r"), a.cast("long").alias("a"), b.cast("long").alias("b"))
@@ -164,7 +177,7 @@ def phone_pseudonym(m: Column, key: str) -> tuple[Column, Column]:
 
 
 def email_pseudonym(m: Column, key: str) -> tuple[Column, Column]:
-    name = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 16)
+    name = F.substring(keyed_hash(key, F.concat_ws("|", F.lit("email"), F.lower(m))), 1, 16)
     return m.contains("@"), F.concat(F.lit("u"), name, F.lit("@example.invalid"))
 
 
@@ -182,13 +195,18 @@ def equals(kind: str):
     return lambda k: F.when(k == kind, True)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """The columns of docs with the text's personal data replaced, and pii: a map from kind to how many were replaced.
 
+    Without a key, here or in KEY_SETTING, it raises ValueError.
+
     A null text stays null with an empty map, an empty text stays empty. Long texts are searched whole. Null ids, ties and repeated
     rows pass through, equal values get equal pseudonyms in all rows. A column named pii is replaced. An empty table gives
     an empty result. What isn't valid stays as it is.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"no key: give one, or set {KEY_SETTING}")
     names = [c for c in docs.columns if c != "pii"]
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
     t = f"c{names.index(text)}"

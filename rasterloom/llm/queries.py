@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,8 +62,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the pseudonymised text, and how many values of each kind were replaced in it."""
-    found = pii.pseudonymise(table(spark, sf_dir, "documents"))
+    """doc_id, the pseudonymised text, and how many values of each kind were replaced in it.
+
+    The key is the session's; where it has none, one is drawn for this run, and pseudonyms of other runs don't match.
+    """
+    key = spark.conf.get(pii.KEY_SETTING, None) or secrets.token_hex(16)
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), key=key)
     counts = [F.coalesce(F.try_element_at("pii", F.lit(k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", "text", *counts)
 
