@@ -1,37 +1,37 @@
 """Secret scans: candidates by one pattern, false positives removed by a random forest, in DataFrame functions only.
 
 A candidate is a long run of key characters with a digit or a known prefix, what is assigned to a name like "password" or
-"access_key_id", or a private key block. The forest sees its length, its transitions between kinds of characters, how much of it a small dictionary covers, whether it
-stands in a path, and the words beside it. It is grown on the driver from labelled findings, a small table, and compiled into
-one column expression; texts are then searched and redacted inside Spark's own operators.
+"access_key_id", or a private key block. The forest sees its length, its transitions between kinds of characters, how much of it
+a dictionary covers (the most frequent whole words of a public vocabulary), whether it stands in a path, and the words beside
+it. It is grown on the driver from labelled findings, a small table, and compiled into one column expression; texts are then
+searched and redacted inside Spark's own operators.
+
+There are no labelled findings among the public tables, so labelled_findings() makes some by rule. Whoever has real ones (before,
+candidate, after, label) passes them to train() instead.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY_WORDS = "passw(?:or)?d|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer"
 PLAIN_WORDS = "commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|revision|build|version|isbn|card|phone|invoice|order|serial|example|placeholder|dummy|sample|image|etag|integrity"
-#: Words whose letters in a candidate speak for a name rather than a key.
-DICTIONARY = (
-    "access account address admin alpha amount animal api apple array audio auth backup base beta block board book browser buffer build button cache camera change channel child class client cloud code "
-    "color column common config content context copy count create custom data database date debug default delete demo design detail device display document domain download driver dummy element email "
-    "engine entry error event example export factory field file filter folder font format frame function future game gamma gateway global graph group handler header height helper history home host image "
-    "import index info input insert item journal label language large layer layout left length level library light line link list loader local location lock login logo machine main manager market master "
-    "media member memory menu message method mobile model module monitor month name network node note number object office option order output owner package page panel parent park parser password path pattern"
-).split()
+#: Where the dictionary is read from, how many of its words count, and of which lengths.
+VOCABULARY, DICTIONARY_WORDS, WORD_LENGTHS = public_tokenizers.path("word_bpe_49k.json"), 4000, (4, 14)
 #: What may stand between a key word and its "=": "_id", "_key_base", "KeyId", a plural.
 SUFFIX = r"[sS]?(?:[_.\-][A-Za-z0-9_.\-]{1,24}|(?<=[a-z])[A-Z][A-Za-z0-9]{0,23}|(?i:keys?|ids?|value))?"
 KNOWN_PREFIX = "(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|sk_live_|sk-|eyJ|glpat-)"
 SCHEME = "(?i:bearer|basic|token)"
 #: Up to the END line; where there is none (or another block starts first), header lines and lines of base64.
 BLOCK = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^\-]*+(?:-(?!----(?:BEGIN|END) )[^\-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[^\-]*+(?:-(?!----(?:BEGIN|END) )[^\-]*+)*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
     r"|(?:\s++[A-Za-z][A-Za-z\-]*+: [^\n]*+)*+(?:(?:\s|\\[rn])++[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?<=[A-Za-z0-9+/]{16})\r?\n[A-Za-z0-9+/]{1,15}+={0,2}(?=\s*(?:\n|$)))?)"
 )
 CANDIDATE = (
@@ -43,16 +43,34 @@ CANDIDATE = (
 HINT = rf"[0-9]|-----BEGIN|{KNOWN_PREFIX}|(?i:{KEY_WORDS}){SUFFIX}[\"']?[ \t]{{0,2}}[=:]"
 BEFORE, AFTER = 48, 24
 MASK = "[secret]"
+#: Parts of the names that harmless findings are made of.
+NAMES = (
+    "acl agent archive asset axis bin blob bridge bucket bundle byte callback canvas catalog cell chart chunk codec cookie cron cursor daemon delta digest dispatch dump edge encoder endpoint epoch fetch fixture flag fork "
+    "gauge glob grid guard hook icon inbox ingest jar job kernel knob lambda ledger lint locale lookup macro manifest merge mock mutex nav node npm opcode outbox parser patch pixel plugin probe proxy query queue quota "
+    "raster regex render repo resolver retry route runner sandbox scan schema scope seed shard shell sidebar slot socket span stack stub sync task tenant thread token track tuple unit upload vault vendor view vue watch widget window worker xml yaml yield zone zoom"
+).split()
 FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal", "repeats", "dictionary", "path", "in_path", "key_word", "plain_word", "assigned", "block", "known_prefix")
 TREES, DEPTH, SEED, FINDINGS = 25, 6, 11, 3000
 
 
-def features(candidate: Column, before: Column, after: Column) -> Column:
-    """A struct of FEATURES, doubles."""
+@cache
+def dictionary(path: str = VOCABULARY) -> tuple[str, ...]:
+    """The first DICTIONARY_WORDS whole words (letters a to z) of a vocabulary with word ends, most frequent first."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    low, high = WORD_LENGTHS
+    whole = (t[:-4] for t, _ in sorted(vocab.items(), key=lambda x: x[1]) if t.endswith("</w>"))
+    words = [w for w in whole if low <= len(w) <= high and w.isascii() and w.isalpha() and w.islower()]
+    return tuple(words[:DICTIONARY_WORDS])
+
+
+def features(candidate: Column, before: Column, after: Column, words: tuple[str, ...]) -> Column:
+    """A struct of FEATURES, doubles; words are those of the dictionary."""
     n = F.length(candidate).cast("double")
     low = F.lower(candidate)
     turn = r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])|(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])"
-    words = "|".join(sorted((w for w in DICTIONARY if len(w) >= 4), key=lambda w: (-len(w), w)))
+    runs = F.split(candidate, r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+    covered = F.aggregate(F.filter(runs, lambda w: F.lower(w).isin(*words)), F.lit(0), lambda total, w: total + F.length(w))
     values = {
         "length": n,
         "transitions": F.regexp_count(candidate, F.lit(turn)) / n,
@@ -61,7 +79,7 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
         "distinct": F.size(F.array_distinct(F.split(candidate, ""))) / n,
         "hexadecimal": low.rlike("^[0-9a-f]+$"),
         "repeats": F.regexp_count(candidate, F.lit(r"(.)\1+")) / n,
-        "dictionary": (n - F.length(F.regexp_replace(low, words, ""))) / n,
+        "dictionary": covered / n,
         "path": F.regexp_count(candidate, F.lit("[/_-]")) / n,
         "in_path": before.rlike(r"(?:://|/|\\)\S*$") | after.rlike(r"^(?:\.[a-z]{2,4}\b|/)"),
         "key_word": before.rlike(rf"(?i:{KEY_WORDS}){SUFFIX}[^A-Za-z]{{0,6}}(?:{SCHEME}[ \t]{{1,2}})?$"),
@@ -74,7 +92,10 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEED) -> DataFrame:
-    """(before, candidate, after, label): findings made by rule, from a fixed seed, half of them secrets."""
+    """(before, candidate, after, label): findings made by rule, from a fixed seed, half of them secrets.
+
+    The names in harmless ones are put together from NAMES, whether the dictionary has them or not.
+    """
     draw = np.random.default_rng(seed)
     hexa, upper, base = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     safe = base[:-2] + "_-"
@@ -86,7 +107,7 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
         return of[int(draw.integers(len(of)))]
 
     def name() -> str:
-        return pick("_", "-", "/").join(pick(*DICTIONARY) for _ in range(int(draw.integers(2, 5)))) + str(draw.integers(1, 100))
+        return pick("_", "-", "/").join(pick(*NAMES) for _ in range(int(draw.integers(2, 5)))) + str(draw.integers(1, 100))
 
     def words() -> str:
         return " ".join(some("abcdefghijklmnopqrstuvwxyz", int(draw.integers(2, 9))) for _ in range(4)) + " "
@@ -101,7 +122,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
         if kind == 2:
             return words(), "eyJ" + some(safe, int(draw.integers(40, 90))), "."
         if kind == 3:
-            return words(), "-----BEGIN " + pick("", "RSA ", "EC ") + "PRIVATE KEY-----\n" + some(base, 64), "\n"
+            named = pick("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "PGP PRIVATE KEY BLOCK")
+            headers = pick("", "", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB\n\n")
+            return words(), f"-----BEGIN {named}-----\n{headers}{some(base, 64)}" + pick("", f"\n-----END {named}-----"), "\n"
         value = some(hexa, int(draw.integers(12, 65))) if kind < 6 else some(safe, int(draw.integers(10, 44)))
         return words() + key, value.upper() if key.isupper() else value, pick('"', " ", "\n", '"!!')
 
@@ -124,7 +147,7 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
             return words(), pick("_", "-", "=")[0:0] + pick("0", "1", "a1", "x0") * int(draw.integers(10, 20)), " "
         if kind == 7:
             return words() + pick("image/png;base64,", "integrity sha256-", "etag: "), some(base, int(draw.integers(24, 80))), " "
-        return words() + pick("", "on ", "at "), f"{draw.integers(1990, 2030)}-{draw.integers(10, 13)}-{draw.integers(10, 29)}" + pick("-", "_") + pick(*DICTIONARY) + "-" + str(draw.integers(10)), " "
+        return words() + pick("", "on ", "at "), f"{draw.integers(1990, 2030)}-{draw.integers(10, 13)}-{draw.integers(10, 29)}" + pick("-", "_") + pick(*NAMES) + "-" + str(draw.integers(10)), " "
 
     made = [(*(secret() if i % 2 else harmless()), i % 2) for i in range(rows)]
     rows_json = json.dumps([dict(zip(("before", "candidate", "after", "label"), m, strict=True)) for m in made])
@@ -138,6 +161,7 @@ Tree = tuple  # (share,) or (feature, cut, below, above)
 @dataclass(frozen=True)
 class Forest:
     trees: tuple[Tree, ...]
+    words: tuple[str, ...]  # the dictionary
 
 
 def grow(x: np.ndarray, y: np.ndarray, draw, depth: int) -> Tree:
@@ -162,18 +186,19 @@ def grow(x: np.ndarray, y: np.ndarray, draw, depth: int) -> Tree:
     return j, at, grow(x[below], y[below], draw, depth - 1), grow(x[~below], y[~below], draw, depth - 1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Forest:
+def fit(x: np.ndarray, y: np.ndarray, words: tuple[str, ...], seed: int = SEED) -> Forest:
     """Trees on bootstrap samples, each split over a few features drawn anew."""
     draw = np.random.default_rng(seed)
     samples = (draw.integers(0, len(y), len(y)) for _ in range(TREES if len(y) else 0))
-    return Forest(tuple(grow(x[i], y[i], draw, DEPTH) for i in samples))
+    return Forest(tuple(grow(x[i], y[i], draw, DEPTH) for i in samples), words)
 
 
-def train(findings: DataFrame) -> Forest:
+def train(findings: DataFrame, vocabulary: str = VOCABULARY) -> Forest:
     """A forest from (before, candidate, after, label); the findings are a small table, checked and labelled by hand or rule."""
-    rows = findings.select(features(F.col("candidate"), F.col("before"), F.col("after")).alias("f"), "label").select("f.*", "label").collect()
+    words = dictionary(vocabulary)
+    rows = findings.select(features(F.col("candidate"), F.col("before"), F.col("after"), words).alias("f"), "label").select("f.*", "label").collect()
     rows = sorted(tuple(r) for r in rows)
-    return fit(np.array([r[:-1] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[-1] for r in rows], float))
+    return fit(np.array([r[:-1] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[-1] for r in rows], float), words)
 
 
 def compiled(forest: Forest, of: Column) -> Column:
@@ -207,7 +232,7 @@ def scan(docs: DataFrame, forest: Forest, text: str = "text", threshold: float =
 
     def seen(c: Column, i: Column) -> Column:
         before, after = F.get("parts", i), F.get("parts", i + 1)
-        return F.struct(c.alias("c"), features(c, F.right(before, F.lit(BEFORE)), F.left(after, F.lit(AFTER))).alias("f"))
+        return F.struct(c.alias("c"), features(c, F.right(before, F.lit(BEFORE)), F.left(after, F.lit(AFTER)), forest.words).alias("f"))
 
     step = step.withColumn("seen", F.transform("found", seen))
     step = step.withColumn("seen", F.transform("seen", lambda s: F.struct(s.c.alias("secret"), compiled(forest, s.f).alias("score"))))
