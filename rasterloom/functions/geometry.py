@@ -74,6 +74,30 @@ def boxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["minx"] <= b["maxx"]) & (a["maxx"] >= b["minx"]) & (a["miny"] <= b["maxy"]) & (a["maxy"] >= b["miny"])
 
 
+def ring_meets_box(ring: Column, minx: float, miny: float, maxx: float, maxy: float) -> Column:
+    """Whether a closed ring of points (x, y) and a literal box share a point: a vertex lies in the box, a corner in the ring,
+    or an edge crosses a side. Null for a null ring."""
+    edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2")))
+    vertex = F.exists(ring, lambda p: p.x.between(minx, maxx) & p.y.between(miny, maxy))
+
+    def crosses(at: float, low: float, high: float, along: str, across: str) -> Column:
+        def one(e: Column) -> Column:
+            a1, a2, c1, c2 = e[f"{along}1"], e[f"{along}2"], e[f"{across}1"], e[f"{across}2"]
+            return F.coalesce(((a1 <= at) != (a2 <= at)) & (c1 + (c2 - c1) * F.try_divide(F.lit(at) - a1, a2 - a1)).between(low, high), F.lit(False))
+
+        return F.exists(edges, one)
+
+    def holds(x: float, y: float) -> Column:
+        def one(inside: Column, e: Column) -> Column:
+            cut = ((e.y1 > y) != (e.y2 > y)) & (F.lit(x) < (e.x2 - e.x1) * F.try_divide(F.lit(y) - e.y1, e.y2 - e.y1) + e.x1)
+            return inside != F.coalesce(cut, F.lit(False))
+
+        return F.aggregate(edges, F.lit(False), one)
+
+    sides = crosses(minx, miny, maxy, "x", "y") | crosses(maxx, miny, maxy, "x", "y") | crosses(miny, minx, maxx, "y", "x") | crosses(maxy, minx, maxx, "y", "x")
+    return vertex | sides | holds(minx, miny)  # without a crossing all corners are inside, or none
+
+
 def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     """Even-odd test against a ring of literal vertices, closed or not."""
     points = ring if ring[0] != ring[-1] else ring[:-1]

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.functions.geometry import area_box, boxes_meet, check_dates
+from rasterloom.functions.geometry import area_box, boxes_meet, check_dates, ring_meets_box
 from rasterloom.functions.scalar import scene_label
 
 COLLECTION = "sentinel-2-l2a"
 
 
 def search(items: DataFrame, area, start: str, end: str, max_cloud: float = 40, collections=(COLLECTION,)) -> DataFrame:
-    """Items of the collections whose box meets the area, dated within both days, with less cloud than max_cloud.
+    """Items of the collections whose footprint meets the area, dated within both days, with less cloud than max_cloud.
 
-    Items without a cloud cover don't match. The bounds are literals over plain columns, so all of them reach the scan.
+    Items without a cloud cover don't match. The bounds are literals over plain columns, so all of them reach the scan; where
+    items have their footprint's ring, those whose box alone meets the area's box are left out after that. An area is its box.
     """
     check_dates(start, end)
     minx, miny, maxx, maxy = area_box(area)
@@ -22,13 +23,24 @@ def search(items: DataFrame, area, start: str, end: str, max_cloud: float = 40,
     found = items.filter(F.col("collection").isin(*collections))
     found = found.filter((F.col("datetime") >= F.lit(start).cast("timestamp_ntz")) & (F.col("datetime") < day_after) & (F.col("cloud_cover") < max_cloud))
     own = {c: F.col(c) for c in ("minx", "miny", "maxx", "maxy")}
-    return found.filter(boxes_meet(own, {"minx": F.lit(minx), "miny": F.lit(miny), "maxx": F.lit(maxx), "maxy": F.lit(maxy)}))
+    found = found.filter(boxes_meet(own, {"minx": F.lit(minx), "miny": F.lit(miny), "maxx": F.lit(maxx), "maxy": F.lit(maxy)}))
+    return found.filter(F.coalesce(ring_meets_box(F.col("ring"), minx, miny, maxx, maxy), F.lit(True))) if "ring" in found.columns else found
 
 
-def in_area(items: DataFrame, areas: DataFrame) -> DataFrame:
-    """Items that meet any of several areas (minx, miny, maxx, maxy): a semi-join on the boxes."""
+def cells(box: dict[str, Column], degrees: float = 1.0) -> Column:
+    """The numbers of the cells, some degrees wide, that a box touches: 64,800 of one degree for the whole globe."""
+    x, y = (F.sequence(F.floor(box[f"min{c}"] / degrees), F.floor(box[f"max{c}"] / degrees)) for c in "xy")
+    return F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+
+def in_area(items: DataFrame, areas: DataFrame, key: str = "item_id") -> DataFrame:
+    """Items that meet any of several areas (minx, miny, maxx, maxy): boxes meet in a common cell of a coarse grid, so
+    both tables may be large."""
     a, b = ({c: F.col(f"{t}.{c}") for c in ("minx", "miny", "maxx", "maxy")} for t in ("i", "a"))
-    return items.alias("i").join(areas.alias("a"), boxes_meet(a, b), "left_semi")
+    sides = ("minx", "miny", "maxx", "maxy")
+    own, given = (t.select(*more, *sides, F.explode(cells({c: F.col(c) for c in sides})).alias("cell")) for t, more in ((items, [key]), (areas, [])))
+    met = own.alias("i").join(given.alias("a"), (F.col("i.cell") == F.col("a.cell")) & boxes_meet(a, b), "left_semi").select(key).distinct()
+    return items.join(met, key, "left_semi")
 
 
 def least_cloudy(items: DataFrame, by_year: bool = False) -> DataFrame:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.geometry import envelope, pixel_centre, to_utm, window_of
+from rasterloom.functions.geometry import area_box, box_ring, envelope, pixel_centre, to_utm, window_of
+from rasterloom.operators.raster import few
 from rasterloom.schemas import BAND_ASSETS
 
 
@@ -20,7 +21,7 @@ def measured(px: DataFrame, keys: list[str], epsg: int, origin: tuple[float, flo
 
 def referenced(px: DataFrame, grids: DataFrame, keys: list[str]) -> DataFrame:
     """Pixels with their grid's reference system and their centres' coordinates."""
-    wide = px.drop("x", "y").join(grids.select(*keys, "epsg", "origin_x", "origin_y", "res_x", "res_y"), keys)
+    wide = px.drop("x", "y").join(few(grids.select(*keys, "epsg", "origin_x", "origin_y", "res_x", "res_y")), keys)
     x, y = pixel_centre(F.col("col"), F.col("origin_x"), F.col("res_x")), pixel_centre(F.col("row"), F.col("origin_y"), F.col("res_y"))
     return wide.withColumns({"x": x, "y": y}).drop("origin_x", "origin_y", "res_x", "res_y")
 
@@ -35,11 +36,17 @@ def window_transform(col_off: Column, row_off: Column, origin: tuple[float, floa
     return {"a": F.lit(res[0]), "c": F.lit(origin[0]) + col_off * F.lit(res[0]), "e": F.lit(res[1]), "f": F.lit(origin[1]) + row_off * F.lit(res[1])}
 
 
-def projected_envelope(ring: Column, zone: int) -> dict[str, Column]:
+def utm_of(epsg: Column) -> tuple[Column, Column]:
+    """The zone and whether it is a southern one, of a WGS 84 grid's code (326 or 327 and the zone)."""
+    return epsg % 100, F.floor(epsg / 100) == 327
+
+
+def projected_envelope(ring: Column, zone: int | Column, south: Column | None = None) -> dict[str, Column]:
     """The box around a ring of longitudes and latitudes once its vertices are projected; larger than the ring itself."""
+    zone = zone if isinstance(zone, Column) else F.lit(zone)
 
     def moved(p: Column) -> Column:
-        east, north = to_utm(p.x, p.y, F.lit(zone))
+        east, north = to_utm(p.x, p.y, zone, south)
         return F.struct(east.alias("x"), north.alias("y"))
 
     return envelope(F.transform(ring, moved))
@@ -51,6 +58,18 @@ def area_window(ring: Column, zone: int, origin: tuple[float, float], res: tuple
     return window_of(box["minx"], box["miny"], box["maxx"], box["maxy"], *origin, *res)
 
 
+def clip_to_area(px: DataFrame, scenes: DataFrame, area, keys: list[str]) -> DataFrame:
+    """The pixels of scenes (keys, epsg and more columns, few rows) in an area given in degrees, projected for each
+    scene's own reference system, beside the scenes' columns."""
+    ring = box_ring(*(F.lit(v) for v in area_box(area)))
+    if isinstance(area, dict):
+        ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in area["coordinates"][0]))
+    box = projected_envelope(ring, *utm_of(F.col("epsg")))
+    placed = scenes.withColumns({f"_{k}": v for k, v in box.items()})
+    inside = F.col("x").between(F.col("_minx"), F.col("_maxx")) & F.col("y").between(F.col("_miny"), F.col("_maxy"))
+    return px.join(few(placed), keys).filter(inside).drop("_minx", "_miny", "_maxx", "_maxy")
+
+
 def band_assets(items: DataFrame, bands=tuple(BAND_ASSETS)) -> DataFrame:
     """One row for each item and band: the band, its asset key and the asset's address (null if the item lacks it)."""
     pairs = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(BAND_ASSETS[b]).alias("asset")) for b in bands))

@@ -45,10 +45,21 @@ def clip(px: DataFrame, box=None, ring=None, mode: str = "box") -> DataFrame:
     raise ValueError(f"no such clip: {mode}")
 
 
+#: Rows of a small table of grids that may be broadcast (some 60 bytes each).
+BROADCAST_GRIDS = 500_000
+
+
+def few(grids: DataFrame) -> DataFrame:
+    """A table with a row for each grid, to be joined with its pixels: computed once, counted, and broadcast if it is
+    small enough. Pixels then stay where they are; beyond that both sides are shuffled."""
+    kept = grids.persist()
+    return F.broadcast(kept) if kept.count() <= BROADCAST_GRIDS else kept
+
+
 def rebased(px: DataFrame, keys: list[str]) -> DataFrame:
     """row and col counted from the first ones that are left in each grid."""
     first = px.groupBy(*keys).agg(F.min("row").alias("_row"), F.min("col").alias("_col"))
-    return px.join(first, keys).withColumns({"row": F.col("row") - F.col("_row"), "col": F.col("col") - F.col("_col")}).drop("_row", "_col")
+    return px.join(few(first), keys).withColumns({"row": F.col("row") - F.col("_row"), "col": F.col("col") - F.col("_col")}).drop("_row", "_col")
 
 
 def coarsen(px: DataFrame, keys: list[str], factor: int, bands: list[str], coordinates: bool = True, rebase: bool = False) -> DataFrame:
@@ -59,21 +70,17 @@ def coarsen(px: DataFrame, keys: list[str], factor: int, bands: list[str], coord
     top, left = (F.col("_top"), F.col("_left")) if rebase else (F.lit(0), F.lit(0))
     row, col = F.col("row") - top, F.col("col") - left
     height, width = F.col("_bottom") - top + 1, F.col("_right") - left + 1
-    full = px.join(grid, keys).filter((row < F.floor(height / factor) * factor) & (col < F.floor(width / factor) * factor))
+    full = px.join(few(grid), keys).filter((row < F.floor(height / factor) * factor) & (col < F.floor(width / factor) * factor))
     means = [*bands, *(["x", "y"] if coordinates else [])]
     block = [F.floor(row / factor).cast("int").alias("brow"), F.floor(col / factor).cast("int").alias("bcol")]
     return full.groupBy(*keys, *block).agg(*(F.avg(b).alias(b) for b in means))
 
 
 def resample_nearest(fine: DataFrame, coarse: DataFrame, keys: list[str], bands: list[str], factor: int = 2) -> DataFrame:
-    """fine with the coarse grid's bands: each coarse cell covers factor x factor fine ones; null where there is none.
-
-    The coarse rows are spread over the fine grid's indices, so both sides meet on the fine table's own key.
-    """
-    steps = F.array(*(F.lit(i) for i in range(factor)))
-    spread = coarse.select(*keys, "row", "col", *bands).withColumn("_r", F.explode(steps)).withColumn("_c", F.explode(steps))
-    spread = spread.withColumns({"row": F.col("row") * factor + F.col("_r"), "col": F.col("col") * factor + F.col("_c")}).drop("_r", "_c")
-    return fine.join(spread, [*keys, "row", "col"], "left")
+    """fine with the coarse grid's bands: each coarse cell covers factor x factor fine ones; null where there is none."""
+    cell = {f"_{c}": F.floor(F.col(c) / factor).cast("int") for c in ("row", "col")}
+    found = coarse.select(*keys, F.col("row").alias("_row"), F.col("col").alias("_col"), *bands)
+    return fine.withColumns(cell).join(found, [*keys, "_row", "_col"], "left").drop("_row", "_col")
 
 
 def resample_by_position(target: DataFrame, source: DataFrame, keys: list[str], bands: list[str], origin: tuple[float, float], res: tuple[float, float]) -> DataFrame:

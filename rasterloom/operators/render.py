@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalar import as_byte, clipped, safely_divided
-from rasterloom.operators.raster import coarsen
+from rasterloom.operators.raster import coarsen, few
 
 RGB = ("red", "green", "blue")
 
 
-def rgb_stretch(px: DataFrame, keys: list[str], bands=RGB) -> DataFrame:
-    """8-bit colours: all three bands of a grid share one minimum and one maximum; missing values stay null."""
+def rgb_stretch(px: DataFrame, keys: list[str], bands=RGB, suffix: str = "") -> DataFrame:
+    """8-bit colours in the bands' columns, or in others with a suffix: all three bands of a grid share one minimum and one
+    maximum; missing values stay null."""
     low, high = F.min(F.least(*bands)).alias("_low"), F.max(F.greatest(*bands)).alias("_high")
     extent = px.groupBy(*keys).agg(low, high)  # one row for each grid, summed up in the tasks first
-    wide = px.join(extent, keys)
-    share = {b: as_byte(safely_divided(F.col(b) - F.col("_low"), F.col("_high") - F.col("_low"))) for b in bands}
+    wide = px.join(few(extent), keys)
+    share = {b + suffix: as_byte(safely_divided(F.col(b) - F.col("_low"), F.col("_high") - F.col("_low"))) for b in bands}
     return wide.withColumns(share).drop("_low", "_high")
 
 
@@ -27,7 +28,7 @@ def true_color(px: DataFrame, low: float = 0.0, high: float = 0.3, bands=RGB) ->
 def histogram(px: DataFrame, keys: list[str], value: str, bins: int = 50) -> DataFrame:
     """Counts in equal bins between each grid's least and greatest value; the last bin is closed, empty ones are listed."""
     known = px.filter(F.col(value).isNotNull())
-    extent = known.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    extent = few(known.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high")))
     step = (F.col("_high") - F.col("_low")) / F.lit(float(bins))
     # a flat grid has all its values in the first bin
     bin_ = F.least(F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_low"), step)), F.lit(0)), F.lit(bins - 1)).cast("int") + 1
@@ -39,13 +40,14 @@ def histogram(px: DataFrame, keys: list[str], value: str, bins: int = 50) -> Dat
 def cross_section(px: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The middle row of each grid, missing values as gaps; order by col to draw it."""
     middle = px.groupBy(*keys).agg(F.floor((F.max("row") + 1) / 2).cast("int").alias("row"))
-    return px.join(middle, [*keys, "row"]).select(*keys, "row", "col", value)
+    return px.join(few(middle), [*keys, "row"]).select(*keys, "row", "col", value)
 
 
 def value_range(px: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Least and greatest value of each index, for a colour scale."""
-    long = px.unpivot([F.col(k) for k in keys], [F.col(n) for n in names], "index", "value")
-    return long.groupBy(*keys, "index").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    ends = px.groupBy(*keys).agg(*(f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)))
+    each = (F.struct(F.lit(n).alias("index"), F.col(f"min_{n}").alias("low"), F.col(f"max_{n}").alias("high")) for n in names)
+    return ends.select(*keys, F.inline(F.array(*each)))
 
 
 def colour_scaled(px: DataFrame, names: list[str], low: float = -1.0, high: float = 1.0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""End-to-end plans: a single scene, an exploration and the monthly series, each one lazy DataFrame."""
+"""End-to-end plans: a single scene, an exploration and the monthly series, as DataFrames."""
 
 from __future__ import annotations
 
@@ -7,35 +7,52 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.indices import index
 from rasterloom.operators import catalog, raster, render
+from rasterloom.operators.grids import clip_to_area
 
 
-def single_scene(items: DataFrame, px: DataFrame, area, box, start: str, end: str, item_id=None, coarse: DataFrame | None = None, key: str = "grid_id", max_cloud: float = 40) -> DataFrame:
+def placed(px: DataFrame, scenes: DataFrame, area, box, grids: DataFrame | None, key: str) -> DataFrame:
+    """The pixels of a few scenes in the area: projected for each scene's grid where grids (key, epsg) are given, else in a
+    box that is projected already and whose bounds reach the scan."""
+    if grids is None:
+        return raster.clip(px, box).join(F.broadcast(scenes), key)
+    return clip_to_area(px, scenes.join(grids.select(key, "epsg").distinct(), key), area, [key])
+
+
+def single_scene(items: DataFrame, px: DataFrame, area, box, start: str, end: str, item_id=None, coarse: DataFrame | None = None, key: str = "grid_id", max_cloud: float = 40, grids: DataFrame | None = None) -> DataFrame:
     """The newest matching scene (or that with item_id): window clip, 20 m bands brought to 10 m, scaling, colours and safe indices."""
     found = catalog.search(items, area, start, end, max_cloud)
     chosen = catalog.newest(found) if item_id is None else found.filter(F.col("item_id") == item_id)
-    cut = raster.clip(px.drop("swir2", "scl") if coarse is not None else px, box).join(F.broadcast(chosen.select(key, "item_id")), key)  # one row
+    cut = placed(px.drop("swir2", "scl") if coarse is not None else px, chosen.select(key, "item_id"), area, box, grids, key)  # one row
+    wide = render.rgb_stretch(raster.scale_bands(cut), ["item_id"], suffix="_byte")
     if coarse is not None:
-        cut = raster.resample_nearest(cut, coarse, [key], ["swir2", "scl"])
-    scaled = raster.scale_bands(cut)
-    wide = scaled.select("*", index("ndvi_safe"), index("nbr_safe"), index("ndwi_nir_swir2_safe"))
-    colours = render.rgb_stretch(scaled.select("item_id", "row", "col", *render.RGB), ["item_id"]).select("item_id", "row", "col", *(F.col(b).alias(f"{b}_byte") for b in render.RGB))
-    return wide.join(colours, ["item_id", "row", "col"])
+        wide = raster.resample_nearest(wide, raster.scale_bands(coarse), [key], ["swir2", "scl"])
+    return wide.select("*", index("ndvi_safe"), index("nbr_safe"), index("ndwi_nir_swir2_safe"))
 
 
-def explore(px: DataFrame, ring, nodata: int = 0) -> DataFrame:
-    """Masked read, polygon clip, scaling, cloud mask, then the plain indices, in that order."""
-    ready = raster.mask_clouds(raster.scale_bands(raster.clip(raster.mask_nodata(px, nodata), ring=ring, mode="polygon")))
+def explore(px: DataFrame, ring, nodata: int = 0, coarse: DataFrame | None = None, keys: tuple[str, ...] = ("grid_id",)) -> DataFrame:
+    """Masked read, polygon clip, 20 m bands brought to 10 m, scaling, cloud mask, then the plain indices, in that order."""
+    cut = raster.clip(raster.mask_nodata(px if coarse is None else px.drop("swir2", "scl"), nodata), ring=ring, mode="polygon")
+    if coarse is not None:
+        cut = raster.resample_nearest(cut, raster.mask_nodata(coarse, nodata), list(keys), ["swir2", "scl"])
+    ready = raster.mask_clouds(raster.scale_bands(cut))
     return ready.select("*", *(index(n) for n in ("ndvi", "evi", "ndwi_mcfeeters", "nbr")))
 
 
-def monthly_series(items: DataFrame, px: DataFrame, area, box, start: str, end: str, max_cloud: float = 60, factor: int = 2, key: str = "grid_id") -> DataFrame:
-    """(item_id, date, ndvi): the mean red-edge index of each month's least cloudy scene.
+def monthly_blocks(items: DataFrame, px: DataFrame, area, box, start: str, end: str, max_cloud: float = 60, factor: int = 2, key: str = "grid_id", nth: int | None = None, grids: DataFrame | None = None) -> DataFrame:
+    """(item_id, date, brow, bcol, red_edge_ndvi) of each month's least cloudy scene, or of the nth of these by date.
 
     The scenes are chosen before any pixel is read; there is at most one for a month, so they are broadcast to the pixel
-    scan. Blocks are averaged as digital numbers before the ratio. Scenes without a pixel in the box are absent (see skipped).
+    scan. Blocks are averaged as digital numbers before the ratio.
     """
-    chosen = catalog.least_cloudy(catalog.search(items, area, start, end, max_cloud)).select("item_id", F.to_date("datetime").alias("date"), key)
-    cut = raster.clip(raster.mask_nodata(px.select(key, "row", "col", "x", "y", "b05", "b8a")), box).join(F.broadcast(chosen), key)  # 12 rows at most
+    chosen = catalog.least_cloudy(catalog.search(items, area, start, end, max_cloud))
+    chosen = (chosen if nth is None else catalog.nth(chosen, nth)).select("item_id", F.to_date("datetime").alias("date"), key)  # 12 rows at most
+    cut = placed(raster.mask_nodata(px.select(key, "row", "col", "x", "y", "b05", "b8a")), chosen, area, box, grids, key)
     blocks = raster.coarsen(cut, ["item_id", "date"], factor, ["b05", "b8a"], coordinates=False, rebase=True)
-    ndvi = raster.scale_bands(blocks).select("item_id", "date", index("red_edge_ndvi"))
+    return raster.scale_bands(blocks).select("item_id", "date", "brow", "bcol", index("red_edge_ndvi"))
+
+
+def monthly_series(items: DataFrame, px: DataFrame, area, box, start: str, end: str, max_cloud: float = 60, factor: int = 2, key: str = "grid_id", grids: DataFrame | None = None) -> DataFrame:
+    """(item_id, date, ndvi): the mean red-edge index of each month's least cloudy scene. Scenes without a pixel in the area
+    are absent (see skipped)."""
+    ndvi = monthly_blocks(items, px, area, box, start, end, max_cloud, factor, key, grids=grids)
     return ndvi.groupBy("item_id", "date").agg(F.round(F.avg("red_edge_ndvi"), 6).alias("ndvi")).orderBy("date", "item_id")

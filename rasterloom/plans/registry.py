@@ -12,7 +12,9 @@ from rasterloom.functions.indices import CLASSES, INDICES, index, index_class
 from rasterloom.functions.scalar import first_tile
 from rasterloom.operators import catalog, grids, raster, render
 from rasterloom.plans import pipeline
+from rasterloom.schemas import CLOUD_CLASSES
 from rasterloom.sources import fixtures as fx
+from rasterloom.sources import tables
 from rasterloom.sources.tables import areas
 
 AREA = (-122.50, 37.75, -122.40, 37.85)
@@ -112,11 +114,37 @@ def scene_labels(spark, d):
     return catalog.labelled(fx.scenes(spark, d)).select("item_id", "label")
 
 
-@register("scene_pick", f"WITH {fx.SCENE_SQL} SELECT item_id, datetime FROM scene WHERE CAST(item_id AS VARCHAR) || ' — ' || CAST(CAST(datetime AS DATE) AS VARCHAR) || ' — Cloud ' || coalesce(CAST(cloud_cover AS VARCHAR), 'N/A') || '%' = '53 — ' || (SELECT CAST(CAST(datetime AS DATE) AS VARCHAR) FROM scene WHERE item_id = 53) || ' — Cloud N/A%'")
+@register("scene_pick", f"WITH {fx.SCENE_SQL} SELECT item_id, datetime FROM scene WHERE CAST(item_id AS VARCHAR) || ' — ' || CAST(CAST(datetime AS DATE) AS VARCHAR) || ' — Cloud ' || coalesce(CAST(cloud_cover AS VARCHAR), 'N/A') || '%' = '53 — ' || (SELECT CAST(CAST(datetime AS DATE) AS VARCHAR) FROM scene WHERE item_id = 53) || ' — Cloud N/A%' ORDER BY datetime, item_id LIMIT 1")
 def scene_pick(spark, d):
-    own = catalog.labelled(fx.scenes(spark, d))
-    wanted = own.filter("item_id = 53").select("label")
-    return own.join(F.broadcast(wanted), "label", "left_semi").select("item_id", "datetime")  # one row
+    own = fx.scenes(spark, d)
+    shown = catalog.labelled(own).filter("item_id = 53").select("label").first()  # what the user has chosen from a list
+    return catalog.pick(own, shown.label if shown else "").select("item_id", "datetime")
+
+
+@register("scene_search_footprint", f"WITH {fx.SCENE_SQL}, hit AS (SELECT * FROM scene WHERE {SEARCH.format(cloud=40)}) SELECT hit.item_id, hit.datetime FROM hit JOIN base ON base.item_id = hit.item_id WHERE {fx.FOOTPRINT}")
+def scene_search_footprint(spark, d):
+    return catalog.search(fx.footprints(fx.scenes(spark, d)), AREA, *YEAR, 40).select("item_id", "datetime")
+
+
+@register("stac_search", f"WITH {fx.SCENE_SQL}, hit AS (SELECT * FROM scene WHERE {SEARCH.format(cloud=40)}) SELECT CAST(hit.item_id AS VARCHAR) AS item_id, hit.datetime, hit.cloud_cover FROM hit JOIN base ON base.item_id = hit.item_id WHERE {fx.FOOTPRINT}")
+def stac_search(spark, d):
+    """The catalogue as STAC JSON, read again and searched."""
+    path = tables.shared_path(spark, "stac")
+    tables.write_stac(fx.footprints(fx.scenes(spark, d)), path)
+    return catalog.search(tables.read_stac(spark, path), AREA, *YEAR, 40).select("item_id", "datetime", "cloud_cover")
+
+
+@register("items_search", f"WITH {fx.SCENE_SQL}, hit AS (SELECT * FROM scene WHERE {SEARCH.format(cloud=20)}) SELECT hit.item_id, hit.datetime FROM hit JOIN base ON base.item_id = hit.item_id WHERE {fx.FOOTPRINT}")
+def items_search(spark, d):
+    """The catalogue as Parquet, read again and searched: all bounds reach its scan."""
+    path = tables.shared_path(spark, "items")
+    fx.footprints(fx.scenes(spark, d)).write.parquet(path)
+    return catalog.search(tables.read_items(spark, path), AREA, *YEAR, 20).select("item_id", "datetime")
+
+
+@register("rendered_preview", f"WITH {fx.SCENE_SQL} SELECT item_id, 'https://data.example.com/' || item_id || '/rendered_preview.tif' AS preview FROM scene")
+def rendered_preview(spark, d):
+    return catalog.asset(fx.footprints(fx.scenes(spark, d)), "rendered_preview", "preview").select("item_id", "preview")
 
 
 @register("monthly_least_cloudy", f"WITH {fx.SCENE_SQL}, f AS (SELECT *, month(datetime) AS month FROM scene WHERE {SEARCH.format(cloud=60)}), g AS (SELECT *, {MONTHLY.format(keys='month')} FROM f) SELECT item_id, datetime, CAST(month AS INTEGER) AS month, cloud_cover FROM g WHERE r = 1")
@@ -237,6 +265,15 @@ clip_query("clip_window", "window")
 clip_query("clip_box", "box")
 
 
+@register("stored_window", f"WITH {fx.PIXEL_SQL} SELECT grid_id AS scene_id, row, col, x, y, nir FROM pixel WHERE grid_id < 4 AND {IN_BOX}")
+def stored_window(spark, d):
+    """A pixel table written for window reads, and one window of some scenes read from it: folders and row groups are pruned."""
+    path = tables.shared_path(spark, "pixels")
+    tables.write_pixels(fx.pixels(spark, d).withColumnRenamed("grid_id", "scene_id"), path)
+    px = tables.read_pixels(spark, path).filter("scene_id < 4")
+    return raster.clip(px, BOX, mode="window").select(F.col("scene_id").cast("long").alias("scene_id"), "row", "col", "x", "y", "nir")
+
+
 def ring_sql() -> str:
     parts = []
     for (x1, y1), (x2, y2) in zip(RING, RING[1:] + RING[:1], strict=True):
@@ -254,16 +291,24 @@ def pixel_coords(spark, d):
     return raster.with_coordinates(fx.pixels(spark, d).drop("x", "y"), fx.ORIGIN, fx.RES).select(*CELL, "x", "y")
 
 
-@register("dataset_outer_align", f"WITH {fx.PIXEL_SQL}, a AS (SELECT grid_id, row, col, red FROM pixel WHERE row % 3 <> 0), b AS (SELECT grid_id, row, col, nir FROM pixel WHERE col % 5 <> 0) SELECT grid_id, row, col, red, nir FROM a FULL JOIN b USING (grid_id, row, col)")
-def dataset_outer_align(spark, d):
+ALIGNED = "a AS (SELECT grid_id, row, col, red FROM pixel WHERE NOT coalesce(scl IN (3, 8, 9, 10, 11), FALSE)), b AS (SELECT grid_id, row, col, nir FROM pixel WHERE nir > green)"
+
+
+def two_bands(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Red where no cloud is, and near infrared where it outshines green: tables of different pixels."""
     px = fx.pixels(spark, d)
-    return raster.aligned([px.filter("row % 3 <> 0").select(*CELL, "red"), px.filter("col % 5 <> 0").select(*CELL, "nir")], CELL)
+    clear = ~F.coalesce(F.col("scl").isin(*CLOUD_CLASSES), F.lit(False))
+    return [px.filter(clear).select(*CELL, "red"), px.filter("nir > green").select(*CELL, "nir")]
+
+
+@register("dataset_outer_align", f"WITH {fx.PIXEL_SQL}, {ALIGNED} SELECT grid_id, row, col, red, nir FROM a FULL JOIN b USING (grid_id, row, col)")
+def dataset_outer_align(spark, d):
+    return raster.aligned(two_bands(spark, d), CELL)
 
 
-@register("dataset_inner_align", f"WITH {fx.PIXEL_SQL} SELECT grid_id, row, col, red, nir FROM pixel WHERE row % 3 <> 0 AND col % 5 <> 0")
+@register("dataset_inner_align", f"WITH {fx.PIXEL_SQL}, {ALIGNED} SELECT grid_id, row, col, red, nir FROM a JOIN b USING (grid_id, row, col)")
 def dataset_inner_align(spark, d):
-    px = fx.pixels(spark, d)
-    return raster.aligned([px.filter("row % 3 <> 0").select(*CELL, "red"), px.filter("col % 5 <> 0").select(*CELL, "nir")], CELL, "inner")
+    return raster.aligned(two_bands(spark, d), CELL, "inner")
 
 
 @register("band_stack_long", f"WITH {fx.PIXEL_SQL} SELECT grid_id, row, col, band, value FROM pixel UNPIVOT INCLUDE NULLS (value FOR band IN (red, green, blue))")
@@ -345,17 +390,18 @@ def bbox_center(spark, d):
     return fx.scenes(spark, d).select("item_id", *(c.alias(n) for n, c in centre.items()))
 
 
-def utm_sql() -> str:
+def utm_sql(middle: str = "-123e0", more: str = "item_id", shift: str = "") -> str:
     n = geo.FLATTENING / (2 - geo.FLATTENING)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     scale = geo.GRID_SCALE * geo.MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     e = 2 * n**0.5 / (1 + n)
     east = " + ".join(["eta", *(f"{a!r} * cos({2 * j}e0 * xi) * sinh({2 * j}e0 * eta)" for j, a in enumerate(alpha, 1))])
     north = " + ".join(["xi", *(f"{a!r} * sin({2 * j}e0 * xi) * cosh({2 * j}e0 * eta)" for j, a in enumerate(alpha, 1))])
+    rest = more.removeprefix("item_id")
     return (
-        f"t AS (SELECT item_id, sinh(atanh(sin(radians(lat))) - {e!r} * atanh({e!r} * sin(radians(lat)))) AS t, radians(lon + 123e0) AS away FROM centre), "
-        f"u AS (SELECT item_id, atan(t / cos(away)) AS xi, atanh(sin(away) / sqrt(1e0 + t * t)) AS eta FROM t) "
-        f"SELECT item_id, floor((500000e0 + {scale!r} * ({east})) * 1e3 + 5e-1) / 1e3 AS east, floor(({scale!r} * ({north})) * 1e3 + 5e-1) / 1e3 AS north FROM u"
+        f"t AS (SELECT {more}, sinh(atanh(sin(radians(lat))) - {e!r} * atanh({e!r} * sin(radians(lat)))) AS t, radians(lon - {middle}) AS away FROM centre), "
+        f"u AS (SELECT {more}, atan(t / cos(away)) AS xi, atanh(sin(away) / sqrt(1e0 + t * t)) AS eta FROM t) "
+        f"SELECT item_id, floor((500000e0 + {scale!r} * ({east})) * 1e3 + 5e-1) / 1e3 AS east, floor(({shift}{scale!r} * ({north})) * 1e3 + 5e-1) / 1e3 AS north{rest} FROM u"
     )
 
 
@@ -369,6 +415,18 @@ def aoi_to_utm(spark, d):
     return fx.scenes(spark, d).select("item_id", cut(east).alias("east"), cut(north).alias("north"))
 
 
+@register("aoi_to_utm_zones", f"WITH {SPOTS}, centre AS (SELECT id AS item_id, lat, lon, CAST(floor((lon + 180e0) / 6) AS INTEGER) + 1 AS zone FROM spot), " + utm_sql("(zone * 6 - 183)", "item_id, zone, lat", "CASE WHEN lat < 0 THEN 10000000e0 ELSE 0e0 END + "))
+def aoi_to_utm_zones(spark, d):
+    """Points of both hemispheres, each in its own zone."""
+    zone = geo.utm_zone(F.col("lon"))
+    east, north = geo.to_utm(F.col("lon"), F.col("lat"), zone, F.col("lat") < 0)
+
+    def cut(c):  # to the millimetre
+        return F.floor(c * F.lit(1e3) + F.lit(0.5)).cast("double") / F.lit(1e3)
+
+    return spots(spark, d).select(F.col("id").alias("item_id"), cut(east).alias("east"), cut(north).alias("north"), zone.alias("zone"), "lat")
+
+
 WINDOW_BOX = "(543990e0 + (item_id % 50) * 7e0) AS bx0, (4188000e0 + (item_id % 40) * 9e0) AS by0, (544300e0 + (item_id % 50) * 7e0) AS bx1, (4188500e0 + (item_id % 40) * 9e0) AS by1"
 
 
@@ -385,11 +443,9 @@ def aoi_geojson(spark, d):
     return fx.read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), geo.feature_collection(geo.box_ring(x0, y0, x0 + 1, y0 + 1)).alias("geojson"))
 
 
-@register("geocode_lookup", f"WITH {fx.PLACE_SQL} SELECT name, lat, lon, address FROM place WHERE lower(name) = lower((SELECT n_name FROM nation WHERE n_nationkey = 7)) ORDER BY name, address LIMIT 1")
+@register("geocode_lookup", f"WITH {fx.PLACE_SQL} SELECT name, lat, lon, address FROM place WHERE lower(name) = 'nation_7' ORDER BY name, address LIMIT 1")
 def geocode_lookup(spark, d):
-    asked = fx.read(spark, d, "nation").filter("n_nationkey = 7").select(F.lower("n_name").alias("q"))
-    places = fx.places(spark, d)
-    return places.join(F.broadcast(asked), F.lower("name") == F.col("q"), "left_semi").orderBy("name", "address").limit(1)
+    return catalog.geocode(fx.places(spark, d), " Nation_7 ")
 
 
 @register("tilejson_first", f"WITH {fx.TILE_SQL} SELECT event_id, json_extract_string(body, '$.tiles[0]') AS tile FROM tile")
@@ -451,29 +507,69 @@ def band_assets(spark, d):
 
 # ---- end to end ----
 
-@register(
-    "ndvi_time_series",
-    f"WITH {fx.SCENE_SQL}, {fx.PIXEL_SQL}, f AS (SELECT *, month(datetime) AS month FROM scene WHERE {SEARCH.format(cloud=60)}), g AS (SELECT *, {MONTHLY.format(keys='month')} FROM f), "
-    f"c AS (SELECT item_id, CAST(datetime AS DATE) AS date, row, col, CAST(nullif(b05, 0) AS DOUBLE) AS b05, CAST(nullif(b8a, 0) AS DOUBLE) AS b8a FROM pixel JOIN g USING (grid_id) WHERE r = 1 AND {IN_BOX}), "
-    "z AS (SELECT item_id, min(row) AS r0, min(col) AS c0, max(row) - min(row) + 1 AS h, max(col) - min(col) + 1 AS w FROM c GROUP BY item_id), "
-    "b AS (SELECT item_id, date, (row - r0) // 2 AS br, (col - c0) // 2 AS bc, avg(b05) * 1e-4 AS b05, avg(b8a) * 1e-4 AS b8a FROM c JOIN z USING (item_id) WHERE row - r0 < h // 2 * 2 AND col - c0 < w // 2 * 2 GROUP BY ALL) "
-    "SELECT item_id, date, round(avg((b8a - b05) / nullif(b8a + b05, 0e0)), 6) AS ndvi FROM b GROUP BY item_id, date",
+def chosen_blocks_sql(inside: str, only: str = "") -> str:
+    return (
+        f"f AS (SELECT *, month(datetime) AS month FROM scene WHERE {SEARCH.format(cloud=60)}), g0 AS (SELECT *, {MONTHLY.format(keys='month')} FROM f), g AS (SELECT * FROM g0 WHERE r = 1{only}), "
+        f"c AS (SELECT item_id, CAST(datetime AS DATE) AS date, row, col, CAST(nullif(b05, 0) AS DOUBLE) AS b05, CAST(nullif(b8a, 0) AS DOUBLE) AS b8a FROM pixel JOIN g USING (grid_id) WHERE {inside}), "
+        "z AS (SELECT item_id, min(row) AS r0, min(col) AS c0, max(row) - min(row) + 1 AS h, max(col) - min(col) + 1 AS w FROM c GROUP BY item_id), "
+        "b AS (SELECT item_id, date, CAST((row - r0) // 2 AS INTEGER) AS br, CAST((col - c0) // 2 AS INTEGER) AS bc, avg(b05) * 1e-4 AS b05, avg(b8a) * 1e-4 AS b8a FROM c JOIN z USING (item_id) WHERE row - r0 < h // 2 * 2 AND col - c0 < w // 2 * 2 GROUP BY ALL) "
+    )
+
+
+SERIES_SQL = "SELECT item_id, date, round(avg((b8a - b05) / nullif(b8a + b05, 0e0)), 6) AS ndvi FROM b GROUP BY item_id, date"
+#: The box of AREA in the grids' zone, from its corners.
+AREA_SQL = (
+    "centre AS (SELECT * FROM (VALUES (0, -122.50e0, 37.75e0), (0, -122.40e0, 37.75e0), (0, -122.50e0, 37.85e0), (0, -122.40e0, 37.85e0)) k(item_id, lon, lat)), "
+    + utm_sql().replace(" SELECT item_id, floor((500000e0", ", v AS (SELECT item_id, floor((500000e0")
+    + "), env AS (SELECT min(east) AS x0, min(north) AS y0, max(east) AS x1, max(north) AS y1 FROM v)"
 )
+IN_AREA = "x BETWEEN (SELECT x0 FROM env) AND (SELECT x1 FROM env) AND y BETWEEN (SELECT y0 FROM env) AND (SELECT y1 FROM env)"
+
+
+def grid_table(spark: SparkSession, d: str) -> DataFrame:
+    return grids.measured(fx.pixels(spark, d), GRID, 32610, fx.ORIGIN, fx.RES)
+
+
+@register("ndvi_time_series", f"WITH {fx.SCENE_SQL}, {fx.PIXEL_SQL}, {chosen_blocks_sql(IN_BOX)}{SERIES_SQL}")
 def ndvi_time_series(spark, d):
     return pipeline.monthly_series(fx.scenes(spark, d), fx.pixels(spark, d), AREA, BOX, *YEAR)
 
 
+@register("ndvi_time_series_of_area", f"WITH {fx.SCENE_SQL}, {fx.PIXEL_SQL}, {AREA_SQL}, {chosen_blocks_sql(IN_AREA)}{SERIES_SQL}")
+def ndvi_time_series_of_area(spark, d):
+    """The area is projected for each scene's grid."""
+    return pipeline.monthly_series(fx.scenes(spark, d), fx.pixels(spark, d), AREA, None, *YEAR, grids=grid_table(spark, d))
+
+
 @register(
-    "single_scene",
-    f"WITH {fx.SCENE_SQL}, {fx.PIXEL_SQL}, {fx.COARSE_SQL}, one AS (SELECT item_id, grid_id FROM scene WHERE {SEARCH.format(cloud=40)} ORDER BY datetime DESC, item_id LIMIT 1), "
-    f"s AS (SELECT item_id, p.row, p.col, red * 1e-4 AS red, green * 1e-4 AS green, blue * 1e-4 AS blue, nir * 1e-4 AS nir, c.swir2 * 1e-4 AS swir2 FROM pixel p JOIN one USING (grid_id) LEFT JOIN coarse c ON c.grid_id = p.grid_id AND c.row = p.row // 2 AND c.col = p.col // 2 WHERE {IN_BOX}), "
-    "e AS (SELECT min(least(red, green, blue)) AS lo, max(greatest(red, green, blue)) AS hi FROM s) "
-    f"SELECT item_id, row, col, {SQL_INDEX['ndvi_safe']} AS ndvi, {SQL_INDEX['nbr_safe']} AS nbr, {SQL_INDEX['ndwi_nir_swir2_safe']} AS ndwi, {', '.join(f'CAST(floor(({b} - lo) / (hi - lo + 1e-6) * 255) AS INTEGER) AS {b}_byte' for b in render.RGB)} FROM s, e",
+    "ndvi_pixels_of_month",
+    f"WITH {fx.SCENE_SQL}, {fx.PIXEL_SQL}, {AREA_SQL}, {chosen_blocks_sql(IN_AREA, ' ORDER BY datetime, item_id LIMIT 1 OFFSET 2')}SELECT item_id, date, br AS brow, bc AS bcol, (b8a - b05) / nullif(b8a + b05, 0e0) AS ndvi FROM b",
 )
-def single_scene(spark, d):
-    px = fx.pixels(spark, d)
-    out = pipeline.single_scene(fx.scenes(spark, d), px, AREA, BOX, *YEAR, coarse=fx.coarse_pixels(px))
-    return out.select("item_id", "row", "col", F.col("ndvi_safe").alias("ndvi"), F.col("nbr_safe").alias("nbr"), F.col("ndwi_nir_swir2_safe").alias("ndwi"), *(f"{b}_byte" for b in render.RGB))
+def ndvi_pixels_of_month(spark, d):
+    """The map of the third scene of the series."""
+    blocks = pipeline.monthly_blocks(fx.scenes(spark, d), fx.pixels(spark, d), AREA, None, *YEAR, nth=2, grids=grid_table(spark, d))
+    return blocks.select("item_id", "date", "brow", "bcol", F.col("red_edge_ndvi").alias("ndvi"))
+
+
+def single_scene_sql(inside: str, more: str = "") -> str:
+    return (
+        f"WITH {fx.SCENE_SQL}, {fx.PIXEL_SQL}, {fx.COARSE_SQL}, {more}one AS (SELECT item_id, grid_id FROM scene WHERE {SEARCH.format(cloud=40)} ORDER BY datetime DESC, item_id LIMIT 1), "
+        f"s AS (SELECT item_id, p.row, p.col, red * 1e-4 AS red, green * 1e-4 AS green, blue * 1e-4 AS blue, nir * 1e-4 AS nir, c.swir2 * 1e-4 AS swir2 FROM pixel p JOIN one USING (grid_id) LEFT JOIN coarse c ON c.grid_id = p.grid_id AND c.row = p.row // 2 AND c.col = p.col // 2 WHERE {inside}), "
+        "e AS (SELECT min(least(red, green, blue)) AS lo, max(greatest(red, green, blue)) AS hi FROM s) "
+        f"SELECT item_id, row, col, {SQL_INDEX['ndvi_safe']} AS ndvi, {SQL_INDEX['nbr_safe']} AS nbr, {SQL_INDEX['ndwi_nir_swir2_safe']} AS ndwi, {', '.join(f'CAST(floor(({b} - lo) / (hi - lo + 1e-6) * 255) AS INTEGER) AS {b}_byte' for b in render.RGB)} FROM s, e"
+    )
+
+
+def single_scene_query(name: str, sql: str, box, by_area: bool) -> None:
+    @register(name, sql)
+    def run(spark, d):
+        px = fx.pixels(spark, d)
+        out = pipeline.single_scene(fx.scenes(spark, d), px, AREA, box, *YEAR, coarse=fx.coarse_pixels(px), grids=grid_table(spark, d) if by_area else None)
+        return out.select("item_id", "row", "col", F.col("ndvi_safe").alias("ndvi"), F.col("nbr_safe").alias("nbr"), F.col("ndwi_nir_swir2_safe").alias("ndwi"), *(f"{b}_byte" for b in render.RGB))
+
+
+single_scene_query("single_scene", single_scene_sql(IN_BOX), BOX, False)
+single_scene_query("single_scene_of_area", single_scene_sql(IN_AREA, f"{AREA_SQL}, "), None, True)
 
 
 MASKED = "m AS (SELECT grid_id, row, col, " + ", ".join(f"CASE WHEN {ring_sql()} AND NOT coalesce({ring_sql()} AND scl IN (3, 8, 9, 10, 11), FALSE) THEN CAST(nullif({b}, 0) AS DOUBLE) * 1e-4 END AS {b}" for b in ("red", "green", "blue", "nir", "swir2")) + " FROM pixel WHERE x BETWEEN 544010e0 AND 544600e0 AND y BETWEEN 4188500e0 AND 4189330e0)"
@@ -484,6 +580,13 @@ def explore_scene(spark, d):
     return pipeline.explore(fx.pixels(spark, d), RING).select(*CELL, *PLAIN)
 
 
+@register("explore_scene_resampled", f"WITH {fx.PIXEL_SQL.replace('pixel AS', 'whole AS')}, {fx.COARSE_SQL.replace('FROM pixel', 'FROM whole')}, pixel AS (SELECT p.* REPLACE (c.swir2 AS swir2, c.scl AS scl) FROM whole p LEFT JOIN coarse c ON c.grid_id = p.grid_id AND c.row = p.row // 2 AND c.col = p.col // 2), {MASKED} SELECT grid_id, row, col, {', '.join(f'{SQL_INDEX[n]} AS {n}' for n in PLAIN)} FROM m")
+def explore_scene_resampled(spark, d):
+    """The short-wave band and the classes come from the 20 m grid."""
+    px = fx.pixels(spark, d)
+    return pipeline.explore(px, RING, coarse=fx.coarse_pixels(px)).select(*CELL, *PLAIN)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in QUERIES.items()}
 

@@ -42,6 +42,21 @@ SCENE_SQL = """base AS (
 scene AS (SELECT item_id, grid_id, collection, datetime, cloud_cover, cx - 5e-2 AS minx, cy - 5e-2 AS miny, cx + 5e-2 AS maxx, cy + 5e-2 AS maxy FROM base)"""
 
 
+def footprints(own: DataFrame) -> DataFrame:
+    """Scenes with a footprint that fills half of their box, a diamond, and with two assets."""
+    x, y = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
+    r = F.lit(0.047)
+    ring = [F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y - r), (x + r, y), (x, y + r), (x - r, y), (x, y - r))]
+
+    def entry(key):
+        return F.lit(key), F.struct(F.concat(F.lit("https://data.example.com/"), F.col("item_id").cast("string"), F.lit(f"/{key}.tif")).alias("href"))
+
+    return own.withColumns({"ring": F.array(*ring), "assets": F.create_map(*entry("B04"), *entry("rendered_preview"))})
+
+
+FOOTPRINT = "greatest(-122.50e0 - cx, cx + 122.40e0, 0e0) + greatest(37.75e0 - cy, cy - 37.85e0, 0e0) <= 4.7e-2"
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     o, p, s, n = (F.col(f"l_{c}") for c in ("orderkey", "partkey", "suppkey", "linenumber"))

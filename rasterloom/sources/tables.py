@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.geometry import area_box
 from rasterloom.schemas import ITEMS, PIXELS, require
 
+PIXEL_KEYS = ("scene_id", "row", "col", "x", "y")
 STAC = "id string, collection string, bbox array<double>, properties struct<datetime:string,`eo:cloud_cover`:double>, geometry struct<type:string,coordinates:array<array<array<double>>>>, assets map<string,struct<href:string>>"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; on a local master that names none, in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """A catalogue in Parquet with the columns of ITEMS."""
     return require(spark.read.parquet(path), *ITEMS.fieldNames())
@@ -27,9 +41,21 @@ def read_stac(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_stac(items: DataFrame, path: str) -> None:
+    """Items with the columns of ITEMS (the key as text or number) as STAC JSON lines."""
+    properties = F.struct(F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), F.col("cloud_cover").alias("eo:cloud_cover"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(F.transform("ring", lambda p: F.array(p.x, p.y))).alias("coordinates"))
+    box = F.array("minx", "miny", "maxx", "maxy")
+    items.select(F.col("item_id").cast("string").alias("id"), "collection", box.alias("bbox"), properties.alias("properties"), geometry.alias("geometry"), "assets").write.json(path)
+
+
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """A pixel table in Parquet, best partitioned by scene and sorted by position, so that boxes prune row groups."""
-    return require(spark.read.parquet(path), *PIXELS.fieldNames()[:5])
+    """A pixel table in Parquet, best partitioned by scene and sorted by position, so that boxes prune row groups. Its key,
+    indices and coordinates are required, and at least one band of PIXELS."""
+    px = require(spark.read.parquet(path), *PIXEL_KEYS)
+    if not [b for b in PIXELS.fieldNames() if b not in PIXEL_KEYS and b in px.columns]:
+        raise ValueError("a pixel table needs a band")
+    return px
 
 
 def write_pixels(px: DataFrame, path: str) -> None:

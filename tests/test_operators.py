@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import catalog, raster, render
+from rasterloom.functions import geometry
+from rasterloom.operators import catalog, grids, raster, render
 from rasterloom.plans import pipeline
 from rasterloom.schemas import require
 from rasterloom.sources import tables
@@ -175,3 +179,71 @@ def test_grids(spark):
     assert grids.with_bands(px, ["red", "b05"]).first().b05 is None
     one = spark.createDataFrame([("S", {"B04": ("x.tif",)})], "item_id string, assets map<string,struct<href:string>>")
     assert {r.band: r.href for r in grids.band_assets(one, ("red", "nir")).collect()} == {"red": "x.tif", "nir": None}
+
+
+def test_extents_leave_pixels_where_they_are(spark):
+    """With automatic broadcasts off, what joins a grid's extent to its pixels still doesn't shuffle the pixels by grid."""
+    px = spark.range(400).select((F.col("id") % 3).alias("grid_id"), F.floor(F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), *(F.col("id").cast("double").alias(b) for b in ("red", "green", "blue")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for df in (raster.coarsen(px, ["grid_id"], 2, ["red"], coordinates=False), render.rgb_stretch(px, ["grid_id"]), render.histogram(px, ["grid_id"], "red"), render.cross_section(px, ["grid_id"], "red"), raster.rebased(px, ["grid_id"])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and not re.search(r"SortMergeJoin \[grid_id#\d+L(?:, row#\d+)?\]", plan)  # a histogram's bins are joined with its counts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_resampling_spreads_nothing(spark):
+    px = spark.range(16).select(F.lit(1).alias("g"), F.floor(F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"))
+    coarse = px.filter("row < 2 and col < 2").withColumn("v", F.col("row") * 2 + F.col("col"))
+    out = raster.resample_nearest(px, coarse, ["g"], ["v"])
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert all(r.v == r.row // 2 * 2 + r.col // 2 for r in out.collect())
+
+
+def test_footprints_and_boxes(spark):
+    """Against a fine grid of points: a polygon meets a box if a point lies in both (convex rings, so a grid finds it)."""
+    draw = random.Random(3)
+    rows, want = [], []
+    for i in range(300):
+        x, y, r, turn = draw.uniform(-3, 3), draw.uniform(-3, 3), draw.uniform(0.1, 3), draw.uniform(0, 6.28)
+        corners = [(x + r * math.cos(turn + k * 2 * math.pi / 3), y + r * math.sin(turn + k * 2 * math.pi / 3)) for k in range(3)]
+        rows.append((i, [{"x": a, "y": b} for a, b in (*corners, corners[0])]))
+        sides = [(corners[k], corners[(k + 1) % 3]) for k in range(3)]
+        grid = [(-1 + 2 * a / 200, -0.5 + b / 100) for a in range(201) for b in range(101)]
+        want.append(any(all((q[0] - p[0]) * (v - p[1]) - (q[1] - p[1]) * (u - p[0]) >= 0 for p, q in sides) for u, v in grid))
+    df = spark.createDataFrame(rows, "id int, ring array<struct<x:double,y:double>>")
+    got = [r.met for r in df.select("id", geometry.ring_meets_box(F.col("ring"), -1, -0.5, 1, 0.5).alias("met")).orderBy("id").collect()]
+    wrong = [i for i in range(300) if got[i] != want[i] and not (got[i] and not want[i])]
+    assert wrong == [] and sum(g != w for g, w in zip(got, want, strict=True)) <= 6 and 50 < sum(want) < 250  # the grid may miss a sliver
+
+
+def test_items_in_any_area(spark):
+    draw = random.Random(5)
+    boxes = [(i, *(v for v in (draw.uniform(-20, 20), draw.uniform(-20, 20)))) for i in range(200)]
+    items = spark.createDataFrame([(i, x, y, x + 3.0, y + 2.0) for i, x, y in boxes], "item_id int, minx double, miny double, maxx double, maxy double")
+    given = [(x, y, x + draw.uniform(0, 6), y + 0.5) for x, y in ((draw.uniform(-20, 20), draw.uniform(-20, 20)) for _ in range(12))]
+    areas = spark.createDataFrame(given, "minx double, miny double, maxx double, maxy double")
+    want = {i for i, x, y in boxes if any(x <= c and x + 3 >= a and y <= d and y + 2 >= b for a, b, c, d in given)}
+    found = catalog.in_area(items, areas)
+    assert sorted(r.item_id for r in found.collect()) == sorted(want)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_areas_in_two_hemispheres(spark):
+    """One area is cut out of grids of different zones and hemispheres, each by its own projection."""
+    scenes = spark.createDataFrame([(1, 32733), (2, 32633)], "grid_id int, epsg int")
+    west, south, east, north = 15.0, -0.01, 15.01, 0.01
+    centre = spark.range(1).select(*(c.alias(n) for n, c in zip("xy", geometry.to_utm(F.lit(15.005), F.lit(-0.005), F.lit(33), F.lit(True)), strict=True))).first()
+    px = spark.createDataFrame([(1, 0, 0, centre.x, centre.y), (2, 0, 0, centre.x, centre.y), (2, 1, 0, centre.x, centre.y - 1e7), (1, 1, 0, centre.x + 5000, centre.y)], "grid_id int, row int, col int, x double, y double")
+    got = grids.clip_to_area(px, scenes, (west, south, east, north), ["grid_id"])
+    assert sorted((r.grid_id, r.row) for r in got.collect()) == [(1, 0), (2, 1)] and set(got.columns) == {"grid_id", "row", "col", "x", "y", "epsg"}
+
+
+def test_pixel_tables_are_checked(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 0, 0.5, 0.5)], "scene_id long, row int, col int, x double, y double").write.parquet(f"{tmp_path}/bare")
+    with pytest.raises(ValueError, match="band"):
+        tables.read_pixels(spark, f"{tmp_path}/bare")
+    spark.createDataFrame([(1, 0, 7)], "scene_id long, row int, nir int").write.parquet(f"{tmp_path}/short")
+    with pytest.raises(ValueError, match="missing columns: col, x, y"):
+        tables.read_pixels(spark, f"{tmp_path}/short")
