@@ -36,7 +36,9 @@ def got(df, items):
 
 
 def test_equals_brute_force(spark, docs, prose, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 40)  # several blocks
+    monkeypatch.setattr(decontam, "BLOCK_HASHES", 40)  # several blocks
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     draw = random.Random(6)
     items = [(i, prose(100 + i, draw.choice([1, 2, 3, 4, 5, 7, 12, 13, 14, 30]))) for i in range(20)]
     items += [(20, items[0][1]), (20, items[1][1]), (21, None), (22, ""), (None, prose(999, 20)), (23, "the the the the the the the the the the the the the the")]
@@ -61,6 +63,12 @@ def test_repeated_rows_and_empty_tables(spark, docs, prose):
     assert got(docs([]), items) == [] and got(docs(rows), items.limit(0)) == [(1, 20, 0, [], False)] * 2
 
 
+def test_very_long_text(spark, docs, prose):
+    item = prose(3, 40)
+    rows = [(1, prose(7, 40_000) + " " + item + " " + prose(8, 40_000)), (2, "word" * 20_000), (3, item)]
+    assert got(docs(rows), spark.createDataFrame([(1, item)], ITEMS)) == brute(rows, [(1, item)])
+
+
 def test_clashing_columns(spark, docs, prose):
     df = docs([(1, prose(3, 20))]).toDF("doc_id", "text", "window", "hash", "id")
     assert got(df, spark.createDataFrame([(1, prose(3, 20))], ITEMS).selectExpr("*", "'x' as window", "1 as doc_id"))[0][4]
