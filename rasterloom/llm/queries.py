@@ -84,7 +84,8 @@ WITH p AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 o AS (SELECT doc_id, max(CAST(quality > 0 AS INTEGER)) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 h AS (SELECT host, CAST(count(o.good) AS DOUBLE) AS n, CAST(coalesce(sum(o.good), 0) AS DOUBLE) AS good FROM p LEFT JOIN o ON o.doc_id = p.page_id GROUP BY host),
-parts AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS two, array_to_string(string_split(host, '.')[-3:], '.') AS three, array_to_string(string_split(host, '.')[-1:], '.') AS one FROM h),
+named AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS labels FROM h),
+parts AS (SELECT host, n, good, array_to_string(labels[-2:], '.') AS two, array_to_string(labels[-3:], '.') AS three, array_to_string(labels[-1:], '.') AS one FROM named),
 hosts AS (SELECT host, n, good, CASE WHEN two IN TWO_LABELS THEN three ELSE two END AS domain, CASE WHEN two IN TWO_LABELS THEN two ELSE one END AS suffix FROM parts),
 every AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM hosts),
 bd AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain, suffix),

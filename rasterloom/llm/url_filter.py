@@ -22,8 +22,8 @@ MAX_RULES = 500
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "co.in", "com.br", "com.cn", "co.za")
 #: Lower bound: so many deviations below the posterior mean; what it must reach; and the pages that a prior counts for.
 DEVIATIONS, THRESHOLD, LEAST_PRIOR, MOST_PRIOR = 1.645, 0.5, 1.0, 1000.0
-#: Hosts whose verdicts may be broadcast (some 60 bytes each).
-BROADCAST_HOSTS = 500_000
+#: Hosts whose verdicts may be broadcast (some 60 bytes each), and labelled pages (some 40).
+BROADCAST_HOSTS, BROADCAST_LABELS = 500_000, 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -46,15 +46,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: a label and the suffix; the host itself if it has no more."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(two)
+def name_of(host: Column) -> Column:
+    """A host without a user's name and a port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABELS), two).otherwise(F.substring_index(host, ".", -1))
+def domain_of(name: Column, two_labels=TWO_LABELS) -> Column:
+    """The registered domain: a label and the suffix; the name itself if it has no more."""
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(*two_labels), F.substring_index(name, ".", -3)).otherwise(two)
+
+
+def suffix_of(name: Column, two_labels=TWO_LABELS) -> Column:
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(*two_labels), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def strength(children: DataFrame) -> float:
@@ -72,9 +77,10 @@ def strength(children: DataFrame) -> float:
     return s.select((1 / bounded - 1).alias("k")).first().k
 
 
-def reputations(outcomes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, mean, low) from (host, n, good), one row for each host: the posterior mean and the lower bound."""
-    hosts = outcomes.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+def reputations(outcomes: DataFrame, scratch: Scratch, two_labels=TWO_LABELS) -> DataFrame:
+    """(host, pages, mean, low) from (host, pages, n, good), one row for each host: the posterior mean and the lower bound."""
+    name = name_of(F.col("host"))
+    hosts = outcomes.withColumn("domain", domain_of(name, two_labels)).withColumn("suffix", suffix_of(name, two_labels))
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
     mean = hosts.agg(*sums).select(((F.coalesce("good", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("m")).first().m
     by_domain = scratch.save(hosts.groupBy("domain", "suffix").agg(*sums), "domains", per(hosts.count(), 1_000_000))
@@ -90,25 +96,34 @@ def reputations(outcomes: DataFrame, scratch: Scratch) -> DataFrame:
     k = F.lit(strength(own))
     a, b = k * F.col("m") + F.col("good"), k * (1 - F.col("m")) + F.col("n") - F.col("good")
     mean = a / (a + b)
-    return own.select("host", mean.alias("mean"), (mean - DEVIATIONS * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))).alias("low"))
+    return own.select("host", "pages", mean.alias("mean"), (mean - DEVIATIONS * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))).alias("low"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url: str = "url", outcome_key: str = "doc_id", good: str = "quality", rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url: str = "url", outcome_key: str = "doc_id", good: str = "quality", rules=RULES, two_labels=TWO_LABELS) -> DataFrame:
     """key, host, path, rule, verdict and low (the host's lower bound) for each page.
 
     outcomes has labelled pages: outcome_key and good (1 or 0); nulls are left out, of contradictory labels the larger counts.
-    A null url, or one without "://", has an empty host and path and is judged by the reputation of the empty host. A page
-    with a null key has no label. Repeated pages count as often. Without outcomes every host has the mean 1/2 and is blocked.
-    Other columns aren't read. An empty table gives an empty result.
+    A null url, or one without "://", has an empty host and path and is judged by the reputation of the empty host. A user's
+    name and a port belong to the host, not to its domain. Very long urls are read whole. Of equally long rules that fit the
+    first counts. A page with a null key has no label. Repeated pages count as often. Without outcomes every host has the mean
+    1/2 and is blocked. Other columns aren't read. An empty table gives an empty result. two_labels are the suffixes
+    of two labels that are known.
     """
     own = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    labelled = outcomes.filter(F.col(outcome_key).isNotNull() & F.col(good).isNotNull()).groupBy(F.col(outcome_key).alias("key")).agg(F.max((F.col(good) > 0).cast("int")).alias("good"))
-    counts = own.select("key", "host").join(labelled, "key", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     scratch = Scratch(pages.sparkSession)
-    counts = scratch.save(counts, "hosts", 8)
-    known = reputations(counts, scratch)
-    if counts.count() <= BROADCAST_HOSTS:
-        known = F.broadcast(known)
+    labelled = outcomes.filter(F.col(outcome_key).isNotNull() & F.col(good).isNotNull()).groupBy(F.col(outcome_key).alias("key")).agg(F.max((F.col(good) > 0).cast("int")).alias("good"))
+    labelled = scratch.save(labelled, "labels")
+    labelled = F.broadcast(labelled) if labelled.count() <= BROADCAST_LABELS else labelled
+    counts = own.select("key", "host").join(labelled, "key", "left").groupBy("host").agg(F.count("*").alias("pages"), F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    counts = scratch.save(counts, "hosts")
+    size = counts.agg(F.count("*").alias("hosts"), F.sum("pages").alias("pages")).first()
+    known = scratch.save(reputations(counts, scratch, two_labels), "reputations")
+    scratch.leave(known)
+    if size.hosts <= BROADCAST_HOSTS:
+        judged = own.join(F.broadcast(known), "host")
+    else:  # hosts that have at least one page in BROADCAST_HOSTS are no more than that many, and none of the others is hot
+        hot = F.col("pages") >= size.pages / BROADCAST_HOSTS
+        judged = own.join(F.broadcast(known.filter(hot)), "host").unionByName(own.join(known.filter(~hot), "host"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("low") >= THRESHOLD, F.lit("allow")).otherwise(F.lit("block"))
-    return own.join(known, "host").select(F.col("key").alias(key), "host", "path", name.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), "low")
+    return judged.select(F.col("key").alias(key), "host", "path", name.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), "low")

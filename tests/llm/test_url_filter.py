@@ -58,6 +58,25 @@ def test_domains(spark):
     assert got == [("a.b.co.uk", "b.co.uk", "co.uk"), ("b.co.uk", "b.co.uk", "co.uk"), ("a.b.com", "b.com", "com"), ("com", "com", "com"), ("", "", "")]
 
 
+def test_users_and_ports_are_no_domain(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a.b.com:80",), ("me@a.b.com",), ("me:pw@b.co.uk:8080",)], "h string")
+    assert [r[0] for r in df.select(uf.domain_of(uf.name_of(F.col("h")))).collect()] == ["b.com", "b.com", "b.co.uk"]
+    assert [r[0] for r in df.select(uf.domain_of(uf.name_of(F.col("h")), ("b.com",))).collect()] == ["a.b.com", "a.b.com", "co.uk"]
+
+
+def test_many_hosts_and_long_urls(spark, monkeypatch):
+    """Hosts beyond what is broadcast: the hot ones are, the others are joined by a shuffle, with the same result."""
+    urls = ["http://hot.a.com/"] * 50 + [f"http://h{i}.b.org/{'x' * i * 100}" for i in range(40)] + [None]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], PAGES).repartition(3)
+    outcomes = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], OUTCOMES)
+    want = sorted(map(str, uf.filter_urls(pages, outcomes).collect()))
+    monkeypatch.setattr(uf, "BROADCAST_HOSTS", 5)
+    monkeypatch.setattr(uf, "BROADCAST_LABELS", 5)
+    assert sorted(map(str, uf.filter_urls(pages, outcomes).collect())) == want and len(want) == len(urls)
+
+
 def test_odd_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.com/", ""), (1, "http://a.com/", ""), (None, None, "")], PAGES)
     empty = spark.createDataFrame([], OUTCOMES)
