@@ -24,6 +24,13 @@ def training_labels(labels: DataFrame, target: str, learnt, key: str = "doc_id",
     return own
 
 
+def learnt_texts(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, label), one row for each chosen (key, label) that docs has: of several texts under one key the least, so
+    that repeated rows add nothing."""
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")  # TRAIN_ROWS ids
+    return own.groupBy("key").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
     """Weights of the columns of x and, last, the intercept, by Newton's method with a small ridge."""
     z = np.c_[x, np.ones(len(x))]

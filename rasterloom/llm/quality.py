@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import fold
-from rasterloom.llm.learn import training_labels
+from rasterloom.llm.learn import learnt_texts, training_labels
 
 #: name, the characters or runs it counts in a text
 MARKS = (
@@ -27,7 +27,7 @@ MARKS = (
     ("symbol_runs", r"[#$%&*@^~|<>{}\\/_=+]{3,}"),
 )
 NAMES = ("chars", "words", "word_length", "lines", "distinct", "repeats", *(f"{name}_share" for name, _ in MARKS))
-TREES, DEPTH, CUTS, MAX_RULES = 60, 3, 24, 400
+TREES, DEPTH, CUTS = 60, 3, 24
 
 
 def statistics(text: Column, prefix: str = "") -> list[Column]:
@@ -80,7 +80,8 @@ def holds(rule: tuple[Bound, ...], x: np.ndarray) -> np.ndarray:
 def lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression with an absolute penalty on the weights, by accelerated proximal steps."""
     n = len(y)
-    rate = 4 * n / max(np.linalg.norm(np.c_[z, np.ones(n)], 2) ** 2, 1e-9)
+    wide = np.c_[z, np.ones(n)]
+    rate = 4 * n / max(np.linalg.norm(wide.T @ wide, 2), 1e-9)
     w = v = np.zeros(z.shape[1])
     b = c = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     t = 1.0
@@ -106,11 +107,10 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, penalty: float = 5e-4) -> M
         own = draw.choice(len(y), size=max(1, min(len(y), max(len(y) // 2, 50))), replace=False)
         grow(x[own], y[own].astype(float), cuts, draw, int(draw.integers(1, DEPTH + 1)), (), found)
     rules = sorted(found)
-    z = np.array([holds(r, x) for r in rules], float).T if rules else np.empty((len(y), 0))
-    if len(rules) > MAX_RULES:  # those most correlated with the label go into the regression
-        gap = np.abs((z - z.mean(axis=0)).T @ (y - y.mean())) / (z.std(axis=0) + 1e-9)
-        keep = np.sort(np.argsort(-gap, kind="stable")[:MAX_RULES])
-        rules, z = [rules[i] for i in keep], z[:, keep]
+    z = np.array([holds(r, x) for r in rules]).T if rules else np.empty((len(y), 0), bool)
+    first = {c.tobytes(): i for i, c in reversed(list(enumerate(z.T)))}  # rules that hold for the same texts are one
+    keep = sorted(first.values())
+    rules, z = [rules[i] for i in keep], z[:, keep].astype(float)
     w, b = lasso(z, y.astype(float), penalty)
     used = np.flatnonzero(np.abs(w) > 1e-4)
     return Model(tuple(rules[i] for i in used), tuple(float(w[i]) for i in used), b)
@@ -119,8 +119,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, penalty: float = 5e-4) -> M
 def train(docs: DataFrame, labels: DataFrame, learnt, key: str = "doc_id", text: str = "text", target: str = "quality") -> Model:
     """Learn from the labelled documents that `learnt` (a Column over labels) admits, a bounded sample of them."""
     chosen = training_labels(labels, target, learnt, key)
-    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")  # TRAIN_ROWS ids
-    rows = own.select(*statistics(F.col("text")), "label").toPandas()  # and as many rows of a few numbers
+    own = learnt_texts(docs, chosen, key, text)
+    rows = own.select(*statistics(F.col("text")), "label").toPandas()  # TRAIN_ROWS rows, about, of a few numbers
     order = rows.sort_values(list(rows.columns), kind="stable")  # the same model however the rows were dealt out
     return fit(order[list(NAMES)].to_numpy(), (order["label"].to_numpy() > 0).astype(int))
 

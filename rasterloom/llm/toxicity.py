@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.bpe import pieces
 from rasterloom.llm.common import Scratch, fold, small_batches, tidy
-from rasterloom.llm.learn import logistic, training_labels
+from rasterloom.llm.learn import learnt_texts, logistic, training_labels
 
 WORD = re.compile(r"[^\W\d_]+")
 PRIOR, MIN_Z, MIN_ODDS, MAX_EXPECTED = 0.5, 3.0, 1.5, 0.05
@@ -134,13 +134,11 @@ def features(n: int, found: list[tuple[int, int, float]], chance: float) -> tupl
 def train(docs: DataFrame, labels: DataFrame, learnt, key: str = "doc_id", text: str = "text", target: str = "toxic") -> Model:
     """Learn from the labelled documents that `learnt` (a Column over labels) admits, a bounded sample of them."""
     chosen = training_labels(labels, target, learnt, key)
-    # TRAIN_ROWS ids: small enough to broadcast at any size of the tables
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("text", "label")
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
+    texts = scratch.save(learnt_texts(docs, chosen, key, text), "learnt")
     counts = scratch.save(count_words(texts), "word-counts", 8)  # read again for each length of heads
     words, heads, rest = lexicon(counts)
-    scratch.drop(counts)
     rough = Model(words, heads, rest, 1.0, (0.0, 0.0, 0.0))
     openings = openings_of(rough)
 
@@ -149,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, learnt, key: str = "doc_id", text:
             rows = [(*scan(t or "", rough, openings), y) for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"n": pa.array([r[0] for r in rows], pa.int64()), "s": pa.array([[x[2] for x in r[1]] for r in rows], pa.list_(pa.float64())), "label": pa.array([r[2] for r in rows], pa.int32())})
 
-    seen = texts.mapInArrow(tidy(run), "n long, s array<double>, label int").collect()  # TRAIN_ROWS rows of a few numbers
+    seen = texts.mapInArrow(tidy(run), "n long, s array<double>, label int").collect()  # TRAIN_ROWS rows, about, of a few numbers
+    scratch.leave()
     y = np.array([r.label > 0 for r in seen], float)
     if not len(y) or y.min() == y.max() or not words:
         share = float(y.mean()) if len(y) else 0.0

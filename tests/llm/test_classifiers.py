@@ -54,7 +54,7 @@ def test_toxicity_on_held_out_rows(world):
 def test_quality_on_held_out_rows(world):
     df, labels, truth = world
     model = quality.train(df, labels, quality.learnt())
-    assert 0 < len(model.rules) < quality.MAX_RULES
+    assert 0 < len(model.rules) < 300  # of some 800 paths
     got = [(r.doc_id, r.quality_score) for r in quality.score(df, model).collect()]
     out = [(p >= 0.5) == bool(truth[i][0]) for i, p in got if held(i, 3, 1)]
     assert len(out) > 80 and np.mean(out) > 0.95
