@@ -109,3 +109,39 @@ def test_near_duplicates_by_id_and_text(spark, docs, prose):
     got = sorted(pairs(stage("near duplicates")(spark, docs(rows), "")), key=repr)
     assert [x for x in got if x[0] not in (None, 4)] == [(1, a), (2, b), (3, c), (5, ""), (5, "")]
     assert [x[0] for x in got if x[0] in (None, 4)] == [4, None]
+
+
+ODD = ["doc_id", "text", "lang", "source", "n_chars", "toxicity", "Secrets", "key", "digest", "component", "a.b"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_odd_rows_and_clashing_columns(spark, sf_dir, docs, prose, name):
+    """Null ids and texts, empty and very long texts, repeated rows, and columns named like those that operators make."""
+    long = prose(9, 30_000)
+    rows = [(None, None), (1001, None), (1002, ""), (1002, ""), (1003, "   "), (None, prose(6, 30)), (1004, long), (1005, prose(7, 30)), (1006, prose(8, 3))]
+    df = docs(rows)
+    for c in ODD[5:]:
+        df = df.withColumn(c, F.coalesce(F.col("doc_id"), F.lit(-1)) * 10)
+    out = stage(name)(spark, df, sf_dir)
+    if name == "BPE":
+        tok = Tokenizer.from_file(bpe.BYTE_BPE)
+        got = sorted(((r.doc_id, list(r.ids)) for r in out.collect()), key=repr)
+        assert got == sorted(((i, tok.encode(t or "", add_special_tokens=False).ids) for i, t in rows), key=repr)
+    else:
+        assert out.columns == ODD
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)  # nothing to reject or to mask
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_empty_table(spark, sf_dir, docs, name):
+    assert stage(name)(spark, docs([]), sf_dir).count() == 0
+
+
+def test_repeated_rows_are_judged_together(spark, sf_dir, docs, prose):
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    clean, secret = prose(6000, 30), f'token = "{HEX}" {prose(6001, 20)}'
+    rows = [(1, items[0]), (1, items[0]), (None, items[1]), (1, clean), (2, clean), (2, clean), (None, secret), (7, secret), (7, secret)]
+    kept = sorted(pairs(stage("decontamination")(spark, docs(rows), sf_dir)), key=repr)
+    assert kept == sorted(rows[3:], key=repr)
+    masked = sorted(pairs(stage("secrets")(spark, docs(rows), sf_dir)), key=repr)
+    assert masked == sorted([(i, t.replace(HEX, secret_scan.MASK)) for i, t in rows], key=repr)
