@@ -17,21 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where the cluster names it, else a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. A local master that has none gets a temporary folder;
+    on a cluster that would be another one on each machine, so there it must be set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
 
 
 class Scratch:
-    """Tables written into the shared folder to cut lineage; drop() removes those no longer read."""
+    """Tables written into the shared folder to cut lineage; drop() and leave() remove those no longer read."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{scratch_dir(spark).rstrip('/')}/rasterloom-{uuid.uuid4().hex}"
         self.count = 0
+        self.saved: dict[str, DataFrame] = {}
 
     def save(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
         """df written and to be read again; dealt evenly over so many files where its size is known to be small for its tasks."""
@@ -41,6 +45,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.saved[path] = out
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -49,6 +54,12 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+            self.saved.pop(df._scratch_path, None)
+
+    def leave(self, *frames: DataFrame) -> None:
+        """Drop all tables but these, which the result still reads."""
+        kept = {df._scratch_path for df in frames}
+        self.drop(*(df for path, df in list(self.saved.items()) if path not in kept))
 
 
 #: Rows of an Arrow batch; ten times as many hold some 100 MB of text in each worker.

@@ -246,7 +246,7 @@ def differences(stars: DataFrame, sets: DataFrame, sketched: DataFrame, percent:
     return joined.withColumn("beta", beta)
 
 
-def representatives(found: DataFrame, percent: int, scratch: Scratch, files: int) -> tuple[DataFrame, DataFrame]:
+def representatives(found: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of differences, with components: members (hub, rep, node), and for each rep (hub, rep, n, of_hub, beta, far, one, rows, sketch, parity, own):
     own are its differences that others have too, as structs (f, mixed, g, extra), rarest first; one is the component of
     the rows it stands for if they have but one."""
@@ -256,9 +256,9 @@ def representatives(found: DataFrame, percent: int, scratch: Scratch, files: int
     own = each.join(often, ["hub", "g"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("f", F.xxhash64("g").alias("mixed"), "g", "extra"))).alias("own"))
     same = ["hub", "n", "of_hub", "beta", "digest"]
     known = found.select("hub", "node", "n", "of_hub", "beta", "component", "sketch", "parity").join(own, ["hub", "node"]).withColumn("digest", F.xxhash64("own.g"))
-    known = scratch.save(known, "known", files)
+    known = scratch.save(known, "known")
     reps = known.groupBy(*same).agg(F.min("node").alias("rep"), F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y"))
-    reps = scratch.save(reps, "reps", files)
+    reps = scratch.save(reps, "reps")
     members = known.select("node", *same).join(reps.filter("rows > 1").select("rep", *same), same).select("hub", "rep", "node")
     one = known.select(F.col("node").alias("rep"), "hub", "own", "sketch", "parity").join(reps, ["hub", "rep"])
     far = F.col("beta") > (100 - percent) * F.col("of_hub")
@@ -268,8 +268,8 @@ def representatives(found: DataFrame, percent: int, scratch: Scratch, files: int
 def by_differences(found: DataFrame, percent: int, scratch: Scratch, files: int) -> DataFrame:
     """The links (a, b) that far classes have, but such as join what is in one component already: for each class at least
     one with every component that it is linked with."""
-    members, reps = representatives(found, percent, scratch, files)
-    reps, members = scratch.save(reps, "representatives", files), scratch.save(members, "of-representatives", files)
+    members, reps = representatives(found, percent, scratch)
+    reps, members = scratch.save(reps, "representatives"), scratch.save(members, "of-representatives")
     unit = 2 * (100 + percent)
     least = reps.groupBy("hub").agg(F.min("beta").alias("low"), F.min(F.when(F.col("far"), F.col("beta"))).alias("low_far")).filter("low_far is not null")
     keyed = reps.join(least, "hub")
@@ -358,9 +358,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = scratch.save(shared.select("bucket", "node").join(hubs.select("bucket", F.bitwise_not("top.other").alias("hub")), "bucket"), "members", many)
     scratch.drop(shared)
 
-    def sets_of(nodes: DataFrame, name: str, files: int) -> DataFrame:
+    def sets_of(nodes: DataFrame, name: str) -> DataFrame:
         wanted = scratch.save(nodes.distinct().join(classes.select("node", "rep"), "node"), "wanted", few)
-        return scratch.save(shingle_sets(docs, wanted, key, text), name, files)
+        return scratch.save(shingle_sets(docs, wanted, key, text), name)
 
     def both(pairs: DataFrame, a: str, b: str) -> DataFrame:
         return pairs.select(F.col(a).alias("node")).union(pairs.select(b))
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     a, b = (classes.select(F.col("node").alias(x), F.struct("n_shingles", "sketch").alias(f"s{x}")) for x in "ab")
     likely = scratch.save(stars.join(b, "b").join(a, "a").filter(may_link("sa", "sb", percent)).select("a", "b"), "likely", few)
-    sets = sets_of(both(likely, "a", "b"), "sets", many)
+    sets = sets_of(both(likely, "a", "b"), "sets")
     links = scratch.save(confirmed(likely, sets, percent), "links", few)
     scratch.drop(sets)
     found = components(links, scratch, few)
@@ -376,16 +376,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     own = members.join(found, "node", "left").select("bucket", "hub", "node", F.coalesce("component", "node").alias("component"))
     apart = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
     open_stars = scratch.save(own.join(apart, "bucket", "left_semi").filter("node <> hub").select("hub", "node", "component").distinct(), "open", few)
-    sets = sets_of(both(open_stars, "hub", "node"), "open-sets", many)
-    unlike = scratch.save(differences(open_stars, sets, classes, percent).join(open_stars, ["hub", "node"]), "differences", many)
+    sets = sets_of(both(open_stars, "hub", "node"), "open-sets")
+    unlike = scratch.save(differences(open_stars, sets, classes, percent).join(open_stars, ["hub", "node"]), "differences")
     scratch.drop(sets)
     linked = unlike.filter(F.col("beta") <= (100 - percent) * F.col("of_hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = links.union(linked).union(by_differences(unlike, percent, scratch, many))
+    links = links.union(linked).union(by_differences(unlike, percent, scratch, few))
     found = components(links, scratch, few)
 
     labelled = classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = scratch.save(labelled.join(least, "component").select("node", "component_id", "component"), "components", few)
+    scratch.leave(rows, of_node)
     out = rows.select("key", "n_shingles", "node", *(["digest"] if carry else [])).join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), *(["digest", "component"] if carry else []))
