@@ -102,3 +102,9 @@ def asset(items: DataFrame, key: str, name: str = "href") -> DataFrame:
 def signed(href: Column) -> Column:
     """Local data need no token: the address itself."""
     return href
+
+
+def remember(items: DataFrame, name: str) -> DataFrame:
+    """Items kept under a name for the session, as a view that SQL can read; the view itself."""
+    items.createOrReplaceTempView(name)
+    return items.sparkSession.table(name)

@@ -58,16 +58,16 @@ def area_window(ring: Column, zone: int, origin: tuple[float, float], res: tuple
     return window_of(box["minx"], box["miny"], box["maxx"], box["maxy"], *origin, *res)
 
 
-def clip_to_area(px: DataFrame, scenes: DataFrame, area, keys: list[str]) -> DataFrame:
-    """The pixels of scenes (keys, epsg and more columns, few rows) in an area given in degrees, projected for each
-    scene's own reference system, beside the scenes' columns."""
+def clip_to_area(px: DataFrame, scenes: DataFrame, area, keys: list[str], most: int | None = None) -> DataFrame:
+    """The pixels of scenes (keys, epsg and more columns) in an area given in degrees, projected for each scene's own
+    reference system, beside the scenes' columns. most: how many scenes there are at most, if that is known."""
     ring = box_ring(*(F.lit(v) for v in area_box(area)))
     if isinstance(area, dict):
         ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in area["coordinates"][0]))
     box = projected_envelope(ring, *utm_of(F.col("epsg")))
     placed = scenes.withColumns({f"_{k}": v for k, v in box.items()})
     inside = F.col("x").between(F.col("_minx"), F.col("_maxx")) & F.col("y").between(F.col("_miny"), F.col("_maxy"))
-    return px.join(few(placed), keys).filter(inside).drop("_minx", "_miny", "_maxx", "_maxy")
+    return px.join(few(placed, most), keys).filter(inside).drop("_minx", "_miny", "_maxx", "_maxy")
 
 
 def band_assets(items: DataFrame, bands=tuple(BAND_ASSETS)) -> DataFrame:

@@ -49,9 +49,12 @@ def clip(px: DataFrame, box=None, ring=None, mode: str = "box") -> DataFrame:
 BROADCAST_GRIDS = 500_000
 
 
-def few(grids: DataFrame) -> DataFrame:
+def few(grids: DataFrame, scenes: int | None = None) -> DataFrame:
     """A table with a row for each grid, to be joined with its pixels: computed once, counted, and broadcast if it is
-    small enough. Pixels then stay where they are; beyond that both sides are shuffled."""
+    small enough. Pixels then stay where they are; beyond that both sides are shuffled. Where the plan bounds the number of
+    scenes already, nothing is counted."""
+    if scenes is not None and scenes <= BROADCAST_GRIDS:
+        return F.broadcast(grids)
     kept = grids.persist()
     return F.broadcast(kept) if kept.count() <= BROADCAST_GRIDS else kept
 
@@ -62,15 +65,16 @@ def rebased(px: DataFrame, keys: list[str]) -> DataFrame:
     return px.join(few(first), keys).withColumns({"row": F.col("row") - F.col("_row"), "col": F.col("col") - F.col("_col")}).drop("_row", "_col")
 
 
-def coarsen(px: DataFrame, keys: list[str], factor: int, bands: list[str], coordinates: bool = True, rebase: bool = False) -> DataFrame:
+def coarsen(px: DataFrame, keys: list[str], factor: int, bands: list[str], coordinates: bool = True, rebase: bool = False, scenes: int | None = None) -> DataFrame:
     """Means of blocks of factor x factor pixels, nulls skipped. Blocks that the grid's last rows and columns don't fill are
-    left out; height and width are those of the pixels given, which start at 0 (rebase: at the first ones there)."""
+    left out; height and width are those of the pixels given, which start at 0 (rebase: at the first ones there). scenes: how
+    many grids there are at most, if that is known."""
     sizes = [F.max("row").alias("_bottom"), F.max("col").alias("_right"), F.min("row").alias("_top"), F.min("col").alias("_left")]
     grid = px.groupBy(*keys).agg(*sizes)
     top, left = (F.col("_top"), F.col("_left")) if rebase else (F.lit(0), F.lit(0))
     row, col = F.col("row") - top, F.col("col") - left
     height, width = F.col("_bottom") - top + 1, F.col("_right") - left + 1
-    full = px.join(few(grid), keys).filter((row < F.floor(height / factor) * factor) & (col < F.floor(width / factor) * factor))
+    full = px.join(few(grid, scenes), keys).filter((row < F.floor(height / factor) * factor) & (col < F.floor(width / factor) * factor))
     means = [*bands, *(["x", "y"] if coordinates else [])]
     block = [F.floor(row / factor).cast("int").alias("brow"), F.floor(col / factor).cast("int").alias("bcol")]
     return full.groupBy(*keys, *block).agg(*(F.avg(b).alias(b) for b in means))

@@ -11,12 +11,12 @@ from rasterloom.operators.raster import coarsen, few
 RGB = ("red", "green", "blue")
 
 
-def rgb_stretch(px: DataFrame, keys: list[str], bands=RGB, suffix: str = "") -> DataFrame:
+def rgb_stretch(px: DataFrame, keys: list[str], bands=RGB, suffix: str = "", scenes: int | None = None) -> DataFrame:
     """8-bit colours in the bands' columns, or in others with a suffix: all three bands of a grid share one minimum and one
-    maximum; missing values stay null."""
+    maximum; missing values stay null. scenes: how many grids there are at most, if that is known."""
     low, high = F.min(F.least(*bands)).alias("_low"), F.max(F.greatest(*bands)).alias("_high")
     extent = px.groupBy(*keys).agg(low, high)  # one row for each grid, summed up in the tasks first
-    wide = px.join(few(extent), keys)
+    wide = px.join(few(extent, scenes), keys)
     share = {b + suffix: as_byte(safely_divided(F.col(b) - F.col("_low"), F.col("_high") - F.col("_low"))) for b in bands}
     return wide.withColumns(share).drop("_low", "_high")
 

@@ -9,13 +9,16 @@ from rasterloom.functions.indices import index
 from rasterloom.operators import catalog, raster, render
 from rasterloom.operators.grids import clip_to_area
 
+#: Scenes of a series at most, one for a month.
+MONTHS = 12
+
 
 def placed(px: DataFrame, scenes: DataFrame, area, box, grids: DataFrame | None, key: str) -> DataFrame:
-    """The pixels of a few scenes in the area: projected for each scene's grid where grids (key, epsg) are given, else in a
-    box that is projected already and whose bounds reach the scan."""
+    """The pixels of MONTHS scenes at most in the area: projected for each scene's grid where grids (key, epsg) are given,
+    else in a box that is projected already and whose bounds reach the scan."""
     if grids is None:
         return raster.clip(px, box).join(F.broadcast(scenes), key)
-    return clip_to_area(px, scenes.join(grids.select(key, "epsg").distinct(), key), area, [key])
+    return clip_to_area(px, scenes.join(grids.select(key, "epsg").distinct(), key), area, [key], MONTHS)
 
 
 def single_scene(items: DataFrame, px: DataFrame, area, box, start: str, end: str, item_id=None, coarse: DataFrame | None = None, key: str = "grid_id", max_cloud: float = 40, grids: DataFrame | None = None) -> DataFrame:
@@ -23,9 +26,10 @@ def single_scene(items: DataFrame, px: DataFrame, area, box, start: str, end: st
     found = catalog.search(items, area, start, end, max_cloud)
     chosen = catalog.newest(found) if item_id is None else found.filter(F.col("item_id") == item_id)
     cut = placed(px.drop("swir2", "scl") if coarse is not None else px, chosen.select(key, "item_id"), area, box, grids, key)  # one row
-    wide = render.rgb_stretch(raster.scale_bands(cut), ["item_id"], suffix="_byte")
+    wide = render.rgb_stretch(raster.scale_bands(cut), ["item_id"], suffix="_byte", scenes=1)
     if coarse is not None:
-        wide = raster.resample_nearest(wide, raster.scale_bands(coarse), [key], ["swir2", "scl"])
+        own = coarse.join(F.broadcast(chosen.select(key)), key, "left_semi")
+        wide = raster.resample_nearest(wide, raster.scale_bands(own), [key], ["swir2", "scl"])
     return wide.select("*", index("ndvi_safe"), index("nbr_safe"), index("ndwi_nir_swir2_safe"))
 
 
@@ -45,9 +49,9 @@ def monthly_blocks(items: DataFrame, px: DataFrame, area, box, start: str, end:
     scan. Blocks are averaged as digital numbers before the ratio.
     """
     chosen = catalog.least_cloudy(catalog.search(items, area, start, end, max_cloud))
-    chosen = (chosen if nth is None else catalog.nth(chosen, nth)).select("item_id", F.to_date("datetime").alias("date"), key)  # 12 rows at most
+    chosen = (chosen if nth is None else catalog.nth(chosen, nth)).select("item_id", F.to_date("datetime").alias("date"), key)
     cut = placed(raster.mask_nodata(px.select(key, "row", "col", "x", "y", "b05", "b8a")), chosen, area, box, grids, key)
-    blocks = raster.coarsen(cut, ["item_id", "date"], factor, ["b05", "b8a"], coordinates=False, rebase=True)
+    blocks = raster.coarsen(cut, ["item_id", "date"], factor, ["b05", "b8a"], coordinates=False, rebase=True, scenes=MONTHS)
     return raster.scale_bands(blocks).select("item_id", "date", "brow", "bcol", index("red_edge_ndvi"))
 
 

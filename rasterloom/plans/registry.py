@@ -126,6 +126,21 @@ def scene_search_footprint(spark, d):
     return catalog.search(fx.footprints(fx.scenes(spark, d)), AREA, *YEAR, 40).select("item_id", "datetime")
 
 
+@register("scene_search_geojson", f"WITH {fx.SCENE_SQL} SELECT item_id, datetime FROM scene WHERE {SEARCH.format(cloud=40)}")
+def scene_search_geojson(spark, d):
+    """The area as a GeoJSON polygon."""
+    minx, miny, maxx, maxy = AREA
+    polygon = {"type": "Polygon", "coordinates": [[[maxx, miny], [maxx, maxy], [minx, maxy], [minx, miny], [maxx, miny]]]}
+    return catalog.search(fx.scenes(spark, d), polygon, *YEAR, 40).select("item_id", "datetime")
+
+
+@register("session_scenes", f"WITH {fx.SCENE_SQL} SELECT grid_id, count(*) AS n FROM scene WHERE {SEARCH.format(cloud=40)} GROUP BY grid_id")
+def session_scenes(spark, d):
+    """What a search found is kept in the session and queried by SQL."""
+    catalog.remember(items(spark, d), "rasterloom_found")
+    return spark.sql("SELECT grid_id, count(*) AS n FROM rasterloom_found GROUP BY grid_id")
+
+
 @register("stac_search", f"WITH {fx.SCENE_SQL}, hit AS (SELECT * FROM scene WHERE {SEARCH.format(cloud=40)}) SELECT CAST(hit.item_id AS VARCHAR) AS item_id, hit.datetime, hit.cloud_cover FROM hit JOIN base ON base.item_id = hit.item_id WHERE {fx.FOOTPRINT}")
 def stac_search(spark, d):
     """The catalogue as STAC JSON, read again and searched."""
@@ -187,6 +202,13 @@ def scale_bands(spark, d):
     return raster.scale_bands(fx.pixels(spark, d), include_scl=True).select(*CELL, *raster.REFLECTANCE_BANDS, "scl")
 
 
+@register("optional_bands", f"WITH {fx.PIXEL_SQL}, {SCALED} SELECT grid_id, row, col, red, nir, CAST(NULL AS INTEGER) AS swir2 FROM scaled")
+def optional_bands(spark, d):
+    """A table without an optional band: what is there is scaled, the band is added as nulls."""
+    px = raster.scale_bands(fx.pixels(spark, d).drop("swir2"))
+    return grids.with_bands(px, ["red", "swir2"]).select(*CELL, "red", "nir", "swir2")
+
+
 @register("nodata_mask", f"WITH {fx.PIXEL_SQL} SELECT grid_id, row, col, {', '.join(f'nullif({b}, 0) AS {b}' for b in raster.REFLECTANCE_BANDS)} FROM pixel")
 def nodata_mask(spark, d):
     return raster.mask_nodata(fx.pixels(spark, d)).select(*CELL, *raster.REFLECTANCE_BANDS)
