@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from rasterloom.llm import near_dup as nd
+from rasterloom.llm.common import scratch_dir
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -70,6 +72,43 @@ def test_many_near_copies_of_one_text(docs, prose):
     assert got(docs(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize(("places", "kinds"), [(10, 10**9), (100, 10**9), (100, 20)])
+def test_pairs_of_a_hot_group_grow_slowly(docs, prose, monkeypatch, places, kinds):
+    """Near copies of a text that isn't there: most pairs lie just below the threshold, and few reach the exact check."""
+    counts, save = {}, nd.Scratch.save
+
+    def counted(self, df, name, files=None):
+        out = save(self, df, name, files)
+        if name == "pairs":
+            counts[n] = out.count()
+        return out
+
+    monkeypatch.setattr(nd.Scratch, "save", counted)
+    words = prose(77, 100).split()
+    for n in (200, 400):
+        draw, rows = random.Random(5), []
+        for i in range(n):
+            out = list(words)
+            for k in draw.sample(range(0, 100, 100 // places), draw.choice([2, 2, 3]) if places > 10 else 2):
+                out[k] = f"edit{draw.randrange(kinds)}"
+            rows.append((i, " ".join(out)))
+        assert got(docs(rows)) == brute(rows)
+    assert all(50 * counts[n] < n * (n - 1) / 2 for n in counts), counts
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """On a cluster the shared folder must be named; a local master may do without."""
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default), "set": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert scratch_dir(Session).startswith("file://")
+
+
 def test_chain_is_one_component(docs, prose):
     words = prose(5, 100).split()
     rows = [(50 - i, " ".join(words[i * 2 :] + prose(99, 100).split()[: i * 2])) for i in range(30)]
