@@ -338,8 +338,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     Rows are linked if 100 * intersection >= percent * union of their shingle sets. A null or empty text, or one of white
     space only, has an empty set, is linked with nothing, and is its own component. Repeated rows are equal texts: each is
     returned, all are in one component, and a repeated smallest key is kept as often. A null key never is a component's
-    smallest; in a component of null keys alone the id is null and all rows are kept. Other columns aren't read. An empty
-    table gives an empty result. Keys are integers. carry adds digest (of the text) and component, which tells components
+    smallest; in a component of null keys alone the id is null and all rows are kept. Very long texts are compared whole. Other
+    columns aren't read. An empty table gives an empty result. Keys are integers. carry adds digest (of the text) and component, which tells components
     of the same smallest key apart and is null for rows without words.
     """
     small_batches(docs.sparkSession)
