@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import Scratch, per, tidy
 
 #: Bytes of a block's vectors (in double precision), about; blocks at least, that all cores have work; rows of a candidate and of a query tile.
-BLOCK_BYTES, LEAST_BLOCKS, TILE_ROWS, TILE_QUERIES = 64 << 20, 16, 2048, 1024
+BLOCK_BYTES, LEAST_BLOCKS, TILE_ROWS, TILE_QUERIES = 64 << 20, 64, 2048, 1024
 
 
 def usable(vector: Column) -> Column:
