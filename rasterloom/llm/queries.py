@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, bpe, decontam, near_dup, pii, quality, secret_scan, token_counts, toxicity, url_filter
+from rasterloom.llm import ann, bpe, decontam, hard_negatives, near_dup, pii, quality, secret_scan, token_counts, toxicity, url_filter
 from rasterloom.llm.common import fold, table
 
 
@@ -162,6 +162,27 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(own.select("vec_id", "embedding", moved.alias("label")))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS positive, list_reduce(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2]), lambda x, y: x + y) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE positive QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.positive AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, CAST(positive_score AS BIGINT) AS positive_score, CAST(negative_score AS BIGINT) AS negative_score FROM n WHERE rank <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -174,8 +195,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL.strip(), "op6_url_filter": OP6_SQL.strip(), "op8_near_duplicates": OP8_SQL.strip(), "op10_nearest_neighbours": OP10_SQL.strip()}
+    return {"op1_decontamination": OP1_SQL.strip(), "op6_url_filter": OP6_SQL.strip(), "op8_near_duplicates": OP8_SQL.strip(), "op10_nearest_neighbours": OP10_SQL.strip(), "op13_hard_negatives": OP13_SQL.strip()}
