@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, bpe, decontam, hard_negatives, html_text, near_dup, pii, quality, secret_scan, token_counts, toxicity, url_filter
+from rasterloom.llm import alignment, ann, bpe, decontam, hard_negatives, html_text, near_dup, pii, quality, secret_scan, token_counts, toxicity, url_filter
 from rasterloom.llm.common import fold, table
 
 
@@ -162,6 +162,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = alignment.align(table(spark, sf_dir, "documents"), groups="digest")
+    return documents.withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -200,6 +205,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_token_alignment": op11_token_alignment,
         "op12_html_text": op12_html_text,
         "op13_hard_negatives": op13_hard_negatives,
     }
