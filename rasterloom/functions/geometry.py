@@ -33,13 +33,29 @@ def box_around(lat: Column, lon: Column, width: Column, height: Column) -> dict[
     return {"minx": lon - dlon, "miny": lat - dlat, "maxx": lon + dlon, "maxy": lat + dlat}
 
 
-def area_box(area) -> tuple[float, float, float, float]:
-    """Bounds of a box given as (minx, miny, maxx, maxy) or as a GeoJSON polygon."""
+def area_rings(area) -> list[list[tuple[float, float]]]:
+    """All closed rings, outer ones and holes, of a box given as (minx, miny, maxx, maxy), a GeoJSON Polygon or MultiPolygon."""
     check_area(area)
-    if isinstance(area, dict):
-        ring = area["coordinates"][0]
-        return min(p[0] for p in ring), min(p[1] for p in ring), max(p[0] for p in ring), max(p[1] for p in ring)
-    return tuple(map(float, area))
+    if not isinstance(area, dict):
+        minx, miny, maxx, maxy = map(float, area)
+        return [[(maxx, miny), (maxx, maxy), (minx, maxy), (minx, miny), (maxx, miny)]]
+    if area.get("type") == "Feature":
+        return area_rings(area["geometry"])
+    parts = {"Polygon": lambda c: [c], "MultiPolygon": lambda c: c}.get(area.get("type", "Polygon"))
+    if parts is None:
+        raise ValueError(f"an area must be a polygon, not a {area['type']}")
+    rings = [[(float(p[0]), float(p[1])) for p in ring] for polygon in parts(area["coordinates"]) for ring in polygon if ring]
+    if not rings:
+        raise ValueError("no area of interest")
+    return [ring if ring[0] == ring[-1] else [*ring, ring[0]] for ring in rings]
+
+
+def area_box(area) -> tuple[float, float, float, float]:
+    """Bounds of an area."""
+    if area is not None and not isinstance(area, dict):
+        return tuple(map(float, area))
+    points = [p for ring in area_rings(area) for p in ring]
+    return min(p[0] for p in points), min(p[1] for p in points), max(p[0] for p in points), max(p[1] for p in points)
 
 
 def box_ring(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
@@ -136,6 +152,25 @@ def to_utm(lon: Column, lat: Column, zone: Column, south: Column | None = None)
     return F.lit(FALSE_EAST) + F.lit(GRID_SCALE * radius) * east, shift + F.lit(GRID_SCALE * radius) * north
 
 
+def from_utm(east: Column, north: Column, zone: Column, south: Column | None = None) -> tuple[Column, Column]:
+    """Longitude and latitude of a point of the grid: to_utm turned round, to less than a millimetre."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    shift = F.lit(0.0) if south is None else F.when(south, FALSE_NORTH).otherwise(0.0)
+    xi, eta = (north - shift) / F.lit(GRID_SCALE * radius), (east - F.lit(FALSE_EAST)) / F.lit(GRID_SCALE * radius)
+    up, aside = xi, eta
+    for j, b in enumerate(beta, 1):
+        up = up - F.lit(b) * F.sin(F.lit(2.0 * j) * xi) * F.cosh(F.lit(2.0 * j) * eta)
+        aside = aside - F.lit(b) * F.cos(F.lit(2.0 * j) * xi) * F.sinh(F.lit(2.0 * j) * eta)
+    chi = F.asin(F.sin(up) / F.cosh(aside))
+    lat = chi
+    for j, d in enumerate(delta, 1):
+        lat = lat + F.lit(d) * F.sin(F.lit(2.0 * j) * chi)
+    return F.degrees(F.atan(F.sinh(aside) / F.cos(up))) + (zone * 6 - 183), F.degrees(lat)
+
+
 def window_of(minx: Column, miny: Column, maxx: Column, maxy: Column, origin_x: float, origin_y: float, res_x: float, res_y: float) -> dict[str, Column]:
     """Fractional offsets and sizes of a box in a grid (res_y is negative), and the whole rows and columns that it touches."""
     col, row = (minx - origin_x) / F.lit(res_x), (maxy - origin_y) / F.lit(res_y)

@@ -30,10 +30,6 @@ def without_nodata(band: Column, nodata: int = 0) -> Column:
     return F.nullif(band, F.lit(nodata))
 
 
-def without_nan(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
-
-
 def is_cloud(scl: Column, classes=CLOUD_CLASSES) -> Column:
     """An unknown class isn't cloud."""
     return F.coalesce(scl.isin(*classes), F.lit(False))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.functions.geometry import area_box, boxes_meet, check_dates, ring_meets_box
-from rasterloom.functions.scalar import scene_label
+from rasterloom.functions.geometry import area_box, area_rings, box_ring, boxes_meet, check_dates, ring_meets_box
+from rasterloom.functions.polygons import rings_literal, shapes_meet
+from rasterloom.functions.scalar import asset_href, scene_label
+from rasterloom.operators.areas import meeting
 
 COLLECTION = "sentinel-2-l2a"
 
@@ -14,8 +16,9 @@ COLLECTION = "sentinel-2-l2a"
 def search(items: DataFrame, area, start: str, end: str, max_cloud: float = 40, collections=(COLLECTION,)) -> DataFrame:
     """Items of the collections whose footprint meets the area, dated within both days, with less cloud than max_cloud.
 
-    Items without a cloud cover don't match. The bounds are literals over plain columns, so all of them reach the scan; where
-    items have their footprint's ring, those whose box alone meets the area's box are left out after that. An area is its box.
+    Items without a cloud cover don't match. The bounds are literals over plain columns, so all of them reach the scan. After
+    that footprints are compared exactly: an item's ring, or its box where it has none, with the area's box, polygon or
+    polygons, holes left out.
     """
     check_dates(start, end)
     minx, miny, maxx, maxy = area_box(area)
@@ -24,23 +27,17 @@ def search(items: DataFrame, area, start: str, end: str, max_cloud: float = 40,
     found = found.filter((F.col("datetime") >= F.lit(start).cast("timestamp_ntz")) & (F.col("datetime") < day_after) & (F.col("cloud_cover") < max_cloud))
     own = {c: F.col(c) for c in ("minx", "miny", "maxx", "maxy")}
     found = found.filter(boxes_meet(own, {"minx": F.lit(minx), "miny": F.lit(miny), "maxx": F.lit(maxx), "maxy": F.lit(maxy)}))
+    if isinstance(area, dict):
+        box = box_ring(*(F.col(c) for c in ("minx", "miny", "maxx", "maxy")))
+        ring = F.coalesce(F.col("ring"), box) if "ring" in found.columns else box
+        return found.filter(shapes_meet(F.array(ring), rings_literal(area_rings(area))))
     return found.filter(F.coalesce(ring_meets_box(F.col("ring"), minx, miny, maxx, maxy), F.lit(True))) if "ring" in found.columns else found
 
 
-def cells(box: dict[str, Column], degrees: float = 1.0) -> Column:
-    """The numbers of the cells, some degrees wide, that a box touches: 64,800 of one degree for the whole globe."""
-    x, y = (F.sequence(F.floor(box[f"min{c}"] / degrees), F.floor(box[f"max{c}"] / degrees)) for c in "xy")
-    return F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: F.struct(i.alias("i"), j.alias("j")))))
-
-
 def in_area(items: DataFrame, areas: DataFrame, key: str = "item_id") -> DataFrame:
-    """Items that meet any of several areas (minx, miny, maxx, maxy): boxes meet in a common cell of a coarse grid, so
-    both tables may be large."""
-    a, b = ({c: F.col(f"{t}.{c}") for c in ("minx", "miny", "maxx", "maxy")} for t in ("i", "a"))
-    sides = ("minx", "miny", "maxx", "maxy")
-    own, given = (t.select(*more, *sides, F.explode(cells({c: F.col(c) for c in sides})).alias("cell")) for t, more in ((items, [key]), (areas, [])))
-    met = own.alias("i").join(given.alias("a"), (F.col("i.cell") == F.col("a.cell")) & boxes_meet(a, b), "left_semi").select(key).distinct()
-    return items.join(met, key, "left_semi")
+    """Items that meet any of several areas, given by boxes or by rings (see areas.meeting); both tables may be large."""
+    numbered = areas if "area_id" in areas.columns else areas.withColumn("area_id", F.monotonically_increasing_id())
+    return items.join(meeting(items, numbered, key).select(key), key, "left_semi")
 
 
 def least_cloudy(items: DataFrame, by_year: bool = False) -> DataFrame:
@@ -93,17 +90,15 @@ def count(items: DataFrame, name: str = "n") -> DataFrame:
     return items.agg(F.count("*").alias(name))
 
 
-def asset(items: DataFrame, key: str, name: str = "href") -> DataFrame:
-    from rasterloom.functions.scalar import asset_href
-
-    return items.withColumn(name, asset_href(F.col("assets"), key))
-
-
 def signed(href: Column) -> Column:
     """Local data need no token: the address itself."""
     return href
 
 
+def asset(items: DataFrame, key: str, name: str = "href") -> DataFrame:
+    return items.withColumn(name, signed(asset_href(F.col("assets"), key)))
+
+
 def remember(items: DataFrame, name: str) -> DataFrame:
     """Items kept under a name for the session, as a view that SQL can read; the view itself."""
     items.createOrReplaceTempView(name)

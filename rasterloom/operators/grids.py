@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.geometry import area_box, box_ring, envelope, pixel_centre, to_utm, window_of
+from rasterloom.functions.geometry import area_box, box_ring, envelope, pixel_centre, to_utm
 from rasterloom.operators.raster import few
 from rasterloom.schemas import BAND_ASSETS
 
@@ -19,9 +19,9 @@ def measured(px: DataFrame, keys: list[str], epsg: int, origin: tuple[float, flo
     return size.withColumns({k: F.lit(v) for k, v in fixed.items()})
 
 
-def referenced(px: DataFrame, grids: DataFrame, keys: list[str]) -> DataFrame:
+def referenced(px: DataFrame, grids: DataFrame, keys: list[str], scenes: int | None = None) -> DataFrame:
     """Pixels with their grid's reference system and their centres' coordinates."""
-    wide = px.drop("x", "y").join(few(grids.select(*keys, "epsg", "origin_x", "origin_y", "res_x", "res_y")), keys)
+    wide = px.drop("x", "y").join(few(grids.select(*keys, "epsg", "origin_x", "origin_y", "res_x", "res_y"), scenes), keys)
     x, y = pixel_centre(F.col("col"), F.col("origin_x"), F.col("res_x")), pixel_centre(F.col("row"), F.col("origin_y"), F.col("res_y"))
     return wide.withColumns({"x": x, "y": y}).drop("origin_x", "origin_y", "res_x", "res_y")
 
@@ -52,12 +52,6 @@ def projected_envelope(ring: Column, zone: int | Column, south: Column | None =
     return envelope(F.transform(ring, moved))
 
 
-def area_window(ring: Column, zone: int, origin: tuple[float, float], res: tuple[float, float]) -> dict[str, Column]:
-    """The grid window of an area given in degrees."""
-    box = projected_envelope(ring, zone)
-    return window_of(box["minx"], box["miny"], box["maxx"], box["maxy"], *origin, *res)
-
-
 def clip_to_area(px: DataFrame, scenes: DataFrame, area, keys: list[str], most: int | None = None) -> DataFrame:
     """The pixels of scenes (keys, epsg and more columns) in an area given in degrees, projected for each scene's own
     reference system, beside the scenes' columns. most: how many scenes there are at most, if that is known."""

@@ -50,36 +50,51 @@ BROADCAST_GRIDS = 500_000
 
 
 def few(grids: DataFrame, scenes: int | None = None) -> DataFrame:
-    """A table with a row for each grid, to be joined with its pixels: computed once, counted, and broadcast if it is
-    small enough. Pixels then stay where they are; beyond that both sides are shuffled. Where the plan bounds the number of
-    scenes already, nothing is counted."""
-    if scenes is not None and scenes <= BROADCAST_GRIDS:
-        return F.broadcast(grids)
-    kept = grids.persist()
-    return F.broadcast(kept) if kept.count() <= BROADCAST_GRIDS else kept
+    """A table with a row for each grid, to be joined with its pixels. Where the caller bounds the number of grids it is
+    broadcast, and pixels stay where they are; else the choice is left to adaptive execution. Nothing is run or kept here."""
+    return F.broadcast(grids) if scenes is not None and scenes <= BROADCAST_GRIDS else grids
 
 
-def rebased(px: DataFrame, keys: list[str]) -> DataFrame:
-    """row and col counted from the first ones that are left in each grid."""
-    first = px.groupBy(*keys).agg(F.min("row").alias("_row"), F.min("col").alias("_col"))
-    return px.join(few(first), keys).withColumns({"row": F.col("row") - F.col("_row"), "col": F.col("col") - F.col("_col")}).drop("_row", "_col")
+def extents(px: DataFrame, keys: list[str], rebase: bool = False, grids: DataFrame | None = None) -> DataFrame:
+    """_top, _left, _height and _width of each grid: from a table of grids (height, width), or else from the pixels given,
+    which start at 0 (rebase: at the first ones there)."""
+    if grids is not None and not rebase:
+        return grids.select(*keys, F.lit(0).alias("_top"), F.lit(0).alias("_left"), F.col("height").alias("_height"), F.col("width").alias("_width"))
+    top, left = (F.min("row"), F.min("col")) if rebase else (F.lit(0), F.lit(0))
+    return px.groupBy(*keys).agg(top.alias("_top"), left.alias("_left"), (F.max("row") - top + 1).alias("_height"), (F.max("col") - left + 1).alias("_width"))
 
 
-def coarsen(px: DataFrame, keys: list[str], factor: int, bands: list[str], coordinates: bool = True, rebase: bool = False, scenes: int | None = None) -> DataFrame:
+def coarsen(px: DataFrame, keys: list[str], factor: int, bands: list[str], coordinates: bool = True, rebase: bool = False, scenes: int | None = None, grids: DataFrame | None = None) -> DataFrame:
     """Means of blocks of factor x factor pixels, nulls skipped. Blocks that the grid's last rows and columns don't fill are
-    left out; height and width are those of the pixels given, which start at 0 (rebase: at the first ones there). scenes: how
-    many grids there are at most, if that is known."""
-    sizes = [F.max("row").alias("_bottom"), F.max("col").alias("_right"), F.min("row").alias("_top"), F.min("col").alias("_left")]
-    grid = px.groupBy(*keys).agg(*sizes)
-    top, left = (F.col("_top"), F.col("_left")) if rebase else (F.lit(0), F.lit(0))
-    row, col = F.col("row") - top, F.col("col") - left
-    height, width = F.col("_bottom") - top + 1, F.col("_right") - left + 1
-    full = px.join(few(grid, scenes), keys).filter((row < F.floor(height / factor) * factor) & (col < F.floor(width / factor) * factor))
+    left out; height and width are those of the table of grids, else of the pixels given. scenes: how many grids there are at
+    most, if that is known."""
+    grid = extents(px, keys, rebase, grids)
+    row, col = F.col("row") - F.col("_top"), F.col("col") - F.col("_left")
+    full = px.join(few(grid, scenes), keys).filter((row < F.floor(F.col("_height") / factor) * factor) & (col < F.floor(F.col("_width") / factor) * factor))
     means = [*bands, *(["x", "y"] if coordinates else [])]
     block = [F.floor(row / factor).cast("int").alias("brow"), F.floor(col / factor).cast("int").alias("bcol")]
     return full.groupBy(*keys, *block).agg(*(F.avg(b).alias(b) for b in means))
 
 
+def overviews(px: DataFrame, keys: list[str], factors: tuple[int, ...], bands: list[str], scenes: int | None = None, grids: DataFrame | None = None) -> DataFrame:
+    """The means of coarsen for a ladder of factors, each a multiple of the one before, in a column `factor`.
+
+    Pixels are read once: they are summed up to (sum, count) states of the first factor's blocks, and these, a small part of
+    the pixels, go up the ladder together. Blocks that a grid doesn't fill are left out for each factor by itself.
+    """
+    if any(b % a for a, b in zip(factors, factors[1:])) or not factors:
+        raise ValueError("each factor must be a multiple of the one before")
+    first = factors[0]
+    part = [F.floor(F.col(c) / first).cast("int").alias(c) for c in ("row", "col")]
+    states = [s for b in bands for s in (F.sum(F.col(b).cast("double")).alias(f"_sum_{b}"), F.count(b).alias(f"_n_{b}"))]
+    blocks = px.groupBy(*keys, *part).agg(*states).join(few(extents(px, keys, grids=grids), scenes), keys)
+    steps = [F.struct(F.lit(f).alias("factor"), F.floor(F.col("row") / (f // first)).cast("int").alias("brow"), F.floor(F.col("col") / (f // first)).cast("int").alias("bcol")) for f in factors]
+    held = [c for b in bands for c in (f"_sum_{b}", f"_n_{b}")]
+    wide = blocks.select(*keys, "_height", "_width", *held, F.inline(F.array(*steps)))
+    full = wide.filter((F.col("brow") < F.floor(F.col("_height") / F.col("factor"))) & (F.col("bcol") < F.floor(F.col("_width") / F.col("factor"))))
+    return full.groupBy(*keys, "factor", "brow", "bcol").agg(*(F.try_divide(F.sum(f"_sum_{b}"), F.sum(f"_n_{b}")).alias(b) for b in bands))
+
+
 def resample_nearest(fine: DataFrame, coarse: DataFrame, keys: list[str], bands: list[str], factor: int = 2) -> DataFrame:
     """fine with the coarse grid's bands: each coarse cell covers factor x factor fine ones; null where there is none."""
     cell = {f"_{c}": F.floor(F.col(c) / factor).cast("int") for c in ("row", "col")}
@@ -108,7 +123,3 @@ def stacked(px: DataFrame, keys: list[str], bands: list[str], long: bool = True)
     if long:
         return px.unpivot([F.col(k) for k in keys], [F.col(b) for b in bands], "band", "value")
     return px.select(*keys, F.array(*bands).alias("values"))
-
-
-def with_indices(px: DataFrame, *expressions: Column) -> DataFrame:
-    return px.select("*", *expressions)

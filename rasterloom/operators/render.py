@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalar import as_byte, clipped, safely_divided
-from rasterloom.operators.raster import coarsen, few
+from rasterloom.operators.raster import coarsen, extents, few
 
 RGB = ("red", "green", "blue")
 
@@ -25,10 +25,10 @@ def true_color(px: DataFrame, low: float = 0.0, high: float = 0.3, bands=RGB) ->
     return px.withColumns({b: clipped(F.col(b), low, high) for b in bands})
 
 
-def histogram(px: DataFrame, keys: list[str], value: str, bins: int = 50) -> DataFrame:
+def histogram(px: DataFrame, keys: list[str], value: str, bins: int = 50, scenes: int | None = None) -> DataFrame:
     """Counts in equal bins between each grid's least and greatest value; the last bin is closed, empty ones are listed."""
     known = px.filter(F.col(value).isNotNull())
-    extent = few(known.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high")))
+    extent = few(known.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high")), scenes)
     step = (F.col("_high") - F.col("_low")) / F.lit(float(bins))
     # a flat grid has all its values in the first bin
     bin_ = F.least(F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_low"), step)), F.lit(0)), F.lit(bins - 1)).cast("int") + 1
@@ -37,10 +37,10 @@ def histogram(px: DataFrame, keys: list[str], value: str, bins: int = 50) -> Dat
     return every.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def cross_section(px: DataFrame, keys: list[str], value: str) -> DataFrame:
+def cross_section(px: DataFrame, keys: list[str], value: str, scenes: int | None = None, grids: DataFrame | None = None) -> DataFrame:
     """The middle row of each grid, missing values as gaps; order by col to draw it."""
-    middle = px.groupBy(*keys).agg(F.floor((F.max("row") + 1) / 2).cast("int").alias("row"))
-    return px.join(few(middle), [*keys, "row"]).select(*keys, "row", "col", value)
+    middle = extents(px, keys, grids=grids).select(*keys, F.floor(F.col("_height") / 2).cast("int").alias("row"))
+    return px.join(few(middle, scenes), [*keys, "row"]).select(*keys, "row", "col", value)
 
 
 def value_range(px: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -58,5 +58,5 @@ def class_distribution(px: DataFrame, keys: list[str]) -> DataFrame:
     return px.groupBy(*keys, "scl").agg(F.count("*").alias("n"))
 
 
-def quicklook(px: DataFrame, keys: list[str], bands: list[str], factor: int = 20) -> DataFrame:
-    return coarsen(px, keys, factor, bands, coordinates=False)
+def quicklook(px: DataFrame, keys: list[str], bands: list[str], factor: int = 20, scenes: int | None = None, grids: DataFrame | None = None) -> DataFrame:
+    return coarsen(px, keys, factor, bands, coordinates=False, scenes=scenes, grids=grids)

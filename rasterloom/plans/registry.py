@@ -254,12 +254,12 @@ def coarse_sql(f: int, bands: tuple[str, ...], more: str = "") -> str:
 
 @register("coarsen_mean", coarse_sql(2, ("red", "nir"), ", avg(x) AS x, avg(y) AS y"))
 def coarsen_mean(spark, d):
-    return raster.coarsen(fx.pixels(spark, d), GRID, 2, ["red", "nir"])
+    return raster.coarsen(fx.pixels(spark, d), GRID, 2, ["red", "nir"], scenes=fx.GRIDS)
 
 
 @register("quicklook", coarse_sql(20, ("red", "nir")))
 def quicklook(spark, d):
-    return render.quicklook(fx.pixels(spark, d), GRID, ["red", "nir"])
+    return render.quicklook(fx.pixels(spark, d), GRID, ["red", "nir"], scenes=fx.GRIDS)
 
 
 @register("resample_nearest", f"WITH {fx.PIXEL_SQL}, {fx.COARSE_SQL} SELECT p.grid_id, p.row, p.col, p.nir, c.swir2, c.scl FROM pixel p LEFT JOIN coarse c ON c.grid_id = p.grid_id AND c.row = p.row // 2 AND c.col = p.col // 2")
@@ -342,7 +342,7 @@ def band_stack_long(spark, d):
 
 @register("rgb_stretch", f"WITH {fx.PIXEL_SQL}, {SCALED}, e AS (SELECT grid_id, min(least(red, green, blue)) AS lo, max(greatest(red, green, blue)) AS hi FROM scaled GROUP BY grid_id) SELECT grid_id, row, col, {', '.join(f'CAST(floor(({b} - lo) / (hi - lo + 1e-6) * 255) AS INTEGER) AS {b}' for b in render.RGB)} FROM scaled JOIN e USING (grid_id)")
 def rgb_stretch(spark, d):
-    return render.rgb_stretch(scaled(spark, d), GRID).select(*CELL, *render.RGB)
+    return render.rgb_stretch(scaled(spark, d), GRID, scenes=fx.GRIDS).select(*CELL, *render.RGB)
 
 
 @register("true_color_clip", f"WITH {fx.PIXEL_SQL}, {SCALED} SELECT grid_id, row, col, {', '.join(f'CASE WHEN {b} IS NOT NULL THEN least(greatest({b}, 0e0), 3e-1) END AS {b}' for b in render.RGB)} FROM scaled")
@@ -357,12 +357,12 @@ def true_color_clip(spark, d):
     "SELECT e.grid_id, CAST(b.bin AS INTEGER) AS bin, coalesce(c.n, 0) AS n FROM e CROSS JOIN (SELECT unnest(generate_series(1, 50)) AS bin) b LEFT JOIN c ON c.grid_id = e.grid_id AND c.bin = b.bin",
 )
 def ndvi_histogram(spark, d):
-    return render.histogram(scaled(spark, d).select("grid_id", index("ndvi")), GRID, "ndvi")
+    return render.histogram(scaled(spark, d).select("grid_id", index("ndvi")), GRID, "ndvi", scenes=fx.GRIDS)
 
 
 @register("ndvi_cross_section", f"WITH {fx.PIXEL_SQL}, {SCALED}, m AS (SELECT grid_id, (max(row) + 1) // 2 AS row FROM scaled GROUP BY grid_id) SELECT s.grid_id, s.row, s.col, {SQL_INDEX['ndvi']} AS ndvi FROM scaled s JOIN m ON m.grid_id = s.grid_id AND m.row = s.row")
 def ndvi_cross_section(spark, d):
-    return render.cross_section(scaled(spark, d).select(*CELL, index("ndvi")), GRID, "ndvi")
+    return render.cross_section(scaled(spark, d).select(*CELL, index("ndvi")), GRID, "ndvi", scenes=fx.GRIDS)
 
 
 @register("scl_distribution", f"WITH {fx.PIXEL_SQL} SELECT grid_id, scl, count(*) AS n FROM pixel GROUP BY ALL")
@@ -485,7 +485,7 @@ def grid_sizes(spark, d):
 @register("pixels_referenced", f"WITH {fx.PIXEL_SQL} SELECT grid_id, row, col, 32610 AS epsg, x, y FROM pixel")
 def pixels_referenced(spark, d):
     px = fx.pixels(spark, d)
-    return grids.referenced(px.select(*CELL), grids.measured(px, GRID, 32610, fx.ORIGIN, fx.RES), GRID)
+    return grids.referenced(px.select(*CELL), grids.measured(px, GRID, 32610, fx.ORIGIN, fx.RES), GRID, scenes=fx.GRIDS)
 
 
 @register("scene_reference", f"WITH {fx.PIXEL_SQL} SELECT DISTINCT grid_id, 32610 AS epsg FROM pixel WHERE grid_id = 3")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORIGIN, RES, WIDTH = (543990.0, 4189340.0), (10.0, -10.0), 64
+#: Grids that the pixels are dealt to; scenes share them.
+GRIDS = 8
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +26,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = F.when(key % 53 == 0, None).otherwise(((key * 37) % 1001).cast("double") / F.lit(10.0))
     base = o.select(
         key.alias("item_id"),
-        (key % 8).alias("grid_id"),
+        (key % GRIDS).alias("grid_id"),
         F.when(key % 10 == 0, "landsat-c2-l2").otherwise("sentinel-2-l2a").alias("collection"),
         F.col("o_orderdate").alias("datetime"),
         cloud.alias("cloud_cover"),
@@ -60,14 +62,14 @@ FOOTPRINT = "greatest(-122.50e0 - cx, cx + 122.40e0, 0e0) + greatest(37.75e0 - c
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     o, p, s, n = (F.col(f"l_{c}") for c in ("orderkey", "partkey", "suppkey", "linenumber"))
-    order = Window.partitionBy(s % 8).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = Window.partitionBy(s % GRIDS).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     numbered = li.withColumn("rn", F.row_number().over(order) - 1)
 
     def band(value) -> F.Column:
         return value.cast("int")
 
     grid = numbered.select(
-        (s % 8).alias("grid_id"),
+        (s % GRIDS).alias("grid_id"),
         F.floor(F.col("rn") / WIDTH).cast("int").alias("row"),
         (F.col("rn") % WIDTH).cast("int").alias("col"),
         band((p * 13 + o * 7) % 4000).alias("red"),

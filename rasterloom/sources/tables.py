@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions.geometry import area_box
+from rasterloom.functions.geometry import area_box, area_rings
+from rasterloom.functions.polygons import rings_literal
 from rasterloom.schemas import ITEMS, PIXELS, require
 
 PIXEL_KEYS = ("scene_id", "row", "col", "x", "y")
@@ -65,6 +66,6 @@ def write_pixels(px: DataFrame, path: str) -> None:
 
 
 def areas(spark: SparkSession, *given) -> DataFrame:
-    """A table of areas (boxes or GeoJSON polygons), one row each."""
-    rows = [F.struct(F.lit(i).alias("area_id"), *(F.lit(v).alias(c) for v, c in zip(area_box(a), ("minx", "miny", "maxx", "maxy"), strict=True))) for i, a in enumerate(given)]
+    """A table of areas (boxes, GeoJSON polygons or multipolygons), one row each: area_id, box and rings."""
+    rows = [F.struct(F.lit(i).alias("area_id"), *(F.lit(v).alias(c) for v, c in zip(area_box(a), ("minx", "miny", "maxx", "maxy"), strict=True)), rings_literal(area_rings(a)).alias("rings")) for i, a in enumerate(given)]
     return spark.range(1).select(F.inline(F.array(*rows)))
