@@ -50,18 +50,30 @@ def holds(borders: Column, x: Column, y: Column) -> Column:
     return F.aggregate(borders, F.lit(False), one)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, though body names it often or within other functions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shapes_meet(a: Column, b: Column) -> Column:
     """Whether two shapes share a point: their borders meet, or one lies within the other. A shape in another's hole doesn't
     meet it; null shapes meet nothing."""
-    own, given = edges(a), edges(b)
-    crossing = F.exists(own, lambda e: F.exists(given, lambda g: edges_meet(e, g)))
-    within = F.exists(a, lambda ring: holds(given, ring[0].x, ring[0].y)) | F.exists(b, lambda ring: holds(own, ring[0].x, ring[0].y))
-    return F.coalesce(crossing | within, F.lit(False))
+
+    def met(borders: Column) -> Column:
+        own, given = borders.own, borders.given
+        within = F.exists(a, lambda ring: holds(given, ring[0].x, ring[0].y)) | F.exists(b, lambda ring: holds(own, ring[0].x, ring[0].y))
+        return F.exists(own, lambda e: F.exists(given, lambda g: edges_meet(e, g))) | within
+
+    return F.coalesce(let(F.struct(edges(a).alias("own"), edges(b).alias("given")), met), F.lit(False))
 
 
 def box_within(minx: Column, miny: Column, maxx: Column, maxy: Column, rings: Column) -> Column:
     """Whether a box lies wholly inside a shape: no border passes through it, and a corner is inside."""
-    borders = edges(rings)
-    sides = edges(F.array(F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((minx, miny), (maxx, miny), (maxx, maxy), (minx, maxy), (minx, miny))))))
-    passed = F.exists(borders, lambda e: F.exists(sides, lambda g: edges_meet(e, g)) | (e.x1.between(minx, maxx) & e.y1.between(miny, maxy)))
-    return ~passed & holds(borders, minx, miny)
+    corners = ((minx, miny), (maxx, miny), (maxx, maxy), (minx, maxy), (minx, miny))
+    sides = edges(F.array(F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in corners))))
+
+    def within(borders: Column) -> Column:
+        passed = F.exists(borders.own, lambda e: F.exists(borders.sides, lambda g: edges_meet(e, g)) | (e.x1.between(minx, maxx) & e.y1.between(miny, maxy)))
+        return ~passed & holds(borders.own, minx, miny)
+
+    return let(F.struct(edges(rings).alias("own"), sides.alias("sides")), within)

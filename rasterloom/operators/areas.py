@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.geometry import box_ring, boxes_meet, to_utm
+from rasterloom.functions.geometry import box_ring, boxes_meet, from_utm, pixel_centre, to_utm
 from rasterloom.functions.polygons import box_of, box_within, edges, shapes_meet
 from rasterloom.operators.raster import few
 
@@ -143,8 +141,6 @@ def reproject_match(target: DataFrame, source: DataFrame, pairs: DataFrame, keys
     source_ before the names. A centre goes to degrees and into the source's zone, unless both are the same, and its cell's
     row and column are looked up by an equi-join.
     """
-    from rasterloom.functions.geometry import from_utm, pixel_centre
-
     def zone(epsg: Column) -> tuple[Column, Column]:
         return epsg % 100, F.floor(epsg / 100) == 327
 
@@ -162,5 +158,5 @@ def reproject_match(target: DataFrame, source: DataFrame, pairs: DataFrame, keys
     cell = {"_col": F.floor((F.col("_x") - own["source_origin_x"]) / own["source_res_x"]).cast("int"), "_row": F.floor((F.col("_y") - own["source_origin_y"]) / own["source_res_y"]).cast("int")}
     looked = wide.withColumns(cell)
     found = source.select(*(F.col(k).alias(f"_source_{k}") for k in keys), F.col("row").alias("_row"), F.col("col").alias("_col"), *bands)
-    spare = [c for c in looked.columns if c.startswith("_")]
-    return reduce(lambda df, c: df.drop(c), spare, looked.join(found, [*(f"_source_{k}" for k in keys), "_row", "_col"], "left"))
+    joined = looked.join(found, [*(f"_source_{k}" for k in keys), "_row", "_col"], "left")
+    return joined.drop("_x", "_y", "_lon", "_lat", "_row", "_col", *(f"_source_{k}" for k in keys), *(f"_{n}" for n in own))

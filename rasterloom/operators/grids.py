@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.geometry import area_box, box_ring, envelope, pixel_centre, to_utm
+from rasterloom.functions.geometry import area_rings, envelope, pixel_centre, to_utm
 from rasterloom.operators.raster import few
 from rasterloom.schemas import BAND_ASSETS
 
@@ -52,16 +52,39 @@ def projected_envelope(ring: Column, zone: int | Column, south: Column | None =
     return envelope(F.transform(ring, moved))
 
 
-def clip_to_area(px: DataFrame, scenes: DataFrame, area, keys: list[str], most: int | None = None) -> DataFrame:
+#: What a table of grids must have, beside its keys, to tell a window's tiles.
+PLACE = ("epsg", "origin_x", "origin_y", "res_x", "res_y", "height", "width")
+
+
+def wanted_tiles(placed: DataFrame, tile: int) -> DataFrame:
+    """placed (PLACE, _minx, _miny, _maxx, _maxy) once for each stored tile that its box touches (tile_row, tile_col)."""
+
+    def ends(low: str, high: str, origin: str, step: str, size: str) -> tuple[Column, Column]:
+        a, b = ((F.col(c) - F.col(origin)) / F.col(step) for c in (low, high))
+        return F.greatest(F.floor(F.least(a, b)), F.lit(0)).cast("int"), F.least(F.floor(F.greatest(a, b)), F.col(size) - 1).cast("int")
+
+    (top, bottom), (left, right) = ends("_miny", "_maxy", "origin_y", "res_y", "height"), ends("_minx", "_maxx", "origin_x", "res_x", "width")
+    some = placed.withColumns({"_top": top, "_bottom": bottom, "_left": left, "_right": right}).filter("_top <= _bottom and _left <= _right")
+    for name, low, high in (("tile_row", "_top", "_bottom"), ("tile_col", "_left", "_right")):
+        some = some.withColumn(name, F.explode(F.sequence(F.floor(F.col(low) / tile).cast("int"), F.floor(F.col(high) / tile).cast("int"))))
+    return some.drop("_top", "_bottom", "_left", "_right")
+
+
+def clip_to_area(px: DataFrame, scenes: DataFrame, area, keys: list[str], most: int | None = None, tile: int | None = None) -> DataFrame:
     """The pixels of scenes (keys, epsg and more columns) in an area given in degrees, projected for each scene's own
-    reference system, beside the scenes' columns. most: how many scenes there are at most, if that is known."""
-    ring = box_ring(*(F.lit(v) for v in area_box(area)))
-    if isinstance(area, dict):
-        ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in area["coordinates"][0]))
-    box = projected_envelope(ring, *utm_of(F.col("epsg")))
+    reference system, beside the scenes' columns. most: how many scenes there are at most, if that is known.
+
+    tile: the size of the stored tiles (see write_pixels), where px has them and scenes have PLACE: then only the folders of
+    the tiles that the area touches are opened, and nothing of other scenes.
+    """
+    rings = F.array(*(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ring)) for ring in area_rings(area)))
+    box = projected_envelope(F.flatten(rings), *utm_of(F.col("epsg")))
     placed = scenes.withColumns({f"_{k}": v for k, v in box.items()})
     inside = F.col("x").between(F.col("_minx"), F.col("_maxx")) & F.col("y").between(F.col("_miny"), F.col("_maxy"))
-    return px.join(few(placed, most), keys).filter(inside).drop("_minx", "_miny", "_maxx", "_maxy")
+    wanted, on = placed, list(keys)
+    if tile is not None:
+        wanted, on = wanted_tiles(placed, tile).drop(*PLACE[1:]), [*keys, "tile_row", "tile_col"]
+    return px.join(few(wanted, most), on).filter(inside).drop("_minx", "_miny", "_maxx", "_maxy")
 
 
 def band_assets(items: DataFrame, bands=tuple(BAND_ASSETS)) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.indices import index
 from rasterloom.operators import catalog, raster, render
+from rasterloom.operators.areas import clip_to_areas
 from rasterloom.operators.grids import clip_to_area
 
 #: Scenes of a series at most, one for a month.
@@ -42,6 +43,14 @@ def explore(px: DataFrame, ring, nodata: int = 0, coarse: DataFrame | None = Non
     return ready.select("*", *(index(n) for n in ("ndvi", "evi", "ndwi_mcfeeters", "nbr")))
 
 
+def explore_areas(px: DataFrame, given: DataFrame, grids: DataFrame, nodata: int = 0, key: str = "grid_id", scenes: int | None = None) -> DataFrame:
+    """As explore, for a table of areas in degrees (key, area_id, rings with holes): each is projected for its grid, and the
+    pixels inside come once for each area. scenes: how many spans all areas have at most, if that is known."""
+    cut = clip_to_areas(raster.mask_nodata(px, nodata), given, grids, [key], scenes=scenes)
+    ready = raster.mask_clouds(raster.scale_bands(cut))
+    return ready.select("*", *(index(n) for n in ("ndvi", "evi", "ndwi_mcfeeters", "nbr")))
+
+
 def monthly_blocks(items: DataFrame, px: DataFrame, area, box, start: str, end: str, max_cloud: float = 60, factor: int = 2, key: str = "grid_id", nth: int | None = None, grids: DataFrame | None = None) -> DataFrame:
     """(item_id, date, brow, bcol, red_edge_ndvi) of each month's least cloudy scene, or of the nth of these by date.
 

@@ -124,3 +124,63 @@ def tile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TILE_SQL = """tile AS (SELECT event_id, '{"tilejson":"2.2.0","tiles":["https://tiles.example.com/' || json_extract_string(props, '$.k') || '/{z}/{x}/{y}.png"]}' AS body FROM events)"""
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles, and squares with a square hole, of some sizes around the scenes: area_id and rings."""
+    key = F.col("n_nationkey")
+    cx, cy = F.lit(-122.45) + (key * 7 % 41 - 20) * F.lit(0.02), F.lit(37.80) + (key * 11 % 37 - 18) * F.lit(0.02)
+    return shapes(read(spark, sf_dir, "nation"), key, cx, cy, F.lit(0.03) + (key % 5) * F.lit(0.04)).select("area_id", "rings")
+
+
+def grid_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Such shapes over the pixel grids, some for each: grid_id, area_id and rings, in degrees."""
+    key = F.col("n_nationkey")
+    cx, cy = F.lit(-122.4964) + (key % 3) * F.lit(0.001), F.lit(37.8495) - (key % 7) * F.lit(0.0004)
+    own = shapes(read(spark, sf_dir, "nation"), key, cx, cy, F.lit(0.0008) + (key % 5) * F.lit(0.0006))
+    return own.select((F.col("area_id") % GRIDS).cast("long").alias("grid_id"), "area_id", "rings")
+
+
+def shapes(rows: DataFrame, key, cx, cy, r) -> DataFrame:
+    def ring(*points):
+        return F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in (*points, points[0])))
+
+    def square(h):
+        return ring((F.col("cx") - h, F.col("cy") - h), (F.col("cx") + h, F.col("cy") - h), (F.col("cx") + h, F.col("cy") + h), (F.col("cx") - h, F.col("cy") + h))
+
+    given = rows.select(key.alias("area_id"), cx.alias("cx"), cy.alias("cy"), r.alias("r"))
+    x, y, half = F.col("cx"), F.col("cy"), F.col("r")
+    triangle = ring((x - half, y - half), (x + half, y - half), (x, y + half))
+    return given.withColumn("rings", F.when(F.col("area_id") % 2 == 1, F.array(triangle)).otherwise(F.array(square(half), square(half * F.lit(0.6)))))
+
+
+def shape_sql(name: str, cx: str, cy: str, r: str) -> str:
+    """CTEs: the shapes' closed rings, and their edges {name}_edge (area_id, ring, i, x1, y1, x2, y2)."""
+
+    def ring(*points: tuple[str, str]) -> str:
+        return "[" + ", ".join(f"{{'x': {x}, 'y': {y}}}" for x, y in (*points, points[0])) + "]"
+
+    def square(h: str) -> str:
+        return ring((f"cx - {h}", f"cy - {h}"), (f"cx + {h}", f"cy - {h}"), (f"cx + {h}", f"cy + {h}"), (f"cx - {h}", f"cy + {h}"))
+
+    rings = f"CASE WHEN area_id % 2 = 1 THEN [{ring(('cx - r', 'cy - r'), ('cx + r', 'cy - r'), ('cx', 'cy + r'))}] ELSE [{square('r')}, {square('(r * 6e-1)')}] END"
+    return (
+        f"{name}_given AS (SELECT n_nationkey AS area_id, {cx} AS cx, {cy} AS cy, {r} AS r FROM nation), {name} AS (SELECT area_id, {rings} AS rings FROM {name}_given), "
+        f"{name}_ring AS (SELECT area_id, k AS ring, rings[k] AS points FROM (SELECT area_id, rings, unnest(generate_series(1, len(rings))) AS k FROM {name})), "
+        f"{name}_edge AS (SELECT area_id, ring, i, points[i].x AS x1, points[i].y AS y1, points[i + 1].x AS x2, points[i + 1].y AS y2 FROM (SELECT *, unnest(generate_series(1, len(points) - 1)) AS i FROM {name}_ring))"
+    )
+
+
+AREA_SQL = shape_sql("area", "-122.45e0 + (n_nationkey * 7 % 41 - 20) * 2e-2", "37.80e0 + (n_nationkey * 11 % 37 - 18) * 2e-2", "3e-2 + (n_nationkey % 5) * 4e-2")
+GRID_AREA_SQL = shape_sql("area", "-122.4964e0 + (n_nationkey % 3) * 1e-3", "37.8495e0 - (n_nationkey % 7) * 4e-4", "8e-4 + (n_nationkey % 5) * 6e-4")
+
+#: Grids of even numbers and their sources lie on both sides of the border of zones 10 and 11, those of odd ones south of the
+#: equator on that of 33 and 34: epsg, origin and steps of a target and of its source.
+REFERENCES = (((32610, 764000.0, 4188000.0, 10.0, -10.0), (32611, 235700.0, 4188020.0, 20.0, -20.0)), ((32733, 780000.0, 6344700.0, 10.0, -10.0), (32734, 219380.0, 6344720.0, 20.0, -20.0)))
+
+
+def references(spark: SparkSession) -> DataFrame:
+    names = ("epsg", "origin_x", "origin_y", "res_x", "res_y")
+    even = F.col("id") % 2 == 0
+    values = {f"{p}{n}": F.when(even, REFERENCES[0][side][i]).otherwise(REFERENCES[1][side][i]) for side, p in enumerate(("", "source_")) for i, n in enumerate(names)}
+    return spark.range(GRIDS).select(F.col("id").alias("grid_id"), F.col("id").alias("source_grid_id"), *(c.alias(n) for n, c in values.items()))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom.functions.geometry import area_box, area_rings
 from rasterloom.functions.polygons import rings_literal
@@ -17,13 +18,18 @@ STAC = "id string, collection string, bbox array<double>, properties struct<date
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; on a local master that names none, in a temporary one."""
+    """A new path in the folder that all executors share, which goes when the session's JVM ends; on a local master that names
+    none, in a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/rasterloom-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder), files.deleteOnExit(folder)
+    return f"{own}/{name}"
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
@@ -31,9 +37,8 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return require(spark.read.parquet(path), *ITEMS.fieldNames())
 
 
-def read_stac(spark: SparkSession, path: str) -> DataFrame:
-    """STAC items as JSON lines, in the columns of ITEMS. Unknown properties are left unread; times become UTC."""
-    raw = spark.read.schema(STAC).json(path)
+def stac_items(raw: DataFrame) -> DataFrame:
+    """Parsed STAC items in the columns of ITEMS. Times become UTC."""
     ring = F.transform(F.get("geometry.coordinates", F.lit(0)), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     at = F.to_timestamp_ntz(F.regexp_replace("properties.datetime", r"(?:Z|\+00:00)$", ""))
     return raw.select(
@@ -42,6 +47,56 @@ def read_stac(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_stac(spark: SparkSession, path: str) -> DataFrame:
+    """STAC items as JSON lines, in the columns of ITEMS. Unknown properties are left unread."""
+    return stac_items(spark.read.schema(STAC).json(path))
+
+
+#: Longest part of a broken line that a report quotes.
+QUOTED = 200
+
+
+def checked_stac(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The usable items of a catalogue as JSON lines, and the others (item_id, reason, line) with the first reason that applies.
+
+    A line that can't be parsed, has no id, no time that can be read, no box of four finite numbers or no collection stops
+    nothing: it is listed, the others go on. Blank lines are passed over.
+    """
+    kind = T.StructType.fromDDL(STAC).add("_broken", T.StringType())
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.col("value").alias("_line"), F.from_json("value", kind, {"columnNameOfCorruptRecord": "_broken"}).alias("_item")).select("_line", "_item.*")
+    box = F.coalesce(F.size("bbox") >= 4, F.lit(False)) & F.coalesce(F.forall(F.slice("bbox", 1, 4), lambda v: v.isNotNull() & (F.abs(v) < float("inf"))), F.lit(False))
+    time = F.try_to_timestamp(F.regexp_replace("properties.datetime", r"(?:Z|\+00:00)$", ""))
+    reason = (
+        F.when(F.col("_broken").isNotNull(), "not a readable item").when(F.coalesce(F.col("id"), F.lit("")) == "", "no id").when(time.isNull(), "no time").when(~box, "no box").when(F.col("collection").isNull(), "no collection")
+    )
+    judged = parsed.withColumn("_reason", reason)
+    rejected = judged.filter("_reason is not null").select(F.col("id").alias("item_id"), F.col("_reason").alias("reason"), F.left("_line", F.lit(QUOTED)).alias("line"))
+    return stac_items(judged.filter("_reason is null")), rejected
+
+
+def checked_pixels(spark: SparkSession, path: str, bands: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The pixels of the usable files below a path, and the other files (file, reason).
+
+    All files are read under the schema of PIXELS with these bands; what isn't Parquet is passed over. A file is left out
+    if no row of it can be read, or if a band has no value in it, as where its column is missing. Such files are few; the
+    list of them is joined to the pixels by the file's name.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(plain_path(F.col("path")).alias("file"))
+    kept = T.StructType([f for f in PIXELS.fields if f.name in PIXEL_KEYS or f.name in bands])
+    px = spark.read.schema(kept).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").parquet(path).withColumn("file", plain_path(F.col("_metadata.file_path")))
+    seen = px.groupBy("file").agg(F.count("*").alias("_rows"), *(F.count(b).alias(f"_n_{b}") for b in bands))
+    lacks = F.array_compact(F.array(*(F.when(F.col(f"_n_{b}") == 0, b) for b in bands)))
+    reason = F.when(F.coalesce("_rows", F.lit(0)) == 0, "no readable row").when(F.size(lacks) > 0, F.concat(F.lit("no value of "), F.array_join(lacks, ", ")))
+    rejected = listed.join(seen, "file", "left").select("file", reason.alias("reason")).filter("reason is not null")
+    return px.join(rejected.select("file"), "file", "left_anti").drop("file"), rejected
+
+
+def plain_path(address: Column) -> Column:
+    """A file's address without its scheme, which readers write in different ways."""
+    return F.regexp_replace(address, "^[a-z]+:/+", "/")
+
+
 def write_stac(items: DataFrame, path: str) -> None:
     """Items with the columns of ITEMS (the key as text or number) as STAC JSON lines."""
     properties = F.struct(F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), F.col("cloud_cover").alias("eo:cloud_cover"))
@@ -59,10 +114,20 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     return px
 
 
-def write_pixels(px: DataFrame, path: str) -> None:
-    """A pixel table laid out for window reads: one folder for a scene, sorted by tiles of 256 pixels."""
-    tile = (F.floor(F.col("row") / 256), F.floor(F.col("col") / 256))
-    px.repartition("scene_id", *tile).sortWithinPartitions("scene_id", *tile, "row", "col").write.partitionBy("scene_id").parquet(path)
+#: Rows and columns of a stored tile: a folder holds a million pixels at most.
+TILE = 1024
+
+
+def tile_of(index: Column, tile: int = TILE) -> Column:
+    return F.floor(index / tile).cast("int")
+
+
+def write_pixels(px: DataFrame, path: str, tile: int = TILE) -> None:
+    """A pixel table laid out for window reads: one folder for a scene's tile (tile_row, tile_col), sorted by row and column.
+    A window's tiles are found by joining wanted (scene_id, tile_row, tile_col): other folders aren't opened."""
+    cut = px.withColumns({"tile_row": tile_of(F.col("row"), tile), "tile_col": tile_of(F.col("col"), tile)})
+    place = ("scene_id", "tile_row", "tile_col")
+    cut.repartition(*place).sortWithinPartitions(*place, "row", "col").write.partitionBy(*place).parquet(path)
 
 
 def areas(spark: SparkSession, *given) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry
-from rasterloom.operators import catalog, grids, raster, render
+from rasterloom.operators import areas, catalog, grids, raster, render
 from rasterloom.plans import pipeline
 from rasterloom.schemas import require
 from rasterloom.sources import tables
@@ -182,17 +182,58 @@ def test_grids(spark):
 
 
 def test_extents_leave_pixels_where_they_are(spark):
-    """With automatic broadcasts off, what joins a grid's extent to its pixels still doesn't shuffle the pixels by grid."""
+    """With automatic broadcasts off, what joins a grid's extent to its pixels still doesn't shuffle the pixels by grid, where
+    the number of grids is bounded; elsewhere nothing is broadcast unseen."""
     px = spark.range(400).select((F.col("id") % 3).alias("grid_id"), F.floor(F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), *(F.col("id").cast("double").alias(b) for b in ("red", "green", "blue")))
+    makers = (lambda n: raster.coarsen(px, ["grid_id"], 2, ["red"], coordinates=False, scenes=n), lambda n: render.rgb_stretch(px, ["grid_id"], scenes=n), lambda n: render.histogram(px, ["grid_id"], "red", scenes=n), lambda n: render.cross_section(px, ["grid_id"], "red", scenes=n))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        for df in (raster.coarsen(px, ["grid_id"], 2, ["red"], coordinates=False), render.rgb_stretch(px, ["grid_id"]), render.histogram(px, ["grid_id"], "red"), render.cross_section(px, ["grid_id"], "red"), raster.rebased(px, ["grid_id"])):
-            plan = df._jdf.queryExecution().executedPlan().toString()
+        for make in makers:
+            plan = make(3)._jdf.queryExecution().executedPlan().toString()
             assert "BroadcastHashJoin" in plan and not re.search(r"SortMergeJoin \[grid_id#\d+L(?:, row#\d+)?\]", plan)  # a histogram's bins are joined with its counts
+            assert "Broadcast" not in make(None)._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(repr, make(3).collect())) == sorted(map(repr, make(None).collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_extents_follow_a_replaced_file(spark, tmp_path):
+    """A table that is replaced under its path between two calls: blocks, colours, bins, lines and references of the new one."""
+    path = str(tmp_path / "px")
+
+    def table():
+        return spark.read.parquet(path).withColumns({"green": F.col("red"), "blue": F.col("red")})
+
+    def products():
+        px = table()
+        grid_table = grids.measured(px, ["grid_id"], 32610, (0.0, 0.0), (10.0, -10.0))
+        return [
+            raster.coarsen(px, ["grid_id"], 2, ["red"]).count(), render.quicklook(px, ["grid_id"], ["red"], 4).count(), raster.overviews(px, ["grid_id"], (2, 4), ["red"]).count(), render.cross_section(px, ["grid_id"], "red").first().row,
+            render.rgb_stretch(px, ["grid_id"]).agg(F.max("red")).first()[0], render.histogram(px, ["grid_id"], "red", 4).agg(F.sum("n")).first()[0], grids.referenced(px, grid_table, ["grid_id"]).count(),
+        ]
+
+    grid(spark, [[float(j) for j in range(4)] for _ in range(4)]).write.parquet(path)
+    assert products() == [4, 1, 5, 2, 254, 16, 16]
+    grid(spark, [[float(j) for j in range(4)] for _ in range(16)]).write.mode("overwrite").parquet(path)
+    assert products() == [16, 4, 20, 8, 254, 64, 64]
+
+
+def test_building_a_plan_starts_no_job(spark, tmp_path):
+    grid(spark, [[1.0, 2.0], [3.0, 4.0]]).withColumns({"green": F.col("red"), "blue": F.col("red"), "swir2": F.col("red"), "b05": F.col("red"), "b8a": F.col("nir")}).write.parquet(str(tmp_path / "px"))
+    px = spark.read.parquet(str(tmp_path / "px"))
+    own = items(spark, [("a", "2023-06-30T23:59:59", 39.9, IN)]).withColumn("grid_id", F.lit(1))
+    table = grids.measured(px, ["grid_id"], 32610, (0.0, 0.0), (10.0, -10.0))
+    given = tables.areas(spark, AREA).withColumn("grid_id", F.lit(1))
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup(None))
+    for df in (
+        raster.coarsen(px, ["grid_id"], 2, ["red"]), raster.overviews(px, ["grid_id"], (2, 4), ["red"]), render.rgb_stretch(px, ["grid_id"]), render.histogram(px, ["grid_id"], "red"), render.cross_section(px, ["grid_id"], "red"), grids.referenced(px, table, ["grid_id"]),
+        catalog.in_area(own, given), areas.clip_to_areas(px, given, table, ["grid_id"]), pipeline.monthly_series(own, px, AREA, None, "2023-01-01", "2023-12-31", grids=table), pipeline.single_scene(own, px, AREA, None, "2023-01-01", "2023-12-31", grids=table),
+    ):
+        df._jdf.queryExecution().optimizedPlan()
+    assert len(jobs.getJobIdsForGroup(None)) == before
+
+
 def test_resampling_spreads_nothing(spark):
     px = spark.range(16).select(F.lit(1).alias("g"), F.floor(F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"))
     coarse = px.filter("row < 2 and col < 2").withColumn("v", F.col("row") * 2 + F.col("col"))
@@ -247,3 +288,90 @@ def test_pixel_tables_are_checked(spark, tmp_path):
     spark.createDataFrame([(1, 0, 7)], "scene_id long, row int, nir int").write.parquet(f"{tmp_path}/short")
     with pytest.raises(ValueError, match="missing columns: col, x, y"):
         tables.read_pixels(spark, f"{tmp_path}/short")
+
+
+def test_a_window_opens_its_tiles_only(spark, tmp_path):
+    """Of a stored table's folders those are read that the area touches in the wanted scenes: pruned when the query runs."""
+    path = str(tmp_path / "tiles")
+    px = spark.range(3 * 64 * 64).select((F.col("id") % 3).alias("scene_id"), F.floor(F.col("id") / 192).cast("int").alias("row"), (F.floor(F.col("id") / 3) % 64).cast("int").alias("col"))
+    px = raster.with_coordinates(px, (544000.0, 4189000.0), (10.0, -10.0)).withColumn("red", F.col("row") * 64 + F.col("col"))
+    tables.write_pixels(px, path, tile=16)
+    spark.createDataFrame([(i, 32610, 544000.0, 4189000.0, 10.0, -10.0, 64, 64) for i in range(3)], "scene_id long, epsg int, origin_x double, origin_y double, res_x double, res_y double, height int, width int").write.parquet(str(tmp_path / "grids"))
+    table = spark.read.parquet(str(tmp_path / "grids")).filter("scene_id < 2")
+    corner = spark.range(1).select(*(c.alias(n) for n, c in zip("xy", geometry.from_utm(F.lit(544400.0), F.lit(4188800.0), F.lit(10)), strict=True))).first()
+    area = (corner.x, corner.y - 0.0001, corner.x + 0.0001, corner.y)
+    cut = grids.clip_to_area(tables.read_pixels(spark, path), table, area, ["scene_id"], most=2, tile=16)
+    whole = grids.clip_to_area(px, table, area, ["scene_id"], most=2)
+    rows = sorted(map(tuple, cut.select("scene_id", "row", "col", "red").collect()))
+    assert rows == sorted(map(tuple, whole.select("scene_id", "row", "col", "red").collect())) and 0 < len(rows) < 20
+    plan = cut._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString()
+    cut.collect()
+    scans = [m["numPartitions"] for m in metrics(plan) if "numPartitions" in m]
+    assert scans and max(scans) == 2  # of 3 x 16 folders
+
+
+def metrics(plan) -> list[dict]:
+    """The metrics of all nodes of a plan that has run, within adaptive ones and query stages too."""
+    out, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        values, it = {}, node.metrics().iterator()
+        while it.hasNext():
+            pair = it.next()
+            values[pair._1()] = pair._2().value()
+        out.append(values)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_overviews_read_pixels_once(spark, tmp_path):
+    """Every factor as by itself, nulls and ragged ends too, with one scan of the pixels in the plan."""
+    draw = random.Random(6)
+    rows = [(g, i, j, None if draw.random() < 0.2 else float(draw.randint(0, 99)), float(i * j)) for g, h, w in ((1, 37, 21), (2, 16, 8), (3, 3, 50)) for i in range(h) for j in range(w)]
+    spark.createDataFrame(rows, "grid_id int, row int, col int, red double, nir double").write.parquet(str(tmp_path / "px"))
+    px = spark.read.parquet(str(tmp_path / "px"))
+    sizes = spark.createDataFrame([(1, 37, 21), (2, 16, 8), (3, 3, 50)], "grid_id int, height int, width int")
+    got = raster.overviews(px, ["grid_id"], (2, 4, 8, 16), ["red", "nir"], grids=sizes)
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+    def close(df):
+        return sorted((r.factor, r.grid_id, r.brow, r.bcol, None if r.red is None else round(r.red, 9), round(r.nir, 9)) for r in df.collect())
+
+    want = [r for f in (2, 4, 8, 16) for r in close(raster.coarsen(px, ["grid_id"], f, ["red", "nir"], coordinates=False).withColumn("factor", F.lit(f)))]
+    assert close(got) == want
+    with pytest.raises(ValueError, match="multiple"):
+        raster.overviews(px, ["grid_id"], (2, 5), ["red"])
+
+
+def test_broken_items_are_listed_and_the_others_go_on(spark, tmp_path):
+    good = '{"id":"ok","collection":"c","properties":{"datetime":"2023-06-01T10:00:00Z","eo:cloud_cover":3.5},"bbox":[0,0,1,1],"more":{"a":[1]}}'
+    bad = {"not a readable item": ['{"id":"cut","coll', "no json", '{"id":"x","bbox":"none","collection":"c"}'], "no id": [good.replace('"id":"ok",', ""), good.replace('"ok"', '""')], "no time": [good.replace("2023-06-01T10", "June"), good.replace('"datetime":"2023-06-01T10:00:00Z",', "")], "no box": [good.replace("[0,0,1,1]", "[0,0,1]"), good.replace("[0,0,1,1]", "[0,null,1,1]"), good.replace(',"bbox":[0,0,1,1]', "")], "no collection": [good.replace('"collection":"c",', "")]}
+    (tmp_path / "items.json").write_text("\n".join([good, "", "  ", *(line for lines in bad.values() for line in lines), good.replace("ok", "ok2")]))
+    usable, rejected = tables.checked_stac(spark, str(tmp_path / "items.json"))
+    assert sorted((r.item_id, r.datetime, r.cloud_cover, r.maxx) for r in usable.collect()) == [(k, dt.datetime(2023, 6, 1, 10), 3.5, 1.0) for k in ("ok", "ok2")]
+    assert sorted((r.reason, r.line) for r in rejected.collect()) == sorted((k, line) for k, lines in bad.items() for line in lines)
+    assert usable.columns == tables.read_stac(spark, str(tmp_path / "items.json")).columns
+
+
+def test_broken_files_are_listed_and_the_others_go_on(spark, tmp_path):
+    px = grid(spark, [[1.0, 2.0]]).select(F.lit(1).cast("long").alias("scene_id"), "row", "col", "x", "y", F.col("red").cast("int").alias("red"), F.lit(5).alias("nir"))
+    px.coalesce(1).write.parquet(str(tmp_path / "px/good"))
+    px.drop("nir").coalesce(1).write.parquet(str(tmp_path / "px/lacks"))
+    px.limit(0).coalesce(1).write.parquet(str(tmp_path / "px/empty"))
+    (tmp_path / "px/bad").mkdir()
+    (tmp_path / "px/bad/part-0.parquet").write_text("no parquet at all")
+    whole = next((tmp_path / "px/good").glob("part-*")).read_bytes()
+    (tmp_path / "px/bad/part-1.parquet").write_bytes(whole[: len(whole) // 2])
+    usable, rejected = tables.checked_pixels(spark, str(tmp_path / "px"), ("red", "nir"))
+    assert [r.red for r in usable.orderBy("col").collect()] == [1, 2]
+    found = sorted((r.file.split("/px/")[1].split("/")[0], r.reason) for r in rejected.collect())
+    assert found == [("bad", "no readable row"), ("bad", "no readable row"), ("empty", "no readable row"), ("lacks", "no value of nir")]
