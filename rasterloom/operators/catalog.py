@@ -81,6 +81,46 @@ def geocode(places: DataFrame, query: str) -> DataFrame:
     return places.filter(F.lower("name") == query.strip().lower()).orderBy("name", "address").limit(1)
 
 
+def plain_name(name: Column) -> Column:
+    """A name as it is compared: lower case, single blanks."""
+    return F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
+
+
+def grams(name: Column) -> Column:
+    """The different runs of three characters of a plain name with a blank at either end."""
+    padded = F.concat(F.lit(" "), name, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substr(padded, i, F.lit(3))))
+
+
+def place_index(places: DataFrame, key: str = "place_id") -> DataFrame:
+    """(gram, key): the places whose names hold a run of three characters; to be stored for searches."""
+    return places.select(F.explode(grams(plain_name(F.col("name")))).alias("gram"), key)
+
+
+def search_places(places: DataFrame, index: DataFrame, queries: DataFrame, k: int = 1, least: float = 0.4, key: str = "place_id") -> DataFrame:
+    """The k places nearest to each free text (query_id, query), misspelt or in part: the places with their rank and distance.
+
+    A place is looked at if its name holds at least that share of the query's runs of three characters. Places are ranked by
+    edit distance, then by the runs they share, then by name, address and key. So many runs must be shared that one of the
+    query's rarest is among them, whatever else is: only these are joined with the index, and frequent runs, which most names
+    hold, never meet. Null and empty queries find nothing.
+    """
+    asked = queries.select("query_id", plain_name(F.col("query")).alias("_query")).filter("_query <> ''").withColumn("_grams", grams(F.col("_query")))
+    needed = F.greatest(F.ceil(F.size("_grams") * F.lit(least)), F.lit(1))
+    known = index.groupBy("gram").agg(F.count("*").alias("_places"))
+    each = asked.select("query_id", needed.alias("_needed"), F.size("_grams").alias("_n"), F.explode("_grams").alias("gram"))
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("_places", F.lit(0)), "gram")  # as many as a query has characters
+    rare = each.join(known, "gram", "left").withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= F.col("_n") - F.col("_needed") + 1)
+    candidates = rare.join(index, "gram").select("query_id", key).distinct()
+    told = places.withColumn("_name", plain_name(F.col("name"))).withColumn("_own", grams(F.col("_name")))
+    both = candidates.join(asked, "query_id").join(told, key)
+    shared = F.size(F.array_intersect("_grams", "_own"))
+    near = both.withColumn("_shared", shared).filter(F.col("_shared") >= F.ceil(F.size("_grams") * F.lit(least)))
+    near = near.withColumn("distance", F.levenshtein("_query", "_name"))
+    best = Window.partitionBy("query_id").orderBy("distance", F.col("_shared").desc(), "name", "address", key)
+    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("_query", "_grams", "_name", "_own", "_shared")
+
+
 def skipped(items: DataFrame, used: DataFrame, key: str, reason: str = "no pixel in the area") -> DataFrame:
     """Items that gave no result, with the reason."""
     return items.join(used.select(key).distinct(), key, "left_anti").select(key, F.lit(reason).alias("reason"))

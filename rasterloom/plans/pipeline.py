@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.indices import index
@@ -58,9 +58,15 @@ def monthly_blocks(items: DataFrame, px: DataFrame, area, box, start: str, end:
     scan. Blocks are averaged as digital numbers before the ratio.
     """
     chosen = catalog.least_cloudy(catalog.search(items, area, start, end, max_cloud))
-    chosen = (chosen if nth is None else catalog.nth(chosen, nth)).select("item_id", F.to_date("datetime").alias("date"), key)
-    cut = placed(raster.mask_nodata(px.select(key, "row", "col", "x", "y", "b05", "b8a")), chosen, area, box, grids, key)
-    blocks = raster.coarsen(cut, ["item_id", "date"], factor, ["b05", "b8a"], coordinates=False, rebase=True, scenes=MONTHS)
+    chosen = chosen if nth is None else catalog.nth(chosen, nth)
+    return blocks_of(chosen, px, area, box, factor, key, grids, MONTHS)
+
+
+def blocks_of(chosen: DataFrame, px: DataFrame, area, box, factor: int, key: str, grids: DataFrame | None, scenes: int) -> DataFrame:
+    """(item_id, date, brow, bcol, red_edge_ndvi) of some scenes, `scenes` at most."""
+    own = chosen.select("item_id", F.to_date("datetime").alias("date"), key)
+    cut = placed(raster.mask_nodata(px.select(key, "row", "col", "x", "y", "b05", "b8a")), own, area, box, grids, key)
+    blocks = raster.coarsen(cut, ["item_id", "date"], factor, ["b05", "b8a"], coordinates=False, rebase=True, scenes=scenes)
     return raster.scale_bands(blocks).select("item_id", "date", "brow", "bcol", index("red_edge_ndvi"))
 
 
@@ -69,3 +75,31 @@ def monthly_series(items: DataFrame, px: DataFrame, area, box, start: str, end:
     are absent (see skipped)."""
     ndvi = monthly_blocks(items, px, area, box, start, end, max_cloud, factor, key, grids=grids)
     return ndvi.groupBy("item_id", "date").agg(F.round(F.avg("red_edge_ndvi"), 6).alias("ndvi")).orderBy("date", "item_id")
+
+
+#: The stored series' schema; a month without a pixel in the area has a null.
+STORED = "item_id long, date date, ndvi double, year int, month int"
+
+
+def refresh_series(spark: SparkSession, path: str, items: DataFrame, new: DataFrame | None, px: DataFrame, area, box, start: str, end: str, max_cloud: float = 60, factor: int = 2, key: str = "grid_id", grids: DataFrame | None = None) -> None:
+    """Bring a stored monthly series (one folder for a year and month) up to date: the months that new scenes touch are chosen
+    and computed anew from all items, and their folders alone are replaced; without new ones the whole series is written.
+
+    Repeating a refresh changes nothing. A month whose chosen scene has no pixel in the area is stored with a null, so that an
+    older value doesn't stay.
+    """
+    found = catalog.search(items, area, start, end, max_cloud)
+    month = {"year": F.year("datetime"), "month": F.month("datetime")}
+    if new is not None:
+        touched = catalog.search(new, area, start, end, max_cloud).select(*(c.alias(n) for n, c in month.items())).distinct()
+        found = found.withColumns(month).join(F.broadcast(touched), ["year", "month"], "left_semi")  # a row for a month
+    chosen = catalog.least_cloudy(found, by_year=True).select("item_id", "datetime", key)
+    months = 12 * (int(str(end)[:4]) - int(str(start)[:4]) + 1)
+    ndvi = blocks_of(chosen, px, area, box, factor, key, grids, months).groupBy("item_id").agg(F.round(F.avg("red_edge_ndvi"), 6).alias("ndvi"))
+    rows = chosen.join(ndvi, "item_id", "left").select("item_id", F.to_date("datetime").alias("date"), "ndvi", *(c.alias(n) for n, c in month.items()))
+    rows.repartition("year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+
+
+def stored_series(spark: SparkSession, path: str) -> DataFrame:
+    """(item_id, date, ndvi) of a stored series, by date."""
+    return spark.read.schema(STORED).parquet(path).filter("ndvi is not null").select("item_id", "date", "ndvi").orderBy("date", "item_id")

@@ -609,7 +609,7 @@ def explore_scene_resampled(spark, d):
     return pipeline.explore(px, RING, coarse=fx.coarse_pixels(px)).select(*CELL, *PLAIN)
 
 
-from rasterloom.plans import area_queries  # noqa: E402  its queries register themselves here
+from rasterloom.plans import area_queries, series_queries  # noqa: E402  their queries register themselves here
 
 
 def queries() -> dict[str, Query]:
@@ -620,4 +620,4 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in QUERIES.items() if sql}
 
 
-assert set(SQL_INDEX) == set(INDICES) and area_queries
+assert set(SQL_INDEX) == set(INDICES) and area_queries and series_queries

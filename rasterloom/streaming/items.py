@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,29 @@ def matching(items: DataFrame, area, start: str, end: str, max_cloud: float = 40
     return found.withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["item_id"])
 
 
-def cloud_by_month(items: DataFrame, late: str = "30 days") -> DataFrame:
-    """Running count and least cloud cover by 30-day windows."""
-    timed = items.withColumn("seen_at", F.col("datetime").cast("timestamp")).withWatermark("seen_at", late)
-    return timed.groupBy(F.window("seen_at", "30 days")).agg(F.count("*").alias("n"), F.min("cloud_cover").alias("least_cloud"))
+def monthly_best(items: DataFrame) -> DataFrame:
+    """The monthly choice of `least_cloudy` as a running state: of each month number the least cloudy item so far, then the
+    latest, then the smallest id. The state is one row for a month; in update mode a batch gives the months that changed."""
+    latest = -F.unix_micros(F.col("datetime").cast("timestamp"))
+    order = F.struct(F.coalesce("cloud_cover", F.lit(100.0)).alias("cloud"), latest.alias("latest"), F.col("item_id").alias("item_id"), "datetime", "cloud_cover")
+    best = items.groupBy(F.month("datetime").alias("month")).agg(F.min(order).alias("best"))
+    return best.select("month", "best.item_id", "best.datetime", "best.cloud_cover")
+
+
+def upsert(batch: DataFrame, number: int, path: str) -> None:
+    """Keep a batch's rows as a version of their own, under its number: a batch that comes again after a failure replaces itself."""
+    batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def current(spark: SparkSession, path: str, schema: T.StructType, key: str = "month") -> DataFrame:
+    """The newest version of each key."""
+    newest = Window.partitionBy(key).orderBy(F.col("batch").desc())
+    rows = spark.read.schema(T.StructType(schema.fields).add("batch", T.LongType())).parquet(path)
+    return rows.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "batch")
+
+
+def keep_monthly_best(items: DataFrame, path: str, checkpoint: str):
+    """A query that takes in what there is of new items and keeps the table of monthly choices at path up to date."""
+    best = monthly_best(items)
+    writer = best.writeStream.outputMode("update").foreachBatch(lambda batch, number: upsert(batch, number, path))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
