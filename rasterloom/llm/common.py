@@ -7,7 +7,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def beside(docs: DataFrame, text: str, *made: str) -> tuple[DataFrame, str, list[Column]]:
+    """docs with its columns named c0, c1, ..., so that no name of theirs meets one of an operator; which of these is the text;
+    and the columns that give them their names back. Columns named like what the operator makes, in any case, are left out:
+    it replaces them."""
+    names = [c for c in docs.columns if c.lower() not in made]
+    own = docs.select(*(F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(names)))
+    at = names.index(text) if text in names else [c.lower() for c in names].index(text.lower())
+    return own, f"c{at}", [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. A local master that has none gets a temporary folder;
     on a cluster that would be another one on each machine, so there it must be set."""
@@ -29,11 +39,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written into the shared folder to cut lineage; drop() and leave() remove those no longer read."""
+    """Tables written into the shared folder to cut lineage; drop() and leave() remove those no longer read, and what a result
+    still reads goes when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{scratch_dir(spark).rstrip('/')}/rasterloom-{uuid.uuid4().hex}"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder), files.deleteOnExit(folder)
         self.count = 0
         self.saved: dict[str, DataFrame] = {}
 

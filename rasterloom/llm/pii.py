@@ -24,6 +24,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import beside
+
 ROUNDS = 8
 #: The session setting that names the key, where pseudonymise() isn't given one.
 KEY_SETTING = "spark.rasterloom.pii.key"
@@ -201,17 +203,15 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) ->
     Without a key, here or in KEY_SETTING, it raises ValueError.
 
     A null text stays null with an empty map, an empty text stays empty. Long texts are searched whole. Null ids, ties and repeated
-    rows pass through, equal values get equal pseudonyms in all rows. A column named pii is replaced. An empty table gives
-    an empty result. What isn't valid stays as it is.
+    rows pass through, equal values get equal pseudonyms in all rows. A column named pii, in any case, is replaced, all others
+    stay. An empty table gives an empty result. What isn't valid stays as it is.
     """
     key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
     if not key:
         raise ValueError(f"no key: give one, or set {KEY_SETTING}")
-    names = [c for c in docs.columns if c != "pii"]
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-    t = f"c{names.index(text)}"
+    own, t, back = beside(docs, text, "pii")
     none = F.array().cast("array<string>")
-    step = docs.select(*own).withColumn("found", F.when(F.col(t).rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none))
+    step = own.withColumn("found", F.when(F.col(t).rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none))
     step = step.withColumn("judged", F.transform("found", lambda m: judged(m, key)))
     pieces = F.split(F.col(t), ANY, -1)
     joined = F.concat(pieces[0], F.array_join(F.zip_with(F.col("judged.text"), F.slice(pieces, F.lit(2), F.size("found")), lambda a, b: F.concat(a, b)), ""))
@@ -219,4 +219,4 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) ->
     of_kind = [F.size(F.array_compact(F.transform(kinds, equals(k)))) for k in KINDS]
     count = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*of_kind)), lambda _, n: n > 0)
     step = step.withColumn(t, F.when(F.exists(kinds, lambda k: k.isNotNull()), joined).otherwise(F.col(t))).withColumn("pii", count)
-    return step.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "pii")
+    return step.select(*back, "pii")

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import fold
+from rasterloom.llm.common import beside, fold
 from rasterloom.llm.learn import learnt_texts, training_labels
 
 #: name, the characters or runs it counts in a text
@@ -140,12 +140,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of docs with quality_score (0 to 1, higher is better).
 
     Null and empty texts get the score of an empty text; long texts are measured whole. Null ids, ties and repeated rows pass
-    through; a column named quality_score is replaced. An empty table gives an empty result.
+    through; a column named quality_score, in any case, is replaced, all others stay. An empty table gives an empty result.
     """
     prefix = "_statistic_"
-    names = [c for c in docs.columns if c != "quality_score"]
-    own = [F.col(f"`{c}`") for c in names]
-    return docs.select(*own, *statistics(F.col(f"`{text}`"), prefix)).select(*own, compiled(model, prefix).alias("quality_score"))
+    own, t, back = beside(docs, text, "quality_score")
+    return own.select("*", *statistics(F.col(t), prefix)).select(*back, compiled(model, prefix).alias("quality_score"))
 
 
 def learnt(key: str = "doc_id"):

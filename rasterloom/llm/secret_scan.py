@@ -1,7 +1,7 @@
 """Secret scans: candidates by one pattern, false positives removed by a random forest, in DataFrame functions only.
 
 A candidate is a long run of key characters with a digit or a known prefix, what is assigned to a name like "password" or
-"access_key_id", or a private key block. The forest sees its length, its transitions between kinds of characters, how much of it
+"access_key_id", a password or a webhook's path within an address, or a block of a key or certificate. The forest sees its length, its transitions between kinds of characters, how much of it
 a dictionary covers (the most frequent whole words of a public vocabulary), whether it stands in a path, and the words beside
 it. It is grown on the driver from labelled findings, a small table, and compiled into one column expression; texts are then
 searched and redacted inside Spark's own operators.
@@ -21,8 +21,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import beside
+
 KEY_WORDS = "passw(?:or)?d|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer"
-PLAIN_WORDS = "commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|revision|build|version|isbn|card|phone|invoice|order|serial|example|placeholder|dummy|sample|image|etag|integrity"
+PLAIN_WORDS = "commit|sha1|sha256|sha384|sha512|md5|checksum|digest|hash|uuid|guid|revision|build|version|isbn|card|phone|invoice|order|serial|example|placeholder|dummy|sample|image|etag|integrity"
 #: Where the dictionary is read from, how many of its words count, and of which lengths.
 VOCABULARY, DICTIONARY_WORDS, WORD_LENGTHS = public_tokenizers.path("word_bpe_49k.json"), 4000, (4, 14)
 #: What may stand between a key word and its "=": "_id", "_key_base", "KeyId", a plural.
@@ -34,13 +36,20 @@ BLOCK = (
     r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[^\-]*+(?:-(?!----(?:BEGIN|END) )[^\-]*+)*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
     r"|(?:\s++[A-Za-z][A-Za-z\-]*+: [^\n]*+)*+(?:(?:\s|\\[rn])++[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?<=[A-Za-z0-9+/]{16})\r?\n[A-Za-z0-9+/]{1,15}+={0,2}(?=\s*(?:\n|$)))?)"
 )
+#: A whole block of what is public: a certificate, a public key. It is one candidate, so that its lines aren't each one.
+PUBLIC = r"-----BEGIN (?![A-Z ]*PRIVATE)[A-Z0-9 ]++-----[^\-]*+(?:-(?!----)[^\-]*+)*+-----END [A-Z0-9 ]++-----"
+#: Passwords in addresses, and the paths of webhooks, which are their only protection.
+IN_ADDRESS = r"(?<=://[^\s:/@]{1,64}:)[^\s/@\"'<>]{4,}(?=@[A-Za-z0-9\[])"
+WEBHOOK = r"(?<=hooks\.slack\.com/(?:services|workflows)/|discord(?:app)?\.com/api/webhooks/|webhook\.office\.com/webhookb2/)[A-Za-z0-9_\-@/]{20,}"
+#: What people put where a secret would stand.
+STAND_IN = r"(?i)change|example|your|xxx|\*\*|placeholder|none|required|dummy|sample|todo|\$\{|<|redact|secret|passw|token|test|default|hidden|insert|replace"
 CANDIDATE = (
     # the first lookbehind is implied by the second and spares it at most places
-    rf"{BLOCK}|(?<=[=:][ \t]{{0,2}}[\"']{{0,1}}(?:{SCHEME}[ \t]{{1,2}}){{0,1}})(?<=(?i:{KEY_WORDS}){SUFFIX}[\"']{{0,1}}[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']{{0,1}}(?:{SCHEME}[ \t]{{1,2}}){{0,1}})(?!{SCHEME}[ \t])[^\s\"'<>=:,;]{{6,}}={{0,2}}"
-    rf"|(?<![A-Za-z0-9+/_\-])(?={KNOWN_PREFIX}|[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{16,}}={{0,2}}"
+    rf"{BLOCK}|{PUBLIC}|{IN_ADDRESS}|{WEBHOOK}|(?<=[=:][ \t]{{0,2}}[\"']{{0,1}}(?:{SCHEME}[ \t]{{1,2}}){{0,1}})(?<=(?i:{KEY_WORDS}){SUFFIX}[\"']{{0,1}}[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']{{0,1}}(?:{SCHEME}[ \t]{{1,2}}){{0,1}})(?!{SCHEME}[ \t])[^\s\"'<>=:,;]{{6,}}={{0,2}}"
+    rf"|(?<![A-Za-z0-9+/_\-])(?!com/(?:services|workflows|api/webhooks|webhookb2)/)(?={KNOWN_PREFIX}|[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{16,}}={{0,2}}"
 )
 #: A text without these has no candidate.
-HINT = rf"[0-9]|-----BEGIN|{KNOWN_PREFIX}|(?i:{KEY_WORDS}){SUFFIX}[\"']?[ \t]{{0,2}}[=:]"
+HINT = rf"[0-9]|-----BEGIN|{KNOWN_PREFIX}|(?i:{KEY_WORDS}){SUFFIX}[\"']?[ \t]{{0,2}}[=:]|://[^\s:/@]{{1,64}}:|webhook|hooks\."
 BEFORE, AFTER = 48, 24
 MASK = "[secret]"
 #: Parts of the names that harmless findings are made of.
@@ -49,7 +58,7 @@ NAMES = (
     "gauge glob grid guard hook icon inbox ingest jar job kernel knob lambda ledger lint locale lookup macro manifest merge mock mutex nav node npm opcode outbox parser patch pixel plugin probe proxy query queue quota "
     "raster regex render repo resolver retry route runner sandbox scan schema scope seed shard shell sidebar slot socket span stack stub sync task tenant thread token track tuple unit upload vault vendor view vue watch widget window worker xml yaml yield zone zoom"
 ).split()
-FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal", "repeats", "dictionary", "path", "in_path", "key_word", "plain_word", "assigned", "block", "known_prefix")
+FEATURES = ("length", "transitions", "digits", "upper", "distinct", "hexadecimal", "repeats", "dictionary", "path", "in_path", "key_word", "plain_word", "assigned", "block", "known_prefix", "public", "in_address", "webhook", "stand_in")
 TREES, DEPTH, SEED, FINDINGS = 25, 6, 11, 3000
 
 
@@ -83,10 +92,14 @@ def features(candidate: Column, before: Column, after: Column, words: tuple[str,
         "path": F.regexp_count(candidate, F.lit("[/_-]")) / n,
         "in_path": before.rlike(r"(?:://|/|\\)\S*$") | after.rlike(r"^(?:\.[a-z]{2,4}\b|/)"),
         "key_word": before.rlike(rf"(?i:{KEY_WORDS}){SUFFIX}[^A-Za-z]{{0,6}}(?:{SCHEME}[ \t]{{1,2}})?$"),
-        "plain_word": before.rlike(rf"(?i)\b(?:{PLAIN_WORDS})\b[^\n]{{0,16}}$"),
+        "plain_word": before.rlike(rf"(?i)\b(?:{PLAIN_WORDS})\b[^\n]{{0,16}}$") | candidate.rlike(r"^(?i:sha(?:1|224|256|384|512)|md5)[\-:_]"),
         "assigned": before.rlike(r"[=:][ \t]*[\"']?$"),
-        "block": candidate.startswith("-----BEGIN"),
+        "block": candidate.rlike("^-----BEGIN [A-Z ]*PRIVATE"),
         "known_prefix": candidate.rlike(f"^{KNOWN_PREFIX}"),
+        "public": candidate.rlike("^-----BEGIN (?![A-Z ]*PRIVATE)"),
+        "in_address": before.rlike(r"://[^\s:/@]{1,64}:$") & after.startswith("@"),
+        "webhook": before.rlike(r"(?:hooks\.slack\.com/(?:services|workflows)|/api/webhooks|/webhookb2)/$"),
+        "stand_in": candidate.rlike(STAND_IN),
     }
     return F.struct(*(values[k].cast("double").alias(k) for k in FEATURES))
 
@@ -99,6 +112,7 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
     draw = np.random.default_rng(seed)
     hexa, upper, base = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     safe = base[:-2] + "_-"
+    common = dictionary()[::8]
 
     def some(letters: str, n: int) -> str:
         return "".join(letters[i] for i in draw.integers(0, len(letters), n))
@@ -112,9 +126,29 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
     def words() -> str:
         return " ".join(some("abcdefghijklmnopqrstuvwxyz", int(draw.integers(2, 9))) for _ in range(4)) + " "
 
+    def spoken() -> str:
+        """A password as people make them: words, digits and marks."""
+        parts = [pick(*NAMES, *common) for _ in range(int(draw.integers(1, 4)))]
+        parts = [w.capitalize() if draw.integers(2) else w for w in parts]
+        return pick("", "", ".", "_").join(parts) + str(draw.integers(1, 10000)) + pick("", "", "!", "$", "#1", "@2x")
+
+    def identifier() -> str:
+        """A name in a program: words in capitals, with or without a number."""
+        parts = [pick(*NAMES, *common) for _ in range(int(draw.integers(3, 7)))]
+        return pick("get", "set", "is", "on", "") + "".join(w.capitalize() for w in parts) + pick("", str(draw.integers(1, 100)))
+
     def secret() -> tuple[str, str, str]:
         key = pick("password=", "passwd: ", 'token = "', 'secret = "', "api_key=", "API_KEY: ", 'access_key="', "Authorization: Bearer ", "PASSWORD=", 'TOKEN = "', "pwd=")
-        kind = int(draw.integers(7))
+        kind = int(draw.integers(10))
+        if kind == 7:
+            return words() + pick("DB_PASSWORD=", "DATABASE_PASSWORD=", "password: ", "MYSQL_PWD=", "passwd = ", 'pass_phrase_secret="', "SMTP_PASSWORD: "), spoken(), pick("\n", " ", '"')
+        if kind == 8:
+            user = pick("root", "admin", "app", "postgres", pick(*NAMES))
+            return words() + pick("mysql", "postgres", "https", "amqp", "redis", "mongodb+srv") + f"://{user}:", pick(spoken().replace("@", "-"), pick(*common).capitalize() + pick("-", "+", "_") + spoken().replace("@", "-"), some(safe, int(draw.integers(8, 30)))), "@" + pick("localhost", "db.internal:5432/app", "host", "10.0.0.5")
+        if kind == 9:
+            if draw.integers(2):
+                return words() + "https://hooks.slack.com/services/", f"T{some(upper, 8)}/B{some(upper, 8)}/{some(safe[:-2], 24)}", " "
+            return words() + "https://discord.com/api/webhooks/", f"{some('0123456789', 18)}/{some(safe, 60)}", " "
         if kind == 0:
             return words() + pick("", "aws ", "key "), pick("AKIA", "ASIA") + some(upper, 16), " "
         if kind == 1:
@@ -129,7 +163,17 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
         return words() + key, value.upper() if key.isupper() else value, pick('"', " ", "\n", '"!!')
 
     def harmless() -> tuple[str, str, str]:
-        kind = int(draw.integers(9))
+        kind = int(draw.integers(14))
+        if kind == 9:
+            named = pick("CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST", "PGP PUBLIC KEY BLOCK", "PGP SIGNATURE")
+            return words(), f"-----BEGIN {named}-----\n{some(base, 64)}\n{some(base, 64)}\n-----END {named}-----", "\n"
+        if kind == 10:
+            return words() + pick('integrity="', "", "sri: ", "resolved "), pick("sha512-", "sha384-", "sha256-", "sha256:") + some(base, int(pick("43", "64", "86"))) + pick("==", "=", ""), pick('"', " ")
+        if kind in (11, 12):
+            return words() + pick("", "call ", "= ", "var ", "function "), identifier() + str(draw.integers(10)), pick("(", " ", ";", ".")
+        if kind == 13:
+            user = pick("user", "admin", "username")
+            return words() + f"postgres://{user}:", pick("password", "changeme", "secret1", "example", "yourpassword", "${PASSWORD}", "xxxxx"), "@" + pick("localhost", "host")
         if kind == 0:
             h = some(hexa, 32)
             return words() + pick("", "id=", "uuid: ", "guid "), "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:])), " "
@@ -221,13 +265,12 @@ def scan(docs: DataFrame, forest: Forest, text: str = "text", threshold: float =
 
     What is a secret at one place of a text is masked at all its places there.
     A null text stays null and an empty one empty, both without candidates. Long texts are searched whole. Null ids, ties and
-    repeated rows pass through. Columns named n_candidates or secrets are replaced. An empty table gives an empty result.
+    repeated rows pass through. Columns named n_candidates or secrets, in any case, are replaced, all others stay. An empty
+    table gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ("n_candidates", "secrets")]
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-    t = f"c{names.index(text)}"
+    own, t, back = beside(docs, text, "n_candidates", "secrets")
     nothing = F.array().cast("array<string>")
-    step = docs.select(*own).withColumn("found", F.when(F.col(t).rlike(HINT), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(nothing))
+    step = own.withColumn("found", F.when(F.col(t).rlike(HINT), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(nothing))
     step = step.withColumn("parts", F.when(F.size("found") > 0, F.split(F.col(t), CANDIDATE, -1)).otherwise(nothing))
 
     def seen(c: Column, i: Column) -> Column:
@@ -242,4 +285,4 @@ def scan(docs: DataFrame, forest: Forest, text: str = "text", threshold: float =
     secrets = F.filter("seen", lambda s: F.array_contains("known", s.secret))
     step = step.withColumn("secrets", secrets).withColumn("n_candidates", F.size("found").cast("long"))
     step = step.withColumn(t, F.when(F.size("secrets") > 0, joined).otherwise(F.col(t)))
-    return step.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "n_candidates", "secrets")
+    return step.select(*back, "n_candidates", "secrets")

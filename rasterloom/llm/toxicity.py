@@ -2,9 +2,9 @@
 
 Words get log-odds of standing in toxic rather than clean texts, with a symmetric Dirichlet prior (PRIOR for each word); those whose
 log-odds are beyond MIN_Z deviations, and beyond MIN_ODDS, form the lexicon. So do heads of words, which stand for words that weren't seen often
-enough, and all other words share one slightly negative score. A text counts once for a word, however often it says it. As the scores
-are log-likelihood ratios, the extreme-value law of the best segment has a scale of 1: a segment of score S is matched or
-beaten by chance in a clean text of n words about K n exp(-S) times, where K is fitted on the clean learnt texts. A linear scan
+enough, and all other words share one slightly negative score. A text counts once for a word, however often it says it. By the
+extreme-value law of the best segment, one of score S is matched or beaten by chance in a clean text of n words about
+K n exp(-lambda S) times; K and the scale lambda are fitted together on the clean learnt texts, by maximum likelihood. A linear scan
 (Ruzzo and Tompa) finds all maximal segments; those expected less than MAX_EXPECTED times are passages. A text's score is
 logistic in its best segment's and all passages' surplus over chance, calibrated on learnt texts.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.bpe import pieces
-from rasterloom.llm.common import Scratch, fold, small_batches, tidy
+from rasterloom.llm.common import Scratch, beside, fold, small_batches, tidy
 from rasterloom.llm.learn import learnt_texts, logistic, training_labels
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -40,6 +40,7 @@ class Model:
     heads: dict[str, float]
     rest: float  # the score of all other words
     chance: float  # K
+    scale: float  # lambda
     weights: tuple[float, float, float]
 
 
@@ -123,11 +124,37 @@ def openings_of(model: Model) -> set[str]:
     return {h[: HEADS[-1]] for h in model.heads}
 
 
-def features(n: int, found: list[tuple[int, int, float]], chance: float) -> tuple[float, float]:
+#: Texts with a segment that a scale is fitted on at least, and the range that it is searched in.
+LEAST_FITTED, SCALES = 20, (0.05, 20.0)
+
+
+def extreme_value(clean: list[tuple[int, float]]) -> tuple[float, float]:
+    """K and lambda from the words and best scores of clean texts, those without any segment as such whose best is below the
+    least score seen. With fewer than LEAST_FITTED segments lambda is 1, as of log-likelihood ratios, and K alone is fitted."""
+    n, s = (np.array(x, float) for x in zip(*clean, strict=True)) if clean else (np.zeros(0), np.zeros(0))
+    seen = s > 0
+    if not seen.any():
+        return (len(n) / max(n.sum(), 1e-9) if len(n) else 1.0), 1.0
+    at = np.where(seen, s, s[seen].min())  # a text without a segment has only not reached this
+    m = seen.sum()
+
+    def slope(scale: float) -> float:
+        w = n * np.exp(-scale * (at - at.min()))
+        return m / scale - s[seen].sum() + m * (w * at).sum() / w.sum()
+
+    scale, (low, high) = 1.0, SCALES
+    if m >= LEAST_FITTED:
+        for _ in range(60):
+            scale = (low + high) / 2
+            low, high = (scale, high) if slope(scale) > 0 else (low, scale)
+    return m / max((n * np.exp(-scale * at)).sum(), 1e-9), scale
+
+
+def features(n: int, found: list[tuple[int, int, float]], chance: float, scale: float = 1.0) -> tuple[float, float]:
     """The best segment's surplus over what chance gives in n words, and the sum of all passages' surpluses, as logarithms."""
     floor = math.log(max(chance * n, 1e-12))
-    surplus = [s - floor for _, _, s in found if s - floor >= -math.log(MAX_EXPECTED)]
-    best = max((s - floor for _, _, s in found), default=0.0)
+    surplus = [scale * s - floor for _, _, s in found if scale * s - floor >= -math.log(MAX_EXPECTED)]
+    best = max((scale * s - floor for _, _, s in found), default=0.0)
     return math.log1p(max(best, 0.0)), math.log1p(sum(surplus))
 
 
@@ -139,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, learnt, key: str = "doc_id", text:
     texts = scratch.save(learnt_texts(docs, chosen, key, text), "learnt")
     counts = scratch.save(count_words(texts), "word-counts", 8)  # read again for each length of heads
     words, heads, rest = lexicon(counts)
-    rough = Model(words, heads, rest, 1.0, (0.0, 0.0, 0.0))
+    rough = Model(words, heads, rest, 1.0, 1.0, (0.0, 0.0, 0.0))
     openings = openings_of(rough)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,24 +179,24 @@ def train(docs: DataFrame, labels: DataFrame, learnt, key: str = "doc_id", text:
     y = np.array([r.label > 0 for r in seen], float)
     if not len(y) or y.min() == y.max() or not words:
         share = float(y.mean()) if len(y) else 0.0
-        return Model(words, heads, rest, 1.0, (0.0, 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+        return Model(words, heads, rest, 1.0, 1.0, (0.0, 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     clean = [(r.n, max(r.s, default=0.0)) for r in seen if not r.label and r.n]
-    chance = len(clean) / max(sum(n * math.exp(-s) for n, s in clean), 1e-9)
-    x = np.array([features(r.n, [(0, 0, s) for s in r.s], chance) for r in seen])
-    return Model(words, heads, rest, chance, tuple(logistic(x, y).tolist()))
+    chance, scale = extreme_value(clean)
+    x = np.array([features(r.n, [(0, 0, s) for s in r.s], chance, scale) for r in seen])
+    return Model(words, heads, rest, chance, scale, tuple(logistic(x, y).tolist()))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of docs with toxicity (0 to 1) and passages: [(begin, end, score, expected)], begin and end by words.
 
     Null and empty texts have no passages and the score of a text without any; long texts are scanned whole. Repeated rows
-    and null ids pass through. Columns named toxicity or passages are replaced. An empty table gives an empty result.
+    and null ids pass through. Columns named toxicity or passages, in any case, are replaced, all others stay. An empty table
+    gives an empty result.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon: words significant in TRAIN_ROWS texts
-    names = [c for c in docs.columns if c not in ("toxicity", "passages")]
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
-    at = names.index(text)
+    inner, t, back = beside(docs, text, "toxicity", "passages")
+    at = inner.columns.index(t)
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(inner.schema.fields))
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
 
@@ -182,15 +209,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for part in pieces(texts):
                 for t in texts[part]:
                     n, found = scan(t or "", m, openings)
-                    a, b = features(n, found, m.chance)
+                    a, b = features(n, found, m.chance, m.scale)
                     w = m.weights
                     probability.append(1 / (1 + math.exp(-max(min(w[0] * a + w[1] * b + w[2], 30), -30))))
-                    expected = [(i, j, s, m.chance * n * math.exp(-s)) for i, j, s in found]
+                    expected = [(i, j, s, m.chance * n * math.exp(-m.scale * s)) for i, j, s in found]
                     passages.append([dict(zip(("begin", "end", "score", "expected"), x, strict=True)) for x in expected if x[3] <= MAX_EXPECTED])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probability, pa.float64()), pa.array(passages, kind)], [*batch.schema.names, "toxicity", "passages"])
 
     out = inner.mapInArrow(tidy(run), f"{schema}, toxicity double, passages array<struct<begin:long,end:long,score:double,expected:double>>")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "toxicity", "passages")
+    return out.select(*back, "toxicity", "passages")
 
 
 def learnt(key: str = "doc_id"):

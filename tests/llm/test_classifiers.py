@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from rasterloom.llm import learn, quality, toxicity
@@ -135,3 +137,67 @@ def test_compiled_rules_equal_numpy(spark, world):
     x = rows[[f"_s_{n}" for n in quality.NAMES]].to_numpy()
     z = sum(w * quality.holds(r, x) for r, w in zip(model.rules, model.weights, strict=True)) + model.intercept
     assert np.allclose(rows["p"], 1 / (1 + np.exp(-z)))
+
+
+def test_clashing_columns(docs, world):
+    df, labels, _ = world
+    t, q = toxicity.train(df, labels, toxicity.learnt()), quality.train(df, labels, quality.learnt())
+    odd = docs([(1, "idiot moron scum loser")]).selectExpr("doc_id", "text as Text", "1 as _statistic_chars", "2 as Quality_Score", "3 as Toxicity", "4 as PASSAGES", "5 as `a.b`", "6 as c1")
+    scored, judged = quality.score(odd, q), toxicity.score(odd, t)
+    assert scored.columns == ["doc_id", "Text", "_statistic_chars", "Toxicity", "PASSAGES", "a.b", "c1", "quality_score"] and 0 <= scored.first().quality_score <= 1
+    assert judged.columns == ["doc_id", "Text", "_statistic_chars", "Quality_Score", "a.b", "c1", "toxicity", "passages"]
+    assert tuple(scored.first())[:-1] == (1, "idiot moron scum loser", 1, 3, 4, 5, 6) and judged.first().toxicity > 0.5
+
+
+def test_extreme_value_law():
+    """K and lambda are found again from best scores drawn by the law, texts without a segment and other units of score included."""
+    draw = np.random.default_rng(3)
+    for k, scale in ((0.05, 1.0), (0.2, 0.5), (0.02, 3.0)):
+        n = draw.integers(20, 400, 6000).astype(float)
+        s = (np.log(k * n) - np.log(-np.log(draw.random(6000)))) / scale
+        floor = np.quantile(s, 0.3)
+        found, fitted = toxicity.extreme_value([(a, b if b > max(floor, 0) else 0.0) for a, b in zip(n.tolist(), s.tolist(), strict=True)])
+        assert abs(fitted / scale - 1) < 0.1 and abs(np.log(found / k)) < 0.4
+    assert toxicity.extreme_value([]) == (1.0, 1.0) and toxicity.extreme_value([(10, 0.0)])[1] == 1.0
+    k, scale = toxicity.extreme_value([(100, 2.0), (50, 0.0)])
+    assert scale == 1.0 and abs(k - 1 / (150 * np.exp(-2.0))) < 1e-9
+
+
+def test_log_odds_and_score_against_loops(docs, world):
+    """The lexicon from counts in plain Python, and a text's score from its segments, the law and the logistic weights."""
+    df, labels, truth = world
+    model = toxicity.train(df, labels, toxicity.learnt())
+    texts = {r.doc_id: r.text for r in df.collect()}
+    chosen = [i for i in texts if i in truth and not held(i, 5, 0)]
+    counts = {}
+    for i in chosen:
+        for w in set(toxicity.WORD.findall(texts[i].lower())):
+            counts.setdefault(w, [0, 0])[truth[i][1] > 0] += 1
+    n_c, n_t = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    want = {}
+    for w, (clean, toxic) in counts.items():
+        t, c = toxic + toxicity.PRIOR, clean + toxicity.PRIOR
+        odds = np.log(t / (n_t - t + 1)) - np.log(c / (n_c - c + 1))
+        if odds / np.sqrt(1 / t + 1 / c) >= toxicity.MIN_Z and np.log(t / n_t) - np.log(c / n_c) >= toxicity.MIN_ODDS:
+            want[w] = np.log(t / n_t) - np.log(c / n_c)
+    assert set(model.lexicon) == set(want) and all(abs(model.lexicon[w] - s) < 1e-9 for w, s in want.items())
+    for r in toxicity.score(df.limit(40), model).collect():
+        n, found = toxicity.scan(r.text, model, toxicity.openings_of(model))
+        floor = np.log(max(model.chance * n, 1e-12))
+        best = max([model.scale * s - floor for *_, s in found], default=0.0)
+        rest = sum(x for *_, s in found if (x := model.scale * s - floor) >= -np.log(toxicity.MAX_EXPECTED))
+        z = model.weights[0] * np.log1p(max(best, 0)) + model.weights[1] * np.log1p(rest) + model.weights[2]
+        assert abs(r.toxicity - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_statistics_against_loops(docs, prose):
+    """Every statistic of whole texts, counted in plain Python."""
+    texts = [None, "", " ", "one", "a a a\nb  B!", "## $$$ <<>> http://x.y/z", "Ärger übt\tsich; 12 345", prose(3, 400).upper() + "!!!", "\n\n\n", "x" * 5000, "- item\n- item\n- item", "“quoted” — text…"]
+    names = [*quality.NAMES]
+    got = {r.doc_id: [r[n] for n in names] for r in docs(list(enumerate(texts))).select("doc_id", *quality.statistics(F.col("text"))).collect()}
+    for i, text in enumerate(texts):
+        t = text or ""
+        w = re.split(r"[ \t\n\x0b\f\r]+", t)
+        want = [len(t), len(w), len(t) / len(w), t.count("\n") + 1, len(set(w)) / len(w), sum(a == b for a, b in zip(w, w[1:])) / len(w)]
+        want += [len(regex.findall(p, t)) / (len(t) + 1) for _, p in quality.MARKS]
+        assert np.allclose(got[i], want), (text, dict(zip(names, zip(got[i], want))))

@@ -164,3 +164,11 @@ def test_international_numbers_are_whole(docs):
     assert [t for t, _ in both] == [f"{shown[0]} {t}" for t, _ in alone]
     assert [k for _, k in both] == [{"phone": 2} if k == "phone" else {"phone": 1, k: 1} for k in other.values()]
     assert got[-len(none) :] == [(t, {}) for t in none]
+
+
+def test_clashing_columns(docs):
+    odd = docs([(1, "call +49 89 123456 78")]).selectExpr("doc_id", "text as TEXT", "1 as PII", "2 as `a.b`", "3 as found", "4 as judged", "5 as c0")
+    got = pii.pseudonymise(odd, key="k")
+    assert got.columns == ["doc_id", "TEXT", "a.b", "found", "judged", "c0", "pii"]
+    row = tuple(got.first())
+    assert row[2:6] == (2, 3, 4, 5) and row[6] == {"phone": 1} and row[1] != "call +49 89 123456 78"
