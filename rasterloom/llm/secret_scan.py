@@ -44,8 +44,8 @@ WEBHOOK = r"(?<=hooks\.slack\.com/(?:services|workflows)/|discord(?:app)?\.com/a
 #: What people put where a secret would stand.
 STAND_IN = r"(?i)change|example|your|xxx|\*\*|placeholder|none|required|dummy|sample|todo|\$\{|<|redact|secret|passw|token|test|default|hidden|insert|replace"
 CANDIDATE = (
-    # the first lookbehind is implied by the second and spares it at most places
-    rf"{BLOCK}|{PUBLIC}|{IN_ADDRESS}|{WEBHOOK}|(?<=[=:][ \t]{{0,2}}[\"']{{0,1}}(?:{SCHEME}[ \t]{{1,2}}){{0,1}})(?<=(?i:{KEY_WORDS}){SUFFIX}[\"']{{0,1}}[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']{{0,1}}(?:{SCHEME}[ \t]{{1,2}}){{0,1}})(?!{SCHEME}[ \t])[^\s\"'<>=:,;]{{6,}}={{0,2}}"
+    # what each branch begins with is implied by what follows and spares that at most places
+    rf"(?=-----BEGIN )(?:{BLOCK}|{PUBLIC})|(?<=[:/])(?:{IN_ADDRESS}|{WEBHOOK})|(?<=[=:][ \t]{{0,2}}[\"']{{0,1}}(?:{SCHEME}[ \t]{{1,2}}){{0,1}})(?<=(?i:{KEY_WORDS}){SUFFIX}[\"']{{0,1}}[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']{{0,1}}(?:{SCHEME}[ \t]{{1,2}}){{0,1}})(?!{SCHEME}[ \t])[^\s\"'<>=:,;]{{6,}}={{0,2}}"
     rf"|(?<![A-Za-z0-9+/_\-])(?!com/(?:services|workflows|api/webhooks|webhookb2)/)(?={KNOWN_PREFIX}|[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{16,}}={{0,2}}"
 )
 #: A text without these has no candidate.
