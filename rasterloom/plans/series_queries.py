@@ -39,10 +39,11 @@ def series_rolling_mean(spark, d):
 
 @register(
     "series_anomaly",
-    f"WITH {fx.SCENE_SQL}, {SERIES_OF_CLOUD} SELECT a.grid_id, a.collection, a.date, round(a.cloud - avg(b.cloud), 6) AS anomaly FROM s a LEFT JOIN s b ON a.grid_id = b.grid_id AND a.collection = b.collection AND month(a.date) = month(b.date) AND a.date <> b.date GROUP BY a.grid_id, a.collection, a.date, a.cloud",
+    f"WITH {fx.SCENE_SQL}, {SERIES_OF_CLOUD} SELECT a.grid_id, a.collection, a.date, CASE WHEN round(a.cloud - avg(b.cloud), 6) = 0 THEN 0e0 ELSE round(a.cloud - avg(b.cloud), 6) END AS anomaly FROM s a LEFT JOIN s b ON a.grid_id = b.grid_id AND a.collection = b.collection AND month(a.date) = month(b.date) AND a.date <> b.date GROUP BY a.grid_id, a.collection, a.date, a.cloud",
 )
 def series_anomaly(spark, d):
-    return series.anomaly(cloud_series(spark, d), KEYS, "cloud").select(*KEYS, "date", F.round("anomaly", 6).alias("anomaly"))
+    rounded = F.round("anomaly", 6)  # without a negative zero
+    return series.anomaly(cloud_series(spark, d), KEYS, "cloud").select(*KEYS, "date", F.when(rounded == 0, F.lit(0.0)).otherwise(rounded).alias("anomaly"))
 
 
 @register("stream_monthly_least_cloudy", f"WITH {fx.SCENE_SQL}, f AS (SELECT *, month(datetime) AS month FROM scene WHERE {SEARCH.format(cloud=60)}), g AS (SELECT *, {MONTHLY.format(keys='month')} FROM f) SELECT item_id, datetime, CAST(month AS INTEGER) AS month, cloud_cover FROM g WHERE r = 1")
