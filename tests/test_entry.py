@@ -34,7 +34,7 @@ def test_entry_without_the_corpus_operators(tmp_path, left):
 @pytest.mark.skipif(not (ROOT / "rasterloom/llm").is_dir() or not (ROOT / "corpus_pipeline.py").is_file(), reason="corpus operators removed")
 def test_entry_with_the_corpus_operators():
     found = names(ROOT)
-    assert "pipeline" in found and all(any(n.startswith(f"op{i}_") for n in found) for i in range(1, 11))
+    assert "pipeline" in found and all(any(n.startswith(f"op{i}_") for n in found) for i in range(1, 14))
 
 
 def test_nothing_else_imports_the_corpus_operators():
