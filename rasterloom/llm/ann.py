@@ -1,11 +1,15 @@
 """Nearest neighbours by a block matrix join.
 
-Equal rows are merged, and the vectors are dealt by hash into blocks of BLOCK_BYTES. Queries, the smaller side, are copied to
-every block and sorted behind its candidates, so a task holds one block and lets the queries stream past it; nothing passes
-through the driver and no candidate is moved or read for more than one block. A tile of queries is multiplied with the block's
-tiles in int8 values; with the quantisation errors' norms this bounds every distance from below and above. Only pairs whose
-lower bound doesn't exceed the query's k-th smallest upper bound are recomputed, in double precision, and a heap keeps the k
-nearest of each query; the heaps of all blocks are merged by query.
+Equal rows are merged, and the vectors are dealt by hash into the rows and columns of a grid: blocks of candidates of BLOCK_BYTES,
+parts of queries of QUERY_BYTES. A task has one cell of it. Candidates are copied to each part, and queries, the smaller side,
+to each block, in the precision they came in; sorted behind the candidates they stream past the block, which alone is held.
+Nothing passes through the driver, and the bytes moved are candidates x parts + queries x blocks.
+
+A tile of queries is multiplied with the block's tiles in int8 values; with the quantisation errors' norms this bounds every
+distance from below and above. Only pairs whose lower bound doesn't exceed the query's k-th smallest upper bound are recomputed,
+in double precision, and a heap keeps the k nearest of each query; the heaps of all cells are merged by query. As the vectors
+themselves are at hand in the cell, a task hands on k rows for a query at most, however many candidates lie closer to each
+other than their quantisation errors tell.
 
 Two passes keep small what is merged: the first takes about the square root of the number of blocks, and the k-th nearest found
 there is each query's reach in the second, which hands on only what lies within it. The bounds are exact, so nothing is lost.
@@ -21,11 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from rasterloom.llm.common import Scratch, per, tidy
 
-#: Bytes of a block's vectors (in double precision), about; blocks at least, that all cores have work; rows of a candidate and of a query tile.
-BLOCK_BYTES, LEAST_BLOCKS, TILE_ROWS, TILE_QUERIES = 64 << 20, 64, 2048, 1024
+#: Bytes of a block of candidates as a task holds them, and of a part of the queries as they are copied.
+BLOCK_BYTES, QUERY_BYTES = 256 << 20, 512 << 20
+#: A table of smaller blocks has some of so many rows, up to LEAST_BLOCKS, that cores have work.
+BLOCK_ROWS, LEAST_BLOCKS = 500, 64
+#: Rows of a candidate and of a query tile; pairs whose distances are recomputed at a time.
+TILE_ROWS, TILE_QUERIES, PAIRS = 2048, 1024, 1 << 16
 
 
 def usable(vector: Column) -> Column:
@@ -34,17 +43,23 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def grid(rows: int, held: int, asked: int) -> tuple[int, int]:
+    """Blocks of the candidates and parts of the queries, from the candidates' number and the bytes of both."""
+    return max(per(held, BLOCK_BYTES), min(LEAST_BLOCKS, per(rows, BLOCK_ROWS))), per(asked, QUERY_BYTES)
+
+
 class Tile:
-    """Vectors in double precision, as int8 with a scale for each row, and the norms of what that loses."""
+    """Vectors as they came, as int8 with a scale for each row, and the norms of what that loses."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.scale = np.abs(vectors).max(axis=1) / 127
+        full = vectors.astype(np.float64)
+        self.scale = np.abs(full).max(axis=1) / 127
         self.scale[self.scale == 0] = 1.0
-        self.small = np.rint(vectors / self.scale[:, None]).clip(-127, 127).astype(np.int8)
+        self.small = np.rint(full / self.scale[:, None]).clip(-127, 127).astype(np.int8)
         rough = self.small * self.scale[:, None]
         self.norm2 = np.einsum("ij,ij->i", rough, rough)
-        self.error = np.sqrt(((vectors - rough) ** 2).sum(axis=1)) * (1 + 1e-9)
+        self.error = np.sqrt(((full - rough) ** 2).sum(axis=1)) * (1 + 1e-9)
 
     def bounds(self, other: Tile) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of the distances from self's rows to other's. The product of int8 tiles is exact in
@@ -61,10 +76,10 @@ class Tile:
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of paired rows, summed component by component in order."""
+    """Euclidean distances of paired rows in double precision, summed component by component in order."""
     total = np.zeros(len(a))
     for j in range(a.shape[1]):
-        total += (a[:, j] - b[:, j]) ** 2
+        total += np.subtract(a[:, j], b[:, j], dtype=np.float64) ** 2
     return np.sqrt(total)
 
 
@@ -84,8 +99,12 @@ class Nearest:
         if high.shape[1] >= self.k:
             limit = np.minimum(limit, np.partition(high, self.k - 1, axis=1)[:, self.k - 1])
         q, c = np.nonzero((low <= limit[:, None]) & ~own)
-        d = exact(self.queries.vectors[q], tile.vectors[c])
-        near = d <= self.most[q]
+        cuts = range(0, len(q), PAIRS)
+        d = np.concatenate([np.zeros(0), *(exact(self.queries.vectors[q[i : i + PAIRS]], tile.vectors[c[i : i + PAIRS]]) for i in cuts)])
+        near = np.flatnonzero(d <= self.most[q])
+        near = near[np.lexsort((tile.ids[c[near]], d[near], q[near]))]
+        begins = np.searchsorted(q[near], q[near])  # q is sorted: only the k nearest of each query's are of use
+        near = near[np.arange(len(near)) - begins < self.k]
         q, c, d = q[near], c[near], d[near]
         for i, dist, other, n in zip(q.tolist(), d.tolist(), tile.ids[c].tolist(), copies[c].tolist(), strict=True):
             heap, item = self.heaps[i], (-dist, -other)
@@ -102,42 +121,39 @@ class Nearest:
 
 
 class Block:
-    """The candidates of one block, as tiles by the vectors' width."""
+    """The candidates of one cell, as tiles by the vectors' width."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.tiles: dict[int, list[tuple[Tile, np.ndarray]]] | None = None
+        self.tiles: dict[int, list[tuple[Tile, np.ndarray]]] = {}
 
-    def of_width(self, width: int) -> list[tuple[Tile, np.ndarray]]:
-        if self.tiles is None:
-            self.tiles = {}
-            for w in np.unique(np.concatenate([x[1] for x in self.parts])) if self.parts else ():
-                ids, copies, vectors = (np.concatenate(x) for x in zip(*((p[0][p[1] == w], p[2][p[1] == w], of_rows(p[3], p[1], p[1] == w)) for p in self.parts), strict=True))
-                cuts = range(0, len(ids), TILE_ROWS)
-                self.tiles[int(w)] = [(Tile(ids[i : i + TILE_ROWS], vectors[i : i + TILE_ROWS]), copies[i : i + TILE_ROWS]) for i in cuts]
-            self.parts = []
-        return self.tiles.get(width, [])
+    def add(self, ids: np.ndarray, widths: np.ndarray, copies: np.ndarray, flat: np.ndarray) -> None:
+        for w in np.unique(widths):
+            own = np.flatnonzero(widths == w)
+            for i in range(0, len(own), TILE_ROWS):
+                some = own[i : i + TILE_ROWS]
+                self.tiles.setdefault(int(w), []).append((Tile(ids[some], of_rows(flat, widths, some)), copies[some]))
 
 
 def of_rows(flat: np.ndarray, widths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The vectors of the chosen rows, all of one width, from a flat array of vectors."""
     begins = np.cumsum(np.r_[0, widths])[:-1][chosen]
-    return flat[begins[:, None] + np.arange(int(widths[chosen][0]) if chosen.any() else 0)]
+    return flat[begins[:, None] + np.arange(widths[chosen[0]])]
 
 
 def block_join(candidates: DataFrame, queries: DataFrame, first: int, last: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of the k nearest in each of the blocks first to last - 1: candidates have id, v, copies and
-    block; queries id, v, asks and reach."""
-    own = candidates.filter(F.col("block").between(first, last - 1)).select("block", F.lit(False).alias("asking"), "id", "v", "copies", F.lit(0.0).alias("reach"))
-    copied = queries.select(F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("block"), F.lit(True).alias("asking"), "id", "v", F.col("asks").alias("copies"), "reach")
-    both = own.unionByName(copied).repartition(2 * (last - first), "block").sortWithinPartitions("block", "asking")
+    """(query_id, vec_id, score) of the k nearest in each of the cells first to last - 1. Both sides have id, v and their
+    cells; candidates copies, queries asks and reach."""
+    cell = F.explode(F.filter("cells", lambda x: x.between(first, last - 1))).alias("cell")
+    own = candidates.select(cell, F.lit(False).alias("asking"), "id", "v", "copies", F.lit(0.0).alias("reach"))
+    copied = queries.select(cell, F.lit(True).alias("asking"), "id", "v", F.col("asks").alias("copies"), "reach")
+    both = own.unionByName(copied).repartitionById(last - first, F.col("cell") - first).sortWithinPartitions("cell", "asking")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block = None, Block()
         for batch in batches:
-            of, asking, ids, copies, reach = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "asking", "id", "copies", "reach"))
+            of, asking, ids, copies, reach = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "asking", "id", "copies", "reach"))
             vectors = batch.column("v")
-            widths, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy().astype(np.float64)
+            widths, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy()
             ends = np.cumsum(np.r_[0, widths])
             cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (asking[1:] != asking[:-1])) + 1).tolist(), len(of)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
@@ -147,14 +163,13 @@ def block_join(candidates: DataFrame, queries: DataFrame, first: int, last: int,
                     at, block = of[i], Block()
                 part = flat[ends[i] : ends[j]]
                 if not asking[i]:
-                    block.parts.append((ids[i:j], widths[i:j], copies[i:j], part))
+                    block.add(ids[i:j], widths[i:j], copies[i:j], part)
                     continue
                 for w in np.unique(widths[i:j]):
                     rows = np.flatnonzero(widths[i:j] == w)
                     for t in range(0, len(rows), TILE_QUERIES):
-                        some = np.zeros(j - i, bool)
-                        some[rows[t : t + TILE_QUERIES]] = True
-                        yield answered(Tile(ids[i:j][some], of_rows(part, widths[i:j], some)), reach[i:j][some], copies[i:j][some], block.of_width(int(w)), k)
+                        some = rows[t : t + TILE_QUERIES]
+                        yield answered(Tile(ids[i:j][some], of_rows(part, widths[i:j], some)), reach[i:j][some], copies[i:j][some], block.tiles.get(int(w), []), k)
 
     return both.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
 
@@ -185,17 +200,29 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | None = None, key:
     the k nearest of their pairs count. Fewer pairs than k give fewer rows, an empty table none. Other columns aren't read.
     """
     asks = (F.col(key) % 100 == 0 if is_query is None else is_query).alias("asks")
-    slim = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), asks)
+    single = vectors.select(F.col(vector).alias("v")).schema["v"].dataType.elementType == FloatType()
+    slim = vectors.select(F.col(key).cast("long").alias("id"), (F.col(vector) if single else F.col(vector).cast("array<double>")).alias("v"), asks)
     good = slim.filter(F.col("id").isNotNull() & usable(F.col("v")))
     scratch = Scratch(vectors.sparkSession)
     merged = scratch.save(good.groupBy("id", "v").agg(F.count("*").alias("copies"), F.count_if("asks").alias("asks")), "vectors")
-    size = merged.agg(F.sum(F.size("v").cast("long") * 8 + 40).alias("bytes")).first().bytes or 0
-    blocks = max(LEAST_BLOCKS, per(size, BLOCK_BYTES))
-    first = math.isqrt(blocks)
-    candidates = merged.select("id", "v", "copies", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"))
-    queries = merged.filter("asks > 0").select("id", "v", "asks", F.lit(float("inf")).alias("reach"))
-    near = scratch.save(ranked(block_join(candidates, queries, 0, first, k), k), "near")
+    width = F.size("v").cast("long") * (4 if single else 8)
+    held, asked = F.sum(width + F.size("v") + 64), F.sum(F.when(F.col("asks") > 0, width + 40))
+    n = merged.agg(F.struct(F.count("*"), F.coalesce(held, F.lit(0)), F.coalesce(asked, F.lit(0))).alias("bytes")).first().bytes
+    blocks, parts = grid(*n)
+
+    def dealt(over: int, salt: int) -> Column:
+        return F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(over)).cast("int")
+
+    across, down = F.sequence(F.lit(0), F.lit(parts - 1)), F.sequence(F.lit(0), F.lit(blocks - 1))
+    block, part = dealt(blocks, 0), dealt(parts, 1)
+    candidates = merged.select("id", "v", "copies", F.transform(across, lambda p: block * parts + p).alias("cells"))
+    queries = merged.filter("asks > 0").select("id", "v", "asks", F.transform(down, lambda b: b * parts + part).alias("cells"), F.lit(float("inf")).alias("reach"))
+    first = math.isqrt(blocks) * parts
+    near = ranked(block_join(candidates, queries, 0, first, k), k).select("query_id", "rank", "vec_id", "score")
+    if first == blocks * parts:
+        return near
+    near = scratch.save(near, "near")
     reach = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("within"))
-    narrowed = queries.drop("reach").join(reach, "id", "left").select("id", "v", "asks", F.coalesce("within", F.lit(float("inf"))).alias("reach"))
-    far = block_join(candidates, narrowed, first, blocks, k)
+    narrowed = queries.drop("reach").join(reach, "id", "left").withColumn("reach", F.coalesce("within", F.lit(float("inf"))))
+    far = block_join(candidates, narrowed, first, blocks * parts, k)
     return ranked(near.select("query_id", "vec_id", "score").unionByName(far), k).select("query_id", "rank", "vec_id", "score")

@@ -49,6 +49,29 @@ def test_many_blocks_read_each_candidate_once(spark, monkeypatch):
     assert a == 0 and b == c and d > 30 and b * b <= d
 
 
+def test_a_grid_of_cells_and_a_hot_group(spark, monkeypatch):
+    """Several parts of queries; a third of all rows is one vector, another third lies closer to it than int8 values tell."""
+    for name, value in (("BLOCK_BYTES", 4000), ("QUERY_BYTES", 100), ("TILE_ROWS", 50), ("PAIRS", 16)):
+        monkeypatch.setattr(ann, name, value)
+    draw = np.random.default_rng(6)
+    hot = draw.normal(size=8)
+    kinds = (lambda: hot, lambda: hot + draw.normal(size=8) * 1e-5, lambda: draw.normal(size=8))
+    for kind in ("float", "double"):
+        rows = [(i, [float(np.float32(x) if kind == "float" else x) for x in kinds[i % 3]()], 0) for i in range(601)]
+        found = ann.nearest_neighbours(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int"))
+        assert sorted(map(tuple, found.collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("gigabytes", [1, 10, 30])
+def test_bytes_moved_follow_the_input(gigabytes):
+    """Vectors of 64 floats, one of a hundred a query: what the grid moves stays below three times the input."""
+    size, width = gigabytes << 30, 64
+    rows = size // (4 * width)
+    blocks, parts = ann.grid(rows, rows * (5 * width + 64), rows // 100 * (4 * width + 40))
+    assert size * parts + size / 100 * blocks < 3 * size
+    assert ann.grid(2000, 2000 * 384, 20 * 296) == (4, 1)
+
+
 def test_few_and_none(spark):
     rows = [(0, [1.0, 2.0], 0), (1, [1.0, 2.5], 0)]
     got = ann.nearest_neighbours(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as query_id", "2 as score")).collect()
