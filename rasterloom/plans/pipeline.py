@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,23 +83,28 @@ def monthly_series(items: DataFrame, px: DataFrame, area, box, start: str, end:
 STORED = "item_id long, date date, ndvi double, year int, month int"
 
 
-def refresh_series(spark: SparkSession, path: str, items: DataFrame, new: DataFrame | None, px: DataFrame, area, box, start: str, end: str, max_cloud: float = 60, factor: int = 2, key: str = "grid_id", grids: DataFrame | None = None) -> None:
-    """Bring a stored monthly series (one folder for a year and month) up to date: the months that new scenes touch are chosen
-    and computed anew from all items, and their folders alone are replaced; without new ones the whole series is written.
+def refresh_series(spark: SparkSession, path: str, items: DataFrame, new: DataFrame | None, px: DataFrame, area, box, start: str, end: str, max_cloud: float = 60, factor: int = 2, key: str = "grid_id", grids: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+    """Bring a stored monthly series (one folder for a year and month) up to date: the months that new or removed scenes touch
+    are chosen and computed anew from all items there are now, and their folders alone are replaced; without either the whole
+    series is written, and months that no scene is left of go. A corrected scene counts as removed in its old form and as new.
 
-    Repeating a refresh changes nothing. A month whose chosen scene has no pixel in the area is stored with a null, so that an
-    older value doesn't stay.
+    Repeating a refresh changes nothing. A touched month without a scene, or whose chosen scene has no pixel in the area, is
+    stored with a null, so that an older value doesn't stay.
     """
     found = catalog.search(items, area, start, end, max_cloud)
     month = {"year": F.year("datetime"), "month": F.month("datetime")}
-    if new is not None:
-        touched = catalog.search(new, area, start, end, max_cloud).select(*(c.alias(n) for n, c in month.items())).distinct()
+    changed = [catalog.search(x, area, start, end, max_cloud) for x in (new, removed) if x is not None]
+    touched = reduce(DataFrame.union, (x.select(*(c.alias(n) for n, c in month.items())) for x in changed)).distinct() if changed else None
+    if changed:
         found = found.withColumns(month).join(F.broadcast(touched), ["year", "month"], "left_semi")  # a row for a month
     chosen = catalog.least_cloudy(found, by_year=True).select("item_id", "datetime", key)
     months = 12 * (int(str(end)[:4]) - int(str(start)[:4]) + 1)
     ndvi = blocks_of(chosen, px, area, box, factor, key, grids, months).groupBy("item_id").agg(F.round(F.avg("red_edge_ndvi"), 6).alias("ndvi"))
     rows = chosen.join(ndvi, "item_id", "left").select("item_id", F.to_date("datetime").alias("date"), "ndvi", *(c.alias(n) for n, c in month.items()))
-    rows.repartition("year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+    if changed:
+        rows = touched.join(rows, ["year", "month"], "left").select(*rows.columns)
+    mode = "dynamic" if changed else "static"
+    rows.repartition("year", "month").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("year", "month").parquet(path)
 
 
 def stored_series(spark: SparkSession, path: str) -> DataFrame:

@@ -48,24 +48,27 @@ def series_anomaly(spark, d):
 
 @register("stream_monthly_least_cloudy", f"WITH {fx.SCENE_SQL}, f AS (SELECT *, month(datetime) AS month FROM scene WHERE {SEARCH.format(cloud=60)}), g AS (SELECT *, {MONTHLY.format(keys='month')} FROM f) SELECT item_id, datetime, CAST(month AS INTEGER) AS month, cloud_cover FROM g WHERE r = 1")
 def stream_monthly_least_cloudy(spark, d):
-    """The monthly choice kept by a stream: scenes come in five files, a batch each."""
+    """The monthly choice kept by a stream: scenes come in five files, a batch each, whose versions are then put into one."""
     path = tables.shared_path(spark, "stream")
     fx.scenes(spark, d).repartition(5, "item_id").write.parquet(f"{path}/in")
     new = stream.new_items(spark, f"{path}/in", fx.scenes(spark, d).schema, files_at_once=1)
     found = catalog.search(new, AREA, *YEAR, 60)
     stream.keep_monthly_best(found, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     kept = stream.monthly_best(catalog.search(fx.scenes(spark, d), AREA, *YEAR, 60)).schema
+    stream.compact(spark, f"{path}/table", kept)
     return stream.current(spark, f"{path}/table", kept).select("item_id", "datetime", "month", "cloud_cover")
 
 
 @register("series_refreshed", f"WITH {fx.SCENE_SQL}, {fx.PIXEL_SQL}, {chosen_blocks_sql(IN_BOX)}{SERIES_SQL}")
 def series_refreshed(spark, d):
-    """A stored series of the scenes seen first, then brought up to date with the later ones: as if computed at once."""
+    """A stored series of the scenes seen first and some withdrawn later, then brought up to date with what came and went: as if
+    computed at once from what there is."""
     path = tables.shared_path(spark, "series")
     own, px = fx.scenes(spark, d), fx.pixels(spark, d)
     later = F.col("cloud_cover") < 10
-    pipeline.refresh_series(spark, path, own.filter(~later), None, px, AREA, BOX, *YEAR)
-    pipeline.refresh_series(spark, path, own, own.filter(later), px, AREA, BOX, *YEAR)
+    withdrawn = own.filter(F.col("cloud_cover") > 50).withColumn("item_id", -F.col("item_id") - 1).withColumn("cloud_cover", F.lit(0.0))
+    pipeline.refresh_series(spark, path, own.filter(~later).unionByName(withdrawn), None, px, AREA, BOX, *YEAR)
+    pipeline.refresh_series(spark, path, own, own.filter(later), px, AREA, BOX, *YEAR, removed=withdrawn)
     return pipeline.stored_series(spark, path)
 
 

@@ -36,10 +36,34 @@ def upsert(batch: DataFrame, number: int, path: str) -> None:
 def current(spark: SparkSession, path: str, schema: T.StructType, key: str = "month") -> DataFrame:
     """The newest version of each key."""
     newest = Window.partitionBy(key).orderBy(F.col("batch").desc())
-    rows = spark.read.schema(T.StructType(schema.fields).add("batch", T.LongType())).parquet(path)
+    rows = spark.read.schema(T.StructType(schema.fields).add("batch", T.DoubleType())).parquet(path)
     return rows.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "batch")
 
 
+def compact(spark: SparkSession, path: str, schema: T.StructType, key: str = "month") -> None:
+    """Put one version, numbered half a batch after the newest, in place of all that are there, while no stream writes.
+
+    The new version is whole before its folder gets its name, and the old ones are removed after that: a run that is cut off
+    anywhere leaves a table with the same rows, and the next one ends its work. A batch that comes again afterwards has a
+    lower number and the rows that it had.
+    """
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(jvm.Path(path))]
+    versions = sorted((n for n in names if n.startswith("batch=")), key=lambda n: float(n.split("=")[1]))
+    if len(versions) < 2:
+        return
+    last = versions[-1]
+    if float(last.split("=")[1]).is_integer():
+        current(spark, path, schema, key).write.mode("overwrite").parquet(f"{path}/_compacted")
+        last = f"batch={float(last.split('=')[1]) + 0.5}"
+        if not files.rename(jvm.Path(f"{path}/_compacted"), jvm.Path(f"{path}/{last}")):
+            raise OSError(f"{path}/{last} can't be named")
+    for old in versions:
+        if old != last:
+            files.delete(jvm.Path(f"{path}/{old}"), True)
+
+
 def keep_monthly_best(items: DataFrame, path: str, checkpoint: str):
     """A query that takes in what there is of new items and keeps the table of monthly choices at path up to date."""
     best = monthly_best(items)

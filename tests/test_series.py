@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import shutil
 from pathlib import Path
 
 import pytest
@@ -115,6 +116,25 @@ def test_a_refresh_rewrites_the_touched_months_only(spark, tmp_path):
     assert [tuple(r) for r in pipeline.stored_series(spark, again).collect()] == [tuple(r) for r in pipeline.stored_series(spark, path).collect()]
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_a_refresh_forgets_removed_scenes(spark, tmp_path, whole):
+    """A month gets its next scene, or none; others' files stay unless the whole series is written."""
+    path = str(tmp_path / "series")
+    rows = [(1, 0, "2021-05-02", 30.0), (2, 1, "2021-06-02", 20.0), (3, 2, "2021-06-05", 10.0), (4, 0, "2023-01-02", 50.0), (5, 1, "2022-02-02", 1.0)]
+    gone = [r for r in rows if r[0] in (3, 4)]
+    left = scenes(spark, [r for r in rows if r not in gone] + [(6, 0, "2022-03-01", 2.0)])
+    px = pixels(spark)
+    pipeline.refresh_series(spark, path, scenes(spark, rows), None, px, AREA, BOX, *YEARS)
+    before = {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+    new = (None, {}) if whole else (scenes(spark, [(6, 0, "2022-03-01", 2.0)]), {"removed": scenes(spark, gone)})
+    for _ in range(2):
+        pipeline.refresh_series(spark, path, left, new[0], px, AREA, BOX, *YEARS, **new[1])
+        found = [(r.item_id, str(r.date)) for r in pipeline.stored_series(spark, path).collect()]
+        assert found == [(1, "2021-05-02"), (2, "2021-06-02"), (5, "2022-02-02"), (6, "2022-03-01")]
+    stay = [p for p in before if p.exists() and p.stat().st_mtime_ns == before[p]]
+    assert len(stay) == (0 if whole else 2)
+
+
 def test_the_monthly_choice_as_a_stream(spark, tmp_path):
     """Files in several batches, more files later, and a batch that comes again: the table is that of all items."""
     draw = random.Random(4)
@@ -143,3 +163,20 @@ def test_the_monthly_choice_as_a_stream(spark, tmp_path):
     stream.upsert(again, last, table)
     again.unpersist()
     check(rows)
+    schema = stream.monthly_best(scenes(spark, rows)).schema
+    aside = tmp_path / "aside"
+    shutil.copytree(table, aside)
+    for cut_off in (False, True, False):
+        if cut_off:  # the old versions are still there beside the new one
+            shutil.copytree(aside, table, dirs_exist_ok=True)
+        stream.compact(spark, table, schema)
+        assert [p.name for p in Path(table).glob("batch=*")] == [f"batch={last + 0.5}"]
+        check(rows)
+    more = [(1000 + m, 0, f"2022-{m:02}-28", 0.0) for m in (2, 9)]
+    arrive(more)
+    check(rows + more)
+    newest = max(float(p.name.split("=")[1]) for p in Path(table).glob("batch=*"))
+    assert newest > last + 0.5
+    stream.compact(spark, table, schema)
+    assert [p.name for p in Path(table).glob("batch=*")] == [f"batch={newest + 0.5}"]
+    check(rows + more)
