@@ -6,18 +6,21 @@ odd sketch, a parity bitmap of SKETCH_BITS: the population count of two sketches
 precise at high similarities, so pairs that can't reach the threshold are dropped before their full sets are compared.
 
 Buckets aren't expanded into all pairs. Every class is compared with the hub of its bucket, the class whose buckets are
-largest, and the confirmed links' components are found. Buckets that then hold several components are open, and for them
-only differences count. Let H be the hub's set and D(i) what is in just one of H and i's set. The intersection of i and j has
-|H| - |H minus i| - |H minus j| + |D(i) and D(j)| members, so the threshold becomes a bound on the common differences:
+largest, and the confirmed links' components are found. Buckets that then hold several components are open. Classes that open
+buckets connect form a group, and within it only differences from a centre count: the centre H is what more than half of the group's
+sets have. Let D(i) be what is in just one of H and i's set. The intersection of i and j has
+|H| - |H minus i| - |H minus j| + |D(i) and D(j)| members, whatever H is, so the threshold becomes a bound on common differences:
 
     2 (100 + p) |D(i) and D(j)| >= beta(i) + beta(j),    beta(i) = 2 p |i| + 2 (100 + p) |H minus i| - (100 + p) |H|
 
-The hub's own beta, -(100 - p) |H|, is the least there is. A class that isn't linked with the hub ("far") thus shares a
-difference with all that it is linked with, and if its partner isn't smaller than the hub, one outside H. Differences that one
-class alone has are of no use; classes of equal sizes and equal other differences agree in all links, so one of them stands for
-all. These representatives are joined by a prefix filter over their differences, rarest first, and each far one is looked up
-by the cheaper of two keys, all its differences outside H or the necessary prefix. Keys that many share are salted. What is found
-so has its differences compared exactly. All tables stay distributed; each step is written to the shared folder.
+Let s be the class of the group's least beta. A class with beta(i) <= -beta(s) is linked with s ("near"); every other ("far") shares
+a difference with all that it is linked with. Differences that one class alone has are of no use; classes of equal sizes and equal
+other differences agree in all links, so one of them stands for all. These representatives are cut into levels by beta. Between two levels
+the bound needs T common differences at least, and with a common order of all differences the first common one is among
+the first d - T + 1 of either side's d, and the last one among the last d - T + 1: a prefix filter. The order is by rarity, roughly,
+then by the place in the texts, so that the two stem from different edits. Representatives meet under their first common
+difference, and where too many would, under the first and the last. Keys that many share are salted. What meets is compared by
+sketches, then by its differences exactly. All tables stay distributed; each step is written to the shared folder.
 
 The buckets miss a pair at the threshold with a chance of (1 - 0.75^5)^40, about 2 in 100,000, and less above it. Classes are
 known by 64 bits of a digest: among n different texts two share one with a chance of n^2 / 2^65.
@@ -50,6 +53,8 @@ HASH_CHARS = 400_000
 BROADCAST_ROWS = 500_000
 #: Classes under one key of the prefix filter that one task compares with.
 SALT_ROWS = 2_000
+#: Comparisons for each entry under a key of one difference, beyond which the last common difference joins the key.
+MATCHES = 8
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -178,8 +183,8 @@ def signatures(docs: DataFrame, key: str, text: str, carry: bool = False) -> Dat
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, shingles, parity) of the wanted nodes, from the rows that stand for them: wanted has node and rep. parity is
-    the odd sketch of the whole set."""
+    """(node, shingles, parity) of the wanted nodes, from the rows that stand for them: wanted has node and rep. Shingles come
+    in the order of their first places; parity is the odd sketch of the whole set."""
     small = wanted.count() <= BROADCAST_ROWS
     slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     own = slim.join(F.broadcast(wanted) if small else wanted, F.col("key").eqNullSafe(F.col("rep"))).select("node", "text")
@@ -192,7 +197,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
                 bodies = [(node, b) for node, t in zip(nodes[part], texts[part], strict=True) if (b := normal(t)) and node_of(b) == node]
                 if bodies:
                     hashes, n = h.shingles([b for _, b in bodies])
-                    sets = [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])]
+                    sets = [x[np.sort(np.unique(x, return_index=True)[1])] for x in np.split(hashes, np.cumsum(n)[:-1])]
                     sizes, every = np.array([len(x) for x in sets]), np.concatenate(sets)
                     flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(every.view(np.int64)))
                     parity = lists(parities(mix(every), np.repeat(np.arange(len(sets)), sizes), len(sets), SET_BITS))
@@ -237,80 +242,116 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def differences(stars: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """(hub, node, n, of_hub, beta, extra, lacked, sketch, parity) for stars (hub, node): the node's differences from its hub."""
-    own = sets.join(sketched.select("node", "sketch"), "node")
-    joined = stars.join(own, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h")), "hub")
-    joined = joined.select("hub", "node", "sketch", "parity", F.size("shingles").cast("long").alias("n"), F.size("h").cast("long").alias("of_hub"), F.array_except("shingles", "h").alias("extra"), F.array_except("h", "shingles").alias("lacked"))
-    beta = 2 * percent * F.col("n") + 2 * (100 + percent) * F.size("lacked").cast("long") - (100 + percent) * F.col("of_hub")
-    return joined.withColumn("beta", beta)
-
-
-def representatives(found: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of differences, with components: members (hub, rep, node), and for each rep (hub, rep, n, of_hub, beta, far, one, rows, sketch, parity, own):
-    own are its differences that others have too, as structs (f, mixed, g, extra), rarest first; one is the component of
-    the rows it stands for if they have but one."""
-    each = found.select("hub", "node", F.explode(F.concat(F.transform("extra", lambda g: F.struct(g.alias("g"), F.lit(True).alias("extra"))), F.transform("lacked", lambda g: F.struct(g.alias("g"), F.lit(False).alias("extra"))))).alias("d"))
-    each = scratch.save(each.select("hub", "node", "d.g", "d.extra"), "each")
-    often = each.groupBy("hub", "g").agg(F.count("*").alias("f")).filter("f > 1")
-    own = each.join(often, ["hub", "g"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("f", F.xxhash64("g").alias("mixed"), "g", "extra"))).alias("own"))
-    same = ["hub", "n", "of_hub", "beta", "digest"]
-    known = found.select("hub", "node", "n", "of_hub", "beta", "component", "sketch", "parity").join(own, ["hub", "node"]).withColumn("digest", F.xxhash64("own.g"))
+def groups_of(edges: DataFrame, scratch: Scratch, files: int) -> DataFrame:
+    """(node, grp, size, salt) for each node of the edges (a, b): its connected group, and one of the group's salts."""
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    grouped = nodes.join(components(edges, scratch, files), "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
+    grouped = scratch.save(grouped, "grouped", files)
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("size"))
+    return scratch.save(met(grouped, sizes, "grp").withColumn("salt", F.pmod(F.xxhash64("node"), salts("size")).cast("int")), "groups", files)
+
+
+def salts(rows: str) -> Column:
+    return F.ceil(F.col(rows) / SALT_ROWS).cast("int")
+
+
+def met(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of a table that has one row for each key; few keys are broadcast, more shuffle."""
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(small) if few else small, key)
+
+
+def differences(nodes: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """For nodes (node, grp, size, salt, component): (grp, node, component, n, beta, sketch, parity, d), d its differences from
+    the group's centre; and (grp, g, f, at) for the differences that several classes have, with their count and mean place."""
+    each = nodes.select("node", "grp", "size").join(sets.select("node", "shingles"), "node").select("grp", "size", F.posexplode("shingles").alias("at", "g"))
+    stats = scratch.save(each.groupBy("grp", "size", "g").agg(F.count("*").alias("f"), F.avg("at").alias("at")).filter("f > 1"), "stats")
+    inside = 2 * F.col("f") > F.col("size")
+    centres = stats.filter(inside).groupBy("grp", "size").agg(F.collect_list("g").alias("h"))
+    centres = centres.select("grp", "h", F.explode(F.sequence(F.lit(0), salts("size") - 1)).alias("salt"))
+    own = nodes.join(sets, "node").join(sketched.select("node", "sketch"), "node").join(centres, ["grp", "salt"], "left")
+    own = own.withColumn("h", F.coalesce("h", F.array().cast("array<long>"))).withColumn("lacked", F.array_except("h", "shingles"))
+    n, lacked, of_h = F.size("shingles").cast("long"), F.size("lacked").cast("long"), F.size("h").cast("long")
+    beta = 2 * percent * n + 2 * (100 + percent) * lacked - (100 + percent) * of_h
+    found = own.select("grp", "node", "component", n.alias("n"), beta.alias("beta"), "sketch", "parity", F.concat(F.array_except("shingles", "h"), "lacked").alias("d"))
+    often = stats.select("grp", "g", F.when(inside, F.col("size") - F.col("f")).otherwise(F.col("f")).alias("f"), "at").filter("f > 1")
+    return scratch.save(found, "differences"), often
+
+
+def representatives(found: DataFrame, often: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of differences: members (grp, rep, node), and for each rep (grp, rep, n_shingles, beta, one, rows, sketch, parity, own): own are
+    its differences that others have too, in the common order; one is the component of the rows it stands for if they have
+    but one."""
+    each = found.select("grp", "node", F.explode("d").alias("g")).join(often, ["grp", "g"])
+    rank = F.struct(F.floor(F.log2("f") / 2).alias("scarce"), "at", F.xxhash64("g").alias("mixed"), "g")
+    own = each.groupBy("grp", "node").agg(F.transform(F.array_sort(F.collect_list(rank)), lambda d: d.g).alias("own"))
+    same = ["grp", "n", "beta", "digest"]
+    known = found.drop("d").join(own, ["grp", "node"]).withColumn("digest", F.xxhash64("own"))
     known = scratch.save(known, "known")
     reps = known.groupBy(*same).agg(F.min("node").alias("rep"), F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y"))
     reps = scratch.save(reps, "reps")
-    members = known.select("node", *same).join(reps.filter("rows > 1").select("rep", *same), same).select("hub", "rep", "node")
-    one = known.select(F.col("node").alias("rep"), "hub", "own", "sketch", "parity").join(reps, ["hub", "rep"])
-    far = F.col("beta") > (100 - percent) * F.col("of_hub")
-    return members, one.select("hub", "rep", "n", "of_hub", "beta", far.alias("far"), F.when(F.col("x") == F.col("y"), F.col("x")).alias("one"), "rows", "sketch", "parity", "own")
+    members = known.select("node", *same).join(reps.filter("rows > 1").select("rep", *same), same).filter("node <> rep").select("grp", "rep", "node")
+    one = known.select(F.col("node").alias("rep"), "grp", "own", "sketch", "parity").join(reps, ["grp", "rep"])
+    return members, one.select("grp", "rep", F.col("n").alias("n_shingles"), "beta", F.when(F.col("x") == F.col("y"), F.col("x")).alias("one"), "rows", "sketch", "parity", "own")
+
+
+def met_under_keys(reps: DataFrame, unit: int, scratch: Scratch) -> DataFrame:
+    """The pairs (grp, a, b) of representatives with a level (0: near) that may share as many differences as the bound asks for."""
+    levels = reps.groupBy("grp", "level").agg(F.min("beta").alias("low"), F.max(F.size("own")).alias("most"))
+    levels = scratch.save(levels.groupBy("grp").agg(F.collect_list(F.struct("level", "low", "most")).alias("levels")), "levels")
+    needed = F.greatest(F.lit(1), F.ceil((F.col("beta") + F.col("other.low")) / unit)).cast("int")
+    d = F.size("own")
+    rows = met(reps.select("grp", "rep", "level", "beta", "one", "own"), levels, "grp").withColumn("other", F.explode("levels")).drop("levels")
+    rows = rows.filter("level > 0 or other.level > 0").withColumn("needed", needed).filter(F.col("needed") <= F.least(d, F.col("other.most")))
+    slim = ["grp", F.least("level", "other.level").alias("lo"), F.greatest("level", "other.level").alias("hi"), "level", "rep", "beta", d.alias("d"), "one"]
+    prefix = F.transform(F.slice("own", F.lit(1), d - F.col("needed") + 1), lambda g, i: F.struct(g.alias("g"), i.alias("i")))
+    # what may be the last common difference of those that begin with the i-th: for more than one needed, not this itself
+    begin = F.greatest(F.col("needed"), F.col("key.i") + F.when(F.col("needed") > 1, 2).otherwise(1))
+    rows = rows.withColumn("key", F.explode(prefix))
+    entries = scratch.save(rows.select(*slim, "needed", F.col("key.g").alias("g"), F.slice("own", begin, F.greatest(d - begin + 1, F.lit(0))).alias("ends")), "entries")
+    key = ["grp", "lo", "hi", "g"]
+    sides = [F.count_if(F.col("level") == F.col(c)).alias(f"n_{c}") for c in ("lo", "hi")]
+    used = F.when(F.col("lo") == F.col("hi"), F.col("n_hi") > 1).otherwise((F.col("n_lo") > 0) & (F.col("n_hi") > 0))
+    split = (F.col("least") > 1) & (F.col("n_lo") * F.col("n_hi") > MATCHES * (F.col("n_lo") + F.col("n_hi")))
+    keys = entries.groupBy(*key).agg(*sides, F.min("needed").alias("least")).filter(used).select(*key, split.alias("split"))
+    ends = F.when(F.col("split"), F.col("ends")).otherwise(F.array(F.lit(0).cast("long")))
+    keyed = scratch.save(entries.join(keys, key).withColumn("end", F.explode(ends)).drop("ends", "split", "needed"), "keyed")
+    key += ["end"]
+    keys = scratch.save(keyed.groupBy(*key).agg(*sides).filter(used), "keys")
+    keyed = keyed.join(keys.select(*key, salts("n_hi").alias("salts")), key)
+
+    def side(level: str, name: str, salt: Column) -> DataFrame:
+        return keyed.filter(F.col("level") == F.col(level)).select(*key, salt.alias("salt"), F.struct("rep", "beta", "d", "one").alias(name))
+
+    p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
+    can = ((F.col("lo") < F.col("hi")) | (p("rep") < q("rep"))) & ~F.coalesce(p("one") == q("one"), F.lit(False)) & (unit * F.least(p("d"), q("d")) >= p("beta") + q("beta"))
+    pairs = side("lo", "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(side("hi", "q", F.pmod(F.xxhash64("rep", F.lit(3)), "salts").cast("int")), [*key, "salt"])
+    return pairs.filter(can).select("grp", F.least(p("rep"), q("rep")).alias("a"), F.greatest(p("rep"), q("rep")).alias("b")).distinct()
 
 
-def by_differences(found: DataFrame, percent: int, scratch: Scratch, files: int) -> DataFrame:
-    """The links (a, b) that far classes have, but such as join what is in one component already: for each class at least
-    one with every component that it is linked with."""
-    members, reps = representatives(found, percent, scratch)
-    reps, members = scratch.save(reps, "representatives"), scratch.save(members, "of-representatives")
+def by_differences(found: DataFrame, often: DataFrame, percent: int, scratch: Scratch, files: int) -> DataFrame:
+    """The links (a, b) within groups, but such as join what is in one component already: for each class at least one with
+    every component that it is linked with."""
     unit = 2 * (100 + percent)
-    least = reps.groupBy("hub").agg(F.min("beta").alias("low"), F.min(F.when(F.col("far"), F.col("beta"))).alias("low_far")).filter("low_far is not null")
-    keyed = reps.join(least, "hub")
-
-    def prefix(other: str) -> Column:
-        """The differences of which one at least is shared with a partner whose beta is `other` or more."""
-        needed = F.greatest(F.lit(1), F.ceil((F.col("beta") + F.col(other)) / unit))
-        return F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - needed + 1).cast("int"))
-
-    def tagged(entries: Column, kind: int) -> Column:
-        return F.transform(entries, lambda d: F.struct(F.lit(kind).alias("kind"), d.g.alias("g"), d.f.alias("f")))
-
-    def cost(entries: Column) -> Column:
-        return F.aggregate(entries, F.lit(0).cast("long"), lambda total, d: total + d.f)
-
-    extra, none = F.filter("own", lambda d: d.extra), F.array().cast("array<struct<kind:int,g:bigint,f:bigint>>")
-    slim = ["hub", "rep", "beta", F.size("own").cast("long").alias("d"), "one", F.col("n").alias("n_shingles"), "sketch", "parity"]
-    small = F.when(F.col("n") < F.col("of_hub"), tagged(prefix("low_far"), 2)).otherwise(none)
-    index = keyed.select(*slim, F.explode(F.concat(tagged(prefix("low_far"), 0), tagged(extra, 1), small)).alias("key"))
-    by_extra = F.concat(tagged(extra, 1), tagged(prefix("low"), 2))
-    cheaper = F.when(cost(extra) <= cost(prefix("low")), by_extra).otherwise(tagged(prefix("low"), 0))
-    probes = keyed.filter("far").select(*slim, F.explode(cheaper).alias("key"))
-    salts = F.ceil(F.col("key.f") / SALT_ROWS).cast("int")
-    place = ["hub", "key.kind", "key.g"]
-
-    def side(rows: DataFrame, name: str, salt: Column) -> DataFrame:
-        return rows.select(*place, salt.alias("salt"), F.struct("rep", "beta", "d", "one", "n_shingles", "sketch", "parity").alias(name))
-
-    index = side(index, "q", F.pmod(F.xxhash64("rep", F.lit(3)), salts).cast("int"))
-    probes = side(probes, "p", F.explode(F.sequence(F.lit(0), salts - 1)))
-    p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
-    can = (p("rep") != q("rep")) & ~F.coalesce(p("one") == q("one"), F.lit(False)) & (unit * F.least(p("d"), q("d")) >= p("beta") + q("beta"))
-    pairs = probes.join(index, ["hub", "kind", "g", "salt"]).filter(can & sets_may_link("p", "q", percent) & may_link("p", "q", percent))
-    pairs = scratch.save(pairs.select("hub", F.least(p("rep"), q("rep")).alias("a"), F.greatest(p("rep"), q("rep")).alias("b")).distinct(), "pairs", files)
-    a, b = (reps.select("hub", F.col("rep").alias(x), F.col("own.g").alias(f"g{x}"), F.col("beta").alias(f"beta_{x}")) for x in "ab")
-    exact = unit * F.size(F.array_intersect("ga", "gb")).cast("long") >= F.col("beta_a") + F.col("beta_b")
-    links = scratch.save(pairs.join(a, ["hub", "a"]).join(b, ["hub", "b"]).filter(exact).select("hub", "a", "b"), "links", files)
-    partner = links.union(links.select("hub", "b", "a")).groupBy("hub", F.col("a").alias("rep")).agg(F.min("b").alias("b"))
-    alike = reps.filter((F.col("rows") > 1) & (unit * F.size("own").cast("long") >= 2 * F.col("beta"))).select("hub", "rep")
-    of_members = members.join(partner, ["hub", "rep"]).select(F.col("node").alias("a"), "b")
-    return links.select("a", "b").union(of_members).union(members.join(alike, ["hub", "rep"]).select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    stars = found.groupBy("grp").agg(F.min(F.struct("beta", "node", "component")).alias("s"))
+    stars = scratch.save(stars.select("grp", F.col("s.node").alias("star"), F.col("s.beta").alias("low"), F.col("s.component").alias("of_star")), "stars")
+    found = met(found, stars, "grp").withColumn("near", F.col("beta") <= -F.col("low"))
+    near = found.filter("near and node <> star").select(F.col("star").alias("a"), F.col("node").alias("b"))
+    known = found.withColumn("component", F.when(F.col("near"), F.col("of_star")).otherwise(F.col("component")))
+    members, reps = representatives(known.drop("star", "low", "of_star", "near"), often, scratch)
+    above = (F.col("beta") - F.col("low")) / unit
+    level = F.when(F.col("beta") <= -F.col("low"), 0).otherwise(1 + F.floor(2 * F.log2(1 + above)).cast("int"))
+    reps = scratch.save(met(reps, stars.select("grp", "low"), "grp").withColumn("level", level).drop("low"), "representatives")
+    members = scratch.save(members, "of-representatives")
+    pairs = scratch.save(met_under_keys(reps, unit, scratch), "met", files)
+    a, b = (reps.select("grp", F.col("rep").alias(x), F.struct("n_shingles", "sketch", "parity", "beta", "own").alias(f"s{x}")) for x in "ab")
+    likely = pairs.join(a, ["grp", "a"]).join(b, ["grp", "b"]).filter(may_link("sa", "sb", percent) & sets_may_link("sa", "sb", percent))
+    exact = unit * F.size(F.array_intersect("sa.own", "sb.own")).cast("long") >= F.col("sa.beta") + F.col("sb.beta")
+    links = scratch.save(likely.filter(exact).select("grp", "a", "b"), "links", files)
+    partner = links.union(links.select("grp", "b", "a")).groupBy("grp", F.col("a").alias("rep")).agg(F.min("b").alias("b"))
+    alike = reps.filter((F.col("rows") > 1) & (unit * F.size("own").cast("long") >= 2 * F.col("beta"))).select("grp", "rep")
+    of_members = members.join(partner, ["grp", "rep"]).select(F.col("node").alias("a"), "b")
+    return near.union(links.select("a", "b")).union(of_members).union(members.join(alike, ["grp", "rep"]).select(F.col("rep").alias("a"), F.col("node").alias("b")))
 
 
 def components(edges: DataFrame, scratch: Scratch, files: int | None = None) -> DataFrame:
@@ -375,12 +416,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     own = members.join(found, "node", "left").select("bucket", "hub", "node", F.coalesce("component", "node").alias("component"))
     apart = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    open_stars = scratch.save(own.join(apart, "bucket", "left_semi").filter("node <> hub").select("hub", "node", "component").distinct(), "open", few)
-    sets = sets_of(both(open_stars, "hub", "node"), "open-sets")
-    unlike = scratch.save(differences(open_stars, sets, classes, percent).join(open_stars, ["hub", "node"]), "differences")
+    open_stars = own.join(apart, "bucket", "left_semi").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    nodes = groups_of(scratch.save(open_stars, "open", few), scratch, few)
+    sets = sets_of(nodes.select("node"), "open-sets")
+    nodes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    unlike, often = differences(nodes, sets, classes, percent, scratch)
     scratch.drop(sets)
-    linked = unlike.filter(F.col("beta") <= (100 - percent) * F.col("of_hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = links.union(linked).union(by_differences(unlike, percent, scratch, few))
+    links = links.union(by_differences(unlike, often, percent, scratch, few))
     found = components(links, scratch, few)
 
     labelled = classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
