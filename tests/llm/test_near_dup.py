@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.llm import near_dup as nd
 from rasterloom.llm.common import scratch_dir
@@ -72,28 +73,59 @@ def test_many_near_copies_of_one_text(docs, prose):
     assert got(docs(rows)) == brute(rows)
 
 
-@pytest.mark.parametrize(("places", "kinds"), [(10, 10**9), (100, 10**9), (100, 20)])
-def test_pairs_of_a_hot_group_grow_slowly(docs, prose, monkeypatch, places, kinds):
-    """Near copies of a text that isn't there: most pairs lie just below the threshold, and few reach the exact check."""
+def near_copies(prose, n, places, kinds):
+    """n copies of a text that isn't among them, each edited in some of its places, by one of so many kinds of edits."""
+    words, draw = prose(77, 100).split(), random.Random(5)
+    for i in range(n):
+        out = list(words)
+        for k in draw.sample(range(0, 100, 100 // places), draw.choice([2, 2, 3]) if places > 10 else 2):
+            out[k] = f"edit{draw.randrange(kinds)}"
+        yield i, " ".join(out)
+
+
+@pytest.fixture
+def matches(monkeypatch):
+    """How many pairs of entries the join of differences looked at, and how many pairs were left of them."""
     counts, save = {}, nd.Scratch.save
 
     def counted(self, df, name, files=None):
         out = save(self, df, name, files)
-        if name == "pairs":
-            counts[n] = out.count()
+        if name == "keys":
+            both = F.when(F.col("lo") == F.col("hi"), F.col("n_hi") * (F.col("n_hi") - 1) / 2).otherwise(F.col("n_lo") * F.col("n_hi"))
+            counts["keys"] = out.agg(F.coalesce(F.sum(both), F.lit(0))).first()[0]
+        if name == "met":
+            counts["pairs"] = out.count()
         return out
 
     monkeypatch.setattr(nd.Scratch, "save", counted)
-    words = prose(77, 100).split()
-    for n in (200, 400):
-        draw, rows = random.Random(5), []
-        for i in range(n):
-            out = list(words)
-            for k in draw.sample(range(0, 100, 100 // places), draw.choice([2, 2, 3]) if places > 10 else 2):
-                out[k] = f"edit{draw.randrange(kinds)}"
-            rows.append((i, " ".join(out)))
-        assert got(docs(rows)) == brute(rows)
-    assert all(50 * counts[n] < n * (n - 1) / 2 for n in counts), counts
+    return counts
+
+
+@pytest.mark.parametrize(("places", "kinds"), [(10, 10**9), (100, 10**9), (100, 20)])
+def test_hot_group_equals_brute_force(docs, prose, matches, places, kinds):
+    """Most pairs lie just below the threshold, and few reach the comparison of sketches."""
+    rows = list(near_copies(prose, 400, places, kinds))
+    assert got(docs(rows)) == brute(rows)
+    assert 50 * matches["pairs"] < 400 * 399 / 2, matches
+
+
+def test_key_matches_of_a_hot_group_grow_slowly(docs, prose, matches):
+    """What the join looks at, before any condition: a small multiple of the rows, at every size."""
+    for n in (300, 600, 1200, 2400):
+        got(docs(near_copies(prose, n, 100, 10**9)))
+        assert matches["keys"] < 50 * n, (n, matches)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixed_groups_equal_brute_force(docs, prose, seed):
+    """Texts of several lengths that share passages, cut and edited: near and far classes, of many levels, in one group."""
+    draw, rows = random.Random(seed), []
+    parts = [prose(100 * seed + k, 40).split() for k in range(4)]
+    for i in range(160):
+        body = [w for part in draw.sample(parts, draw.randint(1, 3)) for w in part]
+        body = body[draw.randrange(6) : len(body) - draw.randrange(6)]
+        rows.append((i, edited(draw, body, draw.randrange(4)) if draw.random() < 0.7 else " ".join(body)))
+    assert got(docs(rows)) == brute(rows)
 
 
 def test_a_cluster_needs_a_shared_folder():
