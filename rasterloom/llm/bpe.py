@@ -1,11 +1,10 @@
 """BPE encoding and decoding: batched numpy merge rounds.
 
-The symbols of many distinct words lie in one flat array. Each round looks all adjacent pairs up by binary search
-over the sorted pair keys, finds the lowest rank of every word and merges all its occurrences at once; words with
-no pair left drop out. Words are encoded once for each worker: a bounded cache maps a chunk of text to its ids.
+Texts are cut into words by classes of characters, in numpy; what class a character has is asked of the library once. Arrow numbers
+the different words of some megabytes of text, and those that the worker's bounded cache doesn't hold go through the rounds.
 
-Texts are cut before a blank or line feed that follows other than white space. No pre-token spans such a place, so
-the chunks are encoded alone; a text with runs of white space takes the pattern over the whole of it instead.
+The symbols of many words lie in one flat array. Each round finds the lowest rank of every word and merges all its occurrences at
+once; pairs that this makes are looked up by binary search over the sorted pair keys. Words with no pair left drop out.
 
 Words beyond LONG_WORD bytes leave the rounds for a heap of their pairs, with the same result and lookups in the same keys.
 """
@@ -20,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,23 +27,18 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import small_batches, tidy
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-NO_RANK = np.iinfo(np.int64).max
+NO_RANK = np.iinfo(np.int32).max
 #: Longer words are merged one by one with a heap: rounds over them would cost the square of their length.
 LONG_WORD = 1024
-#: Bytes that the younger half of a worker's cache may hold, and the longest chunk that it keeps.
-CACHE_BYTES, CACHED_LENGTH = 16 << 20, 256
-#: Characters that are encoded at a time: lists of their chunks take some twenty times as much.
+#: Bytes that the younger half of a worker's cache may hold, a word counted with WORD_COST, and the longest word that it keeps.
+CACHE_BYTES, WORD_COST, CACHED_LENGTH = 48 << 20, 300, 256
+#: Characters that are taken at a time where lists of words are made of them (they take some twenty times as much).
 BATCH_BYTES = 1 << 20
-RUN_BEFORE_CUT = re.compile(r"[\s\x1c-\x1f\x85][ \n]")
-
-
-def has_run(text: str) -> bool:
-    """Whether a blank or line feed follows other white space."""
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-        return True
-    if text.isascii() and not any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
-        return False
-    return RUN_BEFORE_CUT.search(text) is not None
+#: Characters that are encoded at a time (arrays over them take some ten times as much), and bytes of words that are merged at a time.
+PIECE_BYTES, MERGE_BYTES = 4 << 20, 1 << 18
+#: The pre-tokenizer whose words are cut by classes of characters, and these classes; any other cuts by itself.
+USUAL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+LETTER, NUMBER, MARK, SPACE, UNKNOWN = range(5)
 
 
 def byte_alphabet() -> list[str]:
@@ -53,6 +48,30 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def offsets_of(lengths: np.ndarray) -> np.ndarray:
+    """Where each of some stretches of these lengths begins, and where the last ends."""
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def binary(data, bounds: np.ndarray) -> pa.Array:
+    """The stretches of data between bounds as an Arrow column, without a copy."""
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64, copy=False)), pa.py_buffer(data)])
+
+
+def bounds_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1] or bytes(8), np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def data_of(column: pa.Array) -> np.ndarray:
+    """The bytes that the bounds of a column point into."""
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[: bounds_of(column)[-1]]
+
+
+def spread(data, bounds: np.ndarray, chosen: np.ndarray) -> pa.Array:
+    """The chosen stretches of data, one after another."""
+    return binary(data, bounds).take(pa.array(chosen))
+
+
 class MergeTable:
     """A byte-level BPE vocabulary as sorted pair keys, their ranks and results."""
 
@@ -64,71 +83,86 @@ class MergeTable:
         self.base = max([*vocab.values(), *self.special.values()]) + 1
         keys = np.array([vocab[a] * self.base + vocab[b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)[order]
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)  # by rank
         letters = byte_alphabet()
-        self.byte_ids = np.array([vocab[c] for c in letters], np.int64)
+        self.byte_ids = np.array([vocab[c] for c in letters], np.int32)
+        self.byte_ranks = self.lookup(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)).astype(np.int32).reshape(256, 256)
         byte_of = {c: b for b, c in enumerate(letters)}
-        self.token_bytes = [b""] * self.base
+        token_bytes = [b""] * self.base
         for token, i in vocab.items():
-            self.token_bytes[i] = bytes(byte_of[c] for c in token)
+            token_bytes[i] = bytes(byte_of[c] for c in token)
         for token, i in self.special.items():
-            self.token_bytes[i] = token.encode()
+            token_bytes[i] = token.encode()
+        self.token_bytes = pa.array(token_bytes, pa.large_binary())
 
-    def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left * self.base + right
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of symbols, NO_RANK where they have none."""
+        key = left.astype(np.int64) * self.base + right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        return at, self.keys[at] == key
-
-    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all words and the offsets of each (one more than words)."""
-        counts = np.zeros(len(words), np.int64)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
+
+    def merge_words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words, which lie in data between bounds, and the offsets of each (one more than words)."""
+        lengths = np.diff(bounds)
+        if lengths.max(initial=0) <= LONG_WORD:
+            done = self.rounds(data, lengths)
+        else:
+            short = lengths <= LONG_WORD
+            numbers, ids = self.rounds(data[np.repeat(short, lengths)], lengths[short])
+            done = [np.flatnonzero(short).astype(np.int32)[numbers]], [ids]
+            for i in np.flatnonzero(~short):
+                done[1].append(self.merge_long(data[bounds[i] : bounds[i + 1]]))
+                done[0].append(np.full(len(done[1][-1]), i, np.int32))
+            done = tuple(map(np.concatenate, done))
+        order = np.argsort(done[0], kind="stable")
+        return done[1][order], offsets_of(np.bincount(done[0], minlength=len(lengths)))
+
+    def rounds(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each id its word's number, and the ids; those of a word stand in order. Only pairs that a merge made are looked up again."""
+        sym = self.byte_ids[data]
+        own = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        rank = np.full(len(sym), NO_RANK, np.int32)  # of a symbol and its right neighbour
+        rank[:-1] = self.byte_ranks[data[:-1], data[1:]]
+        rank[:-1][own[1:] != own[:-1]] = NO_RANK
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for i in np.flatnonzero(lengths > LONG_WORD):
-            ids = self.merge_long(words[i])
-            done.append((np.full(len(ids), i, np.int64), ids))
-        short = lengths <= LONG_WORD
-        sym = self.byte_ids[np.frombuffer(b"".join(w for w in words if len(w) <= LONG_WORD), np.uint8)]
-        own = np.repeat(np.flatnonzero(short), lengths[short])
         while len(sym):
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            at, found = self.lookup(sym[:-1], sym[1:])
-            rank = np.full(len(sym), NO_RANK)
-            found &= own[:-1] == own[1:]
-            rank[:-1][found] = self.ranks[at[found]]
-            best = np.minimum.reduceat(rank, starts)
-            sizes = np.diff(np.r_[starts, len(sym)])
-            best_here = np.repeat(best, sizes)
-            over = best_here == NO_RANK
-            if over.any():
-                done.append((own[over], sym[over]))
-            chosen = np.flatnonzero((rank == best_here) & ~over)
-            if not len(chosen):
-                break
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(starts, append=len(sym)))
+            over = best == NO_RANK
+            chosen = np.flatnonzero((rank == best) & ~over)
             # in a run of overlapping pairs (a a a) every second one is merged, from the left
-            first = np.r_[True, np.diff(chosen) != 1]
-            run_start = np.maximum.accumulate(np.where(first, np.arange(len(chosen)), 0))
-            chosen = chosen[(np.arange(len(chosen)) - run_start) % 2 == 0]
-            sym[chosen] = self.merged[at[chosen]]
+            first = np.diff(chosen, prepend=-2) != 1
+            if not first.all():
+                run_start = np.maximum.accumulate(np.where(first, np.arange(len(chosen)), 0))
+                chosen = chosen[(np.arange(len(chosen)) - run_start) % 2 == 0]
+            sym[chosen] = self.merged[rank[chosen]]
             keep = ~over
+            if not keep.all():
+                done.append((own[over], sym[over]))
             keep[chosen + 1] = False
-            sym, own = sym[keep], own[keep]
+            made = (np.cumsum(keep, dtype=np.int32) - 1)[chosen]  # where the merged symbols will stand
+            sym, own, rank = sym[keep], own[keep], rank[keep]
+            if not len(sym):
+                break
+            changed = np.zeros(len(sym), bool)
+            changed[made] = changed[made[made > 0] - 1] = True
+            changed[-1], rank[-1] = False, NO_RANK
+            left = np.flatnonzero(changed)
+            found = self.lookup(sym[left], sym[left + 1])
+            rank[left] = np.where(own[left] == own[left + 1], found, NO_RANK)
         if not done:
-            return np.empty(0, np.int32), np.zeros(len(words) + 1, np.int64)
-        own, sym = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(own, kind="stable")
-        np.add.at(counts, own, 1)
-        return sym[order].astype(np.int32), np.r_[0, np.cumsum(counts)]
+            return np.empty(0, np.int32), np.empty(0, np.int32)
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
 
-    def merge_long(self, word: bytes) -> np.ndarray:
+    def merge_long(self, word: np.ndarray) -> np.ndarray:
         """One word with a heap of its pairs: the same result in n log n steps."""
-        flat = self.byte_ids[np.frombuffer(word, np.uint8)]
-        at, found = self.lookup(flat[:-1], flat[1:])
-        sym = flat.tolist()
+        ranks = self.byte_ranks[word[:-1], word[1:]]
+        found = ranks != NO_RANK
+        sym = self.byte_ids[word].tolist()
         before, after, live = list(range(-1, len(sym) - 1)), list(range(1, len(sym) + 1)), [True] * len(sym)
-        heap = [(r, i, sym[i], sym[i + 1], m) for i, r, m in zip(np.flatnonzero(found).tolist(), self.ranks[at[found]].tolist(), self.merged[at[found]].tolist(), strict=True)]
+        heap = [(r, i, sym[i], sym[i + 1], m) for i, r, m in zip(np.flatnonzero(found).tolist(), ranks[found].tolist(), self.merged[ranks[found]].tolist(), strict=True)]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, merged = heapq.heappop(heap)
@@ -144,98 +178,173 @@ class MergeTable:
                     key = sym[p] * self.base + sym[q]
                     k = bisect_left(self.keys, key)
                     if k < len(self.keys) and self.keys[k] == key:
-                        heapq.heappush(heap, (int(self.ranks[k]), p, sym[p], sym[q], int(self.merged[k])))
-        return np.array([s for s, ok in zip(sym, live, strict=True) if ok], np.int64)
+                        heapq.heappush(heap, (rank := int(self.ranks[k]), p, sym[p], sym[q], int(self.merged[rank])))
+        return np.array([s for s, ok in zip(sym, live, strict=True) if ok], np.int32)
+
+
+class Known:
+    """Different words and the ids of each, flat, between bounds."""
+
+    def __init__(self, words: pa.Array, ids: np.ndarray, bounds: np.ndarray):
+        self.words, self.ids, self.bounds = words, ids, bounds
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    @classmethod
+    def none(cls) -> Known:
+        return cls(pa.array([], pa.large_binary()), np.empty(0, np.int32), np.zeros(1, np.int64))
+
+    def __add__(self, other: Known) -> Known:
+        return Known(pa.concat_arrays([self.words, other.words]), np.concatenate([self.ids, other.ids]), np.concatenate([self.bounds, self.bounds[-1] + other.bounds[1:]]))
+
+    def take(self, chosen: np.ndarray) -> Known:
+        taken = spread(self.ids, 4 * self.bounds, chosen)
+        return Known(self.words.take(pa.array(chosen)), data_of(taken).view(np.int32), bounds_of(taken) // 4)
 
 
 class Encoder:
-    """Encodes texts in one worker; the caches are bounded and only save work."""
+    """Encodes texts in one worker; the cache is bounded and only saves work."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.table = MergeTable(spec)
-        bare = json.loads(spec) | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None}
+        spec = json.loads(spec)
+        bare = spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None}
         self.split = Tokenizer.from_str(json.dumps(bare)).pre_tokenizer.pre_tokenize_str
-        self.special = re.compile("(" + "|".join(map(re.escape, self.table.special)) + ")") if self.table.special else None
-        self.ids: dict = {}
-        self.shown: dict = {}
-        self.old_ids: dict = {}
-        self.old_shown: dict = {}
+        self.usual = USUAL.items() <= spec["pre_tokenizer"].items()
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+        special = self.table.special
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.fixed = Known(pa.array([s.encode() for s in special], pa.large_binary()), np.array([*special.values()], np.int32), np.arange(len(special) + 1))
+        self.ids = self.old_ids = Known.none()
         self.held = 0
 
-    def chunks(self, text: str) -> list:
-        """The keys of the text's chunks: a word stands for itself after a blank, "\\n..." for the head of a later line,
-        and a tuple of one string for just that string."""
-        if has_run(text):
-            return [(text[a:b],) for _, (a, b) in self.split(text)]
-        out: list = []
-        for i, line in enumerate(text.split("\n")):
-            parts = line.split(" ")
-            parts[0] = "\n" + parts[0] if i else (parts[0],)
-            out += parts
-        return out[1:] if out[0] == ("",) else out
-
-    def keep(self, chunk, ids: bytes, shown: bytes) -> None:
-        """Put a chunk into the younger half of the cache; a full half becomes the older one."""
-        self.ids[chunk], self.shown[chunk] = ids, shown
-        self.held += len(ids) + len(shown) + 4 * len(chunk[0] if isinstance(chunk, tuple) else chunk) + 300
-        if self.held > CACHE_BYTES:
-            self.old_ids, self.old_shown, self.ids, self.shown, self.held = self.ids, self.shown, {}, {}, 0
-
-    def learn(self, fresh: list) -> tuple[dict, dict]:
-        """The ids and the bytes of different chunks, by merge rounds over all their words; short chunks go into the cache."""
-        words: list[bytes] = []
-        last: list[int] = []
-        for c in fresh:
-            body, whole = (c[0], c[0]) if isinstance(c, tuple) else (c, c if c[:1] == "\n" else " " + c)
-            if body.isalpha() and body.isascii():
-                words.append(whole.encode())
-            else:
-                words += [whole[a:b].encode() for _, (a, b) in self.split(whole)]
-            last.append(len(words))
-        ids, offsets = self.table.merge_words(words)
-        token = self.table.token_bytes
-        of_ids, of_shown, begin = {}, {}, 0
-        for c, k in zip(fresh, last, strict=True):
-            own = ids[offsets[begin] : offsets[k]]
-            of_ids[c], of_shown[c] = own.tobytes(), b"".join([token[i] for i in own.tolist()])
-            if len(c[0] if isinstance(c, tuple) else c) <= CACHED_LENGTH:
-                self.keep(c, of_ids[c], of_shown[c])
-            begin = k
-        return of_ids, of_shown
-
-    def known(self, chunks) -> tuple[dict, dict]:
-        """The ids and the bytes of chunks: from the younger half of the cache, else the older, else learnt."""
-        ids, shown, fresh = {}, {}, []
-        for c in dict.fromkeys(chunks):
-            if (own := self.ids.get(c)) is not None:
-                ids[c], shown[c] = own, self.shown[c]
-            elif (own := self.old_ids.get(c)) is not None:
-                ids[c], shown[c] = own, self.old_shown[c]
-                self.keep(c, own, shown[c])
-            else:
-                fresh.append(c)
-        if fresh:
-            more_ids, more_shown = self.learn(fresh)
-            ids |= more_ids
-            shown |= more_shown
-        return ids, shown
+    def kind(self, code: int) -> int:
+        """A character's class, as the library has it: whether it makes one word with a letter, a digit or a mark before it."""
+        return next((k for k, before in ((LETTER, "a"), (NUMBER, "1"), (MARK, "!")) if len(self.split(before + chr(code))) == 1), SPACE)
+
+    def kinds_of(self, codes: np.ndarray) -> np.ndarray:
+        kinds = self.kinds[codes]
+        if (unknown := kinds == UNKNOWN).any():
+            for c in np.unique(codes[unknown]).tolist():
+                self.kinds[c] = self.kind(c)
+            kinds = self.kinds[codes]
+        return kinds
+
+    def begins(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which characters begin a word of the usual pattern; first: which begin a part, and the end."""
+        kinds = self.kinds_of(codes)
+        begin = first[:-1].copy()
+        begin[1:] |= kinds[1:] != kinds[:-1]
+        # before a word the last white space stands alone, a blank goes with the word
+        at = np.flatnonzero(begin & ~first[:-1] & (kinds != SPACE))
+        at = at[kinds[at - 1] == SPACE]
+        begin[at - 1] = True
+        begin[at[codes[at - 1] == ord(" ")]] = False
+        # 's 't 'm 'd 're 've 'll, where the pattern is tried at the apostrophe
+        at = np.flatnonzero(begin & (codes == ord("'")))
+        at = at[~first[at + 1]]
+        one = at[np.isin(codes[at + 1], [*b"stmd"])]
+        at = at[~first[at + 2]]
+        two = at[np.isin(codes[at + 1].astype(np.int64) << 32 | codes[at + 2], [a << 32 | b for a, b in (b"re", b"ve", b"ll")])]
+        for found, size in ((one, 2), (two, 3)):
+            begin[found + 1] = False
+            begin[(after := found + size)[after < len(codes)]] = True
+        return begin
+
+    def words(self, parts: list[str], special: list[bool]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all parts, and the number of each part's first one (and of all). A special string is one word."""
+        text = "".join(parts)
+        data = text.encode()
+        ends = offsets_of(np.fromiter(map(len, parts), np.int64, len(parts)))
+        first = np.zeros(len(text) + 1, bool)
+        first[ends] = True
+        plain = len(data) == len(text)
+        codes = np.frombuffer(data, np.uint8) if plain else np.frombuffer(text.encode("utf-32-le"), "<u4")
+        if self.usual:
+            begin = self.begins(codes, first)
+        else:
+            begin = first[:-1].copy()
+            for part, at in zip(parts, ends.tolist(), strict=False):
+                begin[[at + a for _, (a, _) in self.split(part)]] = True
+        for i in np.flatnonzero(special):
+            begin[ends[i] + 1 : ends[i + 1]] = False
+        at = np.flatnonzero(begin)
+        if plain:
+            bounds = np.append(at, len(data))
+        else:
+            bounds = offsets_of(np.add.reduceat(np.uint8(1) + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), at, dtype=np.int64))
+        return binary(data, bounds), np.searchsorted(at, ends)
+
+    def keep(self, more: Known) -> None:
+        """Put words into the younger half of the cache; where they don't fit, it becomes the older one and takes those that do."""
+        sizes = np.cumsum(4 * np.diff(more.bounds) + 5 * np.diff(bounds_of(more.words)) + WORD_COST)
+        if len(more) and self.held + sizes[-1] > CACHE_BYTES:
+            self.old_ids, self.ids, self.held = self.ids, Known.none(), 0
+            fits = int(np.searchsorted(sizes, CACHE_BYTES, "right"))
+            more, sizes = more.take(np.arange(fits)), sizes[:fits]
+        if len(more):
+            self.ids += more
+            self.held += int(sizes[-1])
+
+    def learn(self, words: pa.Array) -> Known:
+        """Different words with their ids by merge rounds, MERGE_BYTES at a time."""
+        data, bounds = data_of(words), bounds_of(words)
+        ids, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        begin = 0
+        while begin < len(words):
+            end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + MERGE_BYTES, "right")) - 1)
+            own, offsets = self.table.merge_words(data[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin])
+            ids.append(own)
+            counts.append(np.diff(offsets))
+            begin = end
+        return Known(words, np.concatenate(ids), offsets_of(np.concatenate(counts)))
+
+    def known(self, words: pa.Array) -> Known:
+        """Different words with their ids: special strings, words of the younger half of the cache, else of the older, else learnt."""
+        pool = self.fixed + self.ids + self.old_ids
+        at = pc.index_in(words, value_set=pool.words).fill_null(-1).to_numpy()
+        fresh = at < 0
+        pool += self.learn(words.filter(pa.array(fresh)))
+        chosen = np.where(fresh, len(pool) - fresh.sum() + np.cumsum(fresh) - 1, at)
+        found = pool.take(chosen)
+        newly = fresh | (at >= len(self.fixed) + len(self.ids))
+        self.keep(found.take(np.flatnonzero(newly & (np.diff(bounds_of(words)) <= CACHED_LENGTH))))
+        return found
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts, where those of each begin (and end), the bytes that they decode to, and where those begin."""
+        parts, special, begins = [], [], [0]
+        for t in texts:
+            own = self.special.split(t) if self.special and any(s in t for s in self.table.special) else [t]
+            parts += own
+            special += [i % 2 == 1 for i in range(len(own))]
+            begins.append(len(parts))
+        words, numbers = self.words(parts, special)
+        numbers = numbers[begins]
+        coded = words.dictionary_encode()
+        found, order = self.known(coded.dictionary), coded.indices.to_numpy()
+        tokens = self.table.token_bytes.take(pa.array(found.ids))
+        ids = spread(found.ids, 4 * found.bounds, order)
+        shown = spread(data_of(tokens), bounds_of(tokens)[found.bounds], order)
+        return data_of(ids).view(np.int32), bounds_of(ids)[numbers] // 4, data_of(shown), bounds_of(shown)[numbers]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as int32 bytes, and the bytes that they decode to."""
-        out = []
-        for text in texts:
-            parts = self.special.split(text) if self.special and any(s in text for s in self.table.special) else [text]
-            out.append((parts, [self.chunks(x) if i % 2 == 0 else [] for i, x in enumerate(parts)]))
-        ids, shown = (x.__getitem__ for x in self.known(c for _, cut in out for chunks in cut for c in chunks))
-        return [self.joined(parts, cut, ids, shown) for parts, cut in out]
+        ids, of_ids, shown, of_shown = self.flat(texts)
+        return [(ids[a:b].tobytes(), shown[c:d].tobytes()) for a, b, c, d in zip(of_ids, of_ids[1:], of_shown, of_shown[1:], strict=False)]
 
-    def joined(self, parts: list[str], cut: list[list], ids, shown) -> tuple[bytes, bytes]:
-        if len(parts) == 1:
-            return b"".join(map(ids, cut[0])), b"".join(map(shown, cut[0]))
-        both = [(np.int32(self.table.special[x]).tobytes(), x.encode()) if i % 2 else (b"".join(map(ids, c)), b"".join(map(shown, c))) for i, (x, c) in enumerate(zip(parts, cut, strict=True))]
-        return b"".join(x for x, _ in both), b"".join(x for _, x in both)
+    def arrays(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+        """The same as columns: lists of ids, and decoded texts."""
+        ids, of_ids, shown, of_shown = self.flat(texts)
+        decoded = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(of_shown.astype(np.int32)), pa.py_buffer(shown)])
+        try:
+            decoded.validate(full=True)
+        except pa.ArrowInvalid:  # ids whose bytes are no UTF-8
+            decoded = pa.array([shown[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(of_shown, of_shown[1:], strict=False)], pa.string())
+        return pa.ListArray.from_arrays(pa.array(of_ids.astype(np.int32)), pa.array(ids)), decoded
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -278,13 +387,9 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in pieces(texts):
-                got = enc.encode([t or "" for t in texts[part]])
-                ends = np.cumsum([0, *(len(x) // 4 for x, _ in got)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x for x, _ in got), np.int32)))
-                shown = pa.array([x.decode("utf-8", "replace") for _, x in got], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("key")[part.start : part.stop], ids, shown], ["key", "ids", "decoded"])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for part in pieces(texts, PIECE_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column("key")[part.start : part.stop], *enc.arrays(texts[part])], ["key", "ids", "decoded"])
 
     return slim.mapInArrow(tidy(run), f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 

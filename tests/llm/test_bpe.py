@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -76,3 +77,44 @@ def test_table(docs, spark):
 @pytest.mark.parametrize("texts", [[], [""], ["", "a"]])
 def test_pieces(texts):
     assert [t for s in bpe.pieces(texts, 1) for t in texts[s]] == texts
+
+
+def test_contractions_and_white_space_around_them():
+    draw = random.Random(11)
+    pieces = ["'", "'", "s", "re", "ve", "ll", "t", "é", " ", "\n", "　", "1", "!", "ť", "<|endoftext|>"]  # ť: U+0165, whose low byte is an e
+    same(["".join(draw.choice(pieces) for _ in range(draw.randrange(12))) for _ in range(5000)])
+
+
+def test_all_characters():
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3200 or c % 61 == 0)]
+    draw = random.Random(12)
+    same(["".join(x for c in chars[i : i + 50] for x in (c, draw.choice(["", " ", "a", "1", "!", "'"]))) for i in range(0, len(chars), 50)])
+
+
+def test_work_of_new_words(monkeypatch):
+    """The library is asked for characters, not for words, and only pairs that a merge made are looked up."""
+    own, calls, looked = bpe.Encoder(SPEC), [], []
+    split, lookup = own.split, own.table.lookup
+    monkeypatch.setattr(own, "split", lambda text: calls.append(text) or split(text))
+    monkeypatch.setattr(own.table, "lookup", lambda a, b: looked.append(len(a)) or lookup(a, b))
+    draw = random.Random(13)
+    texts = [" ".join("".join(draw.choice("abcdeé") for _ in range(30)) + draw.choice(",.;!") for _ in range(200)) for _ in range(10)]
+    n_ids = sum(len(x) // 4 for x, _ in own.encode(texts))
+    merges = sum(len(t.encode()) for t in texts) - n_ids
+    assert len(calls) <= 4 * len(set("".join(texts))) and sum(looked) <= 2 * merges
+
+
+def test_another_pre_tokenizer_cuts_by_itself():
+    spec = json.loads(SPEC)
+    spec["pre_tokenizer"]["use_regex"] = False
+    library, own = Tokenizer.from_str(json.dumps(spec)), bpe.Encoder(json.dumps(spec))
+    texts = ["it's  two words", "", "x <|endoftext|> y", "é\n\n1"]
+    assert [np.frombuffer(x, np.int32).tolist() for x, _ in own.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ids_without_utf8_are_shown_as_the_library_does(monkeypatch):
+    own = bpe.Encoder(SPEC)
+    flat = (np.array([127, 65], np.int32), np.array([0, 1, 2]), np.frombuffer(b"\xffA", np.uint8), np.array([0, 1, 2]))
+    monkeypatch.setattr(own, "flat", lambda texts: flat)
+    ids, decoded = own.arrays(["a", "b"])
+    assert ids.to_pylist() == [[127], [65]] and decoded.to_pylist() == ["�", "A"]
