@@ -92,9 +92,15 @@ def grams(name: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substr(padded, i, F.lit(3))))
 
 
-def place_index(places: DataFrame, key: str = "place_id") -> DataFrame:
-    """(gram, key): the places whose names hold a run of three characters; to be stored for searches."""
-    return places.select(F.explode(grams(plain_name(F.col("name")))).alias("gram"), key)
+def name_id(name: Column) -> Column:
+    """What an index calls a plain name. Names that shared a hash would be told apart by what they are compared with afterwards."""
+    return F.xxhash64(name)
+
+
+def place_index(places: DataFrame) -> DataFrame:
+    """(gram, name_id): the different plain names of places that hold a run of three characters; to be stored for searches."""
+    names = places.select(plain_name(F.col("name")).alias("_name")).filter("_name is not null").distinct()
+    return names.select(F.explode(grams(F.col("_name"))).alias("gram"), name_id(F.col("_name")).alias("name_id"))
 
 
 def search_places(places: DataFrame, index: DataFrame, queries: DataFrame, k: int = 1, least: float = 0.4, key: str = "place_id") -> DataFrame:
@@ -104,21 +110,34 @@ def search_places(places: DataFrame, index: DataFrame, queries: DataFrame, k: in
     edit distance, then by the runs they share, then by name, address and key. So many runs must be shared that one of the
     query's rarest is among them, whatever else is: only these are joined with the index, and frequent runs, which most names
     hold, never meet. Null and empty queries find nothing.
+
+    Equal texts and equal plain names are compared once, however many queries and places have them. Names are ranked by the
+    first of their places: a name behind k others has none among the k nearest, and of a name only its first k can be.
     """
-    asked = queries.select("query_id", plain_name(F.col("query")).alias("_query")).filter("_query <> ''").withColumn("_grams", grams(F.col("_query")))
+    asked = queries.select("query_id", plain_name(F.col("query")).alias("_query")).filter("_query <> ''")
+    texts = asked.select("_query").distinct().withColumn("_grams", grams(F.col("_query")))
     needed = F.greatest(F.ceil(F.size("_grams") * F.lit(least)), F.lit(1))
-    known = index.groupBy("gram").agg(F.count("*").alias("_places"))
-    each = asked.select("query_id", needed.alias("_needed"), F.size("_grams").alias("_n"), F.explode("_grams").alias("gram"))
-    order = Window.partitionBy("query_id").orderBy(F.coalesce("_places", F.lit(0)), "gram")  # as many as a query has characters
+    known = index.groupBy("gram").agg(F.count("*").alias("_names"))
+    each = texts.select("_query", needed.alias("_needed"), F.size("_grams").alias("_n"), F.explode("_grams").alias("gram"))
+    order = Window.partitionBy("_query").orderBy(F.coalesce("_names", F.lit(0)), "gram")  # as many as a query has characters
     rare = each.join(known, "gram", "left").withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= F.col("_n") - F.col("_needed") + 1)
-    candidates = rare.join(index, "gram").select("query_id", key).distinct()
-    told = places.withColumn("_name", plain_name(F.col("name"))).withColumn("_own", grams(F.col("_name")))
-    both = candidates.join(asked, "query_id").join(told, key)
+    candidates = rare.join(index, "gram").select("_query", "name_id").distinct()
+    named = places.withColumn("_name", plain_name(F.col("name"))).filter("_name is not null")
+    same = Window.partitionBy("_name").orderBy("name", "address", key)
+    first = named.withColumn("_place", F.row_number().over(same)).filter(F.col("_place") <= k)
+    names = first.filter("_place = 1").select("_name", *(F.col(c).alias(f"_first_{i}") for i, c in enumerate(("name", "address", key))), name_id(F.col("_name")).alias("name_id"), grams(F.col("_name")).alias("_own"))
+    both = candidates.join(texts, "_query").join(names, "name_id")
     shared = F.size(F.array_intersect("_grams", "_own"))
     near = both.withColumn("_shared", shared).filter(F.col("_shared") >= F.ceil(F.size("_grams") * F.lit(least)))
     near = near.withColumn("distance", F.levenshtein("_query", "_name"))
-    best = Window.partitionBy("query_id").orderBy("distance", F.col("_shared").desc(), "name", "address", key)
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("_query", "_grams", "_name", "_own", "_shared")
+
+    def nearest(rows: DataFrame, *ties: str) -> DataFrame:
+        best = Window.partitionBy("_query").orderBy("distance", F.col("_shared").desc(), *ties)
+        return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    some = nearest(near, *(f"_first_{i}" for i in range(3))).select("_query", "_name", "_shared", "distance")
+    found = nearest(some.join(first, "_name"), "name", "address", key)
+    return asked.join(found, "_query").select("query_id", *places.columns, "distance", "rank")
 
 
 def skipped(items: DataFrame, used: DataFrame, key: str, reason: str = "no pixel in the area") -> DataFrame:

@@ -76,6 +76,42 @@ def test_free_text_places_against_all_pairs(spark):
         assert {(r.query_id, r.place_id) for r in found.collect()} == want
 
 
+def test_free_text_places_of_one_name(spark):
+    """Names that many places share, in several spellings, are compared once with each different text, and ranked place by place."""
+    draw = random.Random(3)
+    spelt = ["Paris", "paris", " PARIS", "Pariss", "Santa Fe", "santa  fe", "Santa Fee", "York"]
+    rows = [(i, draw.choice(spelt), draw.choice([None, "a", "b"])) for i in range(400)] + [(400, None, "a")]
+    places = spark.createDataFrame(rows, "place_id int, name string, address string")
+    texts = ["paris", "PARIS", "pari", "santa fe", "sante fe", "york", None] * 3
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+
+    def plain(s):
+        return " ".join(s.lower().split())
+
+    def runs(s):
+        return {f" {s} "[i : i + 3] for i in range(len(s))}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = []
+    for q, t in enumerate(texts):
+        near = []
+        for i, n, a in rows if t else ():
+            if n and (both := len(runs(plain(t)) & runs(plain(n)))) >= 0.4 * len(runs(plain(t))):
+                near.append((distance(plain(t), plain(n)), -both, n, a is not None, a or "", i))
+        want += [(q, x[5], rank, x[0]) for rank, x in enumerate(sorted(near)[:3], 1)]
+    index = catalog.place_index(places)
+    got = catalog.search_places(places, index, queries, k=3)
+    assert sorted(map(tuple, got.select("query_id", "place_id", "rank", "distance").collect())) == sorted(want)
+    assert index.count() == sum(len(runs(n)) for n in {plain(n) for n in spelt})  # not once more for each place
+
+
 ITEM = "item_id long, grid_id long, collection string, datetime timestamp_ntz, cloud_cover double, minx double, miny double, maxx double, maxy double"
 
 
