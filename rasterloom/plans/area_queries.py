@@ -202,17 +202,11 @@ def quarantined_items(spark, d):
 def quarantined_files(spark, d):
     """Pixel files of which one lacks a band and one is no Parquet: the others' pixels are counted."""
     path = tables.shared_path(spark, "files")
-    px = fx.pixels(spark, d).withColumn("scene_id", F.col("grid_id"))
-    bands = ("red", "nir")
-    for g in range(fx.GRIDS):
-        own = px.filter(F.col("grid_id") == g).select("scene_id", "row", "col", "x", "y", *(b for b in bands if (g, b) != (3, "nir")))
-        if g == 5:
-            own.select(F.lit("not a pixel").alias("value")).limit(1).coalesce(1).write.text(f"{path}/grid-{g}")
-        else:
-            own.coalesce(1).write.parquet(f"{path}/grid-{g}")
-    usable, rejected = tables.checked_pixels(spark, path, bands)
-    grid = F.regexp_extract("file", r"/grid-(\d+)/", 1).cast("long").alias("grid_id")
+    px = fx.pixels(spark, d).select("grid_id", F.col("grid_id").alias("scene_id"), "row", "col", "x", "y", "red", "nir")
+    px.filter("grid_id not in (3, 5)").write.partitionBy("grid_id").parquet(path)
+    px.filter("grid_id = 3").drop("nir").write.partitionBy("grid_id").mode("append").parquet(path)
+    px.filter("grid_id = 5").select("grid_id", F.lit("not a pixel").alias("value")).limit(1).write.partitionBy("grid_id").mode("append").text(path)
+    usable, rejected = tables.checked_pixels(spark, path, ("red", "nir"))
+    grid = F.regexp_extract("file", r"/grid_id=(\d+)/", 1).cast("long").alias("grid_id")
     good = usable.groupBy(F.col("scene_id").cast("long").alias("grid_id")).agg(F.lit("usable").alias("reason"), F.count("*").alias("n"))
-    return good.unionByName(rejected.select(grid, "reason", F.lit(0).cast("long").alias("n")))
-
-
+    return good.unionByName(rejected.select(grid, "reason", F.lit(0).cast("long").alias("n")).distinct())

@@ -62,14 +62,14 @@ FOOTPRINT = "greatest(-122.50e0 - cx, cx + 122.40e0, 0e0) + greatest(37.75e0 - c
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     o, p, s, n = (F.col(f"l_{c}") for c in ("orderkey", "partkey", "suppkey", "linenumber"))
-    order = Window.partitionBy(s % GRIDS).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    numbered = li.withColumn("rn", F.row_number().over(order) - 1)
+    order = Window.partitionBy("grid_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    numbered = li.withColumn("grid_id", s % GRIDS).withColumn("rn", F.row_number().over(order) - 1)  # a filter by grid goes below
 
     def band(value) -> F.Column:
         return value.cast("int")
 
     grid = numbered.select(
-        (s % GRIDS).alias("grid_id"),
+        "grid_id",
         F.floor(F.col("rn") / WIDTH).cast("int").alias("row"),
         (F.col("rn") % WIDTH).cast("int").alias("col"),
         band((p * 13 + o * 7) % 4000).alias("red"),

@@ -79,17 +79,19 @@ def checked_pixels(spark: SparkSession, path: str, bands: tuple[str, ...]) -> tu
     """The pixels of the usable files below a path, and the other files (file, reason).
 
     All files are read under the schema of PIXELS with these bands; what isn't Parquet is passed over. A file is left out
-    if no row of it can be read, or if a band has no value in it, as where its column is missing. Such files are few; the
-    list of them is joined to the pixels by the file's name.
+    if no row of it can be read, or if a band has no value in it, as where its column is missing. Pixels stay where they are:
+    the addresses of files that lack a band, some of those that the driver has listed, are broadcast.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(plain_path(F.col("path")).alias("file"))
+    address = F.col("_metadata.file_path").alias("_address")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(plain_path(F.col("path")).alias("file"), address)
     kept = T.StructType([f for f in PIXELS.fields if f.name in PIXEL_KEYS or f.name in bands])
-    px = spark.read.schema(kept).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").parquet(path).withColumn("file", plain_path(F.col("_metadata.file_path")))
-    seen = px.groupBy("file").agg(F.count("*").alias("_rows"), *(F.count(b).alias(f"_n_{b}") for b in bands))
+    px = spark.read.schema(kept).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").parquet(path).select("*", address)
+    seen = px.groupBy("_address").agg(F.count("*").alias("_rows"), *(F.count(b).alias(f"_n_{b}") for b in bands))
     lacks = F.array_compact(F.array(*(F.when(F.col(f"_n_{b}") == 0, b) for b in bands)))
     reason = F.when(F.coalesce("_rows", F.lit(0)) == 0, "no readable row").when(F.size(lacks) > 0, F.concat(F.lit("no value of "), F.array_join(lacks, ", ")))
-    rejected = listed.join(seen, "file", "left").select("file", reason.alias("reason")).filter("reason is not null")
-    return px.join(rejected.select("file"), "file", "left_anti").drop("file"), rejected
+    rejected = listed.join(seen, "_address", "left").select("file", reason.alias("reason")).filter("reason is not null")
+    bad = seen.filter(F.size(lacks) > 0).select("_address")
+    return px.join(F.broadcast(bad), "_address", "left_anti").drop("_address"), rejected
 
 
 def plain_path(address: Column) -> Column:

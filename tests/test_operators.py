@@ -12,6 +12,7 @@ from rasterloom.functions import geometry
 from rasterloom.operators import areas, catalog, grids, raster, render
 from rasterloom.plans import pipeline
 from rasterloom.schemas import require
+from rasterloom.sources import fixtures as fx
 from rasterloom.sources import tables
 from rasterloom.streaming import items as stream
 
@@ -362,6 +363,31 @@ def test_broken_items_are_listed_and_the_others_go_on(spark, tmp_path):
     assert usable.columns == tables.read_stac(spark, str(tmp_path / "items.json")).columns
 
 
+def test_pixels_of_checked_files_stay_where_they_are(spark, tmp_path):
+    """Pixels aren't dealt by file to leave some out, whatever the sizes; blanks in a file's name make no difference."""
+    px = spark.range(100).select(F.lit(1).cast("long").alias("scene_id"), F.lit(0).alias("row"), F.col("id").cast("int").alias("col"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(7).alias("red"))
+    px.coalesce(1).write.parquet(str(tmp_path / "px/a good one"))
+    px.drop("red").coalesce(1).write.parquet(str(tmp_path / "px/lacks a band"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        usable, rejected = tables.checked_pixels(spark, str(tmp_path / "px"), ("red",))
+        assert usable.count() == 100 and usable.columns == [*px.columns]
+        assert [(r.file.split("/px/")[1].split("/")[0], r.reason) for r in rejected.collect()] == [("lacks a band", "no value of red")]
+        assert "SortMergeJoin" not in usable._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pixels_of_one_grid_are_numbered_alone(spark, tmp_path):
+    """A filter by grid goes below the window that numbers the test tables' pixels, and files of a grid cost that grid only."""
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double"
+    spark.createDataFrame([(i, i, i, 1, 1.0) for i in range(40)], kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    own = fx.pixels(spark, str(tmp_path)).filter("grid_id = 3")
+    assert own.count() == 5
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Filter")
+
+
 def test_broken_files_are_listed_and_the_others_go_on(spark, tmp_path):
     px = grid(spark, [[1.0, 2.0]]).select(F.lit(1).cast("long").alias("scene_id"), "row", "col", "x", "y", F.col("red").cast("int").alias("red"), F.lit(5).alias("nir"))
     px.coalesce(1).write.parquet(str(tmp_path / "px/good"))
