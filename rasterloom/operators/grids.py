@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions.geometry import area_rings, envelope, pixel_centre, to_utm
 from rasterloom.operators.raster import few
 from rasterloom.schemas import BAND_ASSETS
+from rasterloom.sources.tables import FOLDER, folder_side
 
 
 def measured(px: DataFrame, keys: list[str], epsg: int, origin: tuple[float, float], res: tuple[float, float]) -> DataFrame:
@@ -56,8 +57,8 @@ def projected_envelope(ring: Column, zone: int | Column, south: Column | None =
 PLACE = ("epsg", "origin_x", "origin_y", "res_x", "res_y", "height", "width")
 
 
-def wanted_tiles(placed: DataFrame, tile: int) -> DataFrame:
-    """placed (PLACE, _minx, _miny, _maxx, _maxy) once for each stored tile that its box touches (tile_row, tile_col)."""
+def wanted_folders(placed: DataFrame, side: int, names: tuple[str, str] = FOLDER) -> DataFrame:
+    """placed (PLACE, _minx, _miny, _maxx, _maxy) once for each folder of side x side pixels that its box touches (names)."""
 
     def ends(low: str, high: str, origin: str, step: str, size: str) -> tuple[Column, Column]:
         a, b = ((F.col(c) - F.col(origin)) / F.col(step) for c in (low, high))
@@ -65,8 +66,8 @@ def wanted_tiles(placed: DataFrame, tile: int) -> DataFrame:
 
     (top, bottom), (left, right) = ends("_miny", "_maxy", "origin_y", "res_y", "height"), ends("_minx", "_maxx", "origin_x", "res_x", "width")
     some = placed.withColumns({"_top": top, "_bottom": bottom, "_left": left, "_right": right}).filter("_top <= _bottom and _left <= _right")
-    for name, low, high in (("tile_row", "_top", "_bottom"), ("tile_col", "_left", "_right")):
-        some = some.withColumn(name, F.explode(F.sequence(F.floor(F.col(low) / tile).cast("int"), F.floor(F.col(high) / tile).cast("int"))))
+    for name, low, high in zip(names, ("_top", "_left"), ("_bottom", "_right"), strict=True):
+        some = some.withColumn(name, F.explode(F.sequence(F.floor(F.col(low) / side).cast("int"), F.floor(F.col(high) / side).cast("int"))))
     return some.drop("_top", "_bottom", "_left", "_right")
 
 
@@ -75,16 +76,18 @@ def clip_to_area(px: DataFrame, scenes: DataFrame, area, keys: list[str], most:
     reference system, beside the scenes' columns. most: how many scenes there are at most, if that is known.
 
     tile: the size of the stored tiles (see write_pixels), where px has them and scenes have PLACE: then only the folders of
-    the tiles that the area touches are opened, and nothing of other scenes.
+    the tiles that the area touches are opened, and nothing of other scenes. Tables stored with a folder for each tile of any
+    size (tile_row, tile_col) are read as well.
     """
     rings = F.array(*(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ring)) for ring in area_rings(area)))
     box = projected_envelope(F.flatten(rings), *utm_of(F.col("epsg")))
     placed = scenes.withColumns({f"_{k}": v for k, v in box.items()})
     inside = F.col("x").between(F.col("_minx"), F.col("_maxx")) & F.col("y").between(F.col("_miny"), F.col("_maxy"))
-    wanted, on = placed, list(keys)
+    wanted, names = placed, ()
     if tile is not None:
-        wanted, on = wanted_tiles(placed, tile).drop(*PLACE[1:]), [*keys, "tile_row", "tile_col"]
-    return px.join(few(wanted, most), on).filter(inside).drop("_minx", "_miny", "_maxx", "_maxy")
+        side, names = (folder_side(tile), FOLDER) if FOLDER[0] in px.columns else (tile, ("tile_row", "tile_col"))
+        wanted = wanted_folders(placed, side, names).drop(*PLACE[1:])
+    return px.join(few(wanted, most), [*keys, *names]).filter(inside).drop("_minx", "_miny", "_maxx", "_maxy")
 
 
 def band_assets(items: DataFrame, bands=tuple(BAND_ASSETS)) -> DataFrame:

@@ -156,8 +156,9 @@ def stored_area_window(spark, d):
     """An area in degrees, read from the tiles that it touches of every second stored scene."""
     path = tables.shared_path(spark, "tiles")
     tables.write_pixels(fx.pixels(spark, d).withColumnRenamed("grid_id", "scene_id"), path, tile=16)
-    scenes = grid_table(spark, d).withColumnRenamed("grid_id", "scene_id").filter("scene_id % 2 = 1")
-    cut = grids.clip_to_area(tables.read_pixels(spark, path), scenes, AREA, ["scene_id"], most=fx.GRIDS, tile=16)
+    px = tables.read_pixels(spark, path)
+    scenes = grids.measured(px, ["scene_id"], 32610, fx.ORIGIN, fx.RES).filter("scene_id % 2 = 1")
+    cut = grids.clip_to_area(px, scenes, AREA, ["scene_id"], most=fx.GRIDS, tile=16)
     return cut.select(F.col("scene_id").cast("long").alias("scene_id"), "row", "col", "nir")
 
 

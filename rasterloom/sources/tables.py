@@ -116,20 +116,30 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     return px
 
 
-#: Rows and columns of a stored tile: a folder holds a million pixels at most.
+#: Rows and columns of a stored tile, and of the folder that smaller ones share: a folder holds a million pixels at most.
 TILE = 1024
+#: The folder of a stored pixel, beside its scene.
+FOLDER = ("folder_row", "folder_col")
 
 
 def tile_of(index: Column, tile: int = TILE) -> Column:
     return F.floor(index / tile).cast("int")
 
 
+def folder_side(tile: int = TILE) -> int:
+    """Rows and columns of a folder: so many whole tiles as TILE holds, or one larger tile. A folder for each of many small tiles
+    would cost more than its pixels, to write, to list and to open."""
+    return tile * max(TILE // tile, 1)
+
+
 def write_pixels(px: DataFrame, path: str, tile: int = TILE) -> None:
-    """A pixel table laid out for window reads: one folder for a scene's tile (tile_row, tile_col), sorted by row and column.
-    A window's tiles are found by joining wanted (scene_id, tile_row, tile_col): other folders aren't opened."""
-    cut = px.withColumns({"tile_row": tile_of(F.col("row"), tile), "tile_col": tile_of(F.col("col"), tile)})
-    place = ("scene_id", "tile_row", "tile_col")
-    cut.repartition(*place).sortWithinPartitions(*place, "row", "col").write.partitionBy(*place).parquet(path)
+    """A pixel table laid out for window reads: one folder for a scene's tile (folder_row, folder_col), or for a square of tiles
+    where they are smaller than TILE, in the order of its tiles, their rows and columns. A window's folders are found by joining
+    wanted (scene_id, folder_row, folder_col): others aren't opened."""
+    side, place = folder_side(tile), ("scene_id", *FOLDER)
+    cut = px.withColumns({f: tile_of(F.col(c), side) for f, c in zip(FOLDER, ("row", "col"), strict=True)})
+    inner = (tile_of(F.col("row"), tile), tile_of(F.col("col"), tile), "row", "col")
+    cut.repartition(*place).sortWithinPartitions(*place, *inner).write.partitionBy(*place).parquet(path)
 
 
 def areas(spark: SparkSession, *given) -> DataFrame:

@@ -312,6 +312,23 @@ def test_a_window_opens_its_tiles_only(spark, tmp_path):
     assert scans and max(scans) == 2  # of 3 x 16 folders
 
 
+def test_small_tiles_share_folders(spark, tmp_path):
+    """However small the tiles, folders are few; a window over a border reads both sides, also of a table stored by tiles alone."""
+    px = spark.range(3000).select(F.lit(1).alias("scene_id"), F.col("id").cast("int").alias("row"), F.lit(0).alias("col"))
+    px = raster.with_coordinates(px, (544000.0, 4189000.0), (10.0, -10.0)).withColumn("red", F.col("row"))
+    table = spark.range(1).select(F.lit(1).alias("scene_id"), *(F.lit(v).alias(n) for n, v in zip(grids.PLACE, (32610, 544000.0, 4189000.0, 10.0, -10.0, 3000, 1), strict=True)))
+    tables.write_pixels(px, str(tmp_path / "now"), tile=4)
+    assert len(list((tmp_path / "now").glob("*/*/*/*.parquet"))) == 3  # of 750 tiles
+    px.withColumns({"tile_row": tables.tile_of(F.col("row"), 4), "tile_col": F.lit(0)}).filter("row between 900 and 1100").write.partitionBy("scene_id", "tile_row", "tile_col").parquet(str(tmp_path / "before"))
+    north, south = (spark.range(1).select(geometry.from_utm(F.lit(544005.0), F.lit(4189000.0 - 10 * r), F.lit(10))[1].alias("y")).first().y for r in (1020, 1030))
+    area = (-122.6, south, -122.4, north)
+    want = sorted(r.row for r in grids.clip_to_area(px, table, area, ["scene_id"]).collect())
+    assert {1023, 1024} < set(want) and len(want) < 1000
+    for folder in ("now", "before"):
+        cut = grids.clip_to_area(tables.read_pixels(spark, str(tmp_path / folder)), table, area, ["scene_id"], most=1, tile=4)
+        assert sorted(r.row for r in cut.collect()) == [r for r in want if folder == "now" or 900 <= r <= 1100]
+
+
 def metrics(plan) -> list[dict]:
     """The metrics of all nodes of a plan that has run, within adaptive ones and query stages too."""
     out, todo = [], [plan]
